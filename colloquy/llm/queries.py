@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import quality, secrets
+from colloquy.llm import bpe, quality, secrets
 from colloquy.llm._shared import documents
 
 
@@ -16,12 +16,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in base), F.sha2(secrets.spans_text(F.col("spans"), base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(documents(spark, sf_dir), bpe.default_tokenizer())
+    return coded.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
+    "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_quality_rules": op8_quality_rules,
 }
 
