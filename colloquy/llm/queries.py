@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, quality, secrets
+from colloquy.llm import bpe, jaccard, quality, secrets
 from colloquy.llm._shared import documents
 
 
@@ -25,10 +25,37 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_quality_rules": op8_quality_rules,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+OP9_SQL = r"""
+with recursive words as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+    from documents
+), shingles as (
+    select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+    from words
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all
+), links as (
+    select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)
+), reach(doc_id, other) as (
+    select doc_id, doc_id from documents
+    union
+    select r.doc_id, l.b from reach r join links l on r.other = l.a
+)
+select r.doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_id
+from reach r left join sizes using (doc_id) group by r.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op9_ngram_jaccard_join": OP9_SQL}
