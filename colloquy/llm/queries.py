@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, jaccard, quality, secrets
+from colloquy.llm import bpe, jaccard, lines, quality, secrets
 from colloquy.llm._shared import documents
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.col("__line_total").cast("long").alias("n_lines"), F.col("__line_removed").cast("long").alias("n_removed"), "text")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(documents(spark, sf_dir))
     base = tuple(r.kind for r in secrets.BASE)
@@ -30,6 +35,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_quality_rules": op8_quality_rules,
