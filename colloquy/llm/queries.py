@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, jaccard, lines, quality, secrets
+from colloquy.llm import bpe, jaccard, leaks, lines, quality, secrets
 from colloquy.llm._shared import documents
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.col("__line_total").cast("long").alias("n_lines"), F.col("__line_removed").cast("long").alias("n_removed"), "text")
@@ -35,6 +39,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
