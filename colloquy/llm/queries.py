@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, jaccard, leaks, lines, quality, secrets
+from colloquy.llm import bpe, jaccard, leaks, lines, quality, secrets, sharding, toxicity
 from colloquy.llm._shared import documents
 
 
@@ -25,6 +25,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in base), F.sha2(secrets.spans_text(F.col("spans"), base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: Bytes of text in a shard.
+SHARD_BYTES = 1 << 20
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir).select("doc_id", "text"), SHARD_BYTES).select("doc_id", "shard", "depth", "shard_bytes")
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(documents(spark, sf_dir), bpe.default_tokenizer())
     return coded.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
@@ -42,6 +54,8 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_toxicity": op5_toxicity,
+    "op6_sharding": op6_sharding,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
@@ -69,4 +83,19 @@ select r.doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as componen
 from reach r left join sizes using (doc_id) group by r.doc_id
 """
 
-ORACLES: dict[str, str] = {"op9_ngram_jaccard_join": OP9_SQL}
+OP6_SQL = f"""
+with rows as (
+    select doc_id, coalesce(strlen(text), 0) as size, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 15))::bigint as h
+    from documents
+), buckets as (
+    select depth, h >> (60 - depth)::int as prefix, sum(size) as bytes, min(h) as lo, max(h) as hi
+    from rows, (select unnest(range(0, 61)) as depth) group by all
+), placed as (
+    select r.doc_id, r.h, min(b.depth) as depth
+    from rows r join buckets b on b.prefix = r.h >> (60 - b.depth)::int where b.bytes <= {SHARD_BYTES} or b.lo = b.hi group by all
+)
+select p.doc_id, case when p.depth = 0 then '' else lpad(bin(b.prefix), p.depth::int, '0') end as shard, p.depth, b.bytes::bigint as shard_bytes
+from placed p join buckets b on b.depth = p.depth and b.prefix = p.h >> (60 - p.depth)::int
+"""
+
+ORACLES: dict[str, str] = {"op6_sharding": OP6_SQL, "op9_ngram_jaccard_join": OP9_SQL}
