@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, jaccard, leaks, lines, quality, secrets, sharding, toxicity
+from colloquy.llm import bpe, jaccard, leaks, lines, quality, secrets, sharding, token_counts, toxicity
 from colloquy.llm._shared import documents
 
 
@@ -50,6 +50,13 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = bpe.default_tokenizer()
+    states = token_counts.build_trees(token_counts.masking_edits(documents(spark, sf_dir)), tokenizer)
+    edited = token_counts.update_trees(states, tokenizer)
+    return edited.select("doc_id", F.col("n_before").alias("n_tokens"), "n_edits", token_counts.total().alias("n_tokens_edited"), "n_reencoded")
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
@@ -59,6 +66,7 @@ QUERIES = {
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_token_counts": op10_token_counts,
 }
 
 OP9_SQL = r"""
