@@ -168,13 +168,13 @@ def components(links: DataFrame, name: str = "component", max_rounds: int = 50)
 
 
 def index(entries: DataFrame) -> DataFrame:
-    """(token, node, n, rest): for each entry, the tokens of the prefix that a link must touch; rest: tokens from there on.
+    """(token, node, n, n_single, rest): for each entry, the tokens of the prefix that a link must touch; rest: tokens from there on.
 
     Tokens of one document come first in each set and need no list.
     """
     prefix = F.col("n") - F.ceil(PERCENT * F.col("n") / 100 - 1e-9) + 1
     listed = F.slice("tokens", (F.col("n_single") + 1).cast("int"), F.greatest(prefix - F.col("n_single"), F.lit(0)).cast("int"))
-    return entries.select(F.col("set_key").alias("node"), "n", "n_single", F.posexplode(listed).alias("pos", "token")).select("token", "node", "n", (F.col("n") - F.col("n_single") - F.col("pos")).alias("rest"))
+    return entries.select(F.col("set_key").alias("node"), "n", "n_single", F.posexplode(listed).alias("pos", "token")).select("token", "node", "n", "n_single", (F.col("n") - F.col("n_single") - F.col("pos")).alias("rest"))
 
 
 def with_blocks(entries: DataFrame) -> DataFrame:
@@ -186,7 +186,9 @@ def with_blocks(entries: DataFrame) -> DataFrame:
 def links(entries: DataFrame) -> DataFrame:
     """Links (a, b) among entries (set_key, n, n_single, tokens) that connect all that is linked, directly or in steps."""
     lists = spill(index(entries), "jaccard-index")
-    pivot = lists.groupBy("token").agg(F.min(F.struct("n", "node")).alias("p"), F.count("*").alias("k")).where("k > 1").select("token", F.col("p.node").alias("b"), F.col("p.n").alias("n_p"))
+    # the pivot of a list is its most central entry: the one with the smallest share of shingles of its own
+    share = F.floor(1000 * F.col("n_single") / F.col("n")).alias("share")
+    pivot = lists.groupBy("token").agg(F.min(F.struct(share, "n", "node")).alias("p"), F.count("*").alias("k")).where("k > 1").select("token", F.col("p.node").alias("b"), F.col("p.n").alias("n_p"))
     to_pivot = lists.join(pivot, "token").where((F.col("node") != F.col("b")) & _sizes_allow(F.col("n"), F.col("n_p"))).select(F.col("node").alias("a"), "b").distinct()
     known = spill(verified(to_pivot, entries), "jaccard-pivots")
     sure = known.where(_is_link(F.col("n_a"), F.col("n_b"), F.col("overlap"))).select("a", "b")
@@ -210,8 +212,8 @@ def links(entries: DataFrame) -> DataFrame:
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band_b") == F.col("y.band")) & (F.col("x.part_b") == F.col("y.part"))
     n_a, n_b = F.col("x.n"), F.col("y.n")
     open_ = (F.col("x.label") < F.col("y.label")) & _sizes_allow(n_a, n_b) & (F.least("x.rest", "y.rest") >= _needed(n_a, n_b))
-    # what two sets share lies in a pivot of both, or in what neither shares with it
-    bound = F.least("x.with_near", "y.with_near") + F.least(n_a - F.col("x.with_near"), n_b - F.col("y.with_near"))
+    # what two sets share lies in a pivot of both, or in what neither shares with it nor has for itself
+    bound = F.least("x.with_near", "y.with_near") + F.least(n_a - F.col("x.with_near") - F.col("x.n_single"), n_b - F.col("y.with_near") - F.col("y.n_single"))
     open_ &= F.when(F.col("x.near") == F.col("y.near"), bound >= _needed(n_a, n_b)).otherwise(True)
     rest = x.join(y, same & open_).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = verified(rest, entries).where(_is_link(F.col("n_a"), F.col("n_b"), F.col("overlap"))).select("a", "b")
