@@ -107,3 +107,14 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) if pa.types.is_integer(c.type) else c for c in cols], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def good_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of docs that the rules keep, all columns as they are."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([measure(x.as_py(), limits)[-1] for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, jaccard, leaks, lines, quality, secrets, sharding, token_counts, toxicity
+from colloquy.llm import bpe, jaccard, leaks, licenses, lines, quality, secrets, sharding, token_counts, toxicity
 from colloquy.llm._shared import documents
 
 
@@ -13,6 +13,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.col("__line_total").cast("long").alias("n_lines"), F.col("__line_removed").cast("long").alias("n_removed"), "text")
@@ -59,6 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_license_scan": op2_license_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,
