@@ -130,7 +130,6 @@ def defects() -> Layer:
     out = {f"defect_{k}": v for k, v in DEFECTS.items()}
     out["disc_second"] = _second("DISC", disc, "disc_top")
     out["type_second"] = _second([str(k) for k in range(1, 10)], types, "type_top")
-    out["type_second_score"] = "case " + " ".join(f"when {_second([str(k) for k in range(1, 10)], types, 'type_top')} = '{k}' then type_{k}" for k in range(1, 10)) + " end"
     out["mbti_type"] = "concat(" + ", ".join(f"case when pref_{(a + b).lower()} in ('neutral', 'unclear') then 'X' else pref_{(a + b).lower()} end" for a, b in L.AXES) + ")"
     axes = [f"strength_{(a + b).lower()}" for a, b in L.AXES]
     prefs = [f"pref_{(a + b).lower()}" for a, b in L.AXES]
@@ -142,6 +141,10 @@ def defects() -> Layer:
     return out
 
 
+def seconds() -> Layer:
+    return {"type_second_score": "case type_second " + " ".join(f"when '{k}' then type_{k}" for k in range(1, 10)) + " end"}
+
+
 def summary() -> Layer:
     high = " + ".join(f"case when defect_{k} = 'high' then 1 else 0 end" for k in DEFECTS)
     odd = " + ".join(f"case when big_{d} > 90 or big_{d} < 12 then 1 else 0 end" for d in "ocean")
@@ -159,7 +162,7 @@ def summary() -> Layer:
 
 
 def all_layers(words: Mapping[str, Sequence[str]] | None = None) -> list[Layer]:
-    return [counts(words or L.WORDS), features(), scores(), tops(), defects(), summary()]
+    return [counts(words or L.WORDS), features(), scores(), tops(), defects(), seconds(), summary()]
 
 
 def apply(df: DataFrame, layers: Sequence[Layer]) -> DataFrame:
