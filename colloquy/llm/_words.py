@@ -153,3 +153,16 @@ def unique_shingles(h: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.n
     new = np.ones(len(value), dtype=bool)
     new[1:] = (value[1:] != value[:-1]) | (own[1:] != own[:-1])
     return value[new], own[new]
+
+
+def string_hashes(column: pa.Array) -> np.ndarray:
+    """A hash of each string; none may be empty."""
+    data, offsets = text_bytes(column)
+    if len(offsets) < 2:
+        return np.zeros(0, dtype=U64)
+    up, down = _Powers.upto(len(data))
+    value = data.astype(U64) + U64(1)
+    value *= up[: len(data)]
+    h = np.add.reduceat(value, offsets[:-1])
+    h *= down[offsets[:-1]]
+    return mix(h + np.diff(offsets).astype(U64))

@@ -1,10 +1,11 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Spark splits every whole text into the tokenizer's words. Documents are gathered in blocks (an Arrow batch each); a
-block has a dictionary of its distinct words and, for each position, the word's number. The dictionaries of all blocks
-are dealt out by word, each distinct word is encoded once, its ids meet their pieces in a join of the id-to-piece
-table, and both go back to the blocks, where they join the positions. What is shuffled for a common word is a row for
-each block, not one for each occurrence, so no word makes a large group.
+Spark splits every whole text into the tokenizer's words. Documents are gathered in blocks; a block has a dictionary of
+its distinct words and, for each position, the word's number. The dictionaries of all blocks are dealt out by word in
+packed rows, each distinct word is encoded once, its ids meet their pieces in a join of the id-to-piece table, and both
+go back to the blocks, where they join the positions. What is shuffled for a common word is an entry for each block, not
+one for each occurrence, so no word makes a large group. The rows of the blocks are shuffled once and used twice; docs
+has to be read from files or a written table, so that a task that runs again makes the same blocks.
 
 Null and empty texts have no ids and decode to an empty text. Very long texts are a large row of their own block.
 Repeated rows get equal results. Ties cannot occur. Special tokens inside a text are taken as such, as the tokenizers
@@ -24,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.llm import _words as W
 from colloquy.llm._shared import partitions
 
 #: The published word pattern of byte-level BPE; (?U) gives \s its Unicode meaning in Java.
@@ -75,59 +77,76 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _strings(column: pa.Array) -> pa.Array:
-    return column.cast(pa.large_string())
+#: A block ends after so many words, or with a document that has more.
+BLOCK_WORDS = 1_000_000
+ROWS = "target long, block long, number long, docs array<long>, sizes binary, data binary"
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, words) to one row for each batch: documents, words of each, dictionary, numbers of the words."""
-    task, number = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        lists = batch.column(1)
-        coded = pc.dictionary_encode(lists.flatten())
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([task << 20 | number], pa.int64()),
-                pa.ListArray.from_arrays([0, batch.num_rows], batch.column(0).cast(pa.int64())),
-                pa.array([_pack(counts)], pa.binary()),
-                pa.array([_pack(coded.indices.to_numpy())], pa.binary()),
-                pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.string())),
-            ],
-            names=["block", "docs", "counts", "codes", "dictionary"],
-        )
-        number += 1
+def _blocks(n: int):
+    """(doc_id, words) to packed rows: for each block its documents, and for each of n ranges the block's words in it.
 
+    A word's number in its block is its rank by range and then by the word. Rows of documents have the block as target
+    and the dictionary's size as number; rows of words have -1 - range as target and their first word's number.
+    """
 
-def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, block in enumerate(batch.column("block").to_pylist()):
-            dictionary = batch.column("dictionary")[i].values
-            place = block * SLOT + np.arange(len(dictionary), dtype=np.int64)
-            for at in range(0, len(dictionary), 50_000):
-                yield pa.RecordBatch.from_arrays([dictionary.slice(at, 50_000), pa.array(place[at : at + 50_000])], names=["word", "place"])
+    def row(target, block, number, docs, sizes, data) -> pa.RecordBatch:
+        values = [pa.array([v], pa.int64()) for v in (target, block, number)]
+        return pa.RecordBatch.from_arrays([*values, pa.ListArray.from_arrays([0, len(docs)], docs), pa.array([sizes], pa.binary()), pa.array([data], pa.binary())], names=[f.split()[0] for f in ROWS.split(", ")])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            ends, at = np.cumsum(sizes), 0
+            while at < len(sizes):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_WORDS, "right")))
+                block = task << 20 | number
+                coded = pc.dictionary_encode(batch.column(1).slice(at, to - at).flatten())
+                words = coded.dictionary.cast(pa.string())
+                part = (W.string_hashes(words) % np.uint64(n)).astype(np.int32)
+                order = pc.sort_indices(pa.table({"part": part, "word": words}), sort_keys=[("part", "ascending"), ("word", "ascending")]).to_numpy()
+                words, part = words.take(pa.array(order)), part[order]
+                rank = np.empty(len(order), dtype=np.int64)
+                rank[order] = np.arange(len(order))
+                yield row(block, block, len(order), batch.column(0).slice(at, to - at).cast(pa.int64()), _pack(sizes[at:to]), _pack(rank[coded.indices.to_numpy()]))
+                for a in np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else ():
+                    some = words.slice(a, int(np.searchsorted(part, part[a], "right")) - a)
+                    data, offsets = W.text_bytes(some)
+                    yield row(-1 - int(part[a]), block, int(a), pa.array([], pa.int64()), _pack(np.diff(offsets)), zstandard.compress(data.tobytes(), 3))
+                at, number = to, number + 1
+                del coded, words
+                pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def _encoder(tokenizer_json: str):
-    """Rows (word, place) sorted by word to rows (ids, places): a row for each distinct word, more if it has many places."""
+    """The rows of words of a partition to rows (ids, places): a row for each distinct word; a word is in one partition only."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_json)
-        last: tuple[str, list[int]] | None = None
+        parts, places = [], []
         for batch in batches:
-            word, n = batch.column(0), batch.num_rows
-            if not n:
-                continue
-            new = np.ones(n, dtype=bool)
-            new[1:] = pc.not_equal(word.slice(1), word.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            begin = np.flatnonzero(new)
-            distinct = word.take(pa.array(begin)).to_pylist()
-            known = last is not None and distinct[0] == last[0]
-            ids = ([last[1]] if known else []) + [e.ids for e in tokenizer.encode_batch(distinct[int(known) :], add_special_tokens=False)]
-            last = (distinct[-1], ids[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(np.append(begin, n), pa.int32()), batch.column(1))], names=["ids", "places"])
+            for i in np.flatnonzero(batch.column("target").to_numpy() < 0):
+                sizes = _unpack(batch.column("sizes")[i].as_py()).astype(np.int64)
+                data = zstandard.decompress(batch.column("data")[i].as_py())
+                parts.append(pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(data)]))
+                places.append(batch.column("block")[i].as_py() * SLOT + batch.column("number")[i].as_py() + np.arange(len(sizes), dtype=np.int64))
+        if not parts:
+            return
+        coded = pc.dictionary_encode(pa.concat_arrays(parts))
+        codes, place = coded.indices.to_numpy(), np.concatenate(places)
+        order = np.argsort(codes, kind="stable")
+        place, ends = place[order], np.append(0, np.cumsum(np.bincount(codes, minlength=len(coded.dictionary))))
+        del parts, places, codes, order
+        pa.default_memory_pool().release_unused()
+        tokenizer = _tokenizer(tokenizer_json)
+        for at in range(0, len(coded.dictionary), 20_000):
+            distinct = coded.dictionary.slice(at, 20_000).to_pylist()
+            ids = [e.ids for e in tokenizer.encode_batch(distinct, add_special_tokens=False)]
+            edge = ends[at : at + len(distinct) + 1]
+            for lo in range(0, len(distinct), 5_000):
+                own = edge[lo : lo + 5_001]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 5_000], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(place[own[0] : own[-1]]))], names=["ids", "places"])
 
     return run
 
@@ -191,7 +210,7 @@ def with_pieces(coded: DataFrame, pieces: DataFrame, keep: str) -> DataFrame:
 
 
 def _by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(places, ids, bytes) to packed rows (block, slots, id counts, ids, byte counts, bytes), some for each block."""
+    """(places, ids, bytes) to rows (target, packed): slots, id counts, ids, byte counts, bytes; some for each block."""
 
     def pack(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -208,7 +227,7 @@ def _by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, data = table.column(1).take(who).combine_chunks(), table.column(2).take(who).combine_chunks()
             packed = [_pack(np.diff(place[a:b] % SLOT, prepend=0)), _pack(pc.binary_length(ids).to_numpy() // 4), _pack(np.frombuffer(b"".join(ids.to_pylist()), dtype="<u4")), _pack(pc.binary_length(data).to_numpy()), zstandard.compress(b"".join(data.to_pylist()), 3)]
             rows.append((int(block[a]), packed))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], names=["block", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], names=["target", "packed"])
 
     parts, size = [], 0
     for batch in batches:
@@ -234,8 +253,10 @@ def _assemble(blocks: pa.Table, parts: pa.Table) -> pa.Table:
     out = []
     for row in blocks.to_batches():
         for i in range(row.num_rows):
-            docs, counts, codes = row.column("docs")[i].values, _unpack(row.column("counts")[i].as_py()).astype(np.int64), _unpack(row.column("codes")[i].as_py())
-            n = len(row.column("dictionary")[i].values)
+            docs, n = row.column("docs")[i].values, row.column("number")[i].as_py()
+            if row.column("target")[i].as_py() < 0:
+                continue
+            counts, codes = _unpack(row.column("sizes")[i].as_py()).astype(np.int64), _unpack(row.column("data")[i].as_py())
             got = [p for chunk in parts.column("packed").chunks for p in chunk.to_pylist()]
             slot = np.concatenate([np.cumsum(_unpack(p[0]).astype(np.int64)) for p in got] or [np.zeros(0, np.int64)])
             tables = []
@@ -275,12 +296,11 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     tokenizer = read_tokenizer(tokenizer_path)
     special = tuple(t.content for t in _tokenizer(tokenizer).get_added_tokens_decoder().values())
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text"), special).alias("words"))
-    blocks = split.mapInArrow(_blocks, "block long, docs array<long>, counts binary, codes binary, dictionary array<string>").repartition(n, "block")
-    distinct = blocks.mapInArrow(_places, "word string, place long").repartition(n, "word").sortWithinPartitions("word")
-    coded = distinct.mapInArrow(_encoder(tokenizer), "ids array<int>, places array<long>")
+    rows = split.mapInArrow(_blocks(n), ROWS).repartition(n, "target")
+    coded = rows.mapInArrow(_encoder(tokenizer), "ids array<int>, places array<long>")
     joined = with_pieces(coded, piece_table(spark, tokenizer), "places")
-    packed = joined.select("places", "pos", "id", "piece").mapInArrow(_sequences, "places array<long>, ids binary, bytes binary").mapInArrow(_by_block, "block long, packed array<binary>")
-    return blocks.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary, text string")
+    packed = joined.select("places", "pos", "id", "piece").mapInArrow(lambda batches: _by_block(_sequences(batches)), "target long, packed array<binary>")
+    return rows.groupBy("target").cogroup(packed.groupBy("target")).applyInArrow(_assemble, "doc_id long, ids binary, text string")
 
 
 def token_count(ids: Column) -> Column:
