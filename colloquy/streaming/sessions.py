@@ -63,12 +63,15 @@ def once(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def activity(frames: DataFrame, gap: str = "400 milliseconds", delay: str = "1 minute", least_ms: int = 1000) -> DataFrame:
-    """Segments of active frames (stream_id, ts, energy, prob) that end after a gap; short ones are dropped."""
+def activity(frames: DataFrame, gap_ms: int = 400, delay: str = "1 minute", least_ms: int = 1000) -> DataFrame:
+    """Segments of active frames (stream_id, ts, energy, prob) that end after a gap; short ones are dropped.
+
+    The length is taken from the frames: a filter on the window itself would be pushed below the aggregate, to where
+    each frame still has a window of its own.
+    """
     active = frames.where("energy >= 0.005 and prob > 0.6").withWatermark("ts", delay)
-    out = active.groupBy("stream_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("frames"))
-    ms = F.unix_millis("w.end") - F.unix_millis("w.start")
-    return out.where(ms >= least_ms).select("stream_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames")
+    out = active.groupBy("stream_id", F.session_window("ts", f"{gap_ms} milliseconds").alias("w")).agg(F.count("*").alias("frames"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return out.where(F.unix_millis("last") - F.unix_millis("first") + gap_ms >= least_ms).select("stream_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames")
 
 
 def late_rows(batch: DataFrame, watermark_ms: int) -> tuple[DataFrame, DataFrame]:

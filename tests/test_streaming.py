@@ -39,8 +39,9 @@ def test_repeats_and_late_rows(spark, sf_dir, tmp_path):
 
 
 def test_activity_windows(spark, tmp_path):
-    ms = [0, 300, 600, 900, 1200, 5000, 5100]
-    spark.createDataFrame([(1, m) for m in ms] + [(1, 10**7)], "stream_id long, ms long").select("stream_id", F.timestamp_millis("ms").alias("ts"), F.lit(0.1).alias("energy"), F.lit(0.9).alias("prob")).coalesce(1).write.parquet(str(tmp_path / "f"))
-    frames = spark.readStream.schema(spark.read.parquet(str(tmp_path / "f")).schema).parquet(str(tmp_path / "f"))
+    start = 1_700_000_000_000
+    ms = [start + m for m in (0, 300, 600, 900, 1200, 5000, 5100)]
+    spark.createDataFrame([(1, m) for m in ms] + [(1, start + 10**7)], "stream_id long, ms long").select("stream_id", F.timestamp_millis("ms").alias("ts"), F.lit(0.1).alias("energy"), F.lit(0.9).alias("prob")).repartitionByRange(2, "ts").sortWithinPartitions("ts").write.parquet(str(tmp_path / "f"))
+    frames = spark.readStream.schema(spark.read.parquet(str(tmp_path / "f")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "f"))
     got = run(S.activity(frames), "activity").collect()
     assert [(r.frames, round((r.end - r.start).total_seconds(), 1)) for r in got] == [(5, 1.6)]
