@@ -64,6 +64,32 @@ def update_profile(old: Column, samples: Column, weight: float = 0.2) -> Column:
     return F.aggregate(samples, old, lambda p, s: unit(F.zip_with(p, s, lambda a, b: a * (1 - weight) + b.cast("double") * weight)))
 
 
+def auto_enrol(vectors: DataFrame, same: float = 0.75, weight: float = 0.2) -> DataFrame:
+    """(session_id, interviewer, candidate, used) from (session_id, vec_id, embedding) in order.
+
+    The first embedding is the interviewer's; each later one that is like it updates it; the first that is not is the
+    candidate's and ends the enrolment. The vectors of one session are the group.
+    """
+    rows = vectors.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))).alias("rows"))
+    none = F.lit(None).cast("array<double>")
+    start = F.struct(none.alias("a"), none.alias("b"), F.lit(0).cast("long").alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        alike = cosine01(s["a"], x["e"]) >= same
+        mixed = unit(F.zip_with(s["a"], x["e"], lambda p, q: p * (1 - weight) + q * weight))
+        more = F.struct(F.when(s["a"].isNull(), x["e"]).when(alike, mixed).otherwise(s["a"]).alias("a"), F.when(s["a"].isNotNull() & ~alike, x["e"]).alias("b"), (s["n"] + 1).alias("n"))
+        return F.when(s["b"].isNotNull(), s).otherwise(more)
+
+    return rows.select("session_id", F.aggregate("rows", start, step).alias("s")).select("session_id", F.col("s.a").alias("interviewer"), F.col("s.b").alias("candidate"), F.col("s.n").alias("used"))
+
+
+def retro_roles(vectors: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(session_id, vec_id, role): roles after the fact; the candidate's only if strictly more alike, else the interviewer's."""
+    both = vectors.join(profiles, "session_id", "left")
+    nearer = F.coalesce(cosine01(F.col("embedding"), F.col("candidate")) > cosine01(F.col("embedding"), F.col("interviewer")), F.lit(False))
+    return both.select("session_id", "vec_id", F.when(nearer, "candidate").otherwise("interviewer").alias("role"))
+
+
 def frame_energy(samples: Column) -> Column:
     """Mean square of a frame's samples."""
     return F.when(F.size(samples) > 0, dot(samples, samples) / F.size(samples)).otherwise(0.0)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions.expressions import ansi, hits, quoted
-from colloquy.operators import reports
+from colloquy.plans.layers import all_layers, counts
+from colloquy.operators import reports, rolling, speakers
 from colloquy.operators import turns as T
 from colloquy.plans import lexicon as L
 from colloquy.plans import oracle as O
@@ -89,3 +90,31 @@ add("library_matrix", lambda s, d: s.read.parquet(f"{d}/labels.parquet").selectE
 add("prediction_vs_label", lambda s, d: s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "case when n_chars >= 400 then 1 else 0 end as predicted").join(s.read.parquet(f"{d}/labels.parquet"), "doc_id").selectExpr("doc_id", "predicted", "cast(quality as int) as expected", "predicted = quality as correct"), "select doc_id, case when n_chars >= 400 then 1 else 0 end as predicted, quality as expected, (case when n_chars >= 400 then 1 else 0 end) = quality as correct from documents join labels using (doc_id)")
 _FOLLOW = "coalesce(nullif(case when seg_id % 4 = 0 then 'D' end, ''), case when seg_id % 4 = 1 then 'I' end, case when seg_id % 4 = 2 then 'S' end, 'C')"
 add("followup_normalise", lambda s, d: conversation_segments(s, d).where("speaker = 'interviewer'").selectExpr("interview_id", "seg_id", f"{_FOLLOW} as dim", "case when interview_id % 3 = 0 then 'high' else 'medium' end as priority", "trim(text) as question").where("question <> ''"), f"with {O.SEGMENTS} select interview_id, seg_id, {_FOLLOW} as dim, case when interview_id % 3 = 0 then 'high' else 'medium' end as priority, trim(text, ' ') as question from segments where speaker = 'interviewer' and trim(text, ' ') <> ''")
+
+# rolling analysis: counts of each segment, then running sums, then the same layers
+_C = dict(counts(WORDS))
+_C["text_length"], _C["word_count"] = (_C[c].replace("greatest(1, ", "greatest(0, ") for c in ("text_length", "word_count"))
+_NAMES = [*rolling.SUMMED, *_C]
+_SOFAR = "over (partition by interview_id order by seg_id rows between unbounded preceding and current row)"
+_STEPS, _LAST = [], "base1"
+for _i, _layer in enumerate(all_layers(WORDS)[1:]):
+    _STEPS.append(f"roll{_i} as (select *, {', '.join(f'{ansi(e)} as {n}' for n, e in _layer.items())} from {_LAST})")
+    _LAST = f"roll{_i}"
+_ROLL = f"""with {O.SEGMENTS}, {O.TURNS}, told as (
+    select interview_id, seg_id, speaker, case when speaker = 'candidate' then {O._TRIM.format('text')} else '' end as t, case speaker when 'interviewer' then '面试官' when 'candidate' then '候选人' else '发言人' end || '：' || text as w, case when speaker = 'candidate' and {O._TRIM.format('text')} <> '' then {O._KIND} end as kind from asked
+), parted as (select *, list_filter(list_transform(string_split_regex(t, '[。！？!?；;\\n]+'), lambda s: {O._TRIM.format('s')}), lambda s: s <> '') as parts from told
+), counted as (select *, len(parts) as sent, coalesce(list_sum(list_transform(parts, lambda x: length(x))), 0)::bigint as sent_chars, length(t) as cand_chars, (kind is not null)::bigint as n_turns, 1::bigint as n_segments, {', '.join(f'{ansi(e)} as {n}' for n, e in _C.items())} from parted
+), summed as (select interview_id, seg_id, speaker, len(list_distinct(list_filter(list(kind) {_SOFAR}, lambda k: k is not null))) as n_types, {', '.join(f"greatest({1 if c in ('text_length', 'word_count') else 0}, sum({c}) {_SOFAR})::bigint as {c}" for c in _NAMES)} from counted
+), base1 as materialized (select * from summed where speaker = 'candidate'), {', '.join(_STEPS)}"""
+_rolled = lambda s, d: rolling.rolling(conversation_segments(s, d), WORDS)
+_ROLL_OUT = ["interview_id", "seg_id", "n_turns", "cand_chars", "disc_d", "disc_i", "disc_s", "disc_c", "big_top", "mbti_type", "star_overall", "sample_quality"]
+add("rolling_analysis", lambda s, d: _rolled(s, d).selectExpr(*_ROLL_OUT), f"{_ROLL} select {', '.join(_ROLL_OUT)} from {_LAST}")
+_DELTAS = ", ".join(f"coalesce(disc_{x} - lag(disc_{x}) over (partition by interview_id order by seg_id), 0) as delta_{x}" for x in "cdis")
+_DOMINANT = "case " + " ".join(f"when disc_{x} = greatest(disc_d, disc_i, disc_s, disc_c) then '{x.upper()}'" for x in "cdis") + " end"
+add("live_disc", lambda s, d: rolling.live_disc(_rolled(s, d)), f"{_ROLL} select interview_id, seg_id, case when cand_chars < 20 then 'collecting' else 'active' end as status, {_DOMINANT} as dominant, disc_c, disc_d, disc_i, disc_s, {_DELTAS} from {_LAST}")
+
+_sessions = lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id % 25 as session_id", "vec_id", "embedding")
+add("auto_enrolment", lambda s, d: speakers.auto_enrol(_sessions(s, d)).selectExpr("session_id", "used", "candidate is not null as done", "round(interviewer[0], 6) as first"), None)
+add("retro_correction", lambda s, d: speakers.retro_roles(_sessions(s, d), speakers.auto_enrol(_sessions(s, d))), None)
+add("profile_update", lambda s, d: _sessions(s, d).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))).alias("r")).select("session_id", speakers.update_profile(F.get("r", F.lit(0))["e"], F.transform(F.slice("r", 2, F.size("r")), lambda x: x["e"])).alias("p")).select("session_id", F.round(F.get("p", F.lit(0)), 6).alias("first"), F.size("p").cast("long").alias("dim")), None)
+add("normalize_text", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.normalize_text(F.col("html")).alias("text")), "select page_id, regexp_replace(replace(replace(replace(html, chr(65279), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g') as text from pages")

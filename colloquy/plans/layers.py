@@ -36,6 +36,7 @@ def counts(words: Mapping[str, Sequence[str]]) -> Layer:
     out["n_asked"] = f"cast({hits('t', ('？', '?'))} as bigint)"
     out["n_numbers"] = "cast(regexp_count(t, '[0-9]+[%个天周月年人]') as bigint)"
     out |= {f"h_{k}": f"cast({hits('w', v)} as bigint)" for k, v in words.items() if k.startswith(("disc_", "pos_", "neg_", "type_", "side_", "star_", "counter_"))}
+    out |= {f"syn_{d}": f"cast(case when t rlike '{p}' then 1 else 0 end as bigint)" for d, p in SYNTAX.items() if p}
     out["text_length"] = f"cast(greatest(1, length({bare('t')})) as bigint)"
     out["word_count"] = "cast(greatest(1, length(replace(w, chr(10), ''))) as bigint)"
     return out
@@ -58,7 +59,7 @@ def features() -> Layer:
         "structure": "cast((case when n_star_s > 0 then 25 else 0 end + case when n_star_t > 0 then 25 else 0 end + case when n_star_a > 0 then 25 else 0 end + case when n_star_r > 0 then 25 else 0 end) as double) / 100",
     }
     for d in "star":
-        syntax = f"case when t rlike '{SYNTAX[d]}' then 1000 else 0 end" if SYNTAX[d] else "0"
+        syntax = f"case when syn_{d} > 0 then 1000 else 0 end" if SYNTAX[d] else "0"
         strong, weak = f"n_star_{d}", f"n_weak_{d}"
         out[f"sub_{d}"] = f"least(10000, {syntax} + case when {strong} > 0 and {weak} = 0 then least(10000, 3000 + 1500 * {strong}) when {strong} > 0 then least(10000, 2000 + 1500 * {strong} - 750 * {weak}) else 1000 end)"
     return out

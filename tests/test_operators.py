@@ -152,3 +152,25 @@ def test_counts_add_up_over_segments(spark):
     parts = ["推进落地", "我拍板", "完成"]
     whole = "\n".join(parts)
     assert sum(sum(p.count(w) for w in words) for p in parts) == sum(whole.count(w) for w in words)
+
+
+def test_rolling_ends_where_the_whole_is(spark):
+    from colloquy.operators import rolling
+
+    rows = [(1, 1, "interviewer", "任务是什么？"), (1, 2, "candidate", "当时我负责数据，提升了30%。"), (1, 3, "interviewer", "结果？"), (1, 4, "candidate", "首先推进。大家满意！"), (2, 1, "candidate", "我拍板。")]
+    df = spark.createDataFrame(rows, "interview_id long, seg_id long, speaker string, text string")
+    whole = {r.interview_id: r.asDict() for r in apply(turns.interviews(df), all_layers(L.WORDS)).collect()}
+    last = {r.interview_id: r.asDict() for r in rolling.rolling(df, L.WORDS).orderBy("seg_id").collect()}
+    for i, row in last.items():
+        same = set(row) & set(whole[i]) - {"seg_id"}
+        assert len(same) > 200 and {c: row[c] for c in same} == {c: whole[i][c] for c in same}
+
+
+def test_auto_enrolment(spark):
+    rows = [(1, 1, [1.0, 0.0]), (1, 2, [0.8, 0.6]), (1, 3, [-1.0, 0.0]), (1, 4, [0.0, 1.0]), (2, 1, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "session_id long, vec_id long, embedding array<double>")
+    got = {r.session_id: r for r in speakers.auto_enrol(df).collect()}
+    assert [round(x, 4) for x in got[1].interviewer] == [0.9923, 0.124] and got[1].candidate == [-1.0, 0.0] and got[1].used == 3
+    assert got[2].candidate is None
+    roles = {(r.session_id, r.vec_id): r.role for r in speakers.retro_roles(df, speakers.auto_enrol(df)).collect()}
+    assert roles == {(1, 1): "interviewer", (1, 2): "interviewer", (1, 3): "candidate", (1, 4): "interviewer", (2, 1): "interviewer"}
