@@ -13,7 +13,7 @@ from colloquy.operators import turns as T
 from colloquy.plans import lexicon as L
 from colloquy.plans import oracle as O
 from colloquy.plans import rows as R
-from colloquy.plans.layers import ON_ANSWERS, RATIOS, all_layers, apply
+from colloquy.plans.layers import ON_ANSWERS, RATIOS, all_layers, apply, needed
 from colloquy.sources.tables import conversation_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,9 +27,10 @@ def interviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.interviews(conversation_segments(spark, sf_dir))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interviews with all features and scores."""
-    return apply(interviews(spark, sf_dir), all_layers(WORDS))
+def scored(spark: SparkSession, sf_dir: str, text: str | None = None) -> DataFrame:
+    """Interviews with all features and scores, or with those alone that the text's names lead to."""
+    layers = all_layers(WORDS)
+    return apply(interviews(spark, sf_dir), layers if text is None else needed(layers, text))
 
 
 def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
@@ -40,7 +41,7 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
 
 def wide(name: str, *columns: str) -> None:
     cols = ["interview_id", *columns]
-    add(name, lambda spark, d: scored(spark, d).selectExpr(*cols), O.select(", ".join(ansi(c) for c in cols), words=WORDS))
+    add(name, lambda spark, d: scored(spark, d, " ".join(cols)).selectExpr(*cols), O.select(", ".join(ansi(c) for c in cols), words=WORDS))
 
 
 def ruled(name: str, rules: Sequence[R.Rule], code: str = "code", detail: str = "detail", most: int | None = None) -> None:
@@ -49,7 +50,7 @@ def ruled(name: str, rules: Sequence[R.Rule], code: str = "code", detail: str =
     sql = f"{O.prelude(WORDS)}, found as ({O.union(parts)}) select * from found"
     if most is not None:
         sql += f" qualify row_number() over (partition by interview_id order by ord) <= {most}"
-    add(name, lambda spark, d: S.rows_where(scored(spark, d), rules, most).withColumnsRenamed({"code": code, "detail": detail}), sql)
+    add(name, lambda spark, d: S.rows_where(scored(spark, d, str(rules)), rules, most).withColumnsRenamed({"code": code, "detail": detail}), sql)
 
 
 def scores_sql(model: str) -> str:
@@ -65,7 +66,7 @@ def ranked_sql(model: str, columns: str = "*", where: str = "true") -> str:
 
 
 def ranked(model: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: S.ranked(scored(spark, d), model, *MODELS[model])
+    return lambda spark, d: S.ranked(scored(spark, d, " ".join(MODELS[model][1])), model, *MODELS[model])
 
 
 # sources and texts
@@ -158,26 +159,26 @@ for _model in MODELS:
 add("score_ranking", ranked("disc"), ranked_sql("disc"))
 add("score_band", lambda s, d: ranked("bigfive")(s, d).select("interview_id", "dim", "score", S.band(F.col("score")).alias("band")), ranked_sql("bigfive", "interview_id, dim, score, case when score <= 24 then 'low' when score <= 49 then 'guarded' when score <= 74 then 'clear' else 'strong' end as band"))
 _TOP = "max(score) over (partition by interview_id)"
-add("secondary_traits", lambda s, d: ranked("bigfive")(s, d).join(scored(s, d).select("interview_id", "big_max"), "interview_id").where("rank in (2, 3) and 10 * score >= 7 * big_max").select("interview_id", "dim", "score", "rank"), f"{O.prelude(WORDS)}, long as ({scores_sql('bigfive')}), ranked as (select *, {RANKED} as rank, {_TOP} as top from long) select interview_id, dim, score, rank from ranked where rank in (2, 3) and 10 * score >= 7 * top")
+add("secondary_traits", lambda s, d: ranked("bigfive")(s, d).join(scored(s, d, "big_max").select("interview_id", "big_max"), "interview_id").where("rank in (2, 3) and 10 * score >= 7 * big_max").select("interview_id", "dim", "score", "rank"), f"{O.prelude(WORDS)}, long as ({scores_sql('bigfive')}), ranked as (select *, {RANKED} as rank, {_TOP} as top from long) select interview_id, dim, score, rank from ranked where rank in (2, 3) and 10 * score >= 7 * top")
 add("top_two_types", lambda s, d: ranked("enneagram")(s, d).where("rank <= 2").selectExpr("interview_id", "dim as type", "score", "rank", "case when score >= 65 then 'high' when score >= 50 then 'medium' else 'low' end as level"), ranked_sql("enneagram", "interview_id, dim as type, score, rank, case when score >= 65 then 'high' when score >= 50 then 'medium' else 'low' end as level", "rank <= 2"))
 add("probe_plan", lambda s, d: ranked("disc")(s, d).selectExpr("interview_id", "dim", "rank", "case when rank <= 2 then 'confirm' else 'challenge' end as probe"), ranked_sql("disc", "interview_id, dim, rank, case when rank <= 2 then 'confirm' else 'challenge' end as probe"))
-add("score_share", lambda s, d: ranked("disc")(s, d).join(scored(s, d).selectExpr("interview_id", "disc_d + disc_i + disc_s + disc_c as total"), "interview_id").selectExpr("interview_id", "dim", "case when total = 0 then cast(0 as double) else cast((20000 * score + total) div (2 * total) as double) / 10000 end as share"), f"{O.prelude(WORDS)}, long as ({scores_sql('disc')}) select interview_id, dim, case when total = 0 then 0.0::double else ((20000 * score + total) // (2 * total))::double / 10000 end as share from (select *, sum(score) over (partition by interview_id)::bigint as total from long)")
+add("score_share", lambda s, d: ranked("disc")(s, d).join(scored(s, d, "disc_d disc_i disc_s disc_c").selectExpr("interview_id", "disc_d + disc_i + disc_s + disc_c as total"), "interview_id").selectExpr("interview_id", "dim", "case when total = 0 then cast(0 as double) else cast((20000 * score + total) div (2 * total) as double) / 10000 end as share"), f"{O.prelude(WORDS)}, long as ({scores_sql('disc')}) select interview_id, dim, case when total = 0 then 0.0::double else ((20000 * score + total) // (2 * total))::double / 10000 end as share from (select *, sum(score) over (partition by interview_id)::bigint as total from long)")
 _RULES_AT = "case dim " + " ".join(f"when '{k}' then rules_{k}" for k in range(1, 10)) + " end"
 _HITS_AT = "case dim " + " ".join(f"when '{k}' then h_type_{k}" for k in range(1, 10)) + " end"
 add("enneagram_evidence", lambda s, d: (x := scored(s, d), S.ranked(x, "enneagram", *MODELS["enneagram"]).where("rank <= 4").join(x.select("interview_id", *(f"rules_{k}" for k in range(1, 10)), *(f"h_type_{k}" for k in range(1, 10))), "interview_id").selectExpr("interview_id", "dim as type", "rank", "score", f"{_HITS_AT} as hits", f"{_RULES_AT} as rules"))[1], f"{O.prelude(WORDS)}, long as ({scores_sql('enneagram')}), ranked as (select *, {RANKED} as rank from long) select interview_id, dim as type, rank, r.score, {_HITS_AT} as hits, {_RULES_AT} as rules from ranked r join scored using (interview_id) where rank <= 4")
 
 # mappings and probes
 _PROBE_ROWS = O.union([f"select interview_id, defect_{k} as severity, {i} as ord, '{k}' as defect, {j} as n, '{q}' as question from scored where defect_{k} is not null" for i, (k, qs) in enumerate(R.PROBES.items()) for j, q in enumerate(qs)])
-add("probe_lookup", lambda s, d: S.probes(scored(s, d)), f"{O.prelude(WORDS)}, asked2 as ({_PROBE_ROWS}), placed as (select *, row_number() over (partition by interview_id order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, ord, n) as place from asked2) select interview_id, defect, severity, question, place from placed qualify row_number() over (partition by interview_id, question order by place) = 1")
-add("severity_order", lambda s, d: S.rows_where(scored(s, d), R.STAR_DEFECTS).selectExpr("interview_id", "code as defect", "detail as severity", "row_number() over (partition by interview_id order by case detail when 'high' then 0 when 'medium' then 1 else 2 end, ord) as place").withColumn("place", F.col("place").cast("long")), f"{O.prelude(WORDS)}, found as ({O.union([f'select interview_id, {quoted(c)} as defect, {d} as severity, {i} as ord from scored where {w}' for i, (c, d, w) in enumerate(R.STAR_DEFECTS)])}) select interview_id, defect, severity, row_number() over (partition by interview_id order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, ord) as place from found")
+add("probe_lookup", lambda s, d: S.probes(scored(s, d, " ".join(f"defect_{k}" for k in R.PROBES))), f"{O.prelude(WORDS)}, asked2 as ({_PROBE_ROWS}), placed as (select *, row_number() over (partition by interview_id order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, ord, n) as place from asked2) select interview_id, defect, severity, question, place from placed qualify row_number() over (partition by interview_id, question order by place) = 1")
+add("severity_order", lambda s, d: S.rows_where(scored(s, d, str(R.STAR_DEFECTS)), R.STAR_DEFECTS).selectExpr("interview_id", "code as defect", "detail as severity", "row_number() over (partition by interview_id order by case detail when 'high' then 0 when 'medium' then 1 else 2 end, ord) as place").withColumn("place", F.col("place").cast("long")), f"{O.prelude(WORDS)}, found as ({O.union([f'select interview_id, {quoted(c)} as defect, {d} as severity, {i} as ord from scored where {w}' for i, (c, d, w) in enumerate(R.STAR_DEFECTS)])}) select interview_id, defect, severity, row_number() over (partition by interview_id order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, ord) as place from found")
 _DISC_TYPES = ", ".join(f"('{d}', '{t}', {w}::double)" for d, types in L.DISC_TO_TYPE.items() for t, w in types)
-add("disc_to_enneagram", lambda s, d: S.disc_to_types(scored(s, d)), f"{O.prelude(WORDS)} select interview_id, disc_top, v.type, v.weight from scored join (values {_DISC_TYPES}) v(disc, type, weight) on v.disc = disc_top")
+add("disc_to_enneagram", lambda s, d: S.disc_to_types(scored(s, d, "disc_top")), f"{O.prelude(WORDS)} select interview_id, disc_top, v.type, v.weight from scored join (values {_DISC_TYPES}) v(disc, type, weight) on v.disc = disc_top")
 _DISC_BIG = ", ".join(f"('{d}', '{b}', {w}::double)" for d, dims in L.DISC_TO_BIGFIVE.items() for b, w in dims.items() if abs(w) >= 0.3)
-add("dim_adjustments", lambda s, d: S.dim_adjustments(scored(s, d)), f"{O.prelude(WORDS)} select interview_id, disc_top, v.dim, v.adjustment from scored join (values {_DISC_BIG}) v(disc, dim, adjustment) on v.disc = disc_top")
+add("dim_adjustments", lambda s, d: S.dim_adjustments(scored(s, d, "disc_top")), f"{O.prelude(WORDS)} select interview_id, disc_top, v.dim, v.adjustment from scored join (values {_DISC_BIG}) v(disc, dim, adjustment) on v.disc = disc_top")
 _BIG_TYPES = O.union([f"select interview_id, {i} as ord, '{c}' as type, {d} as weight from scored where {w}" for i, (c, d, w) in enumerate(S.BIGFIVE_TYPES)])
-add("bigfive_to_enneagram", lambda s, d: S.bigfive_to_types(scored(s, d)), f"{O.prelude(WORDS)}, found as ({_BIG_TYPES}) select interview_id, type, weight, row_number() over (partition by interview_id order by weight desc, ord) as rank from found qualify rank <= 3")
-add("enneagram_fusion", lambda s, d: S.type_fusion(scored(s, d)), f"{O.prelude(WORDS)}, big as ({_BIG_TYPES}), long as ({scores_sql('enneagram')}), parts as (select interview_id, type, weight as p, 'bigfive' as source from big union all select interview_id, v.type, round(v.weight * 100)::bigint, 'disc' from scored join (values {_DISC_TYPES}) v(disc, type, weight) on v.disc = disc_top union all select interview_id, dim, score, 'direct' from long), total as (select interview_id, type, sum(p)::bigint as points, count(distinct source) as n_sources from parts group by all) select *, row_number() over (partition by interview_id order by points desc, type) as rank from total qualify rank <= 3")
+add("bigfive_to_enneagram", lambda s, d: S.bigfive_to_types(scored(s, d, str(S.BIGFIVE_TYPES))), f"{O.prelude(WORDS)}, found as ({_BIG_TYPES}) select interview_id, type, weight, row_number() over (partition by interview_id order by weight desc, ord) as rank from found qualify rank <= 3")
+add("enneagram_fusion", lambda s, d: S.type_fusion(scored(s, d, str(S.BIGFIVE_TYPES) + " disc_top " + " ".join(MODELS["enneagram"][1]))), f"{O.prelude(WORDS)}, big as ({_BIG_TYPES}), long as ({scores_sql('enneagram')}), parts as (select interview_id, type, weight as p, 'bigfive' as source from big union all select interview_id, v.type, round(v.weight * 100)::bigint, 'disc' from scored join (values {_DISC_TYPES}) v(disc, type, weight) on v.disc = disc_top union all select interview_id, dim, score, 'direct' from long), total as (select interview_id, type, sum(p)::bigint as points, count(distinct source) as n_sources from parts group by all) select *, row_number() over (partition by interview_id order by points desc, type) as rank from total qualify rank <= 3")
 _ROLES = "case {} " + " ".join(f"when '{k}' then ['" + "','".join(v) + "']" for k, v in R.STYLE_ROLES.items()) + " end"
-add("role_recommendation", lambda s, d: S.style_roles(scored(s, d)), f"{O.prelude(WORDS)}, both_ as (select interview_id, {_ROLES.format('disc_top')} || {_ROLES.format('disc_second')} as r from scored) select interview_id, array_to_string((list_filter(r, lambda x, i: list_position(r, x) = i))[1:4], ',') as roles from both_")
+add("role_recommendation", lambda s, d: S.style_roles(scored(s, d, "disc_top disc_second")), f"{O.prelude(WORDS)}, both_ as (select interview_id, {_ROLES.format('disc_top')} || {_ROLES.format('disc_second')} as r from scored) select interview_id, array_to_string((list_filter(r, lambda x, i: list_position(r, x) = i))[1:4], ',') as roles from both_")
 _MOTIVE = ", ".join(f"('{k}', '{m}', '{f}', '{w}')" for k, (m, f, w) in R.MOTIVES.items())
-add("motivation_lookup", lambda s, d: S.motives(scored(s, d)), f"{O.prelude(WORDS)} select interview_id, type_top, v.motive, v.fear, v.desire, case when type_max >= 70 then 'marked' when type_max >= 50 then 'present' else 'faint' end as level from scored join (values {_MOTIVE}) v(k, motive, fear, desire) on v.k = type_top")
+add("motivation_lookup", lambda s, d: S.motives(scored(s, d, "type_top type_max")), f"{O.prelude(WORDS)} select interview_id, type_top, v.motive, v.fear, v.desire, case when type_max >= 70 then 'marked' when type_max >= 50 then 'present' else 'faint' end as level from scored join (values {_MOTIVE}) v(k, motive, fear, desire) on v.k = type_top")

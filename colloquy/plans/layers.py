@@ -6,10 +6,10 @@ sent_chars (sentences of t and their characters), n_segments, n_turns, n_types (
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from colloquy.functions.expressions import clamp, hits, points, ratio, tolerant
 from colloquy.plans import lexicon as L
@@ -166,8 +166,21 @@ def all_layers(words: Mapping[str, Sequence[str]] | None = None) -> list[Layer]:
     return [counts(words or L.WORDS), features(), scores(), tops(), defects(), seconds(), summary()]
 
 
+def needed(layers: Sequence[Layer], text: str) -> list[Layer]:
+    """The layers with the columns alone that the names in the text lead to."""
+    names = set(re.findall(r"[A-Za-z_]\w*", text))
+    out: list[Layer] = []
+    for layer in reversed(layers):
+        kept = {n: e for n, e in layer.items() if n in names}
+        for e in kept.values():
+            names |= set(re.findall(r"[A-Za-z_]\w*", e))
+        if kept:
+            out.insert(0, kept)
+    return out
+
+
 def apply(df: DataFrame, layers: Sequence[Layer]) -> DataFrame:
     """df with the columns of all layers."""
     for layer in layers:
-        df = df.select("*", *(F.expr(e).alias(n) for n, e in layer.items()))
+        df = df.selectExpr("*", *(f"{e} as {n}" for n, e in layer.items()))
     return df
