@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,3 +36,22 @@ def spill(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """How many ways this session deals out a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Texts in one Arrow batch between Spark and Python, so that a batch of long texts fits beside the executor's heap.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release_memory() -> None:
+    """Gives freed memory of a Python worker back, as the worker stays while other stages need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass

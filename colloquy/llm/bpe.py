@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import _words as W
-from colloquy.llm._shared import partitions
+from colloquy.llm._shared import bounded_batches, partitions, release_memory
 
 #: The published word pattern of byte-level BPE; (?U) gives \s its Unicode meaning in Java.
 WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -115,7 +115,7 @@ def _blocks(n: int):
                     yield row(-1 - int(part[a]), block, int(a), pa.array([], pa.int64()), _pack(np.diff(offsets)), zstandard.compress(data.tobytes(), 3))
                 at, number = to, number + 1
                 del coded, words
-                pa.default_memory_pool().release_unused()
+                release_memory()
 
     return run
 
@@ -138,7 +138,7 @@ def _encoder(tokenizer_json: str):
         order = np.argsort(codes, kind="stable")
         place, ends = place[order], np.append(0, np.cumsum(np.bincount(codes, minlength=len(coded.dictionary))))
         del parts, places, codes, order
-        pa.default_memory_pool().release_unused()
+        release_memory()
         tokenizer = _tokenizer(tokenizer_json)
         for at in range(0, len(coded.dictionary), 20_000):
             distinct = coded.dictionary.slice(at, 20_000).to_pylist()
@@ -250,6 +250,7 @@ def _spread(codes: np.ndarray, start: np.ndarray, size: np.ndarray, values: np.n
 
 def _assemble(blocks: pa.Table, parts: pa.Table) -> pa.Table:
     """Joins ids and pieces to the positions of a block's documents."""
+    release_memory()
     out = []
     for row in blocks.to_batches():
         for i in range(row.num_rows):
@@ -295,6 +296,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     n = partitions(spark)
     tokenizer = read_tokenizer(tokenizer_path)
     special = tuple(t.content for t in _tokenizer(tokenizer).get_added_tokens_decoder().values())
+    bounded_batches(docs.sparkSession)
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text"), special).alias("words"))
     rows = split.mapInArrow(_blocks(n), ROWS).repartition(n, "target")
     coded = rows.mapInArrow(_encoder(tokenizer), "ids array<int>, places array<long>")

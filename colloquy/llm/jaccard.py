@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import _words as W
-from colloquy.llm._shared import partitions, spill
+from colloquy.llm._shared import partitions, release_memory, spill
 
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
@@ -46,6 +46,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _block_sets(texts: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    release_memory()
     h, _, _, bounds = W.words(texts.column("text"), fold=True)
     value, own = W.unique_shingles(h, bounds, k)
     return value, own, len(bounds) - 1
@@ -116,7 +117,7 @@ def document_sets(docs: DataFrame, k: int = 5) -> DataFrame:
     an equal set of the same block has them.
     """
     n = partitions(docs.sparkSession)
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * n)).alias("block")).repartition(n, "block")
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * n)).alias("block")).repartition(n, "block")
     messages = blocks.groupBy("block").applyInArrow(_sender(n, k), "range long, block long, buckets binary, counts binary")
     levels = messages.groupBy("range").applyInArrow(_count, "range long, block long, levels binary")
     return blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(_keeper(k), "doc_id long, n_shingles long, set_key long, n_single long, is_entry boolean, tokens array<long>")
@@ -144,7 +145,7 @@ def _is_link(n_a: Column, n_b: Column, overlap: Column) -> Column:
 
 
 def components(links: DataFrame, name: str = "component", max_rounds: int = 50) -> DataFrame:
-    """(node, label): label is the smallest node reachable over the links (a, b).
+    """(node, label) for nodes with a smaller one in reach over the links (a, b): label is the smallest.
 
     Alternates two steps: larger neighbours of a node move to its smallest neighbour, then smaller ones do. Each round
     is written to the shared folder; it ends when a round changes nothing.

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from colloquy.llm import _words as W
+from colloquy.llm._shared import bounded_batches
 
 SYMBOLS = b"#*$%&|<>"
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_chars long, dup_gram_chars array<long>, base_failed boolean, kept boolean"
@@ -106,6 +107,7 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 cols[7] = cols[7].cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) if pa.types.is_integer(c.type) else c for c in cols], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
+    bounded_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
 
 
@@ -117,4 +119,5 @@ def good_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([measure(x.as_py(), limits)[-1] for x in batch.column(at)], pa.bool_()))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm._shared import bounded_batches
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -162,6 +164,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
             rows = [[{"kind": n, "start": s, "end": e} for s, _, e, n in sorted(x)] for x in spans]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(kind))], names=["doc_id", "spans"])
 
+    bounded_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import _words as W
+from colloquy.llm._shared import bounded_batches
 
 BITS = 18
 GRADES = 3
@@ -163,6 +164,7 @@ SCHEMA = "doc_id long, expected_severity double, grade long, toxic boolean"
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row for each row of docs (doc_id, text): expected severity (0 to 3), the most likely grade, and toxic."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
