@@ -55,9 +55,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = bpe.default_tokenizer()
-    states = token_counts.build_trees(token_counts.masking_edits(documents(spark, sf_dir)), tokenizer)
-    edited = token_counts.update_trees(states, tokenizer)
+    edited = token_counts.edited_counts(documents(spark, sf_dir), bpe.default_tokenizer())
     return edited.select("doc_id", F.col("n_before").alias("n_tokens"), "n_edits", token_counts.total().alias("n_tokens_edited"), "n_reencoded")
 
 

@@ -14,7 +14,8 @@ their names cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import bpe
+from colloquy.llm._shared import bounded_batches, release_memory
 
 LEAF = 32
 #: No pre-token looks further ahead than this: the longest special token has 13 characters.
 CONTEXT = 16
-MOST_CACHED = 1_000_000
+MOST_CACHED = 400_000
 
 EDITS = "array<struct<start: int, end: int, text: string>>"
 STATE = f"doc_id long, text string, edits {EDITS}, leaf_ends array<int>, sums array<int>"
@@ -91,26 +93,27 @@ def build_trees(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, text, edits, leaf_ends, sums) for each row of docs (doc_id, text, edits)."""
     tokenizer = bpe.read_tokenizer(tokenizer_path)
     special = tuple(t.content for t in bpe._tokenizer(tokenizer).get_added_tokens_decoder().values())
+    bounded_batches(docs.sparkSession)
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("edits").cast(EDITS).alias("edits"), bpe.words(F.col("text"), special).alias("words"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                coded = pc.dictionary_encode(part.column(3).flatten())
-                codes = coded.indices.to_numpy()
-                count = np.array(counter.counts(coded.dictionary.to_pylist()), dtype=np.int64)[codes] if len(codes) else codes
-                chars = pc.utf8_length(coded.dictionary).to_numpy()[codes] if len(codes) else codes
-                edge = np.append(0, np.cumsum(pc.list_value_length(part.column(3)).to_numpy(zero_copy_only=False)))
-                ends, sums = [], []
-                for a, b in zip(edge[:-1], edge[1:], strict=True):
-                    first = np.arange(a, b, LEAF)
-                    ends.append(np.cumsum(np.add.reduceat(chars[a:b], first - a)) if b > a else np.zeros(0, np.int64))
-                    sums.append(tree(np.add.reduceat(count[a:b], first - a) if b > a else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ends, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.int32()))], names=["doc_id", "text", "edits", "leaf_ends", "sums"])
-
-    return split.mapInArrow(run, STATE)
+    return split.mapInArrow(lambda batches: _built(batches, Counter(tokenizer)), STATE)
+
+
+def _built(batches: Iterable[pa.RecordBatch], counter: Counter) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, edits, words) to rows of STATE."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2_000):
+            part = batch.slice(at, 2_000)
+            coded = pc.dictionary_encode(part.column(3).flatten())
+            codes = coded.indices.to_numpy()
+            count = np.array(counter.counts(coded.dictionary.to_pylist()), dtype=np.int64)[codes] if len(codes) else codes
+            chars = pc.utf8_length(coded.dictionary).to_numpy()[codes] if len(codes) else codes
+            edge = np.append(0, np.cumsum(pc.list_value_length(part.column(3)).to_numpy(zero_copy_only=False)))
+            ends, sums = [], []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                first = np.arange(a, b, LEAF)
+                ends.append(np.cumsum(np.add.reduceat(chars[a:b], first - a)) if b > a else np.zeros(0, np.int64))
+                sums.append(tree(np.add.reduceat(count[a:b], first - a) if b > a else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ends, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.int32()))], names=["doc_id", "text", "edits", "leaf_ends", "sums"])
 
 
 def update(text: str, ends: list[int], sums: list[int], edits: list[dict], counter: Counter) -> tuple[str, list[int], list[int], int]:
@@ -167,23 +170,24 @@ def _roots(sums: pa.Array) -> pa.Array:
 def update_trees(states: DataFrame, tokenizer_path: str) -> DataFrame:
     """Applies the edits of each row of states: (doc_id, text, leaf_ends, sums, n_before, n_edits, n_reencoded)."""
     tokenizer = bpe.read_tokenizer(tokenizer_path)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
-        names = ["doc_id", "text", "leaf_ends", "sums", "n_before", "n_edits", "n_reencoded"]
-        for batch in batches:
-            n_edits = pc.fill_null(pc.list_value_length(batch.column(2)), 0).cast(pa.int64())
-            some = pc.greater(n_edits, 0)
-            same = batch.filter(pc.invert(some))
-            zero = pa.array(np.zeros(same.num_rows, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([same.column(0), same.column(1), same.column(3), same.column(4), _roots(same.column(4)), zero, zero], names=names)
-            edited = batch.filter(some)
-            rows = [update(t or "", ends, sums, edits, counter) for t, edits, ends, sums in zip(*(edited.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)]
-            if rows:
-                text, ends, sums, again = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([edited.column(0), pa.array(text, pa.string()), pa.array(ends, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.int32())), _roots(edited.column(4)), n_edits.filter(some), pa.array(again, pa.int64())], names=names)
-
-    return states.select("doc_id", "text", "edits", "leaf_ends", "sums").mapInArrow(run, UPDATED)
+    rows = states.select("doc_id", "text", "edits", "leaf_ends", "sums")
+    return rows.mapInArrow(lambda batches: _updated(batches, Counter(tokenizer)), UPDATED)
+
+
+def _updated(batches: Iterable[pa.RecordBatch], counter: Counter) -> Iterator[pa.RecordBatch]:
+    """Rows of STATE to rows of UPDATED."""
+    names = ["doc_id", "text", "leaf_ends", "sums", "n_before", "n_edits", "n_reencoded"]
+    for batch in batches:
+        n_edits = pc.fill_null(pc.list_value_length(batch.column(2)), 0).cast(pa.int64())
+        some = pc.greater(n_edits, 0)
+        same = batch.filter(pc.invert(some))
+        zero = pa.array(np.zeros(same.num_rows, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([same.column(0), same.column(1), same.column(3), same.column(4), _roots(same.column(4)), zero, zero], names=names)
+        edited = batch.filter(some)
+        rows = [update(t or "", ends, sums, edits, counter) for t, edits, ends, sums in zip(*(edited.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)]
+        if rows:
+            text, ends, sums, again = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([edited.column(0), pa.array(text, pa.string()), pa.array(ends, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.int32())), _roots(edited.column(4)), n_edits.filter(some), pa.array(again, pa.int64())], names=names)
 
 
 def total(sums: str = "sums"):
@@ -191,25 +195,43 @@ def total(sums: str = "sums"):
     return F.when(F.size(sums) > 1, F.get(sums, F.lit(1))).otherwise(0).cast("long")
 
 
-def masking_edits(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, edits) for each row of docs: secrets become [SECRET], runs of three symbols or more go."""
+def masks() -> Callable[[str], list[dict]]:
+    """What gives a text's edits: secrets become [SECRET], runs of three symbols or more go."""
     from colloquy.llm.secrets import BASE
 
+    rules = [(re.compile(r.pattern, r.flags), r.ok, "[SECRET]") for r in BASE] + [(re.compile(r"[#*$%&|<>]{3,}"), lambda m: True, "")]
+
+    def propose(text: str) -> list[dict]:
+        spans = sorted((m.start(), m.end(), by) for pattern, ok, by in rules for m in pattern.finditer(text) if ok(m))
+        edits, at = [], 0
+        for start, end, by in spans:
+            if start >= at:
+                edits.append({"start": start, "end": end, "text": by})
+                at = end
+        return edits
+
+    return propose
+
+
+EDIT_LIST = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+
+
+def edited_counts(docs: DataFrame, tokenizer_path: str, proposer: Callable[[], Callable[[str], list[dict]]] = masks) -> DataFrame:
+    """Trees for each row of docs (doc_id, text), then the edits that the proposer finds in it, in one step: rows as of update_trees."""
+    bounded_batches(docs.sparkSession)
+    tokenizer = bpe.read_tokenizer(tokenizer_path)
+    special = tuple(t.content for t in bpe._tokenizer(tokenizer).get_added_tokens_decoder().values())
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bpe.words(F.col("text"), special).alias("words"))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        rules = [(re.compile(r.pattern, r.flags), r.ok, "[SECRET]") for r in BASE] + [(re.compile(r"[#*$%&|<>]{3,}"), lambda m: True, "")]
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                spans = sorted((m.start(), m.end(), by) for pattern, ok, by in rules for m in pattern.finditer(text or "") if ok(m))
-                edits, at = [], 0
-                for start, end, by in spans:
-                    if start >= at:
-                        edits.append({"start": start, "end": end, "text": by})
-                        at = end
-                rows.append(edits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], names=["doc_id", "text", "edits"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, text string, edits {EDITS}")
+        counter, propose = Counter(tokenizer), proposer()
+
+        def with_edits() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                release_memory()
+                edits = pa.array([propose(t or "") for t in batch.column(1).to_pylist()], EDIT_LIST)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), edits, batch.column(2)], names=["doc_id", "text", "edits", "words"])
+
+        yield from _updated(_built(with_edits(), counter), counter)
+
+    return split.mapInArrow(run, UPDATED)

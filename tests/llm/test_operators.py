@@ -285,8 +285,7 @@ def test_edits_give_the_counts_of_the_edited_text(spark, docs):
 
     path = bpe.default_tokenizer()
     t = Tokenizer.from_file(path)
-    edited = token_counts.masking_edits(docs)
-    rows = token_counts.update_trees(token_counts.build_trees(edited, path), path).select("*", token_counts.total().alias("n")).collect()
+    rows = token_counts.edited_counts(docs, path).select("*", token_counts.total().alias("n")).collect()
     for r in rows:
         assert r.n == len(t.encode(r.text or "", add_special_tokens=False).ids)
     assert Counter((r.doc_id, r.n_before) for r in rows) == Counter((d, len(t.encode(x or "", add_special_tokens=False).ids)) for d, x in [(q[0], q[1]) for q in corpus.rows()])
