@@ -72,3 +72,4 @@ add("enrolment_status", lambda s, d: samples(s, d).groupBy("speaker_id").count()
 add("speaker_match", lambda s, d: V.match(vectors(s, d), V.enrol(samples(s, d))), f"with {_PROFILE}, v as (select vec_id, {_D} as e from embeddings), met as (select vec_id, speaker_id, round((list_sum(list_transform(list_zip(e, embedding), lambda z: z[1] * z[2])) / (greatest(sqrt(list_sum(list_transform(e, lambda x: x * x))), 1e-8) * greatest(sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 1e-8)) + 1) / 2, 6) as similarity from v, profiles) select vec_id, speaker_id, similarity from met qualify row_number() over (partition by vec_id order by similarity desc, speaker_id) = 1")
 add("cosine01", lambda s, d: vectors(s, d).join(V.enrol(samples(s, d)).selectExpr("speaker_id as label", "embedding as p"), "label").select("vec_id", V.F.round(V.cosine01(V.F.col("embedding"), V.F.col("p")), 6).alias("similarity")), f"with {_PROFILE} select vec_id, round((list_sum(list_transform(list_zip({_D.replace('embedding', 'v.embedding')}, p.embedding), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform({_D.replace('embedding', 'v.embedding')}, lambda x: x * x))) * sqrt(list_sum(list_transform(p.embedding, lambda x: x * x)))) + 1) / 2, 6) as similarity from embeddings v join profiles p on p.speaker_id = v.label")
 add("frame_energy", lambda s, d: vectors(s, d).select("vec_id", V.F.round(V.frame_energy(V.F.col("embedding")), 6).alias("energy")), f"select vec_id, round(list_sum(list_transform({_D}, lambda x: x * x)) / len(embedding), 6) as energy from embeddings")
+both("session_snapshot", "select session_id, count(*) as n_segments, count(distinct speaker) as n_speakers, cast(sum(case when speaker = 'candidate' then chars else 0 end) as bigint) as candidate_chars, max(ms) as last_ms from ev group by session_id")

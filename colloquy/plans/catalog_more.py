@@ -11,7 +11,7 @@ from colloquy.operators import turns as T
 from colloquy.plans import lexicon as L
 from colloquy.plans import oracle as O
 from colloquy.plans import rows as R
-from colloquy.plans.catalog import WORDS, add, interviews, scored
+from colloquy.plans.catalog import WORDS, add, flat_transcripts, interviews, scored
 from colloquy.sources import events_json as J
 from colloquy.sources.tables import conversation_segments
 
@@ -118,3 +118,8 @@ add("auto_enrolment", lambda s, d: speakers.auto_enrol(_sessions(s, d)).selectEx
 add("retro_correction", lambda s, d: speakers.retro_roles(_sessions(s, d), speakers.auto_enrol(_sessions(s, d))), None)
 add("profile_update", lambda s, d: _sessions(s, d).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))).alias("r")).select("session_id", speakers.update_profile(F.get("r", F.lit(0))["e"], F.transform(F.slice("r", 2, F.size("r")), lambda x: x["e"])).alias("p")).select("session_id", F.round(F.get("p", F.lit(0)), 6).alias("first"), F.size("p").cast("long").alias("dim")), None)
 add("normalize_text", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.normalize_text(F.col("html")).alias("text")), "select page_id, regexp_replace(replace(replace(replace(html, chr(65279), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g') as text from pages")
+
+# one line for each segment again, whichever form the transcript had
+add("turn_breaks", lambda s, d: flat_transcripts(s, d).select("interview_id", T.turn_breaks(F.col("text")).alias("text")), f"""with {O.SEGMENTS}, said as (
+    select interview_id, seg_id, case speaker when 'interviewer' then '面试官' else '候选人' end || '：' || regexp_replace(text, '\\s+', ' ', 'g') || '。' as line from segments where speaker <> 'unknown'
+) select interview_id, string_agg(line, chr(10) order by seg_id) as text from said group by interview_id""")
