@@ -3,17 +3,22 @@
 An item of L words is searched for through its first w words, w being the largest window size that is not above L. A
 64-bit SimHash (its features are word pairs) is taken of every window of each size in use, at every word of every whole
 text. The hash is cut in blocks; two hashes within the radius agree in some block up to a few bits, so a table of each
-block's values near an item's gives all windows within the radius. A candidate is kept if its text of L words there, or
-a few words to either side, has a weighted 5-word-shingle similarity of 0.8 or more with the item: the sum of the
-smaller counts over the sum of the larger, each shingle weighted by its characters.
+block's values near an item's gives all windows within the radius.
+
+These windows cover an item's first words, so an item that is changed there can be beyond the radius. Therefore each item
+also gives its rarest shingles, as many as weigh more than a fifth of it. A window that has none of them is less than 0.8
+alike, so all windows that hold one are candidates, and nothing that is alike is missed.
+
+A candidate is kept if one of its windows of L words has a weighted 5-word-shingle similarity of 0.8 or more with the
+item: the sum of the smaller counts over the sum of the larger, each shingle weighted by its characters. Windows are
+slid over the text word by word.
 
 The items are the stated query set. Their table is small next to the corpus; it goes to the tasks in blocks of bounded
 size, and more blocks mean more passes, each over all documents. The documents are not shuffled.
 
 Words are runs without space and without the bytes 9 to 13, A to Z folded. Null and empty texts, and items without
-words, match nothing; an item of fewer than five words is one shingle. Long items are searched for through their first
-120 words and verified whole. Repeated rows and items with equal ids each give their own rows. Of equally similar
-places the first is reported. Other columns are not read, so their names cannot clash.
+words, match nothing; an item of fewer than five words is one shingle. Long items are verified whole. Repeated rows and
+items with equal ids each give their own rows. Of equally similar places the first is reported. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -125,10 +130,21 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _grams(words: list[bytes], k: int = 5) -> list[tuple[bytes, ...]]:
+    return [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [tuple(words)] if words else []
+
+
+def _characters(gram: Iterable[bytes]) -> int:
+    return sum(len(w.decode(errors="replace")) for w in gram)
+
+
+def _hashes(words: Iterable[bytes]) -> np.ndarray:
+    return W.words(pa.array([b" ".join(words).decode(errors="replace")]), fold=True)[0]
+
+
 def weighted(words: list[bytes], k: int = 5) -> Counter:
     """Each shingle's count times its characters."""
-    grams = Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if len(words) >= k else Counter([tuple(words)] if words else [])
-    return Counter({g: n * sum(len(w.decode(errors="replace")) for w in g) for g, n in grams.items()})
+    return Counter({g: n * _characters(g) for g, n in Counter(_grams(words, k)).items()})
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -137,23 +153,114 @@ def similarity(a: Counter, b: Counter) -> float:
     return low / high if high else 0.0
 
 
+class Item:
+    """An item's words, and its shingles' counts and weights."""
+
+    def __init__(self, number: int, words: list[bytes]):
+        self.id, self.words = number, words
+        self.weights = weighted(words)
+        self.total = sum(self.weights.values())
+        self.counts = Counter(_grams(words))
+
+    def seeds(self, frequency: Counter) -> list[tuple[bytes, ...]]:
+        """The rarest shingles, as many as weigh more than a fifth: a text without all of these is less than 0.8 alike."""
+        out, weight = [], 0
+        for g in sorted(self.weights, key=lambda g: (frequency[g], -self.weights[g], g)):
+            out.append(g)
+            weight += self.weights[g]
+            if 5 * weight > self.total:
+                break
+        return out
+
+    def best(self, words: list[bytes], ranges: list[tuple[int, int]]) -> tuple[float, int, int]:
+        """(similarity, first word, words) of the most similar window that begins in the ranges; of equal ones the first."""
+        length, n = len(self.words), len(words)
+        found = (0.0, 0, 0)
+        for lo, hi in _merged((max(0, a), min(b, max(0, n - length))) for a, b in ranges):
+            if length < 5:
+                at = next((p for p in range(lo, hi + 1) if words[p : p + length] == self.words), None)
+                if at is not None and found[0] < 1:
+                    found = (1.0, at, length)
+                continue
+            seen, low, weight = Counter(), 0, 0
+            a = b = max(0, lo)
+            for p in range(lo, hi + 1):
+                first, end = max(0, p), min(p + length, n)
+                for i in range(b, end - 4):
+                    g = tuple(words[i : i + 5])
+                    w = _characters(g)
+                    weight += w
+                    low += w if seen[g] < self.counts.get(g, 0) else 0
+                    seen[g] += 1
+                for i in range(a, first):
+                    g = tuple(words[i : i + 5])
+                    w = _characters(g)
+                    weight -= w
+                    low -= w if seen[g] <= self.counts.get(g, 0) else 0
+                    seen[g] -= 1
+                a, b = first, max(b, end - 4)
+                alike = low / (self.total + weight - low)
+                if alike > found[0]:
+                    found = (alike, first, end - first)
+        return found
+
+
+def _merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges (both ends belong to them) in order, without overlap; empty ones go."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(r for r in ranges if r[0] <= r[1]):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 class Items:
-    """One block of the query set, with an index for each window size in use."""
+    """One block of the query set, with an index for each window size in use and one of the shingles that no leak can miss."""
 
     def __init__(self, rows: list[tuple[int, str | None]], radius: int):
-        self.rows = [(i, w) for i, t in rows if (w := split_words(t))]
-        self.sets = [weighted(w) for _, w in self.rows]
+        self.rows = [Item(i, w) for i, t in rows if (w := split_words(t))]
         self.index = {}
         groups: dict[int, list[int]] = {}
-        for number, (_, w) in enumerate(self.rows):
-            groups.setdefault(max(s for s in SIZES if s <= len(w)), []).append(number)
+        for number, item in enumerate(self.rows):
+            groups.setdefault(max(s for s in SIZES if s <= len(item.words)), []).append(number)
         for size, numbers in groups.items():
-            hashes = []
-            for number in numbers:
-                text = b" ".join(self.rows[number][1][:size]).decode(errors="replace")
-                h, *_ = W.words(pa.array([text]), fold=True)
-                hashes.append(simhashes(h, [size])[size][0])
+            hashes = [simhashes(_hashes(self.rows[number].words[:size]), [size])[size][0] for number in numbers]
             self.index[size] = (np.array(numbers), HammingBlocks(np.array(hashes, dtype=np.uint64), radius))
+        frequency = Counter(g for item in self.rows for g in item.weights)
+        seeds: dict[int, list[tuple[int, int]]] = {}
+        for number, item in enumerate(self.rows):
+            for g in item.seeds(frequency):
+                seeds.setdefault(len(g), []).append((int(W.windows(_hashes(g), len(g))[0]), number))
+        self.seeds = {}
+        for k, pairs in seeds.items():
+            value, who = np.array([v for v, _ in pairs], dtype=np.uint64), np.array([i for _, i in pairs])
+            order = np.argsort(value, kind="stable")
+            self.seeds[k] = (value[order], who[order])
+
+    def _places(self, h: np.ndarray, bounds: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text number, item number, first start, last start) of windows that can be alike."""
+        for size, hashes in simhashes(h, self.index).items():
+            numbers, blocks = self.index[size]
+            at, which = blocks.within(hashes)
+            inside = at + size <= bounds[1:][owner[at]] if len(at) else np.zeros(0, dtype=bool)
+            at, which = at[inside], numbers[which[inside]]
+            place = at - bounds[owner[at]]
+            yield from zip(owner[at].tolist(), which.tolist(), (place - 4).tolist(), (place + 4).tolist(), strict=True)
+        for k, (value, who) in self.seeds.items():
+            shingles = W.windows(h, k)
+            left = np.searchsorted(value, shingles)
+            at = np.flatnonzero(value[np.minimum(left, len(value) - 1)] == shingles)
+            at = at[at + k <= bounds[1:][owner[at]]]
+            left = left[at]
+            n = np.searchsorted(value, shingles[at], side="right") - left
+            ends = np.cumsum(n)
+            which = who[np.repeat(left - (ends - n), n) + np.arange(int(n.sum()))]
+            at = np.repeat(at, n)
+            place = at - bounds[owner[at]]
+            length = np.array([len(item.words) for item in self.rows])[which]
+            yield from zip(owner[at].tolist(), which.tolist(), (place + k - length).tolist(), place.tolist(), strict=True)
 
     def find(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(text number, item id, similarity, first word, words) of each item in each text, at its best place."""
@@ -161,21 +268,15 @@ class Items:
             return
         h, _, _, bounds = W.words(texts, fold=True)
         owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        found: dict[tuple[int, int], list[int]] = {}
-        for size, hashes in simhashes(h, self.index).items():
-            numbers, blocks = self.index[size]
-            at, which = blocks.within(hashes)
-            inside = at + size <= bounds[1:][owner[at]] if len(at) else np.zeros(0, dtype=bool)
-            for a, w in zip(at[inside].tolist(), numbers[which[inside]].tolist(), strict=True):
-                found.setdefault((int(owner[a]), w), []).append(a)
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for text, number, lo, hi in self._places(h, bounds, owner):
+            found.setdefault((text, number), []).append((lo, hi))
         split: dict[int, list[bytes]] = {}
-        for (text, number), places in sorted(found.items()):
+        for (text, number), ranges in sorted(found.items()):
             words = split.setdefault(text, split_words(texts[text].as_py()))
-            item, length = self.sets[number], len(self.rows[number][1])
-            near = sorted({p - int(bounds[text]) + d for p in places for d in range(-4, 5)})
-            best = max(((similarity(item, weighted(words[p : p + length])), -p) for p in near if 0 <= p <= max(0, len(words) - length)), default=(0.0, 0))
-            if best[0] >= 0.8:
-                yield text, self.rows[number][0], best[0], -best[1], length
+            alike, first, length = self.rows[number].best(words, ranges)
+            if alike >= 0.8:
+                yield text, self.rows[number].id, alike, first, length
             if len(split) > 64:
                 split = {text: words}
 
