@@ -11,7 +11,8 @@ alike, so all windows that hold one are candidates, and nothing that is alike is
 
 A candidate is kept if one of its windows of L words has a weighted 5-word-shingle similarity of 0.8 or more with the
 item: the sum of the smaller counts over the sum of the larger, each shingle weighted by its characters. Windows are
-slid over the text word by word.
+slid over the text word by word. They also reach over its ends and are cut there, so a text that ends within an item, or
+begins within one, holds it if what is there is enough; n_words is what the window has.
 
 The items are the stated query set. Their table is small next to the corpus; it goes to the tasks in blocks of bounded
 size, and more blocks mean more passes, each over all documents. The documents are not shuffled.
@@ -173,12 +174,15 @@ class Item:
         return out
 
     def best(self, words: list[bytes], ranges: list[tuple[int, int]]) -> tuple[float, int, int]:
-        """(similarity, first word, words) of the most similar window that begins in the ranges; of equal ones the first."""
+        """(similarity, first word, words) of the most similar window that begins in the ranges; of equal ones the first.
+
+        A window that reaches over an end of the text is cut there.
+        """
         length, n = len(self.words), len(words)
         found = (0.0, 0, 0)
-        for lo, hi in _merged((max(0, a), min(b, max(0, n - length))) for a, b in ranges):
+        for lo, hi in _merged((max(a, 1 - length), min(b, n - 1)) for a, b in ranges):
             if length < 5:
-                at = next((p for p in range(lo, hi + 1) if words[p : p + length] == self.words), None)
+                at = next((p for p in range(max(0, lo), hi + 1) if words[p : p + length] == self.words), None)
                 if at is not None and found[0] < 1:
                     found = (1.0, at, length)
                 continue

@@ -29,3 +29,19 @@ def test_leaks_changed_at_one_end_are_found(length, changed, place):
             want.add((i, i, best[0], -best[1], length))
     assert len(want) > n // 2 - 1
     assert set(leaks.Items(items, 11).find(pa.array(texts))) == want
+
+
+@pytest.mark.parametrize(("length", "missing"), [(40, 5), (40, 7), (59, 5), (59, 11), (119, 12), (200, 21), (200, 39)])
+@pytest.mark.parametrize("end", ["last", "first"])
+def test_leaks_cut_by_an_end_of_the_text_are_found(length, missing, end):
+    rng = np.random.default_rng(length + missing)
+    v = ["word%06d" % x for x in rng.choice(10**6, length, replace=False)]
+    other = ["text%06d" % x for x in rng.choice(10**6, 230, replace=False)]
+    w = [*other, *v[:-missing]] if end == "last" else [*v[missing:], *other]
+    (got,) = leaks.Items([(3, " ".join(v))], 11).find(pa.array(["nothing here", " ".join(w)]))
+    a, b = [x.encode() for x in v], [x.encode() for x in w]
+    windows = [b[max(0, p) : p + length] for p in range(1 - length, len(b))]
+    best = max(leaks.similarity(leaks.weighted(a), leaks.weighted(x)) for x in windows)
+    assert got[:3] == (1, 3, best) and best >= 0.8
+    assert got[3:] == ((len(other), length - missing) if end == "last" else (0, length - missing))
+    assert not list(leaks.Items([(3, " ".join(v))], 11).find(pa.array([" ".join([*other, *v[: length // 2]])])))
