@@ -285,12 +285,21 @@ class Items:
                 split = {text: words}
 
 
+def _blocks(items: DataFrame, block_items: int) -> Iterator[list[tuple[int, str | None]]]:
+    rows: list[tuple[int, str | None]] = []
+    for row in items.select(F.col("item_id").cast("long"), "text").toLocalIterator():
+        rows.append((row[0], row[1]))
+        if len(rows) == block_items:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, radius: int = 11, block_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): each item (item_id, text) in each row of docs (doc_id, text) that holds it."""
     bounded_batches(docs.sparkSession)
     out = None
-    rows: list[tuple[int, str | None]] = []
-    stated = items.select(F.col("item_id").cast("long"), "text").toLocalIterator()
 
     def searched(block: list[tuple[int, str | None]]) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -306,17 +315,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, radius: int = 11, block_items:
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
-    for row in stated:
-        rows.append((row[0], row[1]))
-        if len(rows) == block_items:
-            out = searched(rows) if out is None else out.unionByName(searched(rows))
-            rows = []
-    return searched(rows) if out is None else out.unionByName(searched(rows)) if rows else out
+    for rows in _blocks(items, block_items):
+        out = searched(rows) if out is None else out.unionByName(searched(rows))
+    return searched([]) if out is None else out
 
 
-def _parts(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, size: int, text: int = 1) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in parts of about so many bytes of text."""
-    _, offsets = W.text_bytes(batch.column(1))
+    _, offsets = W.text_bytes(batch.column(text))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size)) - 1)
@@ -324,7 +330,24 @@ def _parts(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, radius: int = 11) -> DataFrame:
-    """docs without those that hold an item."""
-    bad = find_leaks(docs.select("doc_id", "text"), items, radius).select(F.col("doc_id").alias("__leak_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__leak_id"], "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, radius: int = 11, block_items: int = 20_000) -> DataFrame:
+    """docs without the rows that hold an item. Each row is judged by its own text, whatever other rows have its id."""
+    bounded_batches(docs.sparkSession)
+    text = docs.columns.index("text")
+
+    def kept(rows: DataFrame, block: list[tuple[int, str | None]]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Items(sent.value, radius)
+            for batch in batches:
+                for part in _parts(batch, 300_000, text):
+                    stays = np.ones(part.num_rows, dtype=bool)
+                    stays[[n for n, *_ in index.find(part.column(text))]] = False
+                    yield part.filter(pa.array(stays))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for block in _blocks(items, block_items):
+        docs = kept(docs, block)
+    return docs

@@ -25,14 +25,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id stays; documents without an id stay."""
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(stays, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Of each group of linked rows one stays: that with the smallest id, rows without an id last, then by a hash of all columns."""
+    rows = spill(docs.withColumn("__row", F.monotonically_increasing_id()), "near-duplicates-rows")
+    found = jaccard.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "__row")
+    linked = rows.select("__row", order.alias("__order")).join(found.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
+    stays = linked.groupBy("component_id").agg(F.min("__order").alias("__least")).select(F.col("__least.__row").alias("__row"))
+    return rows.join(stays, "__row", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows that hold a benchmark item go."""
     return leaks.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
