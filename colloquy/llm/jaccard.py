@@ -98,9 +98,11 @@ def _keeper(k: int):
         np.add.at(high, own, W.mix(value ^ np.uint64(0x5851F42D4C957F2D)))
         set_key = W.mix(low ^ W.mix(high + size.astype(np.uint64))).view(np.int64)
         stays = (size > 0) & (100 * shared >= PERCENT * size)
-        first = np.zeros(n, dtype=bool)
-        first[np.unique(set_key, return_index=True)[1]] = True
-        stays &= first
+        # rows without an id are no entries, so they must not stand for an equal set that has one
+        stays &= np.asarray(texts.column("doc_id").is_valid())
+        able = np.flatnonzero(stays)
+        stays[:] = False
+        stays[able[np.unique(set_key[able], return_index=True)[1]]] = True
         mine = np.flatnonzero(stays[own])
         mine = mine[np.lexsort((value[mine], level[mine], own[mine]))]
         ends = np.cumsum(np.where(stays, size, 0))
