@@ -6,19 +6,24 @@ find it, the bytes are first summed over a fixed number of leading bits, then ro
 are still too large are counted over more bits, on their own rows alone.
 
 A bucket whose rows all have one hash (rows that repeat doc_id and text, or one row above the limit) cannot split on any
-bit. It is kept whole if it is a single row, however large, and else its equal rows are dealt out to pages with a quarter
-to spare. Null texts have no bytes, null ids hash as empty; such rows have a shard as any other. An empty
+bit. It is kept whole if it is a single row, however large, and else its equal rows are numbered (in each partition of a
+written table, and then on from the partitions before) and fill one page after the other. shard_bytes is what the rows of
+a shard or page really have. Null texts have no bytes, null ids hash as empty; such rows have a shard as any other. An empty
 table has no shards. All columns are kept; __shard_ names are taken, and so are shard, depth and shard_bytes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from colloquy.llm._shared import spill
+from colloquy.llm._shared import bounded_batches, spill
 
 BITS = 60
 #: Bits that one pass counts over.
@@ -92,13 +97,43 @@ def shard(docs: DataFrame, limit: int) -> DataFrame:
     leaf = F.col("__shard_leaf")
     depth = leaf["depth"]
     bits = F.lpad(F.conv(F.call_function("shiftright", F.col("__shard_h"), (F.lit(BITS) - depth).cast("int")).cast("string"), 10, 2), depth, F.lit("0"))
-    whole = (leaf["bytes"] <= limit) | (leaf["n_rows"] == 1) | (leaf["single"] == 0)
-    each = F.greatest(F.lit(1), F.floor(limit / F.greatest(F.col("__shard_size"), F.lit(1))))
-    pages = F.ceil(leaf["n_rows"] * 1.25 / each)
-    page = F.pmod(F.monotonically_increasing_id(), pages)
-    name = F.when(whole, bits).otherwise(F.concat_ws("-", bits, page.cast("string")))
-    size = F.when(whole, leaf["bytes"]).otherwise(F.floor(leaf["bytes"] / pages))
-    return own.select(*(F.col(f"`{c}`") for c in docs.columns), name.alias("shard"), depth.cast("long").alias("depth"), size.cast("long").alias("shard_bytes"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    result = lambda name, size: [*columns, name.alias("shard"), depth.cast("long").alias("depth"), size.cast("long").alias("shard_bytes")]
+    if leaves.where(_paged(limit, F.col("bytes"), F.col("n_rows"), F.col("single").cast("long"))).isEmpty():
+        return own.select(*result(bits, leaf["bytes"]))
+    paged = _paged(limit, leaf["bytes"], leaf["n_rows"], leaf["single"])
+    numbered, page = _pages(own.where(paged).withColumn("__shard_bits", bits), limit)
+    return own.where(~paged).select(*result(bits, leaf["bytes"])).unionByName(numbered.select(*result(F.concat_ws("-", "__shard_bits", page.cast("string")), F.col("__shard_sum"))))
+
+
+def _paged(limit: int, size: Column, n_rows: Column, single: Column) -> Column:
+    """Is a shard one of several equal rows above the limit?"""
+    return (size > limit) & (n_rows > 1) & (single == 1)
+
+
+def _pages(rows: DataFrame, limit: int) -> tuple[DataFrame, Column]:
+    """rows with __shard_sum, the bytes of each row's page, and the page's number within its hash."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            number = []
+            for h in batch.column("__shard_h").to_pylist():
+                number.append(seen.get(h, 0))
+                seen[h] = number[-1] + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number, pa.int64())], names=[*batch.schema.names, "__shard_local"])
+
+    bounded_batches(rows.sparkSession)
+    rows = rows.withColumn("__shard_part", F.spark_partition_id())
+    rows = spill(rows.mapInArrow(count, StructType([*rows.schema.fields, StructField("__shard_local", LongType())])), "shard-numbered")
+    # a hash has a row for each partition here
+    counts = rows.groupBy("__shard_h", "__shard_part").agg(F.count("*").alias("n"), F.max("__shard_size").alias("most"))
+    of_hash = Window.partitionBy("__shard_h")
+    before = F.coalesce(F.sum("n").over(of_hash.orderBy("__shard_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__shard_h", "__shard_part", before.alias("__shard_before"), F.greatest(F.lit(1), F.floor(limit / F.greatest(F.lit(1), F.max("most").over(of_hash)))).alias("__shard_each"))
+    rows = rows.join(counts, ["__shard_h", "__shard_part"]).withColumn("__shard_page", F.floor((F.col("__shard_before") + F.col("__shard_local")) / F.col("__shard_each")))
+    sums = rows.groupBy("__shard_h", "__shard_page").agg(F.sum("__shard_size").alias("__shard_sum"))
+    return rows.join(sums, ["__shard_h", "__shard_page"]), F.col("__shard_page")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int) -> None:
