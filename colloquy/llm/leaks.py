@@ -1,11 +1,13 @@
 """Benchmark decontamination: SimHash over item-sized windows, found through Hamming blocks, verified exactly.
 
-An item of L words is searched for through its first w words, w being the largest window size that is not above L. A
-64-bit SimHash (its features are word pairs) is taken of every window of each size in use, at every word of every whole
-text. The hash is cut in blocks; two hashes within the radius agree in some block up to a few bits, so a table of each
-block's values near an item's gives all windows within the radius.
-
-These windows cover an item's first words, so an item that is changed there can be beyond the radius. Therefore each item
+An item of L words is searched for through windows of w words, w being the largest window size that is not above L; one
+window after the other, and one that ends with the item, so they cover it whole. A 64-bit SimHash (its features are word
+pairs) is taken of each of them, and of every window of each size in use, at every word of every whole text. The hash is
+cut in blocks; two hashes within the radius agree in some block up to a few bits, so a table of each block's values near
+an item's gives all windows within the radius. Any window that is found makes its item a candidate, at the place less the
+window's offset.
+
+A short item, or one that is changed in each of its windows, can be beyond the radius all the same. Therefore each item
 also gives its rarest shingles, as many as weigh more than a fifth of it. A window that has none of them is less than 0.8
 alike, so all windows that hold one are candidates, and nothing that is alike is missed.
 
@@ -24,9 +26,10 @@ items with equal ids each give their own rows. Of equally similar places the fir
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -209,6 +212,11 @@ class Item:
         return found
 
 
+def offsets(length: int, size: int) -> list[int]:
+    """Where windows of this size begin that cover an item of this length."""
+    return sorted({*range(0, length - size + 1, size), length - size})
+
+
 def _merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ranges (both ends belong to them) in order, without overlap; empty ones go."""
     out: list[tuple[int, int]] = []
@@ -226,12 +234,18 @@ class Items:
     def __init__(self, rows: list[tuple[int, str | None]], radius: int):
         self.rows = [Item(i, w) for i, t in rows if (w := split_words(t))]
         self.index = {}
-        groups: dict[int, list[int]] = {}
+        groups: dict[int, list[tuple[int, int]]] = {}
         for number, item in enumerate(self.rows):
-            groups.setdefault(max(s for s in SIZES if s <= len(item.words)), []).append(number)
-        for size, numbers in groups.items():
-            hashes = [simhashes(_hashes(self.rows[number].words[:size]), [size])[size][0] for number in numbers]
-            self.index[size] = (np.array(numbers), HammingBlocks(np.array(hashes, dtype=np.uint64), radius))
+            size = max(s for s in SIZES if s <= len(item.words))
+            groups.setdefault(size, []).extend((number, offset) for offset in offsets(len(item.words), size))
+        for size, places in groups.items():
+            hashes = np.empty(len(places), dtype=np.uint64)
+            for number, some in groupby(enumerate(places), key=lambda x: x[1][0]):
+                at = [(i, offset) for i, (_, offset) in some]
+                every = simhashes(_hashes(self.rows[number].words), [size])[size]
+                hashes[[i for i, _ in at]] = every[[offset for _, offset in at]]
+            self.index[size] = (np.array(places, dtype=np.int64), HammingBlocks(hashes, radius))
+        self.length = np.array([len(item.words) for item in self.rows])
         frequency = Counter(g for item in self.rows for g in item.weights)
         seeds: dict[int, list[tuple[int, int]]] = {}
         for number, item in enumerate(self.rows):
@@ -246,12 +260,14 @@ class Items:
     def _places(self, h: np.ndarray, bounds: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text number, item number, first start, last start) of windows that can be alike."""
         for size, hashes in simhashes(h, self.index).items():
-            numbers, blocks = self.index[size]
+            places, blocks = self.index[size]
             at, which = blocks.within(hashes)
             inside = at + size <= bounds[1:][owner[at]] if len(at) else np.zeros(0, dtype=bool)
-            at, which = at[inside], numbers[which[inside]]
-            place = at - bounds[owner[at]]
-            yield from zip(owner[at].tolist(), which.tolist(), (place - 4).tolist(), (place + 4).tolist(), strict=True)
+            at, (which, offset) = at[inside], places[which[inside]].T
+            start = at - bounds[owner[at]] - offset
+            # words that were put in or left out before the window move it
+            slack = np.maximum(4, self.length[which] // 8)
+            yield from zip(owner[at].tolist(), which.tolist(), (start - slack).tolist(), (start + slack).tolist(), strict=True)
         for k, (value, who) in self.seeds.items():
             shingles = W.windows(h, k)
             left = np.searchsorted(value, shingles)
@@ -263,8 +279,7 @@ class Items:
             which = who[np.repeat(left - (ends - n), n) + np.arange(int(n.sum()))]
             at = np.repeat(at, n)
             place = at - bounds[owner[at]]
-            length = np.array([len(item.words) for item in self.rows])[which]
-            yield from zip(owner[at].tolist(), which.tolist(), (place + k - length).tolist(), place.tolist(), strict=True)
+            yield from zip(owner[at].tolist(), which.tolist(), (place + k - self.length[which]).tolist(), place.tolist(), strict=True)
 
     def find(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(text number, item id, similarity, first word, words) of each item in each text, at its best place."""
@@ -285,6 +300,17 @@ class Items:
                 split = {text: words}
 
 
+#: The index that this Python worker built last: a worker runs many tasks, and builds it once for each block of items.
+_LAST: dict[str, Items] = {}
+
+
+def index_of(key: str, rows: list[tuple[int, str | None]], radius: int) -> Items:
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Items(rows, radius)
+    return _LAST[key]
+
+
 def _blocks(items: DataFrame, block_items: int) -> Iterator[list[tuple[int, str | None]]]:
     rows: list[tuple[int, str | None]] = []
     for row in items.select(F.col("item_id").cast("long"), "text").toLocalIterator():
@@ -302,10 +328,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, radius: int = 11, block_items:
     out = None
 
     def searched(block: list[tuple[int, str | None]]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Items(sent.value, radius)
+            index = index_of(key, sent.value, radius)
             for batch in batches:
                 for part in _parts(batch, 300_000):
                     hits = list(index.find(part.column(1)))
@@ -336,10 +362,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, radius: int = 11, block_ite
     text = docs.columns.index("text")
 
     def kept(rows: DataFrame, block: list[tuple[int, str | None]]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Items(sent.value, radius)
+            index = index_of(key, sent.value, radius)
             for batch in batches:
                 for part in _parts(batch, 300_000, text):
                     stays = np.ones(part.num_rows, dtype=bool)

@@ -45,3 +45,28 @@ def test_leaks_cut_by_an_end_of_the_text_are_found(length, missing, end):
     assert got[:3] == (1, 3, best) and best >= 0.8
     assert got[3:] == ((len(other), length - missing) if end == "last" else (0, length - missing))
     assert not list(leaks.Items([(3, " ".join(v))], 11).find(pa.array([" ".join([*other, *v[: length // 2]])])))
+
+
+@pytest.mark.parametrize("length", [20, 60, 300, 600, 1000])
+@pytest.mark.parametrize("place", ["head", "tail", "spread", "inserted"])
+def test_hashes_alone_find_nine_of_ten(length, place):
+    """The windows of an item cover it whole, so most edits leave one of them within the radius."""
+    rng = np.random.default_rng(length)
+    items, texts, want = [], [], set()
+    for i in range(40 if length < 100 else 8):
+        v = _words(rng, length)
+        k = max(1, length // 50 if place == "spread" else length // 12)
+        at = int(rng.integers(length))
+        w = {"head": [*_words(rng, k), *v[k:]], "tail": [*v[:-k], *_words(rng, k)], "inserted": [*v[:at], *_words(rng, k), *v[at:]]}.get(place, list(v))
+        if place == "spread":
+            for j in rng.choice(length, k, replace=False):
+                w[j] = f"x{j}"
+        a, b = [x.encode() for x in v], [x.encode() for x in w]
+        if max(leaks.similarity(leaks.weighted(a), leaks.weighted(b[p : p + length])) for p in range(len(b) - length + 1)) >= 0.8:
+            want.add(i)
+        items.append((i, " ".join(v)))
+        texts.append(" ".join([*_words(rng, length), *w, *_words(rng, length)]))
+    index = leaks.Items(items, 11)
+    assert {i for i, *_ in index.find(pa.array(texts))} >= want
+    index.seeds = {}
+    assert len({i for i, *_ in index.find(pa.array(texts))} & want) >= 0.9 * len(want)
