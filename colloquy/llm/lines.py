@@ -3,17 +3,23 @@
 From each line on, the lines that hold the next `noise` words make a shingle, and its hash is the hash of its lines'
 hashes. Over all starts within the next `guarantee - noise` words the smallest hash is selected as a fingerprint. So
 every run of lines with `guarantee` words or more that stands in two places has a fingerprint in common, and no match
-has fewer than `noise` words. Each fingerprint is joined with its first position in the corpus (by doc_id, then line);
-matches are extended both ways along the diagonal of the two documents, and the later run is deleted. Blank lines are
+has fewer than `noise` words. Fingerprints of two places or more are extended both ways, line by line, over as many
+words as the window can leave uncovered; each extended match has a hash of its own, which is joined with the first
+position of that hash in the corpus (by doc_id, then line). What stands there later than there is deleted.
+
+So the lines of every run of `guarantee` words or more that stands anywhere earlier go, wherever that is, and only lines
+of runs of `noise` words or more that stand earlier can go; the tests hold this against brute force. Blank lines are
 passed over; those inside a deleted run go with it.
 
-Only positions, hashes and counts are shuffled before the last join, and a common line meets its first position in a
-join that Spark can split, so no group of equal lines has to fit a task.
+What is shuffled is positions, hashes and counts. The number of extended matches follows the number of lines, no pairs of
+positions are made, and a hash that is common meets its one first position in a join that Spark can split. So no group
+of equal lines has to fit a task; one document's line hashes do.
 
-Null texts stay null, empty texts stay empty. A text of which all is repeated becomes empty. Rows with equal doc_id and
-text are one document and get the same text. Texts with equal doc_id are ordered by their hash; a null doc_id comes
-first. Ties in a window go to the last line. All columns of docs are kept, whatever their names; only names that begin
-with __line_ are taken.
+Null texts stay null, empty texts stay empty. A text of which all is repeated becomes empty. Very long texts are split
+into lines by Spark; the hashes of a text's lines are one row where the text has a fingerprint in common. Rows with equal
+doc_id and text are one document (by a hash of 128 bits) and get the same text. Texts with equal doc_id are ordered by
+that hash; a null doc_id comes first. Ties in a window go to the last line. An empty table stays empty. All columns of
+docs are kept, whatever their names; only names that begin with __line_ are taken.
 """
 
 from __future__ import annotations
@@ -28,13 +34,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    """A document: its id and text."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.col("text").cast("binary"))).cast("binary")))
 
 
 def line_table(docs: DataFrame, noise: int, guarantee: int) -> DataFrame:
-    """(key, doc_id, at, pos, h, n, mark) for each line with a word: at counts these lines, pos all lines, n is its words.
+    """(key, doc_id, at, pos, h, mark, lo, mid, hi) for each line with a word: at counts these lines, pos all lines.
 
-    mark: hash of the shingle from here on if it was selected as a fingerprint, else null.
+    mark: hash of the shingle from here on if it was selected as a fingerprint, else null. The shingle ends at line mid;
+    from lo to hi are the lines that it has to be extended to.
     """
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = split.select("key", "doc_id", "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).alias("n")).where("n > 0")
@@ -43,39 +51,42 @@ def line_table(docs: DataFrame, noise: int, guarantee: int) -> DataFrame:
     lines = lines.withColumn("at", F.row_number().over(order)).withColumn("c", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     ahead = Window.partitionBy("key").orderBy("c")
     shingle = ahead.rangeBetween(0, noise - 1)
-    lines = lines.withColumn("s", F.when(F.sum("n").over(shingle) >= noise, F.xxhash64(F.collect_list("h").over(shingle))))
-    best = F.min(F.when(F.col("s").isNotNull(), F.struct("s", (-F.col("at")).alias("at")))).over(ahead.rangeBetween(0, guarantee - noise - 1))
+    reach = guarantee - noise - 1
+    lines = lines.withColumns({
+        "s": F.when(F.sum("n").over(shingle) >= noise, F.xxhash64(F.collect_list("h").over(shingle))),
+        "mid": F.col("at") + F.count("*").over(shingle) - 1,
+        "lo": F.col("at") - F.count("*").over(ahead.rangeBetween(-reach, 0)) + 1,
+        "end": F.col("at") + F.count("*").over(ahead.rangeBetween(0, guarantee - 1)) - 1,
+    })
+    # lines that begin within `guarantee` words after this one
+    lines = lines.withColumn("hi", F.greatest("mid", F.coalesce(F.lead("end").over(ahead), F.col("at"))))
+    best = F.min(F.when(F.col("s").isNotNull(), F.struct("s", (-F.col("at")).alias("at")))).over(ahead.rangeBetween(0, reach))
     lines = lines.withColumn("best", best)
     # a line is selected if a window that begins at or before it selects it
-    chosen = F.collect_set(-F.col("best.at")).over(ahead.rangeBetween(-(guarantee - noise - 1), 0))
-    return lines.select("key", "doc_id", "at", "pos", "h", "n", F.when(F.array_contains(chosen, F.col("at")), F.col("s")).alias("mark"))
-
-
-def _runs(noise: int) -> Column:
-    """Of equal line pairs (at, pos, n) in order: where runs of consecutive lines with enough words begin and end."""
-    none = F.lit(None).cast("int")
-    empty = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), none.alias("first"), none.alias("last"), none.alias("at"), F.lit(0).cast("long").alias("n"))
-    close = lambda a: F.when(a["n"] >= noise, F.concat(a["done"], F.array(F.struct(a["first"].alias("first"), a["last"].alias("last"))))).otherwise(a["done"])
-
-    def step(a: Column, x: Column) -> Column:
-        on = a["at"] + 1 == x["at"]
-        return F.when(on, F.struct(a["done"].alias("done"), a["first"].alias("first"), x["pos"].alias("last"), x["at"].alias("at"), (a["n"] + x["n"]).alias("n"))).otherwise(F.struct(close(a).alias("done"), x["pos"].alias("first"), x["pos"].alias("last"), x["at"].alias("at"), x["n"].cast("long").alias("n")))
-
-    return F.aggregate("same", empty, step, close)
+    chosen = F.collect_set(-F.col("best.at")).over(ahead.rangeBetween(-reach, 0))
+    numbers = [F.col(c).cast("int").alias(c) for c in ("lo", "mid", "hi")]
+    return lines.select("key", "doc_id", "at", "pos", "h", F.when(F.array_contains(chosen, F.col("at")), F.col("s")).alias("mark"), *numbers)
 
 
 def repeated_runs(docs: DataFrame, noise: int = 25, guarantee: int = 50) -> DataFrame:
     """(key, runs): for each document with repeated runs, the line numbers (first, last) of the later ones, sorted."""
     lines = spill(line_table(docs, noise, guarantee), "lines")
-    marks = lines.where("mark is not null").select("mark", "doc_id", "key", "at")
-    first = marks.groupBy("mark").agg(F.min(F.struct("doc_id", "key", "at")).alias("f"), F.count("*").alias("k")).where("k > 1").select("mark", F.col("f.key").alias("key_0"), F.col("f.at").alias("at_0"))
-    met = marks.join(first, "mark").where("key <> key_0 or at <> at_0")
-    diagonals = met.select("key", "key_0", (F.col("at") - F.col("at_0")).alias("shift")).distinct()
-    whole = lines.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "pos", "h", "n"))).alias("all"))
-    both = diagonals.join(whole, "key").join(whole.select(F.col("key").alias("key_0"), F.col("all.h").alias("all_0")), "key_0")
-    same = F.filter("all", lambda x: F.coalesce(F.get("all_0", x["at"] - F.col("shift") - 1) == x["h"], F.lit(False)))
-    runs = both.select("key", same.alias("same")).select("key", F.explode(_runs(noise)).alias("run"))
-    return runs.distinct().groupBy("key").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    marks = lines.where("mark is not null")
+    shared = marks.groupBy("mark").count().where("count > 1").select("mark")
+    found = spill(marks.join(shared, "mark", "left_semi").select("key", "doc_id", "at", "lo", "mid", "hi"), "line-marks")
+    whole = lines.join(found.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "pos", "h"))).alias("all"))
+    # the shingle, and what it becomes when lines before or after it join
+    after = F.transform(F.sequence("mid", "hi"), lambda e: F.struct(F.col("at").alias("a"), e.alias("b")))
+    before = F.when(F.col("lo") < F.col("at"), F.transform(F.sequence(F.col("lo"), F.col("at") - 1), lambda a: F.struct(a.alias("a"), F.col("mid").alias("b"))))
+    spans = F.concat(after, F.coalesce(before, F.array().cast("array<struct<a:int,b:int>>")))
+    met = found.join(whole, "key").select("key", "doc_id", F.col("all.h").alias("h"), F.col("all.pos").alias("pos"), F.explode(spans).alias("x"))
+    size = F.col("x.b") - F.col("x.a") + 1
+    at = lambda i: F.get("pos", F.col(i) - 1)
+    place = F.struct("doc_id", "key", F.col("x.a").alias("a")).alias("place")
+    matches = spill(met.select(F.xxhash64(F.slice("h", F.col("x.a"), size), size).alias("match"), place, at("x.a").alias("first"), at("x.b").alias("last")), "line-matches")
+    first = matches.groupBy("match").agg(F.min("place").alias("earliest"), F.count("*").alias("k")).where("k > 1").select("match", "earliest")
+    later = matches.join(first, "match").where("place > earliest")
+    return later.groupBy(F.col("place.key").alias("key")).agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
 
 
 def _kept(lines: Column, runs: Column) -> Column:
