@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session in one process (master local) gets a folder of its own; on a cluster that is an error,
+    as executors would not see a machine's own folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -38,6 +46,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(docs: DataFrame, part_bytes: int) -> int:
+    """How many ways to deal out what Python workers gather: as the session says, or more if parts of the input were larger than that.
+
+    The size is Spark's own estimate, which follows the files of a table; without files it is unknown and counts as small.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(docs.sparkSession), 0 if size >= 1 << 60 else -(-size // part_bytes))
+
+
 #: Texts in one Arrow batch between Spark and Python, so that a batch of long texts fits beside the executor's heap.
 BATCH_ROWS = 2_000
 

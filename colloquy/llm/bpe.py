@@ -7,7 +7,9 @@ go back to the blocks, where they join the positions. What is shuffled for a com
 one for each occurrence, so no word makes a large group. The rows of the blocks are shuffled once and used twice; docs
 has to be read from files or a written table, so that a task that runs again makes the same blocks.
 
-Null and empty texts have no ids and decode to an empty text. Very long texts are a large row of their own block.
+Null and empty texts have no ids and decode to an empty text. Very long texts are a large row of their own block. An
+empty table gives no rows. The shuffle is dealt out as the session says, or wider where a worker's part of it would be
+too large, so memory does not grow with the corpus.
 Repeated rows get equal results. Ties cannot occur. Special tokens inside a text are taken as such, as the tokenizers
 library does. Other columns are not read, so their names cannot clash.
 """
@@ -26,12 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import _words as W
-from colloquy.llm._shared import bounded_batches, partitions, release_memory
+from colloquy.llm._shared import bounded_batches, parts_for, release_memory
 
 #: The published word pattern of byte-level BPE; (?U) gives \s its Unicode meaning in Java.
 WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A place is block * SLOT + the word's number in the block's dictionary.
-SLOT = 1 << 24
+#: A place is block * SLOT + the word's number in the block's dictionary; a block is task * TASK + its number there. So
+#: 2 ** 24 tasks, each with 8,192 blocks of 67 million distinct words, fit 63 bits.
+SLOT = 1 << 26
+TASK = 1 << 13
 
 
 def default_tokenizer() -> str:
@@ -77,6 +81,8 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+#: Bytes of input for each range of words: its distinct words, over all blocks, lie in one worker.
+RANGE_INPUT = 2 << 30
 #: A block ends after so many words, or with a document that has more.
 BLOCK_WORDS = 1_000_000
 ROWS = "target long, block long, number long, docs array<long>, sizes binary, data binary"
@@ -100,9 +106,13 @@ def _blocks(n: int):
             ends, at = np.cumsum(sizes), 0
             while at < len(sizes):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_WORDS, "right")))
-                block = task << 20 | number
+                if number >= TASK or task >= 1 << 24:
+                    raise ValueError(f"task {task} has too many rows for one partition: read the table in smaller splits")
+                block = task * TASK + number
                 coded = pc.dictionary_encode(batch.column(1).slice(at, to - at).flatten())
                 words = coded.dictionary.cast(pa.string())
+                if len(words) > SLOT:
+                    raise ValueError("a text has too many distinct words")
                 part = (W.string_hashes(words) % np.uint64(n)).astype(np.int32)
                 order = pc.sort_indices(pa.table({"part": part, "word": words}), sort_keys=[("part", "ascending"), ("word", "ascending")]).to_numpy()
                 words, part = words.take(pa.array(order)), part[order]
@@ -293,7 +303,7 @@ def _text(data: pa.Array) -> pa.Array:
 def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids, text) for each row of docs (doc_id, text): ids as little-endian unsigned 32-bit numbers, text decoded from them."""
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = parts_for(docs, RANGE_INPUT)
     tokenizer = read_tokenizer(tokenizer_path)
     special = tuple(t.content for t in _tokenizer(tokenizer).get_added_tokens_decoder().values())
     bounded_batches(docs.sparkSession)

@@ -15,7 +15,8 @@ documents link when 100 * intersection >= 80 * union. The work has three parts.
 Pivots make one link for each member of a group of copies, so copies are never expanded into all pairs, and no link
 between different components is lost. A document's component is found by spreading the smallest key over the links.
 
-Null and empty texts have no shingles and are linked with nothing. Rows without a doc_id get no component. Equal texts
+Null and empty texts have no shingles and are linked with nothing. Very long texts are sets like any other. An empty table
+gives no rows. Rows without a doc_id get no component. Sets are told apart by 64 bits of hash. Equal texts
 are linked (similarity 1). Rows that repeat a doc_id each stand for themselves. A tie for the smallest id cannot matter.
 Other columns are not read, so their names cannot clash.
 """
@@ -29,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import _words as W
-from colloquy.llm._shared import partitions, release_memory, spill
+from colloquy.llm._shared import parts_for, release_memory, spill
 
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
 #: Frequencies are counted over hash buckets of so many bits; two shingles in one bucket only seem more frequent.
 BUCKET_BITS = 40
+#: Bytes of input for each range of buckets, and four times that of a block: a range, or a block's texts, lie in one worker.
+RANGE_INPUT = 128 << 20
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -118,7 +121,7 @@ def document_sets(docs: DataFrame, k: int = 5) -> DataFrame:
     Equal sets have equal set_key. tokens: the set, rarest first; empty where no other document can be linked, or where
     an equal set of the same block has them.
     """
-    n = partitions(docs.sparkSession)
+    n = parts_for(docs, RANGE_INPUT)
     blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * n)).alias("block")).repartition(n, "block")
     messages = blocks.groupBy("block").applyInArrow(_sender(n, k), "range long, block long, buckets binary, counts binary")
     levels = messages.groupBy("range").applyInArrow(_count, "range long, block long, levels binary")

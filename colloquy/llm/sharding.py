@@ -9,7 +9,8 @@ A bucket whose rows all have one hash (rows that repeat doc_id and text, or one
 bit. It is kept whole if it is a single row, however large, and else its equal rows are numbered (in each partition of a
 written table, and then on from the partitions before) and fill one page after the other. shard_bytes is what the rows of
 a shard or page really have. Null texts have no bytes, null ids hash as empty; such rows have a shard as any other. An empty
-table has no shards. All columns are kept; __shard_ names are taken, and so are shard, depth and shard_bytes.
+table has no shards. Very long texts are only measured and hashed. Ties cannot occur. All columns are kept but those that are
+named shard, depth or shard_bytes, which the result's own replace; names that begin with __shard_ are taken.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from colloquy.llm._shared import bounded_batches, spill
 
+#: Columns of the result; columns of docs with these names give way to them.
+ADDED = ("shard", "depth", "shard_bytes")
 BITS = 60
 #: Bits that one pass counts over.
 STEP = 12
@@ -64,14 +67,34 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
         base = top
 
 
-#: A larger directory is joined; a smaller one (16 bytes an entry) goes to every task.
+#: A larger directory is joined; a smaller one (40 bytes an entry) goes to every task.
 MOST_ENTRIES = 2_000_000
 
 
+def _first(prefix: Column, depth: Column) -> Column:
+    return F.call_function("shiftleft", prefix, (F.lit(BITS) - depth).cast("int"))
+
+
+def _joined(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows with __shard_leaf by a join: on the bits that all entries have, then by the range of hashes of each entry.
+
+    Hashes are even but for equal rows, so few entries share those bits, and each row has one of them.
+    """
+    bits = leaves.agg(F.min("depth")).first()[0] or 0
+    leaf = leaves.select(
+        F.call_function("shiftright", F.col("prefix"), (F.col("depth") - bits).cast("int")).alias("__shard_top"),
+        _first(F.col("prefix"), F.col("depth")).alias("__shard_lo"),
+        (_first(F.col("prefix") + 1, F.col("depth")) - 1).alias("__shard_hi"),
+        F.struct(F.col("depth").cast("int").alias("depth"), "bytes", "n_rows", F.col("single").cast("long").alias("single")).alias("__shard_leaf"),
+    )
+    inside = (F.col("__shard_h") >= F.col("__shard_lo")) & (F.col("__shard_h") <= F.col("__shard_hi"))
+    keyed = rows.withColumn("__shard_key", _prefix("__shard_h", bits))
+    return keyed.join(leaf, (F.col("__shard_key") == F.col("__shard_top")) & inside).drop("__shard_key", "__shard_top", "__shard_lo", "__shard_hi")
+
+
 def _looked_up(h: Column, leaves: DataFrame) -> Column:
     """depth and bytes of the shard of a hash: the last entry, by its first hash, that is not above it."""
-    first = F.call_function("shiftleft", F.col("prefix"), (F.lit(BITS) - F.col("depth")).cast("int"))
-    table = leaves.select(first.alias("first"), F.col("depth").cast("long").alias("depth"), "bytes", "n_rows", F.col("single").cast("long").alias("single")).toArrow().sort_by("first")
+    table = leaves.select(_first(F.col("prefix"), F.col("depth")).alias("first"), F.col("depth").cast("long").alias("depth"), "bytes", "n_rows", F.col("single").cast("long").alias("single")).toArrow().sort_by("first")
     sent = leaves.sparkSession.sparkContext.broadcast([c.to_numpy() for c in table.columns])
 
     @F.pandas_udf("depth int, bytes long, n_rows long, single long")
@@ -83,17 +106,15 @@ def _looked_up(h: Column, leaves: DataFrame) -> Column:
     return find(h)
 
 
-def shard(docs: DataFrame, limit: int) -> DataFrame:
+def shard(docs: DataFrame, limit: int, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """docs with shard (hash prefix in bits, and a page where one hash is above the limit), depth and shard_bytes."""
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED))
     own = docs.withColumns({"__shard_h": row_hash(), "__shard_size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
     leaves = spill(directory(own.select(F.col("__shard_h").alias("h"), F.col("__shard_size").alias("bytes")), limit), "shards")
-    if leaves.count() <= MOST_ENTRIES:
+    if leaves.count() <= most_entries:
         own = own.withColumn("__shard_leaf", _looked_up(F.col("__shard_h"), leaves))
     else:
-        depths = [r[0] for r in leaves.select("depth").distinct().collect()]  # at most 61
-        keys = F.array(*(F.struct(F.lit(d).alias("depth"), _prefix("__shard_h", d).alias("prefix")) for d in depths))
-        leaf = leaves.select(F.struct(F.col("depth").cast("int"), "prefix").alias("__shard_key"), F.struct(F.col("depth").cast("int"), "bytes", "n_rows", F.col("single").cast("long").alias("single")).alias("__shard_leaf"))
-        own = own.withColumn("__shard_key", F.explode(keys)).join(leaf, "__shard_key").drop("__shard_key")
+        own = _joined(own, leaves)
     leaf = F.col("__shard_leaf")
     depth = leaf["depth"]
     bits = F.lpad(F.conv(F.call_function("shiftright", F.col("__shard_h"), (F.lit(BITS) - depth).cast("int")).cast("string"), 10, 2), depth, F.lit("0"))

@@ -20,3 +20,13 @@ def test_pages_fit(spark, size, copies, pages):
     assert held == stated
     assert all(n <= 1000 for n in held.values() if n != 5000)
     assert len({r.shard for r in got if r.doc_id == 1}) == pages
+
+
+def test_both_ways_to_look_up_give_the_same(spark):
+    rows = [(i, "t%d " % i * (i % 40), i) for i in range(400)] + [(7, "x" * 900, 1)] * 5 + [(None, None, 2), (None, "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, depth long").repartition(5)
+    pick = lambda most: Counter((r.doc_id, r.text, r.shard.split("-")[0], r.depth, r.shard_bytes) for r in sharding.shard(docs, 1000, most).collect())
+    broadcast, joined = pick(sharding.MOST_ENTRIES), pick(0)
+    assert broadcast == joined and sum(joined.values()) == len(rows) and len({s for _, _, s, _, _ in joined}) > 20
+    assert sharding.shard(docs, 10**9, 0).select("shard").distinct().count() == 1
+    assert sharding.shard(docs, 1000).columns == ["doc_id", "text", "shard", "depth", "shard_bytes"]
