@@ -6,7 +6,8 @@ the segment that hold them, A to Z folded. A rule's query intersects and unites
 over the whole text of what is left. A rule without mandatory trigrams (long hexadecimal strings) runs over every text.
 Segments are where their documents are, so nothing is shuffled.
 
-Null and empty texts have no spans. Repeated rows get equal results. Matches of one rule do not overlap (leftmost
+Null and empty texts have no spans. Very long texts are indexed and searched whole. An empty table gives no rows.
+Repeated rows get equal results. Matches of one rule do not overlap (leftmost
 first); matches of different rules may, and equal starts are ordered as the rules are listed. Other columns are not
 read, so their names cannot clash.
 """
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm import _words as W
 from colloquy.llm._shared import bounded_batches
 
 
@@ -54,6 +56,8 @@ MORE = (
     Rule("url_login", r"://[A-Za-z0-9._-]+:[^\s:@/]{3,}@"),
 )
 
+#: Bytes with A to Z folded.
+FOLD = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
 #: A query: a trigram, ("and", parts) or ("or", parts); ("and", ()) holds for every text.
 ANY = ("and", ())
 
@@ -122,12 +126,35 @@ def trigrams(query: tuple | bytes) -> set[bytes]:
 
 
 class Segment:
-    """The inverted index of a few thousand texts: trigram to the ascending numbers of the texts that hold it."""
+    """The inverted index of some texts: trigram to the ascending numbers of the texts that hold it.
 
-    def __init__(self, texts: list[str], wanted: set[bytes]):
-        folded = [t.encode().lower() for t in texts]
+    It is built in one pass over the bytes of all texts, from the trigrams that stand there; those that no rule asks for
+    get no list.
+    """
+
+    def __init__(self, texts: pa.Array, wanted: set[bytes]):
         self.all = np.arange(len(texts))
-        self.postings = {g: np.fromiter((i for i, t in enumerate(folded) if g in t), dtype=np.int64) for g in wanted}
+        grams = sorted(wanted)
+        data, offsets = W.text_bytes(texts)
+        self.postings = {g: self.all[:0] for g in grams}
+        if len(data) < 3:
+            return
+        number = np.zeros(1 << 24, dtype=np.uint16)
+        for i, g in enumerate(grams, 1):
+            number[int.from_bytes(g, "big")] = i
+        owners, found = [], []
+        for at in range(0, len(data) - 2, W.STEP_BYTES):
+            part = FOLD[data[at : at + W.STEP_BYTES + 2]].astype(np.uint32)
+            here = number[part[:-2] << 16 | part[1:-1] << 8 | part[2:]]
+            place = np.flatnonzero(here)
+            owner = np.searchsorted(offsets, place + at, side="right") - 1
+            inside = place + at + 3 <= offsets[owner + 1]
+            owners.append(owner[inside])
+            found.append(here[place[inside]])
+        pairs = np.unique(np.concatenate(found).astype(np.int64) * len(texts) + np.concatenate(owners))
+        which, owner = pairs // len(texts), pairs % len(texts)
+        ends = np.searchsorted(which, np.arange(1, len(grams) + 2))
+        self.postings = {g: owner[ends[i] : ends[i + 1]] for i, g in enumerate(grams)}
 
     def find(self, query: tuple | bytes) -> np.ndarray:
         if isinstance(query, bytes):
@@ -155,8 +182,8 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
+            segment = Segment(batch.column(1), wanted)
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            segment = Segment(texts, wanted)
             spans: list[list] = [[] for _ in texts]
             for order, (name, pattern, ok, query) in enumerate(plans):
                 for i in segment.find(query):

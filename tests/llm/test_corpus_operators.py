@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import corpus
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,11 +141,21 @@ def test_secrets_are_all_matches(docs, pairs):
 def test_trigram_queries_never_miss(pattern):
     query = secrets.trigram_query(pattern)
     texts = ["abcdeh", "abcfgdeh", "xyzzwacd", "fooqux", "bazqux", "lower", "abc", "abcdef", "def", "nothing", ""]
-    segment = secrets.Segment(texts, secrets.trigrams(query))
+    segment = secrets.Segment(pa.array(texts), secrets.trigrams(query))
     found = set(segment.find(query).tolist())
+    for gram, held in segment.postings.items():
+        assert held.tolist() == [i for i, t in enumerate(texts) if gram in t.encode().lower()]
     assert all(i in found for i, t in enumerate(texts) if re.search(pattern, t))
 
 
+def test_an_index_over_several_steps(monkeypatch):
+    monkeypatch.setattr(secrets.W, "STEP_BYTES", 7)
+    texts = ["akiaAKIA", None, "", "ab", "xxTOKENyy", "tok", "en" * 40 + "token"]
+    segment = secrets.Segment(pa.array(texts), {b"aki", b"tok", b"oke", b"ken", b"zzz"})
+    for gram, held in segment.postings.items():
+        assert held.tolist() == [i for i, t in enumerate(texts) if gram in (t or "").encode().lower()]
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, "x token = abcdef123 y")], "doc_id long, text string")
     out = secrets.secret_spans(df).join(df, "doc_id").select(secrets.mask(F.col("text"), F.col("spans")).alias("m")).first().m
@@ -304,3 +315,12 @@ def test_an_edit_of_a_long_text_encodes_little(spark):
 def test_digests(spark, docs):
     row = bpe.encode_decode(docs.where("doc_id = 4"), bpe.default_tokenizer()).select(F.sha2("ids", 256).alias("s"), "ids").first()
     assert row.s == hashlib.sha256(bytes(row.ids)).hexdigest()
+
+
+def test_empty_tables(spark):
+    none = corpus.empty(spark)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert secrets.secret_spans(none).count() == 0
+    assert licenses.license_scan(none).count() == 0
+    assert toxicity.toxicity(none, labels).count() == 0
+    assert token_counts.edited_counts(none, bpe.default_tokenizer()).count() == 0
