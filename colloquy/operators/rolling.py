@@ -19,10 +19,8 @@ SUMMED = ("sent", "sent_chars", "cand_chars", "n_turns", "n_segments")
 
 def segment_counts(segments: DataFrame, words: Mapping[str, Sequence[str]]) -> DataFrame:
     """The columns of `counts` for each segment alone: answers count for t, every line for w."""
-    order = Window.partitionBy("interview_id").orderBy("seg_id")
-    asked = F.when(F.lag("speaker").over(order) == "interviewer", F.lag("text").over(order))
     told = (F.col("speaker") == "candidate") & (T.utrim(F.col("text")) != "")
-    rows = segments.select("interview_id", "seg_id", "speaker", F.when(told, T.utrim(F.col("text"))).otherwise("").alias("t"), T.display_line(F.col("speaker"), F.col("text")).alias("w"), F.when(told, T.question_type(F.coalesce(asked, F.lit("")))).alias("kind"))
+    rows = segments.select("interview_id", "seg_id", "speaker", F.when(told, T.utrim(F.col("text"))).otherwise("").alias("t"), T.display_line(F.col("speaker"), F.col("text")).alias("w"), F.when(told, T.question_type(F.coalesce(T.asked(), F.lit("")))).alias("kind"))
     parts = T.sentences(F.col("t"))
     rows = rows.select("*", F.size(parts).cast("long").alias("sent"), F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("sent_chars"), F.length("t").cast("long").alias("cand_chars"), F.col("kind").isNotNull().cast("long").alias("n_turns"), F.lit(1).cast("long").alias("n_segments"))
     layer = dict(counts(words))

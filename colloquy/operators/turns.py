@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from colloquy.plans import lexicon as L
 
-#: Labels of the two speakers; the interviewer's are tried first, each as a part of the label.
-INTERVIEWER = ("面试官", "interviewer", "hr", "问", "q")
-CANDIDATE = ("候选人", "candidate", "应聘者", "答", "a")
+#: Labels of the two speakers (fixed values); the interviewer's are tried first, each as a part of the label.
+INTERVIEWER = ("面试官", "interviewer", "面试老师", "hr", "hrbp")
+CANDIDATE = ("候选人", "应聘者", "求职者", "面试者", "candidate")
 ROLE_LABEL = {"interviewer": "面试官", "candidate": "候选人"}
 OTHER_LABEL = "发言人"
 SENTENCE_END = "。！？!?；;\n"
@@ -27,8 +27,8 @@ def normalize_text(text: Column) -> Column:
 
 def turn_breaks(text: Column) -> Column:
     """A newline before each speaker label that follows the end of a sentence in the same line; full-width colons after labels."""
-    labels = "|".join(sorted((*(x for x in INTERVIEWER if len(x) > 1), *(x for x in CANDIDATE if len(x) > 1)), key=len, reverse=True))
-    return F.regexp_replace(text, rf"(?i)(?<=[。！？!?；;])[ \t]*({labels})[ \t]*[:：]", "\n$1：")
+    labels = "|".join(sorted((*INTERVIEWER, *CANDIDATE), key=len, reverse=True))
+    return F.regexp_replace(text, rf"(?iU)(?<!^)([。！？!?；;])\s*({labels})\s*[:：]", "$1\n$2：")
 
 
 def role_of_label(label: Column) -> Column:
@@ -40,7 +40,7 @@ def role_of_label(label: Column) -> Column:
 def speaker_lines(transcripts: DataFrame) -> DataFrame:
     """(interview_id, line, role, text): lines with their label's role, null without a label; blank lines are left out."""
     lines = transcripts.select("interview_id", F.posexplode(F.split(turn_breaks(normalize_text(F.col("text"))), "\n")).alias("line", "raw")).withColumn("raw", utrim(F.col("raw"))).where("raw <> ''")
-    pattern = r"^([^:：]{1,20})[:：]\s*(.*)$"
+    pattern = r"(?Us)^([^:：]{1,20})[:：]\s*(.+)$"
     role = role_of_label(F.regexp_extract("raw", pattern, 1))
     return lines.select("interview_id", "line", role.alias("role"), F.when(role.isNotNull(), F.regexp_extract("raw", pattern, 2)).otherwise(F.col("raw")).alias("text"))
 
@@ -70,16 +70,26 @@ def answer_summary(text: Column, size: int = 80) -> Column:
     return F.when(F.length(flat) > size, F.concat(F.substring(flat, 1, size), F.lit("..."))).otherwise(flat)
 
 
+def asked() -> Column:
+    """The latest interviewer segment's text that no candidate segment has answered yet; null if there is none."""
+    past = Window.partitionBy("interview_id").orderBy("seg_id").rowsBetween(Window.unboundedPreceding, -1)
+    question = F.last(F.when(F.col("speaker") == "interviewer", F.struct("seg_id", "text")), ignorenulls=True).over(past)
+    answered = F.last(F.when(F.col("speaker") == "candidate", F.col("seg_id")), ignorenulls=True).over(past)
+    return F.when(answered.isNull() | (question["seg_id"] > answered), question["text"])
+
+
 def qa_pairs(segments: DataFrame) -> DataFrame:
-    """(interview_id, turn_id, question, question_type, answer, answer_summary, answer_length): each candidate segment with the interviewer segment right before it.
+    """(interview_id, turn_id, question, question_type, answer, answer_summary, answer_length): each candidate segment with its question.
 
-    Ids are given before blank answers are dropped, so there can be gaps.
+    A question is used once. Ids are given before blank answers are dropped, so there can be gaps.
     """
     order = Window.partitionBy("interview_id").orderBy("seg_id")
-    asked = F.when(F.lag("speaker").over(order) == "interviewer", F.lag("text").over(order))
-    told = segments.withColumn("question", F.coalesce(asked, F.lit(""))).where("speaker = 'candidate'").withColumn("turn_id", F.row_number().over(order).cast("long"))
-    told = told.withColumn("answer", utrim(F.col("text"))).where("answer <> ''")
-    return told.select("interview_id", "turn_id", "question", question_type(F.col("question")).alias("question_type"), "answer", answer_summary(F.col("answer")).alias("answer_summary"), F.length("answer").cast("long").alias("answer_length"))
+    told = segments.withColumn("question", utrim(F.coalesce(asked(), F.lit("")))).where("speaker = 'candidate'").withColumn("turn_id", F.row_number().over(order).cast("long"))
+    told = told.withColumn("answer", utrim(F.coalesce("text", F.lit("")))).where("answer <> ''")
+    return told.select(
+        "interview_id", "turn_id", "question", question_type(F.col("question")).alias("question_type"),
+        "answer", answer_summary(F.col("answer")).alias("answer_summary"), F.length("answer").cast("long").alias("answer_length"),
+    )
 
 
 def display_line(speaker: Column, text: Column) -> Column:
@@ -93,17 +103,19 @@ def sentences(text: Column) -> Column:
 
 def interviews(segments: DataFrame) -> DataFrame:
     """One row for each interview: t, w, sent, sent_chars, n_segments, n_turns, n_types, cand_chars. Interviews without an answer stay."""
-    order = Window.partitionBy("interview_id").orderBy("seg_id")
-    asked = F.when(F.lag("speaker").over(order) == "interviewer", F.lag("text").over(order))
-    rows = segments.withColumn("kind", question_type(F.coalesce(asked, F.lit("")))).withColumn("is_turn", (F.col("speaker") == "candidate") & (utrim(F.col("text")) != ""))
-    joined = lambda c, when: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("seg_id", c.alias("x"))))), lambda s: s["x"]), "\n")
+    said = utrim(F.coalesce("text", F.lit("")))
+    rows = segments.withColumns({"kind": question_type(F.coalesce(asked(), F.lit(""))), "is_turn": (F.col("speaker") == "candidate") & (said != ""), "said": said})
+    # the segments of an interview are gathered once and put in order; both texts are read from them
+    part = F.struct("seg_id", "is_turn", "said", display_line(F.col("speaker"), F.coalesce("text", F.lit(""))).alias("line"))
     out = rows.groupBy("interview_id").agg(
-        joined(utrim(F.col("text")), F.col("is_turn")).alias("t"),
-        joined(display_line(F.col("speaker"), F.col("text")), F.lit(True)).alias("w"),
+        F.sort_array(F.collect_list(part)).alias("parts"),
         F.count("*").alias("n_segments"),
         F.count(F.when(F.col("is_turn"), 1)).alias("n_turns"),
-        F.countDistinct(F.when(F.col("is_turn"), F.col("kind"))).alias("n_types"),
-        F.sum(F.when(F.col("is_turn"), F.length(utrim(F.col("text")))).otherwise(0)).alias("cand_chars"),
+        F.size(F.collect_set(F.when(F.col("is_turn"), F.col("kind")))).cast("long").alias("n_types"),
+        F.sum(F.when(F.col("is_turn"), F.length("said")).otherwise(0)).alias("cand_chars"),
     )
-    parts = sentences(F.col("t"))
-    return out.withColumn("sent", F.size(parts).cast("long")).withColumn("sent_chars", F.aggregate(parts, F.lit(0), lambda a, s: a + F.length(s)).cast("long"))
+    answers = F.transform(F.filter("parts", lambda p: p["is_turn"]), lambda p: p["said"])
+    whole = F.transform("parts", lambda p: p["line"])
+    out = out.withColumns({"t": F.array_join(answers, "\n"), "w": F.array_join(whole, "\n")}).drop("parts")
+    pieces = sentences(F.col("t"))
+    return out.withColumn("sent", F.size(pieces).cast("long")).withColumn("sent_chars", F.aggregate(pieces, F.lit(0), lambda a, s: a + F.length(s)).cast("long"))

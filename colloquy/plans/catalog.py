@@ -14,6 +14,7 @@ from colloquy.plans import lexicon as L
 from colloquy.plans import oracle as O
 from colloquy.plans import rows as R
 from colloquy.plans.layers import ON_ANSWERS, RATIOS, all_layers, apply, needed
+from colloquy.plans.views import flat_transcripts, zh_turns
 from colloquy.sources.tables import conversation_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +25,7 @@ MODELS = {"disc": (DISC, [f"disc_{d.lower()}" for d in DISC]), "bigfive": (OCEAN
 
 
 def interviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.interviews(conversation_segments(spark, sf_dir))
+    return T.interviews(zh_turns(spark, sf_dir))
 
 
 def scored(spark: SparkSession, sf_dir: str, text: str | None = None) -> DataFrame:
@@ -70,19 +71,13 @@ def ranked(model: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 # sources and texts
-add("conversation_scan", conversation_segments, f"with {O.SEGMENTS} select * from segments")
-add("qa_pairing", lambda s, d: T.qa_pairs(conversation_segments(s, d)).select("interview_id", "turn_id", "question", "answer"), f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, question, answer from turns")
-add("question_type", lambda s, d: T.qa_pairs(conversation_segments(s, d)).select("interview_id", "turn_id", "question_type"), f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, question_type from turns")
-add("answer_summary", lambda s, d: T.qa_pairs(conversation_segments(s, d)).select("interview_id", "turn_id", "answer_summary", "answer_length"), f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, case when length(flat) > 80 then left(flat, 80) || '...' else flat end as answer_summary, length(answer) as answer_length from turns")
-add("normalize_turns", lambda s, d: T.qa_pairs(conversation_segments(s, d)), f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, question, question_type, answer, case when length(flat) > 80 then left(flat, 80) || '...' else flat end as answer_summary, length(answer) as answer_length from turns")
-
-
-def flat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcripts as one text each: a line for each segment, or all in one line for odd ids. Their own labels do not end with sentence marks."""
-    rows = conversation_segments(spark, sf_dir).where("speaker <> 'unknown'")
-    spoken = F.concat(F.when(F.col("speaker") == "interviewer", "面试官").otherwise("候选人"), F.lit("："), F.regexp_replace("text", r"\s+", " "), F.lit("。"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("seg_id", spoken.alias("line")))), lambda x: x["line"])
-    return rows.groupBy("interview_id").agg(F.when(F.col("interview_id") % 2 == 0, F.array_join(lines, "\n")).otherwise(F.array_join(lines, "")).alias("text"))
+add("conversation_scan", conversation_segments, """
+    select conv_id as interview_id, turn as seg_id, case role when 'user' then 'interviewer' when 'assistant' then 'candidate' else 'unknown' end as speaker, text
+    from conversations""")
+add("qa_pairing", lambda s, d: T.qa_pairs(zh_turns(s, d)).select("interview_id", "turn_id", "question", "answer"), f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, question, answer from turns")
+add("question_type", lambda s, d: T.qa_pairs(zh_turns(s, d)).select("interview_id", "turn_id", "question_type"), f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, question_type from turns")
+add("answer_summary", lambda s, d: T.qa_pairs(zh_turns(s, d)).select("interview_id", "turn_id", "answer_summary", "answer_length"), f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, case when length(flat) > 80 then left(flat, 80) || '...' else flat end as answer_summary, length(answer) as answer_length from turns")
+add("normalize_turns", lambda s, d: T.qa_pairs(zh_turns(s, d)), f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, question, question_type, answer, case when length(flat) > 80 then left(flat, 80) || '...' else flat end as answer_summary, length(answer) as answer_length from turns")
 
 
 FLAT_SQL = f"""with {O.SEGMENTS}, said as (

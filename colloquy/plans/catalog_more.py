@@ -13,7 +13,7 @@ from colloquy.plans import oracle as O
 from colloquy.plans import rows as R
 from colloquy.plans.catalog import WORDS, add, flat_transcripts, interviews, scored
 from colloquy.sources import events_json as J
-from colloquy.sources.tables import conversation_segments
+from colloquy.plans.views import LABELS, zh_turns
 
 # rules as rows: the plain form that the compiled sums are held against
 _RULES = [(str(k), f, op, t, n) for k, rules in L.ENNEAGRAM.items() for f, op, t, n in rules]
@@ -46,8 +46,8 @@ _OVERRIDE = ["interview_id", f"case when {_HINT} <> '' then {_HINT} else {_JOB}
 add("job_hint_override", lambda s, d: _jobs(s, d).selectExpr(*_OVERRIDE), f"{_JOBS_SQL} select {', '.join(_OVERRIDE)} from jobs")
 
 _ASKS = ["interview_id", "seg_id", "case when text like '%？' or text like '%?' or text like '%什么%' or text like '%the that%' or text like '%背景%' then true else false end as question", "case when length(text) >= 18 or text like '%因为%' then true else false end as answer"]
-add("looks_like_question", lambda s, d: conversation_segments(s, d).selectExpr(*_ASKS[:3]), f"with {O.SEGMENTS} select {', '.join(_ASKS[:3])} from segments")
-add("looks_like_answer", lambda s, d: conversation_segments(s, d).selectExpr(*_ASKS[:2], _ASKS[3]), f"with {O.SEGMENTS} select {', '.join([*_ASKS[:2], _ASKS[3]])} from segments")
+add("looks_like_question", lambda s, d: zh_turns(s, d).selectExpr(*_ASKS[:3]), f"with {O.SEGMENTS} select {', '.join(_ASKS[:3])} from segments")
+add("looks_like_answer", lambda s, d: zh_turns(s, d).selectExpr(*_ASKS[:2], _ASKS[3]), f"with {O.SEGMENTS} select {', '.join([*_ASKS[:2], _ASKS[3]])} from segments")
 
 # one regular expression for each dimension: its words do not overlap each other
 _FAST = {d: "|".join(sorted(WORDS[f"disc_{d}"], key=len, reverse=True)) for d in "disc"}
@@ -73,13 +73,13 @@ add("score_update_event", lambda s, d: reports.score_update(scored(s, d)), f"{O.
 add("inference_requests", lambda s, d: reports.inference_requests(scored(s, d)).select("interview_id", F.get_json_object("request", "$.transcript").alias("transcript"), F.get_json_object("request", "$.style").alias("style"), F.get_json_object("request", "$.task").alias("task")), f"{O.prelude(WORDS)} select interview_id, right(w, 4000) as transcript, disc_top as style, 'review' as task from scored")
 add("inference_merge", lambda s, d: (x := scored(s, d).select("interview_id", "disc_top", "mbti_type"), reports.merge_results(x, x.where("interview_id % 3 = 0").select("interview_id", F.lit("X").alias("disc_top"), F.lit(" ").alias("mbti_type")), "interview_id", ["disc_top", "mbti_type"]))[1], f"{O.prelude(WORDS)} select interview_id, case when interview_id % 3 = 0 then 'X' else disc_top end as disc_top, mbti_type from scored")
 
-add("timed_segments", lambda s, d: J.timed_segments(conversation_segments(s, d)), f"with {O.SEGMENTS}, sized as (select *, least(4800, greatest(1200, 120 * length(text)))::bigint as size from segments) select interview_id, seg_id, speaker, (sum(size) over (partition by interview_id order by seg_id) - size)::bigint as start_ms, (sum(size) over (partition by interview_id order by seg_id))::bigint as end_ms from sized")
+add("timed_segments", lambda s, d: J.timed_segments(zh_turns(s, d)), f"with {O.SEGMENTS}, sized as (select *, least(4800, greatest(1200, 120 * length(text)))::bigint as size from segments) select interview_id, seg_id, speaker, (sum(size) over (partition by interview_id order by seg_id) - size)::bigint as start_ms, (sum(size) over (partition by interview_id order by seg_id))::bigint as end_ms from sized")
 
 
 def diarised(spark, sf_dir):
     """Conversations as the JSON of a diarising service, read back: a round trip over the whole table."""
     rows = T.F.struct("seg_id", T.F.col("speaker").alias("speaker_label"), T.F.trim("text").alias("text"), (T.F.col("seg_id") * 1.5).alias("start"), (T.F.col("seg_id") * 1.5 + 1).alias("end"))
-    made = conversation_segments(spark, sf_dir).groupBy("interview_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(rows)).alias("segments"))).alias("value")).withColumnRenamed("interview_id", "id")
+    made = zh_turns(spark, sf_dir).groupBy("interview_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(rows)).alias("segments"))).alias("value")).withColumnRenamed("interview_id", "id")
     return J.diarised_segments(made)
 
 
@@ -89,7 +89,7 @@ add("case_schema_check", lambda s, d: J.case_violations(s.read.parquet(f"{d}/lab
 add("library_matrix", lambda s, d: s.read.parquet(f"{d}/labels.parquet").selectExpr("case doc_id % 4 when 0 then 'product' when 1 then 'sales' when 2 then 'engineering' else 'operations' end as job", "quality + 2 * toxic as q").groupBy("job").pivot("q", [0, 1, 2, 3]).count().na.fill(0).withColumnsRenamed({str(i): f"q{i}" for i in range(4)}), "select case doc_id % 4 when 0 then 'product' when 1 then 'sales' when 2 then 'engineering' else 'operations' end as job, count(*) filter (quality + 2 * toxic = 0) as q0, count(*) filter (quality + 2 * toxic = 1) as q1, count(*) filter (quality + 2 * toxic = 2) as q2, count(*) filter (quality + 2 * toxic = 3) as q3 from labels group by 1")
 add("prediction_vs_label", lambda s, d: s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "case when n_chars >= 400 then 1 else 0 end as predicted").join(s.read.parquet(f"{d}/labels.parquet"), "doc_id").selectExpr("doc_id", "predicted", "cast(quality as int) as expected", "predicted = quality as correct"), "select doc_id, case when n_chars >= 400 then 1 else 0 end as predicted, quality as expected, (case when n_chars >= 400 then 1 else 0 end) = quality as correct from documents join labels using (doc_id)")
 _FOLLOW = "coalesce(nullif(case when seg_id % 4 = 0 then 'D' end, ''), case when seg_id % 4 = 1 then 'I' end, case when seg_id % 4 = 2 then 'S' end, 'C')"
-add("followup_normalise", lambda s, d: conversation_segments(s, d).where("speaker = 'interviewer'").selectExpr("interview_id", "seg_id", f"{_FOLLOW} as dim", "case when interview_id % 3 = 0 then 'high' else 'medium' end as priority", "trim(text) as question").where("question <> ''"), f"with {O.SEGMENTS} select interview_id, seg_id, {_FOLLOW} as dim, case when interview_id % 3 = 0 then 'high' else 'medium' end as priority, trim(text, ' ') as question from segments where speaker = 'interviewer' and trim(text, ' ') <> ''")
+add("followup_normalise", lambda s, d: zh_turns(s, d).where("speaker = 'interviewer'").selectExpr("interview_id", "seg_id", f"{_FOLLOW} as dim", "case when interview_id % 3 = 0 then 'high' else 'medium' end as priority", "trim(text) as question").where("question <> ''"), f"with {O.SEGMENTS} select interview_id, seg_id, {_FOLLOW} as dim, case when interview_id % 3 = 0 then 'high' else 'medium' end as priority, trim(text, ' ') as question from segments where speaker = 'interviewer' and trim(text, ' ') <> ''")
 
 # rolling analysis: counts of each segment, then running sums, then the same layers
 _C = dict(counts(WORDS))
@@ -106,7 +106,7 @@ _ROLL = f"""with {O.SEGMENTS}, {O.TURNS}, told as (
 ), counted as (select *, len(parts) as sent, coalesce(list_sum(list_transform(parts, lambda x: length(x))), 0)::bigint as sent_chars, length(t) as cand_chars, (kind is not null)::bigint as n_turns, 1::bigint as n_segments, {', '.join(f'{ansi(e)} as {n}' for n, e in _C.items())} from parted
 ), summed as (select interview_id, seg_id, speaker, len(list_distinct(list_filter(list(kind) {_SOFAR}, lambda k: k is not null))) as n_types, {', '.join(f"greatest({1 if c in ('text_length', 'word_count') else 0}, sum({c}) {_SOFAR})::bigint as {c}" for c in _NAMES)} from counted
 ), base1 as materialized (select * from summed where speaker = 'candidate'), {', '.join(_STEPS)}"""
-_rolled = lambda s, d: rolling.rolling(conversation_segments(s, d), WORDS)
+_rolled = lambda s, d: rolling.rolling(zh_turns(s, d), WORDS)
 _ROLL_OUT = ["interview_id", "seg_id", "n_turns", "cand_chars", "disc_d", "disc_i", "disc_s", "disc_c", "big_top", "mbti_type", "star_overall", "sample_quality"]
 add("rolling_analysis", lambda s, d: _rolled(s, d).selectExpr(*_ROLL_OUT), f"{_ROLL} select {', '.join(_ROLL_OUT)} from {_LAST}")
 _DELTAS = ", ".join(f"coalesce(disc_{x} - lag(disc_{x}) over (partition by interview_id order by seg_id), 0) as delta_{x}" for x in "cdis")
@@ -120,6 +120,11 @@ add("profile_update", lambda s, d: _sessions(s, d).groupBy("session_id").agg(F.s
 add("normalize_text", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.normalize_text(F.col("html")).alias("text")), "select page_id, regexp_replace(replace(replace(replace(html, chr(65279), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g') as text from pages")
 
 # one line for each segment again, whichever form the transcript had
-add("turn_breaks", lambda s, d: flat_transcripts(s, d).select("interview_id", T.turn_breaks(F.col("text")).alias("text")), f"""with {O.SEGMENTS}, said as (
-    select interview_id, seg_id, case speaker when 'interviewer' then '面试官' else '候选人' end || '：' || regexp_replace(text, '\\s+', ' ', 'g') || '。' as line from segments where speaker <> 'unknown'
-) select interview_id, string_agg(line, chr(10) order by seg_id) as text from said group by interview_id""")
+_LABEL = " ".join(f"when '{who}' then ({list(names)})[seg_id % {len(names)} + 1]" for who, names in LABELS.items())
+add(
+    "turn_breaks",
+    lambda s, d: flat_transcripts(s, d).select("interview_id", T.turn_breaks(F.col("text")).alias("text")),
+    f"""with {O.SEGMENTS}, said as (
+        select interview_id, seg_id, case speaker {_LABEL} end || '：' || regexp_replace(text, '\\s+', ' ', 'g') || '。' as line from segments where speaker <> 'unknown'
+    ) select interview_id, string_agg(line, chr(10) order by seg_id) as text from said group by interview_id""",
+)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from colloquy.functions.expressions import ansi, quoted
 from colloquy.plans import lexicon as L
 from colloquy.plans.layers import all_layers
-from colloquy.sources.tables import SAMPLE_SENTENCES
+from colloquy.plans.views import SAMPLE_SENTENCES
 
 _LIST = "[" + ", ".join(map(quoted, SAMPLE_SENTENCES)) + "]"
 _KIND = "case when coalesce(question, '') = '' then 'unlabelled' " + " ".join("when " + " or ".join(f"contains(question, {quoted(w)})" for w in words) + f" then '{kind}'" for kind, words in L.QUESTIONS) + " else 'general' end"
@@ -19,8 +19,13 @@ SEGMENTS = f"""segments as (
            {_LIST}[((conv_id * 7 + turn * 5) % 12) + 1] || {_LIST}[((conv_id * 3 + turn * 11 + 4) % 12) + 1] || coalesce(text, '') as text
     from conversations
 )"""
-TURNS = f"""asked as (
-    select *, coalesce(case when lag(speaker) over (partition by interview_id order by seg_id) = 'interviewer' then lag(text) over (partition by interview_id order by seg_id) end, '') as question from segments
+_PAST = "over (partition by interview_id order by seg_id rows between unbounded preceding and 1 preceding)"
+TURNS = f"""past as (
+    select *, max(case when speaker = 'interviewer' then seg_id end) {_PAST} as q_id, max(case when speaker = 'candidate' then seg_id end) {_PAST} as c_id,
+           last_value(case when speaker = 'interviewer' then text end ignore nulls) {_PAST} as q
+    from segments
+), asked as (
+    select interview_id, seg_id, speaker, text, coalesce({_TRIM.format("case when c_id is null or q_id > c_id then q end")}, '') as question from past
 ), turns as (
     select interview_id, row_number() over (partition by interview_id order by seg_id) as turn_id, question, {_KIND} as question_type, {_TRIM.format('text')} as answer, {_FLAT.format('text')} as flat
     from asked where speaker = 'candidate' qualify answer <> ''

@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 ROLES = {"user": "interviewer", "assistant": "candidate"}
 
-#: Sentences of a synthetic interview in Chinese, put before each turn's own text so that rules for Chinese have something to find.
-SAMPLE_SENTENCES = (
-    "当时项目背景很复杂，时间紧。", "我的任务是负责订单目标。", "我先分析数据，然后推进方案落地。", "最后结果提升了30%，成本降低了5万元。",
-    "我们团队一起沟通，大家配合。", "如果有风险，我可能会先验证边界。", "我直接拍板，必须马上完成。", "因为流程不清，所以我复盘并总结。",
-    "效果不错，大家很满意。", "我们要体系化，打通全链路闭环。", "首先我写了文档，其次改了接口。", "有点担心压力，但是也很兴奋。",
-)
-
-
 def role_to_speaker(role: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv)), role), F.lit("unknown"))
 
@@ -22,28 +14,31 @@ def role_to_speaker(role: Column) -> Column:
 def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(interview_id, seg_id, speaker, text) from a conversation table: user asks, assistant answers, others are unknown."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    picks = F.array(*map(F.lit, SAMPLE_SENTENCES))
-    first = F.get(picks, F.pmod(F.col("conv_id") * 7 + F.col("turn") * 5, F.lit(12)).cast("int"))
-    second = F.get(picks, F.pmod(F.col("conv_id") * 3 + F.col("turn") * 11 + 4, F.lit(12)).cast("int"))
-    text = F.concat(first, second, F.coalesce("text", F.lit("")))
-    return rows.select(F.col("conv_id").alias("interview_id"), F.col("turn").alias("seg_id"), role_to_speaker(F.col("role")).alias("speaker"), text.alias("text"))
+    return rows.select(F.col("conv_id").alias("interview_id"), F.col("turn").alias("seg_id"), role_to_speaker(F.col("role")).alias("speaker"), "text")
 
 
 def transcript_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(interview_id, text): one interview for each file; a byte order mark is dropped."""
-    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("interview_id"), "value")
-    return files.select("interview_id", F.regexp_replace("value", "^﻿", "").alias("text"))
+    """(interview_id, text): one interview for each file, named by it without its ending; a byte order mark is dropped."""
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[A-Za-z0-9]+$", "")
+    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(name.alias("interview_id"), "value")
+    return files.select("interview_id", F.regexp_replace("value", "^\uFEFF", "").alias("text"))
+
+
+def transcript_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """(interview_id, text): one interview for each folder interview_id=..., as Spark writes them; an interview's file may not be split."""
+    return spark.read.text(folder, wholetext=True).select("interview_id", F.regexp_replace("value", "^\uFEFF|\n$", "").alias("text"))
 
 
 MANIFEST = "id string, title string, job_hint string, filename string, description string"
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(path, multiLine=True)
+    """A manifest as one JSON array, or a folder of files with an object in each line."""
+    return spark.read.schema(MANIFEST).json(path, multiLine=path.endswith(".json"))
 
 
 def with_job_hints(transcripts: DataFrame, manifest: DataFrame) -> DataFrame:
-    hints = manifest.select(F.col("filename").alias("interview_id"), "job_hint", "title")
+    hints = manifest.select(F.regexp_replace("filename", r"\.[A-Za-z0-9]+$", "").alias("interview_id"), "job_hint", "title")
     return transcripts.join(hints, "interview_id", "left")
 
 
