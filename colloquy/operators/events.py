@@ -1,81 +1,67 @@
-"""Live segment events as ordered rows for each session: triggers, smoothing and state, as batch twins of the streams.
-
-The fold over a session's ordered events keeps a small state; a session's events are the group, bounded by its length.
-"""
+"""Live segment events as rows: what a session's events are, and the rules over them as batch twins of the streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPEAKER = {"click": "interviewer", "view": "interviewer", "purchase": "candidate", "signup": "candidate"}
-
+from colloquy.operators import folds
 
-def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, session_id, ms, event_type, speaker, chars, payload, energy, prob) from the table of events."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    speaker = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SPEAKER.items() for x in kv)), F.col("event_type")), F.lit("unknown"))
-    return rows.select("event_id", F.col("user_id").alias("session_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_type", speaker.alias("speaker"), F.floor(F.coalesce("value", F.lit(0.0))).alias("chars"), (F.coalesce("value", F.lit(0.0)) / 1000).alias("energy"), ((F.col("event_id") % 10) / 10).alias("prob"))
+SPEAKER = {"click": "interviewer", "view": "interviewer", "purchase": "candidate", "signup": "candidate", "error": "candidate"}
 
 
-def ordered(events: DataFrame, *columns: str) -> DataFrame:
-    """(session_id, rows): the events of a session in order of time, then id."""
-    return events.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("ms", "event_id", *columns))).alias("rows"))
-
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, session_id, ms, event_type, speaker, kind, chars, ended, energy, prob) from the table of events.
 
-def folded(events: DataFrame, columns: list[str], start: Column, step, name: str) -> DataFrame:
-    """(session_id, event_id, name): what step adds to the state's `out` at each event. step(state, event) returns a struct with out."""
-    done = ordered(events, *columns).select("session_id", F.aggregate("rows", start, step).alias("s"))
-    return done.select("session_id", F.explode("s.out").alias("o")).select("session_id", "o.event_id", F.col("o.value").alias(name))
+    An error stands for a partial text of the candidate, every fourth signup for the end of its session.
+    """
+    return shaped(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def _out(kind: str) -> Column:
-    return F.array().cast(f"array<struct<event_id: bigint, value: {kind}>>").alias("out")
+def shaped(rows: DataFrame) -> DataFrame:
+    speaker = F.element_at(F.create_map(*(F.lit(x) for kv in SPEAKER.items() for x in kv)), F.col("event_type"))
+    value = F.coalesce("value", F.lit(0.0))
+    return rows.select(
+        "event_id",
+        F.col("user_id").alias("session_id"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
+        "event_type",
+        F.coalesce(speaker, F.lit("unknown")).alias("speaker"),
+        F.when(F.col("event_type") == "error", "partial").otherwise("final").alias("kind"),
+        F.floor(value).alias("chars"),
+        ((F.col("event_type") == "signup") & (F.col("event_id") % 4 == 0)).alias("ended"),
+        (value / 1000).alias("energy"),
+        ((F.col("event_id") % 10) / 10).alias("prob"),
+    )
 
 
-def _add(state: Column, event: Column, value: Column) -> Column:
-    return F.concat(state["out"], F.array(F.struct(event["event_id"].alias("event_id"), value.alias("value")))).alias("out")
+def scaled(events: DataFrame, by: int) -> DataFrame:
+    """The same events in a quicker time: their distances, which are hours, become seconds or less."""
+    return events.withColumn("ms", F.floor(F.col("ms") / by))
 
 
 def refresh_triggers(events: DataFrame, segments: int = 2, chars: int = 80) -> DataFrame:
-    """Fires at an event if since the last fire there are enough new segments or candidate characters."""
-
-    def step(s: Column, e: Column) -> Column:
-        n, c = s["n"] + 1, s["c"] + F.when(e["speaker"] == "candidate", e["chars"]).otherwise(0)
-        fire = (n >= segments) | (c >= chars)
-        return F.struct(F.when(fire, 0).otherwise(n).alias("n"), F.when(fire, F.lit(0).cast("long")).otherwise(c).alias("c"), _add(s, e, fire))
-
-    return folded(events, ["speaker", "chars"], F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("c"), _out("boolean")), step, "fired")
+    return folds.fold(events.where("kind = 'final'"), folds.refresh(segments, chars)).select("session_id", "event_id", "fired")
 
 
 def fast_triggers(events: DataFrame, wait_ms: int = 1000, chars: int = 20) -> DataFrame:
-    """Fires if the last fire is long enough ago, and a candidate segment or enough characters came since."""
-
-    def step(s: Column, e: Column) -> Column:
-        c = s["c"] + F.when(e["speaker"] == "candidate", e["chars"]).otherwise(0)
-        n = s["n"] + F.when(e["speaker"] == "candidate", 1).otherwise(0)
-        fire = (s["at"].isNull() | (e["ms"] - s["at"] >= wait_ms)) & ((n >= 1) | (c >= chars))
-        return F.struct(F.when(fire, F.lit(0).cast("long")).otherwise(c).alias("c"), F.when(fire, 0).otherwise(n).alias("n"), F.when(fire, e["ms"]).otherwise(s["at"]).alias("at"), _add(s, e, fire))
-
-    return folded(events, ["speaker", "chars"], F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("at"), _out("boolean")), step, "fired")
+    return folds.fold(events, folds.fast(wait_ms, chars)).select("session_id", "event_id", "fired")
 
 
 def call_throttle(events: DataFrame, wait_ms: int = 10_000) -> DataFrame:
-    """Emits if the signature (here the kind of event) differs from the last emitted one, or that is long enough ago."""
+    """The kind of event stands for the signature."""
+    return folds.fold(events.withColumn("signature", F.col("event_type")), folds.throttle(wait_ms)).select("session_id", "event_id", "emitted")
 
-    def step(s: Column, e: Column) -> Column:
-        emit = s["sig"].isNull() | (s["sig"] != e["event_type"]) | (e["ms"] - s["at"] >= wait_ms)
-        return F.struct(F.when(emit, e["event_type"]).otherwise(s["sig"]).alias("sig"), F.when(emit, e["ms"]).otherwise(s["at"]).alias("at"), _add(s, e, emit))
 
-    return folded(events, ["event_type"], F.struct(F.lit(None).cast("string").alias("sig"), F.lit(None).cast("long").alias("at"), _out("boolean")), step, "emitted")
+def single_flight(events: DataFrame, wait_ms: int = 8000) -> DataFrame:
+    """The kind of event and its characters, in tens, stand for the request."""
+    request = F.concat_ws(":", "event_type", F.floor(F.col("chars") / 10).cast("string"))
+    return folds.fold(events.withColumn("request", request), folds.single_flight(wait_ms)).select("session_id", "event_id", "outcome")
 
 
 def ema_scores(events: DataFrame) -> DataFrame:
-    """Smoothed scores: 0.58 of the one before and 0.42 of the event's, rounded half to even at each step; the first as it is."""
+    return folds.fold(events.withColumn("value", F.col("chars") % 101), folds.ema()).select("session_id", "event_id", "score")
 
-    def step(s: Column, e: Column) -> Column:
-        now = e["chars"] % 101
-        value = F.when(s["v"].isNull(), now).otherwise(F.bround((58 * s["v"] + 42 * now).cast("double") / 100, 0).cast("long"))
-        return F.struct(value.alias("v"), _add(s, e, value))
 
-    return folded(events, ["chars"], F.struct(F.lit(None).cast("long").alias("v"), _out("bigint")), step, "score")
+def appended(events: DataFrame) -> DataFrame:
+    return folds.fold(events.where("kind = 'final'"), folds.append()).select("session_id", "event_id", "seg_id", "status")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.operators import folds
+from colloquy.sources.scratch import scratch
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -44,18 +47,33 @@ def enrol(samples: DataFrame, least: int = 2) -> DataFrame:
     return lists.select("speaker_id", "n", F.when(ready, unit(F.col("mean"))).alias("embedding"), F.round(norm(F.col("mean")), 6).alias("quality"), F.when(ready, "enrolled").otherwise("too_few").alias("status"))
 
 
-def match(vectors: DataFrame, profiles: DataFrame) -> DataFrame:
+#: Bytes of profiles that are sent to every task; more of them are packed and joined.
+MOST_BROADCAST = 64 << 20
+
+
+def match(vectors: DataFrame, profiles: DataFrame, most_bytes: int = MOST_BROADCAST) -> DataFrame:
     """(vec_id, speaker_id, similarity): the nearest profile; of equals the one with the smallest id.
 
-    Profiles are the stated query set, held against all vectors: they are packed by hash of their id into arrays of about
-    a thousand, and each vector meets each array once.
+    Profiles are the stated query set, held against all vectors. They are computed once, into a table; if that is small
+    by its count and width, they go to the tasks as one row, else in packs of a thousand that each vector meets once.
+    Lengths are taken out of all vectors first, so that a comparison is one product.
     """
-    known = profiles.where("embedding is not null").select("speaker_id", "embedding")
-    n = max(1, -(-known.count() // 1000))
-    packed = known.groupBy(F.pmod(F.xxhash64("speaker_id"), F.lit(n)).cast("int").alias("pack")).agg(F.collect_list(F.struct("speaker_id", F.col("embedding").alias("profile"))).alias("profiles"))
-    met = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pack")).join(packed, "pack")
-    best = F.array_max(F.transform("profiles", lambda p: F.struct(F.round(cosine01(F.col("embedding"), p["profile"]), 6).alias("similarity"), (-p["speaker_id"]).alias("neg"))))
-    found = met.select("vec_id", best.alias("m")).groupBy("vec_id").agg(F.max("m").alias("m"))
+    spark = vectors.sparkSession
+    path = scratch(spark, "profiles")
+    profiles.where("embedding is not null").select("speaker_id", unit(F.col("embedding")).alias("profile")).write.parquet(path)
+    known = spark.read.parquet(path)
+    count, width = known.agg(F.count("*"), F.coalesce(F.max(F.size("profile")), F.lit(0))).first()
+    own = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
+    score = lambda p: F.struct(F.round((dot(F.col("v"), p["profile"]) + 1) / 2, 6).alias("similarity"), (-p["speaker_id"]).alias("neg"))
+    small = 8 * count * width <= most_bytes
+    n = 1 if small else -(-count // 1000)
+    packed = known.groupBy(F.pmod(F.xxhash64("speaker_id"), F.lit(n)).cast("int").alias("pack")).agg(F.collect_list(F.struct("speaker_id", "profile")).alias("profiles"))
+    if small:
+        met = own.withColumn("pack", F.lit(0)).join(F.broadcast(packed), "pack")
+        found = met.select("vec_id", F.array_max(F.transform("profiles", score)).alias("m"))
+    else:
+        met = own.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(packed, "pack")
+        found = met.select("vec_id", F.array_max(F.transform("profiles", score)).alias("m")).groupBy("vec_id").agg(F.max("m").alias("m"))
     return found.select("vec_id", (-F.col("m.neg")).alias("speaker_id"), F.col("m.similarity").alias("similarity"))
 
 
@@ -64,23 +82,26 @@ def update_profile(old: Column, samples: Column, weight: float = 0.2) -> Column:
     return F.aggregate(samples, old, lambda p, s: unit(F.zip_with(p, s, lambda a, b: a * (1 - weight) + b.cast("double") * weight)))
 
 
-def auto_enrol(vectors: DataFrame, same: float = 0.75, weight: float = 0.2) -> DataFrame:
-    """(session_id, interviewer, candidate, used) from (session_id, vec_id, embedding) in order.
+def _doubles(vectors: DataFrame) -> DataFrame:
+    return vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
 
-    The first embedding is the interviewer's; each later one that is like it updates it; the first that is not is the
-    candidate's and ends the enrolment. The vectors of one session are the group.
-    """
-    rows = vectors.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))).alias("rows"))
-    none = F.lit(None).cast("array<double>")
-    start = F.struct(none.alias("a"), none.alias("b"), F.lit(0).cast("long").alias("n"))
 
-    def step(s: Column, x: Column) -> Column:
-        alike = cosine01(s["a"], x["e"]) >= same
-        mixed = unit(F.zip_with(s["a"], x["e"], lambda p, q: p * (1 - weight) + q * weight))
-        more = F.struct(F.when(s["a"].isNull(), x["e"]).when(alike, mixed).otherwise(s["a"]).alias("a"), F.when(s["a"].isNotNull() & ~alike, x["e"]).alias("b"), (s["n"] + 1).alias("n"))
-        return F.when(s["b"].isNotNull(), s).otherwise(more)
+def enrolment_steps(vectors: DataFrame, same: float = 0.75, weight: float = 0.2) -> DataFrame:
+    """(session_id, vec_id, phase, similarity, interviewer, candidate) at each embedding of a session, in order of vec_id."""
+    out = folds.fold(_doubles(vectors), folds.enrol(same, weight), order=("vec_id",))
+    return out.select("session_id", "vec_id", "phase", "similarity", "interviewer", "candidate")
+
+
+def auto_enrol(vectors: DataFrame, same: float = 0.75, weight: float = 0.2) -> DataFrame:
+    """(session_id, interviewer, candidate, used) after all embeddings of each session: see folds.enrol."""
+    steps = enrolment_steps(vectors, same, weight).where("phase <> 'done'")
+    last = F.max(F.struct("vec_id", "interviewer", "candidate")).alias("x")
+    return steps.groupBy("session_id").agg(last, F.count("*").alias("used")).select("session_id", "x.interviewer", "x.candidate", "used")
+
 
-    return rows.select("session_id", F.aggregate("rows", start, step).alias("s")).select("session_id", F.col("s.a").alias("interviewer"), F.col("s.b").alias("candidate"), F.col("s.n").alias("used"))
+def updated_profiles(vectors: DataFrame, weight: float = 0.2) -> DataFrame:
+    """(session_id, vec_id, profile) after each sample of a session, in order of vec_id."""
+    return folds.fold(_doubles(vectors), folds.profile(weight), order=("vec_id",)).select("session_id", "vec_id", "profile")
 
 
 def retro_roles(vectors: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -90,6 +111,7 @@ def retro_roles(vectors: DataFrame, profiles: DataFrame) -> DataFrame:
     return both.select("session_id", "vec_id", F.when(nearer, "candidate").otherwise("interviewer").alias("role"))
 
 
-def frame_energy(samples: Column) -> Column:
-    """Mean square of a frame's samples."""
-    return F.when(F.size(samples) > 0, dot(samples, samples) / F.size(samples)).otherwise(0.0)
+def frame_energy(samples: Column, whole_numbers: bool = False) -> Column:
+    """Mean square of a frame's samples; samples in 16-bit whole numbers count as parts of 32768."""
+    by = float(32768**2) if whole_numbers else 1.0
+    return F.when(F.size(samples) > 0, dot(samples, samples) / (F.size(samples) * by)).otherwise(0.0)

@@ -1,59 +1,156 @@
-"""Registered queries over events and embeddings. Where one SQL text serves both engines, it is written once."""
+"""Registered queries over events and embeddings.
+
+Windows are one SQL text for both engines, as they are plain SQL; rules that follow a session event by event run as
+folds here and as recursive walks in the other SQL.
+"""
 
 from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from colloquy.functions.expressions import ansi
 from colloquy.operators import events as E
+from colloquy.operators import frames
 from colloquy.operators import speakers as V
 from colloquy.plans.catalog import add
 
 EV = """ev as (
-    select event_id, user_id as session_id, epoch_us(ts) // 1000 as ms, event_type, case event_type when 'click' then 'interviewer' when 'view' then 'interviewer' when 'purchase' then 'candidate' when 'signup' then 'candidate' else 'unknown' end as speaker,
-           floor(coalesce(value, 0))::bigint as chars, coalesce(value, 0) / 1000 as energy, (event_id % 10) / 10 as prob from events
+    select event_id, user_id as session_id, epoch_us(ts) // 1000 as ms, event_type,
+           case when event_type in ('click', 'view') then 'interviewer' when event_type in ('purchase', 'signup', 'error') then 'candidate' else 'unknown' end as speaker,
+           case when event_type = 'error' then 'partial' else 'final' end as kind,
+           floor(coalesce(value, 0))::bigint as chars, event_type = 'signup' and event_id % 4 = 0 as ended,
+           coalesce(value, 0) / 1000 as energy, (event_id % 10) / 10 as prob
+    from events
 )"""
 
 
 def both(name: str, sql: str) -> None:
     """sql reads the view ev."""
-    add(name, lambda spark, d: spark.sql(re.sub(r"\b(from|join) ev\b", r"\1 {ev}", sql), ev=E.session_events(spark, d)), f"with {EV}\n{ansi(sql)}" if not sql.startswith("with ") else f"with {EV}, {ansi(sql)[5:]}")
+    other = f"with {EV}, {ansi(sql.strip())[5:]}" if sql.strip().startswith("with ") else f"with {EV}\n{ansi(sql)}"
+    add(name, lambda spark, d: spark.sql(re.sub(r"\b(from|join) ev\b", r"\1 {ev}", sql.strip()), ev=E.session_events(spark, d)), other)
 
 
 BY = "partition by session_id order by ms, event_id"
-both("score_deltas", f"select session_id, event_id, chars % 101 as score, coalesce(chars % 101 - lag(chars % 101) over ({BY}), 0) as delta from ev where speaker <> 'unknown'")
-both("session_append", f"select session_id, event_id, speaker, row_number() over ({BY}) as seg_id from ev where speaker <> 'unknown' and chars > 0")
-both("partial_upsert", f"with o as (select *, row_number() over (partition by session_id, speaker order by ms desc, event_id desc) as back from ev ) select session_id, speaker, event_id, chars from o where back = 1 and event_type not in ('purchase', 'signup') and chars > 0")
-both("session_finalize", "with o as (select session_id, max(case when event_type = 'signup' then ms end) as ended, count(*) as n_events, sum(case when speaker = 'candidate' then chars else 0 end) as chars from ev group by session_id) select session_id, n_events, cast(chars as bigint) as chars, case when ended is null then 'active' else 'completed' end as status from o")
-both("speaker_first_seen", f"with f as (select session_id, speaker, min(ms * 1000000 + event_id) as seen from ev group by session_id, speaker), g as (select *, min(seen) over (partition by session_id) as lead from f) select session_id, speaker, case when seen = lead then 'speaker_a' else 'speaker_b' end as label from g")
-both("role_lookup", "select session_id, event_id, case when event_type = 'signup' then 'candidate' when speaker = 'unknown' then 'speaker_b' else speaker end as role from ev")
-both("new_segments", f"with shown as (select event_id from ev where event_id % 3 = 0) select e.session_id, e.event_id, e.speaker from ev e left join shown s on e.event_id = s.event_id where s.event_id is null".replace("from ev e", "from ev as e"))
-both("alternating_roles", f"with a as (select *, case speaker when 'interviewer' then 1 when 'candidate' then -1 end as known, row_number() over ({BY}) as rn from ev ), b as (select *, max(case when known is not null then rn end) over ({BY} rows between unbounded preceding and current row) as last from a), c as (select b.session_id, b.event_id, coalesce(k.known, -1) as base, b.rn - coalesce(b.last, 0) as past from b left join a k on k.session_id = b.session_id and k.rn = b.last) select session_id, event_id, case when base * (case when past % 2 = 0 then 1 else -1 end) = 1 then 'interviewer' else 'candidate' end as role from c")
-GAP = 6 * 3_600_000
-both("activity_segments", f"with a as (select session_id, event_id, ms from ev where energy >= 0.005 and prob > 0.6), b as (select *, case when ms - lag(ms) over ({BY}) > {GAP} or lag(ms) over ({BY}) is null then 1 else 0 end as new from a), c as (select *, sum(new) over ({BY} rows between unbounded preceding and current row) as seg from b) select session_id, cast(seg as bigint) as seg, min(ms) as start_ms, max(ms) + {GAP} as end_ms, count(*) as frames from c group by session_id, seg having max(ms) + {GAP} - min(ms) >= 1000")
-both("activity_segments_hysteresis", f"with a as (select *, row_number() over ({BY}) as rn, case when prob > 0.5 then 1 else 0 end as on_ from ev ), b as (select session_id, event_id, ms, rn, rn - lag(rn) over ({BY}) as quiet, ms - lag(ms) over ({BY}) as gap from a where on_ = 1), c as (select *, sum(case when gap is null or (gap > {GAP} and quiet > 2) then 1 else 0 end) over ({BY} rows between unbounded preceding and current row) as seg from b) select session_id, cast(seg as bigint) as seg, min(ms) as start_ms, max(ms) as end_ms, count(*) as frames from c group by session_id, seg having max(ms) - min(ms) >= 250 or count(*) = 1")
-both("change_points", f"with a as (select session_id, event_id, energy, prob, lag(energy) over ({BY}) as e1, lag(prob) over ({BY}) as p1, lag(energy, 2) over ({BY}) as e2, lag(prob, 2) over ({BY}) as p2 from ev ) select session_id, event_id, case when e1 is null then false when e2 is null then greatest(abs(energy - e1), abs(prob - p1)) > 0.3 else (greatest(abs(energy - e1), abs(prob - p1)) > 0.2 or abs(energy - e1) > 0.5 * e1) and (abs(energy - e2) + abs(prob - p2)) / 2 > 0.14 end as changed from a")
-both("role_mean_similarity", "select session_id, cast(sum(case when speaker = 'candidate' and energy > 0 then chars end) as bigint) as candidate_sum, count(case when speaker = 'candidate' and energy > 0 then 1 end) as candidate_n, cast(sum(case when speaker = 'interviewer' and energy > 0 then chars end) as bigint) as interviewer_sum, count(case when speaker = 'interviewer' and energy > 0 then 1 end) as interviewer_n from ev group by session_id")
+SOFAR = f"({BY} rows between unbounded preceding and current row)"
+both("score_deltas", f"""
+    select session_id, event_id, chars % 101 as score, coalesce(chars % 101 - lag(chars % 101) over ({BY}), 0) as delta
+    from ev where kind = 'final'""")
+both("partial_upsert", """
+    with last as (select *, row_number() over (partition by session_id, speaker order by ms desc, event_id desc) as back from ev )
+    select session_id, speaker, event_id, chars from last where back = 1 and kind = 'partial' and chars > 0""")
+both("session_finalize", f"""
+    with o as (select *, min(case when ended then ms * 1000000 + event_id end) over (partition by session_id) as closed from ev ),
+    inside as (select * from o where closed is null or ms * 1000000 + event_id <= closed)
+    select session_id, count(*) as n_events, cast(sum(case when speaker = 'candidate' and kind = 'final' then chars else 0 end) as bigint) as chars,
+           case when max(closed) is null then 'active' else 'completed' end as status,
+           cast(max(case when ended then chars % 101 end) as bigint) as final_score
+    from inside group by session_id""")
+both("speaker_first_seen", """
+    with f as (select session_id, speaker, min(ms * 1000000 + event_id) as seen from ev group by session_id, speaker),
+    g as (select *, min(seen) over (partition by session_id) as lead from f)
+    select session_id, speaker, case when seen = lead then 'speaker_a' else 'speaker_b' end as label from g""")
+#: Voices of a session: the speakers by first appearance are its interviewer and candidate, but for sessions with an odd id.
+both("role_lookup", """
+    with f as (select session_id, event_type, min(ms * 1000000 + event_id) as seen from ev group by session_id, event_type),
+    g as (select *, row_number() over (partition by session_id order by seen) as place from f),
+    voices as (select session_id, event_type, case when (place + session_id) % 2 = 1 then 'interviewer' else 'candidate' end as voice from g where place <= 2),
+    said as (select session_id, event_id, event_type, case when event_id % 3 = 0 then speaker end as recognized from ev )
+    select s.session_id, s.event_id, coalesce(s.recognized, v.voice, s.event_type) as role
+    from said s left join voices v on v.session_id = s.session_id and v.event_type = s.event_type""")
+both("new_segments", """
+    with shown as (select event_id from ev where event_id % 3 = 0), e as (select * from ev )
+    select e.session_id, e.event_id, e.speaker from e left join shown s on e.event_id = s.event_id where s.event_id is null""")
+both("alternating_roles", f"""
+    with a as (select *, case event_type when 'view' then 1 when 'purchase' then -1 end as known, row_number() over ({BY}) as rn from ev ),
+    b as (select *, max(case when known is not null then rn end) over {SOFAR} as last from a),
+    c as (select b.session_id, b.event_id, coalesce(k.known, -1) as base, b.rn - coalesce(b.last, 0) as past from b left join a k on k.session_id = b.session_id and k.rn = b.last)
+    select session_id, event_id, case when base * (case when past % 2 = 0 then 1 else -1 end) = 1 then 'interviewer' else 'candidate' end as role from c""")
+both("role_mean_similarity", """
+    with s as (select session_id, speaker, case when energy > 0 then cast(chars as double) / 1000 end as similarity from ev )
+    select session_id, round(avg(case when speaker = 'candidate' then similarity end), 6) as candidate_mean, round(avg(case when speaker = 'interviewer' then similarity end), 6) as interviewer_mean,
+           count(case when speaker = 'candidate' then similarity end) as candidate_n, count(case when speaker = 'interviewer' then similarity end) as interviewer_n
+    from s group by session_id""")
 both("role_by_similarity", "select session_id, event_id, case when prob > energy then 'candidate' else 'interviewer' end as role from ev")
-both("single_flight_cache", "with k as (select session_id, event_type, ms, event_id, ms - (ms % 8000) as slot from ev ), r as (select *, row_number() over (partition by session_id, event_type, slot order by ms, event_id) as n from k) select session_id, event_type, event_id from r where n = 1")
-
-_ROWS = f"ordered as (select *, row_number() over ({BY}) as rn from ev)"
-
-
-def fold(start: str, step: str, columns: str) -> str:
-    """A recursive walk over each session's rows. start and step give the columns of the state."""
-    return f"with recursive {EV}, {_ROWS}, walk as (select session_id, event_id, rn, {start} from ordered e where rn = 1 union all select e.session_id, e.event_id, e.rn, {step} from walk w join ordered e on e.session_id = w.session_id and e.rn = w.rn + 1) select session_id, event_id, {columns} from walk"
-
-
+both("session_counts", """
+    select session_id, count(*) as n_segments, count(distinct speaker) as n_speakers, cast(sum(case when speaker = 'candidate' then chars else 0 end) as bigint) as candidate_chars, max(ms) as last_ms
+    from ev where kind = 'final' group by session_id""")
+
+#: Distances between a session's events are hours; as frames they are some hundred milliseconds.
+FRAME = 60_000
+_FRAMES = f"with frames as (select session_id as stream_id, event_id as frame_id, ms div {FRAME} as ms, energy, prob, (event_id % 7) / 7 as pitch from ev ), "
+for _name, _sql in (("activity_segments", frames.activity_sql()), ("activity_segments_hysteresis", frames.hysteresis_sql()), ("change_points", frames.change_sql(("energy", "prob", "pitch")))):
+    both(_name, _FRAMES + _sql.strip().removeprefix("with "))
+
+
+def walk(start: str, step: str, columns: str, source: str = "ev", at: str = "session_id, event_id", by: str = BY) -> str:
+    """A recursive walk over each session's rows e; w is the state before. start and step give the state's columns."""
+    key, row = at.split(", ")
+    return f"""with recursive {EV}, rows_ as (select *, row_number() over ({by}) as rn from {source}),
+    walk as (
+        select {key}, {row}, rn, {start} from rows_ e where rn = 1
+        union all
+        select e.{key}, e.{row}, e.rn, {step} from walk w join rows_ e on e.{key} = w.{key} and e.rn = w.rn + 1
+    ) select {key}, {row}, {columns} from walk"""
+
+
+SCALE = 3_600  # distances of hours become seconds
+_FINAL = "(select * from ev where kind = 'final')"
+_QUICK = f"(select * replace (ms // {SCALE} as ms) from ev)"
 _C = "case when e.speaker = 'candidate' then e.chars else 0 end"
 _F = f"(case when w.fired then 0 else w.n end + 1 >= 2 or case when w.fired then 0 else w.c end + {_C} >= 80)"
-add("refresh_trigger", lambda s, d: E.refresh_triggers(E.session_events(s, d)), fold(f"1 as n, {_C} as c, {_C} >= 80 as fired", f"case when w.fired then 0 else w.n end + 1, case when w.fired then 0 else w.c end + {_C}, {_F}", "fired"))
-_N = "case when e.speaker = 'candidate' then 1 else 0 end"
-_FAST = f"((w.at is null or e.ms - w.at >= 1000) and (case when w.fired then 0 else w.n end + {_N} >= 1 or case when w.fired then 0 else w.c end + {_C} >= 20))"
-add("fast_trigger", lambda s, d: E.fast_triggers(E.session_events(s, d)), fold(f"{_N} as n, {_C} as c, ({_N} >= 1 or {_C} >= 20) as fired, case when {_N} >= 1 or {_C} >= 20 then e.ms end as at", f"case when w.fired then 0 else w.n end + {_N}, case when w.fired then 0 else w.c end + {_C}, {_FAST}, case when {_FAST} then e.ms else w.at end", "fired"))
+add(
+    "refresh_trigger",
+    lambda s, d: E.refresh_triggers(E.session_events(s, d)),
+    walk(f"1 as n, {_C} as c, {_C} >= 80 as fired", f"case when w.fired then 0 else w.n end + 1, case when w.fired then 0 else w.c end + {_C}, {_F}", "fired", _FINAL),
+)
+# n, told and part as they are after the row; last_ as they were at the last fire
+_N = "{w}n + (e.kind = 'final')::bigint"
+_TOLD = "{w}told + case when e.kind = 'final' and e.speaker = 'candidate' then e.chars else 0 end"
+_PART = "case when e.speaker <> 'candidate' then {w}part when e.kind = 'partial' then e.chars else 0 end"
+
+
+def _fast(w: str, last_at: str, last_n: str, last_c: str) -> str:
+    n, told, part = (x.format(w=w) for x in (_N, _TOLD, _PART))
+    if not w:
+        n, told, part = (x.replace("n + (", "0 + (", 1) if i == 0 else x.replace("told", "0", 1) if i == 1 else x.replace("then part", "then 0", 1) for i, x in enumerate((n, told, part)))
+    now = f"({told} + {part})"
+    fire = f"(({n} > 0 or {part} > 0) and ({last_at} is null or e.ms - {last_at} >= 1000) and ({n} - {last_n} >= 1 or {now} - {last_c} >= 20 or ({part} > 0 and {now} > {last_c})))"
+    return f"{n} as n, {told} as told, {part} as part, {fire} as fired, case when {fire} then e.ms else {last_at} end as at, case when {fire} then {n} else {last_n} end as last_n, case when {fire} then {now} else {last_c} end as last_c"
+
+
+add(
+    "fast_trigger",
+    lambda s, d: E.fast_triggers(E.scaled(E.session_events(s, d), SCALE)),
+    walk(_fast("", "null::bigint", "0", "0"), _fast("w.", "w.at", "w.last_n", "w.last_c"), "fired", _QUICK),
+)
 _EMIT = "(w.sig <> e.event_type or e.ms - w.at >= 10000)"
-add("call_throttle", lambda s, d: E.call_throttle(E.session_events(s, d)), fold("e.event_type as sig, e.ms as at, true as emitted", f"case when {_EMIT} then e.event_type else w.sig end, case when {_EMIT} then e.ms else w.at end, {_EMIT}", "emitted"))
-add("ema_scores", lambda s, d: E.ema_scores(E.session_events(s, d)), fold("e.chars % 101 as score", "round_even((58 * w.score + 42 * (e.chars % 101))::double / 100, 0)::bigint", "score"))
+add(
+    "call_throttle",
+    lambda s, d: E.call_throttle(E.scaled(E.session_events(s, d), SCALE)),
+    walk("e.event_type as sig, e.ms as at, true as emitted", f"case when {_EMIT} then e.event_type else w.sig end, case when {_EMIT} then e.ms else w.at end, {_EMIT}", "emitted", _QUICK),
+)
+_REQUEST = "e.event_type || ':' || (e.chars // 10)::varchar"
+_OUTCOME = f"case when list_contains(w.keys, {_REQUEST}) then 'cached' when e.ms - w.at < 8000 then 'throttled' else 'run' end"
+add(
+    "single_flight_cache",
+    lambda s, d: E.single_flight(E.scaled(E.session_events(s, d), SCALE)),
+    walk(
+        f"[{_REQUEST}] as keys, e.ms as at, 'run' as outcome",
+        f"case when {_OUTCOME} = 'run' then list_append(w.keys, {_REQUEST}) else w.keys end, case when {_OUTCOME} = 'run' then e.ms else w.at end, {_OUTCOME}",
+        "outcome", _QUICK,
+    ),
+)
+add(
+    "ema_scores",
+    lambda s, d: E.ema_scores(E.session_events(s, d)),
+    walk("e.chars % 101 as score", "round_even((58 * w.score + 42 * (e.chars % 101))::double / 100, 0)::bigint", "score"),
+)
+add("session_append", lambda s, d: E.appended(E.session_events(s, d)), f"""with {EV},
+    o as (select *, min(case when ended then ms * 1000000 + event_id end) over (partition by session_id) as closed from ev where kind = 'final'),
+    s as (select *, case when ms * 1000000 + event_id > closed then 'not_active' when chars = 0 then 'blank' else 'ok' end as status from o)
+    select session_id, event_id, case when status = 'ok' then sum(case when status = 'ok' then 1 else 0 end) over ({BY})::bigint end as seg_id, status from s""")
 
 
 def vectors(spark, sf_dir):
@@ -64,12 +161,92 @@ def samples(spark, sf_dir):
     return vectors(spark, sf_dir).selectExpr("label as speaker_id", "embedding")
 
 
+def sessions(spark, sf_dir):
+    return vectors(spark, sf_dir).selectExpr("vec_id % 25 as session_id", "vec_id", "embedding")
+
+
 _D = "list_transform(embedding, lambda x: x::double)"
-_PROFILE = "means as (select label as speaker_id, pos, avg(x) as m, count(*) as n from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pos from embeddings) group by all), lists as (select speaker_id, list(m order by pos) as mean, max(n) as n from means group by 1), profiles as (select speaker_id, n, list_transform(mean, lambda x: x / sqrt(list_sum(list_transform(mean, lambda y: y * y)))) as embedding, sqrt(list_sum(list_transform(mean, lambda y: y * y))) as quality from lists)"
-add("embedding_stats", lambda s, d: V.embedding_stats(vectors(s, d)), f"select vec_id, len(v) as dim, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as l2, round(list_avg(v), 6) as mean, round(sqrt(greatest(list_sum(list_transform(v, lambda x: x * x)) / len(v) - list_avg(v) * list_avg(v), 0)), 6) as std, round(list_min(v), 6) as low, round(list_max(v), 6) as high from (select vec_id, {_D} as v from embeddings)")
-add("enrol_profiles", lambda s, d: V.enrol(samples(s, d)).selectExpr("speaker_id", "n", "quality", "status", "round(embedding[0], 6) as first", "size(embedding) as dim").withColumn("dim", V.F.col("dim").cast("long")), f"with {_PROFILE} select speaker_id, n, round(quality, 6) as quality, case when n >= 2 then 'enrolled' else 'too_few' end as status, round(embedding[1], 6) as first, len(embedding) as dim from profiles")
-add("enrolment_status", lambda s, d: samples(s, d).groupBy("speaker_id").count().selectExpr("speaker_id", "count as n", "greatest(0, 2 - count) as needed", "count >= 2 as can_complete"), "select label as speaker_id, count(*) as n, greatest(0, 2 - count(*)) as needed, count(*) >= 2 as can_complete from embeddings group by label")
-add("speaker_match", lambda s, d: V.match(vectors(s, d), V.enrol(samples(s, d))), f"with {_PROFILE}, v as (select vec_id, {_D} as e from embeddings), met as (select vec_id, speaker_id, round((list_sum(list_transform(list_zip(e, embedding), lambda z: z[1] * z[2])) / (greatest(sqrt(list_sum(list_transform(e, lambda x: x * x))), 1e-8) * greatest(sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 1e-8)) + 1) / 2, 6) as similarity from v, profiles) select vec_id, speaker_id, similarity from met qualify row_number() over (partition by vec_id order by similarity desc, speaker_id) = 1")
-add("cosine01", lambda s, d: vectors(s, d).join(V.enrol(samples(s, d)).selectExpr("speaker_id as label", "embedding as p"), "label").select("vec_id", V.F.round(V.cosine01(V.F.col("embedding"), V.F.col("p")), 6).alias("similarity")), f"with {_PROFILE} select vec_id, round((list_sum(list_transform(list_zip({_D.replace('embedding', 'v.embedding')}, p.embedding), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform({_D.replace('embedding', 'v.embedding')}, lambda x: x * x))) * sqrt(list_sum(list_transform(p.embedding, lambda x: x * x)))) + 1) / 2, 6) as similarity from embeddings v join profiles p on p.speaker_id = v.label")
-add("frame_energy", lambda s, d: vectors(s, d).select("vec_id", V.F.round(V.frame_energy(V.F.col("embedding")), 6).alias("energy")), f"select vec_id, round(list_sum(list_transform({_D}, lambda x: x * x)) / len(embedding), 6) as energy from embeddings")
-both("session_snapshot", "select session_id, count(*) as n_segments, count(distinct speaker) as n_speakers, cast(sum(case when speaker = 'candidate' then chars else 0 end) as bigint) as candidate_chars, max(ms) as last_ms from ev group by session_id")
+
+
+def _norm(v: str) -> str:
+    return f"sqrt(list_sum(list_transform({v}, lambda y: y * y)))"
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+
+
+def _cos(a: str, b: str) -> str:
+    return f"({_dot(a, b)} / (greatest({_norm(a)}, 1e-8) * greatest({_norm(b)}, 1e-8)) + 1) / 2"
+
+
+_PROFILE = f"""means as (
+    select label as speaker_id, pos, avg(x) as m, count(*) as n from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pos from embeddings) group by all
+), lists as (select speaker_id, list(m order by pos) as mean, max(n) as n from means group by 1
+), profiles as (select speaker_id, n, list_transform(mean, lambda x: x / {_norm('mean')}) as embedding, {_norm('mean')} as quality from lists)"""
+add("embedding_stats", lambda s, d: V.embedding_stats(vectors(s, d)), f"""
+    select vec_id, len(v) as dim, round({_norm('v')}, 6) as l2, round(list_avg(v), 6) as mean,
+           round(sqrt(greatest(list_sum(list_transform(v, lambda x: x * x)) / len(v) - list_avg(v) * list_avg(v), 0)), 6) as std, round(list_min(v), 6) as low, round(list_max(v), 6) as high
+    from (select vec_id, {_D} as v from embeddings)""")
+add(
+    "enrol_profiles",
+    lambda s, d: V.enrol(samples(s, d)).selectExpr("speaker_id", "n", "quality", "status", "round(embedding[0], 6) as first", "cast(size(embedding) as bigint) as dim"),
+    f"with {_PROFILE} select speaker_id, n, round(quality, 6) as quality, case when n >= 2 then 'enrolled' else 'too_few' end as status, round(embedding[1], 6) as first, len(embedding) as dim from profiles",
+)
+#: Labels 0 to 4 stand for voices of interviewers, the others for candidates.
+add(
+    "enrolment_status",
+    lambda s, d: samples(s, d).groupBy(F.when(F.col("speaker_id") < 5, "interviewer").otherwise("candidate").alias("role"), "speaker_id").count().selectExpr("role", "speaker_id", "count as n", "greatest(0, 2 - count) as needed", "count >= 2 as can_complete"),
+    "select case when label < 5 then 'interviewer' else 'candidate' end as role, label as speaker_id, count(*) as n, greatest(0, 2 - count(*)) as needed, count(*) >= 2 as can_complete from embeddings group by all",
+)
+add("speaker_match", lambda s, d: V.match(vectors(s, d), V.enrol(samples(s, d))), f"""with {_PROFILE}, v as (select vec_id, {_D} as e from embeddings),
+    met as (select vec_id, speaker_id, round({_cos('e', 'embedding')}, 6) as similarity from v, profiles)
+    select vec_id, speaker_id, similarity from met qualify row_number() over (partition by vec_id order by similarity desc, speaker_id) = 1""")
+add(
+    "cosine01",
+    lambda s, d: vectors(s, d).join(V.enrol(samples(s, d)).selectExpr("speaker_id as label", "embedding as p"), "label").select("vec_id", F.round(V.cosine01(F.col("embedding"), F.col("p")), 6).alias("similarity")),
+    f"with {_PROFILE} select vec_id, round({_cos(_D.replace('embedding', 'v.embedding'), 'p.embedding')}, 6) as similarity from embeddings v join profiles p on p.speaker_id = v.label",
+)
+add(
+    "frame_energy",
+    lambda s, d: vectors(s, d).select("vec_id", F.round(V.frame_energy(F.col("embedding")), 6).alias("energy"), F.round(V.frame_energy(F.expr("transform(embedding, x -> cast(x * 1000 as smallint))"), True), 12).alias("energy_16")),
+    f"""select vec_id, round(list_sum(list_transform({_D}, lambda x: x * x)) / len(embedding), 6) as energy,
+        round(list_sum(list_transform(embedding, lambda x: trunc(x * 1000)::double * trunc(x * 1000)::double)) / (len(embedding) * 1073741824.0), 12) as energy_16 from embeddings""",
+)
+
+# enrolment: the state is walked through in SQL as well
+_V = f"(select vec_id % 25 as session_id, vec_id as event_id, {_D} as e_ from embeddings)"
+_BY_VEC = "partition by session_id order by event_id"
+
+
+def _mix(p: str, q: str) -> str:
+    mixed = f"list_transform(list_zip({p}, {q}), lambda z: z[1] * (1 - 0.2) + z[2] * 0.2)"
+    return f"list_transform({mixed}, lambda x: x / greatest({_norm(mixed)}, 1e-8))"
+
+
+_NEAR = _cos("w.a", "e.e_")
+_ENROL = walk(
+    "e.e_ as a, null::double[] as b, 'interviewer' as phase, 1.0::double as similarity",
+    f"""case when w.b is null and {_NEAR} >= 0.75 then {_mix('w.a', 'e.e_')} else w.a end,
+        case when w.b is not null then w.b when {_NEAR} < 0.75 then e.e_ end,
+        case when w.b is not null then 'done' when {_NEAR} >= 0.75 then 'update' else 'candidate' end,
+        case when w.b is null then {_NEAR} end""",
+    "phase, similarity, a, b", _V, by=_BY_VEC,
+)
+add(
+    "auto_enrolment",
+    lambda s, d: V.enrolment_steps(sessions(s, d)).selectExpr("session_id", "vec_id", "phase", "round(similarity, 6) as similarity", "round(interviewer[0], 6) as first"),
+    f"select session_id, event_id as vec_id, phase, round(similarity, 6) as similarity, round(a[1], 6) as first from ({_ENROL})",
+)
+add(
+    "retro_correction",
+    lambda s, d: V.retro_roles(sessions(s, d), V.auto_enrol(sessions(s, d))),
+    f"""with steps as ({_ENROL}), ends as (select session_id, arg_max(a, event_id) as a, arg_max(b, event_id) as b from steps where phase <> 'done' group by session_id),
+    v as (select vec_id % 25 as session_id, vec_id, {_D} as e from embeddings)
+    select session_id, vec_id, case when b is not null and {_cos('e', 'b')} > {_cos('e', 'a')} then 'candidate' else 'interviewer' end as role from v join ends using (session_id)""",
+)
+add(
+    "profile_update",
+    lambda s, d: V.updated_profiles(sessions(s, d)).selectExpr("session_id", "vec_id", "round(profile[0], 6) as first", "cast(size(profile) as bigint) as dim"),
+    f"select session_id, event_id as vec_id, round(p[1], 6) as first, len(p) as dim from ({walk('e.e_ as p', _mix('w.p', 'e.e_'), 'p', _V, by=_BY_VEC)})",
+)

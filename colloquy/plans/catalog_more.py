@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.expressions import ansi, hits, quoted
 from colloquy.plans.layers import all_layers, counts
-from colloquy.operators import reports, rolling, speakers
+from colloquy.operators import reports, rolling
 from colloquy.operators import turns as T
 from colloquy.plans import lexicon as L
 from colloquy.plans import oracle as O
@@ -113,10 +113,6 @@ _DELTAS = ", ".join(f"coalesce(disc_{x} - lag(disc_{x}) over (partition by inter
 _DOMINANT = "case " + " ".join(f"when disc_{x} = greatest(disc_d, disc_i, disc_s, disc_c) then '{x.upper()}'" for x in "cdis") + " end"
 add("live_disc", lambda s, d: rolling.live_disc(_rolled(s, d)), f"{_ROLL} select interview_id, seg_id, case when cand_chars < 20 then 'collecting' else 'active' end as status, {_DOMINANT} as dominant, disc_c, disc_d, disc_i, disc_s, {_DELTAS} from {_LAST}")
 
-_sessions = lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id % 25 as session_id", "vec_id", "embedding")
-add("auto_enrolment", lambda s, d: speakers.auto_enrol(_sessions(s, d)).selectExpr("session_id", "used", "candidate is not null as done", "round(interviewer[0], 6) as first"), None)
-add("retro_correction", lambda s, d: speakers.retro_roles(_sessions(s, d), speakers.auto_enrol(_sessions(s, d))), None)
-add("profile_update", lambda s, d: _sessions(s, d).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))).alias("r")).select("session_id", speakers.update_profile(F.get("r", F.lit(0))["e"], F.transform(F.slice("r", 2, F.size("r")), lambda x: x["e"])).alias("p")).select("session_id", F.round(F.get("p", F.lit(0)), 6).alias("first"), F.size("p").cast("long").alias("dim")), None)
 add("normalize_text", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.normalize_text(F.col("html")).alias("text")), "select page_id, regexp_replace(replace(replace(replace(html, chr(65279), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g') as text from pages")
 
 # one line for each segment again, whichever form the transcript had
