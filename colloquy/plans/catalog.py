@@ -111,9 +111,7 @@ wide("mbti_axes", *(f"{p}_{(a + b).lower()}" for a, b in L.AXES for p in ("pref"
 wide("mbti_type", "mbti_type", "sample_quality", "mbti_confidence")
 wide("star_dimensions", *(f"dim_{d}" for d in "star"), "star_confidence")
 wide("star_overall", "star_overall", "star_confidence")
-wide("star_confidence", "n_high", "star_confidence")
 wide("sample_quality", "word_count", "n_turns", "sample_quality")
-wide("disc_confidence", "sample_quality", "disc_confidence")
 wide("impression_risk", "buzzword_ratio", "richness", "impression_risk")
 wide("mbti_confidence", "n_clear", "n_neutral", "mbti_confidence")
 wide("bigfive_confidence", "big_confidence")
@@ -122,15 +120,31 @@ wide("n_artifact", "big_n", "big_e", "n_artifact")
 wide("enneagram_wing", "type_top", "type_second", "wing")
 wide("primary_style_label", "disc_top", "big_top", "style_label")
 wide("integrated_profile", "disc_top", "disc_second", "big_top", "type_top", "type_second", "mbti_type", "style_label", "wing", "sample_quality", "disc_confidence", "big_confidence", "type_confidence", "mbti_confidence")
-wide("masking_view", "disc_confidence", "impression_risk", "star_confidence", "n_high")
-wide("axis_highlights", *(f"concat('{a}{b}: ', pref_{(a + b).lower()}, ' ', cast(strength_{(a + b).lower()} as varchar(9))) as line_{(a + b).lower()}" for a, b in L.AXES))
 _REASONS = {"short_sample": "cand_chars < 300", "few_turns": "n_turns < 3", "no_clear_style": "disc_max < 60", "open_axes": "n_open >= 2", "high_conflict": "(disc_d >= 70 or disc_c >= 70) and mbti_type like '%P%'", "star_defect": "n_high > 0", "impression": "impression_risk = 'high'"}
-wide("escalation_filter", "concat_ws(' | ', " + ", ".join(f"case when {c} then '{k}' end" for k, c in _REASONS.items()) + ") as reasons", "case when " + " or ".join(f"({c})" for c in _REASONS.values()) + " then true else false end as escalate")
 _FIRST_HIGH = "case " + " ".join(f"when ({w}) and ({d}) = 'high' then '{c}'" for c, d, w in R.FINDINGS) + " end"
 _FIRST_GAP = "case " + " ".join(f"when {w} then '{c}'" for c, _, w in R.GAPS) + " end"
 _ANY_MEDIUM = " or ".join(f"(({w}) and ({d}) = 'medium')" for c, d, w in R.FINDINGS)
 wide("decision_outputs", f"coalesce({_FIRST_HIGH}, {_FIRST_GAP}, 'stable') as blocker", f"case when {_FIRST_HIGH} is not null then 'verify_first' when impression_risk = 'high' then 'authenticity' when {_ANY_MEDIUM} or impression_risk = 'medium' then 'medium' else 'none' end as risk", f"case when {_FIRST_HIGH} is not null then 'challenge' when disc_confidence = 'low' then 'collect_more' else 'verify' end as action")
 
+# confidence with its reasons
+wide("disc_confidence", "sample_quality", "contradictions", "disc_confidence")
+wide("star_confidence", "n_high", "star_confidence", "star_notes")
+for _a, _b in [("line", "concat('{0}: ', pref_{1}, ' ', cast(strength_{1} as varchar(9)), '% ', conf_{1})")]:
+    wide("axis_highlights", *(f"{_b.format(a + b, (a + b).lower())} as {_a}_{(a + b).lower()}" for a, b in L.AXES))
+_REASONS = {
+    "short_sample": "cand_chars < 300",
+    "few_turns": "n_turns < 3",
+    "no_clear_style": "disc_max < 60",
+    "malformed_scores": "disc_d is null or disc_i is null or disc_s is null or disc_c is null",
+    "open_axes": "n_open >= 2",
+    "high_conflict": "(disc_d >= 70 or disc_c >= 70) and mbti_type like '%P%'",
+    "star_defect": "n_high > 0",
+    "impression": "impression_risk = 'high'",
+}
+_WHY = ", ".join(f"case when {c} then '{k}' end" for k, c in _REASONS.items())
+_ANY = " or ".join(f"({c})" for c in _REASONS.values())
+wide("escalation_filter", f"concat_ws(' | ', {_WHY}) as reasons", f"case when {_ANY} then true else false end as escalate")
+
 # detections
 ruled("star_defects", R.STAR_DEFECTS, "defect", "severity")
 ruled("star_risk_signals", R.RISK_SIGNALS, "signal", "severity")
@@ -146,7 +160,6 @@ ruled("graph_conflicts", R.GRAPH_CONFLICTS, "conflict", "severity", most=5)
 ruled("confidence_adjustments", R.ADJUSTMENTS, "adjustment", "reason")
 ruled("style_hypotheses", R.HYPOTHESES, "place", "style")
 ruled("axis_questions", R.AXIS_QUESTIONS, "axis", "priority", most=4)
-ruled("conflict_union", R.CONFLICTS + R.TYPE_RISKS, "conflict", "severity", most=8)
 
 # rankings
 for _model in MODELS:
@@ -154,13 +167,62 @@ for _model in MODELS:
 add("score_ranking", ranked("disc"), ranked_sql("disc"))
 add("score_band", lambda s, d: ranked("bigfive")(s, d).select("interview_id", "dim", "score", S.band(F.col("score")).alias("band")), ranked_sql("bigfive", "interview_id, dim, score, case when score <= 24 then 'low' when score <= 49 then 'guarded' when score <= 74 then 'clear' else 'strong' end as band"))
 _TOP = "max(score) over (partition by interview_id)"
-add("secondary_traits", lambda s, d: ranked("bigfive")(s, d).join(scored(s, d, "big_max").select("interview_id", "big_max"), "interview_id").where("rank in (2, 3) and 10 * score >= 7 * big_max").select("interview_id", "dim", "score", "rank"), f"{O.prelude(WORDS)}, long as ({scores_sql('bigfive')}), ranked as (select *, {RANKED} as rank, {_TOP} as top from long) select interview_id, dim, score, rank from ranked where rank in (2, 3) and 10 * score >= 7 * top")
-add("top_two_types", lambda s, d: ranked("enneagram")(s, d).where("rank <= 2").selectExpr("interview_id", "dim as type", "score", "rank", "case when score >= 65 then 'high' when score >= 50 then 'medium' else 'low' end as level"), ranked_sql("enneagram", "interview_id, dim as type, score, rank, case when score >= 65 then 'high' when score >= 50 then 'medium' else 'low' end as level", "rank <= 2"))
-add("probe_plan", lambda s, d: ranked("disc")(s, d).selectExpr("interview_id", "dim", "rank", "case when rank <= 2 then 'confirm' else 'challenge' end as probe"), ranked_sql("disc", "interview_id, dim, rank, case when rank <= 2 then 'confirm' else 'challenge' end as probe"))
-add("score_share", lambda s, d: ranked("disc")(s, d).join(scored(s, d, "disc_d disc_i disc_s disc_c").selectExpr("interview_id", "disc_d + disc_i + disc_s + disc_c as total"), "interview_id").selectExpr("interview_id", "dim", "case when total = 0 then cast(0 as double) else cast((20000 * score + total) div (2 * total) as double) / 10000 end as share"), f"{O.prelude(WORDS)}, long as ({scores_sql('disc')}) select interview_id, dim, case when total = 0 then 0.0::double else ((20000 * score + total) // (2 * total))::double / 10000 end as share from (select *, sum(score) over (partition by interview_id)::bigint as total from long)")
 _RULES_AT = "case dim " + " ".join(f"when '{k}' then rules_{k}" for k in range(1, 10)) + " end"
 _HITS_AT = "case dim " + " ".join(f"when '{k}' then h_type_{k}" for k in range(1, 10)) + " end"
-add("enneagram_evidence", lambda s, d: (x := scored(s, d), S.ranked(x, "enneagram", *MODELS["enneagram"]).where("rank <= 4").join(x.select("interview_id", *(f"rules_{k}" for k in range(1, 10)), *(f"h_type_{k}" for k in range(1, 10))), "interview_id").selectExpr("interview_id", "dim as type", "rank", "score", f"{_HITS_AT} as hits", f"{_RULES_AT} as rules"))[1], f"{O.prelude(WORDS)}, long as ({scores_sql('enneagram')}), ranked as (select *, {RANKED} as rank from long) select interview_id, dim as type, rank, r.score, {_HITS_AT} as hits, {_RULES_AT} as rules from ranked r join scored using (interview_id) where rank <= 4")
+
+_TOP = "max(score) over (partition by interview_id)"
+add(
+    "secondary_traits",
+    lambda s, d: S.ranked(scored(s, d, " ".join(MODELS["bigfive"][1]) + " big_max"), "bigfive", *MODELS["bigfive"], ["big_max"]).where("rank in (2, 3) and 10 * score >= 7 * big_max").select("interview_id", "dim", "score", "rank"),
+    f"{O.prelude(WORDS)}, long as ({scores_sql('bigfive')}), ranked as (select *, {RANKED} as rank, {_TOP} as top from long) select interview_id, dim, score, rank from ranked where rank in (2, 3) and 10 * score >= 7 * top",
+)
+_LEVEL = "case when score >= 65 then 'high' when score >= 50 then 'medium' else 'low' end"
+_AT = lambda prefix: "case dim " + " ".join(f"when '{k}' then {prefix}_{k}" for k in TYPES) + " end"
+_SIGNS = "case when hits >= 5 and rules >= 3 then 'words,rules' when hits >= 5 then 'words' when rules >= 3 then 'rules' else 'weak' end"
+_TYPE_ROWS = ["*", f"{_AT('h_type')} as hits", f"{_AT('rules')} as rules"]
+_TYPE_CARRY = [f"{p}_{k}" for p in ("h_type", "rules") for k in TYPES]
+
+
+def type_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked types with their keyword hits and the rules that hold."""
+    row = scored(spark, sf_dir, " ".join(MODELS["enneagram"][1] + _TYPE_CARRY))
+    return S.ranked(row, "enneagram", *MODELS["enneagram"], _TYPE_CARRY).selectExpr(*_TYPE_ROWS)
+
+
+_TYPES_SQL = f"{O.prelude(WORDS)}, long as ({scores_sql('enneagram')}), ranked as (select *, {RANKED} as rank from long), with_ as (select r.*, {_AT('h_type')} as hits, {_AT('rules')} as rules from ranked r join scored using (interview_id))"
+_TWO = ["interview_id", "dim as type", "score", "rank", f"{_LEVEL} as level", f"{_SIGNS} as evidence"]
+add("top_two_types", lambda s, d: type_rows(s, d).where("rank <= 2").selectExpr(*_TWO), f"{_TYPES_SQL} select {', '.join(_TWO)} from with_ where rank <= 2")
+_FOUR = ["interview_id", "dim as type", "rank", "score", f"{_LEVEL} as band", "hits", "rules"]
+add("enneagram_evidence", lambda s, d: type_rows(s, d).where("rank <= 4").selectExpr(*_FOUR), f"{_TYPES_SQL} select {', '.join(_FOUR)} from with_ where rank <= 4")
+_PROBE_VALUES = ", ".join(f"('{d}', '{c}', '{x}')" for d, (c, x) in R.STYLE_PROBES.items())
+
+
+def probe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each style with the question of its place: confirm the first two, challenge the last two. The table of probes has four rows."""
+    table = spark.sql(f"select * from values {_PROBE_VALUES} as p(dim, confirm, challenge)")
+    rows = ranked("disc")(spark, sf_dir).join(F.broadcast(table), "dim")
+    return rows.selectExpr("interview_id", "dim", "rank", "case when rank <= 2 then 'confirm' else 'challenge' end as probe", "case when rank <= 2 then confirm else challenge end as question")
+
+
+add("probe_plan", probe_plan, f"{O.prelude(WORDS)}, long as ({scores_sql('disc')}), ranked as (select *, {RANKED} as rank from long) select interview_id, r.dim, rank, case when rank <= 2 then 'confirm' else 'challenge' end as probe, case when rank <= 2 then confirm else challenge end as question from ranked r join (values {_PROBE_VALUES}) p(dim, confirm, challenge) on p.dim = r.dim")
+_SHARE = "case when total = 0 then cast(0 as double) else cast((20000 * score + total) div (2 * total) as double) / 10000 end"
+_OFFSET = "case when total = 0 then cast(0 as double) else cast((20000 * before + total) div (2 * total) as double) / 10000 end"
+
+
+def score_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each style's share of the sum of the four, and where it begins if they are put one after the other."""
+    row = scored(spark, sf_dir, " ".join(MODELS["disc"][1]))
+    rows = S.ranked(row, "disc", *MODELS["disc"], ["disc_d + disc_i + disc_s + disc_c as total", "array(0, disc_d, disc_d + disc_i, disc_d + disc_i + disc_s) as sums"])
+    return rows.selectExpr("interview_id", "dim", f"{_SHARE} as share", "sums[cast(dim_ord as int)] as before", "total").selectExpr("interview_id", "dim", "share", f"{_OFFSET} as offset")
+
+
+add("score_share", score_share, f"{O.prelude(WORDS)}, long as ({scores_sql('disc')}), sums as (select *, sum(score) over (partition by interview_id)::bigint as total, (sum(score) over (partition by interview_id order by dim_ord) - score)::bigint as before from long) select interview_id, dim, {ansi(_SHARE)} as share, {ansi(_OFFSET)} as offset from sums")
+_UNION_SQL = O.union([f"select interview_id, {i}::bigint as ord, {quoted(k)} as type, {sev} as severity, {quoted(text)} as description from scored where {ansi(w)}" for i, (k, sev, w, text) in enumerate(R.UNION)])
+add(
+    "conflict_union",
+    lambda s, d: S.conflict_union(scored(s, d, str(R.UNION)), R.UNION),
+    f"{O.prelude(WORDS)}, found as ({_UNION_SQL}), once as (select * from found qualify row_number() over (partition by interview_id, type, left(description, 40) order by ord) = 1) select * from once qualify row_number() over (partition by interview_id order by ord) <= 8",
+)
 
 # mappings and probes
 _PROBE_ROWS = O.union([f"select interview_id, defect_{k} as severity, {i} as ord, '{k}' as defect, {j} as n, '{q}' as question from scored where defect_{k} is not null" for i, (k, qs) in enumerate(R.PROBES.items()) for j, q in enumerate(qs)])
@@ -172,8 +234,44 @@ _DISC_BIG = ", ".join(f"('{d}', '{b}', {w}::double)" for d, dims in L.DISC_TO_BI
 add("dim_adjustments", lambda s, d: S.dim_adjustments(scored(s, d, "disc_top")), f"{O.prelude(WORDS)} select interview_id, disc_top, v.dim, v.adjustment from scored join (values {_DISC_BIG}) v(disc, dim, adjustment) on v.disc = disc_top")
 _BIG_TYPES = O.union([f"select interview_id, {i} as ord, '{c}' as type, {d} as weight from scored where {w}" for i, (c, d, w) in enumerate(S.BIGFIVE_TYPES)])
 add("bigfive_to_enneagram", lambda s, d: S.bigfive_to_types(scored(s, d, str(S.BIGFIVE_TYPES))), f"{O.prelude(WORDS)}, found as ({_BIG_TYPES}) select interview_id, type, weight, row_number() over (partition by interview_id order by weight desc, ord) as rank from found qualify rank <= 3")
-add("enneagram_fusion", lambda s, d: S.type_fusion(scored(s, d, str(S.BIGFIVE_TYPES) + " disc_top " + " ".join(MODELS["enneagram"][1]))), f"{O.prelude(WORDS)}, big as ({_BIG_TYPES}), long as ({scores_sql('enneagram')}), parts as (select interview_id, type, weight as p, 'bigfive' as source from big union all select interview_id, v.type, round(v.weight * 100)::bigint, 'disc' from scored join (values {_DISC_TYPES}) v(disc, type, weight) on v.disc = disc_top union all select interview_id, dim, score, 'direct' from long), total as (select interview_id, type, sum(p)::bigint as points, count(distinct source) as n_sources from parts group by all) select *, row_number() over (partition by interview_id order by points desc, type) as rank from total qualify rank <= 3")
 _ROLES = "case {} " + " ".join(f"when '{k}' then ['" + "','".join(v) + "']" for k, v in R.STYLE_ROLES.items()) + " end"
 add("role_recommendation", lambda s, d: S.style_roles(scored(s, d, "disc_top disc_second")), f"{O.prelude(WORDS)}, both_ as (select interview_id, {_ROLES.format('disc_top')} || {_ROLES.format('disc_second')} as r from scored) select interview_id, array_to_string((list_filter(r, lambda x, i: list_position(r, x) = i))[1:4], ',') as roles from both_")
 _MOTIVE = ", ".join(f"('{k}', '{m}', '{f}', '{w}')" for k, (m, f, w) in R.MOTIVES.items())
 add("motivation_lookup", lambda s, d: S.motives(scored(s, d, "type_top type_max")), f"{O.prelude(WORDS)} select interview_id, type_top, v.motive, v.fear, v.desire, case when type_max >= 70 then 'marked' when type_max >= 50 then 'present' else 'faint' end as level from scored join (values {_MOTIVE}) v(k, motive, fear, desire) on v.k = type_top")
+
+_PARTS = f"""big as ({_BIG_TYPES}), long as ({scores_sql('enneagram')}), parts as (
+    select interview_id, type, weight as p, 'bigfive' as source from big
+    union all select interview_id, v.type, round(v.weight * 100)::bigint, 'disc' from scored join (values {_DISC_TYPES}) v(disc, type, weight) on v.disc = disc_top
+    union all select interview_id, dim, score, 'direct' from long
+), total as (select interview_id, type, sum(p)::bigint as points, string_agg(distinct source, ',' order by source) as sources from parts group by all)"""
+add(
+    "enneagram_fusion",
+    lambda s, d: S.type_fusion(scored(s, d, str(S.BIGFIVE_TYPES) + " disc_top " + " ".join(MODELS["enneagram"][1]))),
+    f"{O.prelude(WORDS)}, {_PARTS} select *, row_number() over (partition by interview_id order by points desc, type) as rank from total qualify rank <= 3",
+)
+
+
+def listed(rules: Sequence[R.Rule], most: int) -> str:
+    """SQL of the codes of the first rules that hold, joined."""
+    return f"array_to_string(list_filter([{', '.join(f'case when {ansi(w)} then {quoted(c)} end' for c, _, w in rules)}], lambda x: x is not null)[1:{most}], ',')"
+
+
+def masking_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = scored(spark, sf_dir, "disc_confidence sample_quality impression_risk " + str((R.FINDINGS, R.HIRE_RISKS, R.GAPS)))
+    lists = ((R.FINDINGS, 4, "findings"), (R.HIRE_RISKS, 4, "risks"), (R.GAPS, 5, "gaps"))
+    return row.select("interview_id", "disc_confidence", "sample_quality", "impression_risk", *(F.array_join(S.codes(rules, most), ",").alias(name) for rules, most, name in lists))
+
+
+add("masking_view", masking_view, f"{O.prelude(WORDS)} select interview_id, disc_confidence, sample_quality, impression_risk, {listed(R.FINDINGS, 4)} as findings, {listed(R.HIRE_RISKS, 4)} as risks, {listed(R.GAPS, 5)} as gaps from scored")
+_LABELS = ", ".join(f"('{k}', '{v}')" for k, v in R.DEFECT_LABELS.items())
+
+
+def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects with their labels, and the code where there is none. The table of labels has a fixed size."""
+    table = spark.sql(f"select * from values {_LABELS} as l(defect, label)")
+    rows = S.rows_where(scored(spark, sf_dir, str(R.STAR_DEFECTS)), R.STAR_DEFECTS).selectExpr("interview_id", "code as defect", "detail as severity")
+    return rows.join(F.broadcast(table), "defect", "left").selectExpr("interview_id", "defect", "severity", "coalesce(label, defect) as label")
+
+
+_FOUND = O.union([f"select interview_id, {quoted(c)} as defect, {d} as severity from scored where {w}" for c, d, w in R.STAR_DEFECTS])
+add("label_lookup", label_lookup, f"{O.prelude(WORDS)}, found as ({_FOUND}) select interview_id, f.defect, severity, coalesce(label, f.defect) as label from found f left join (values {_LABELS}) l(defect, label) on l.defect = f.defect")

@@ -19,6 +19,8 @@ Layer = Mapping[str, str]
 ON_ANSWERS = ("action emotional social certainty hedge achievement process detail risk imperative qualifier modal logical contrast abstract buzzword quantitative temporal constraint vague_result tool_method step_connector context_marker self_result team_result reflection singular plural second third adjective star_s star_t star_a star_r weak_s weak_t weak_a weak_r").split()
 RATIOS = ("action emotional social certainty hedge achievement process detail risk imperative qualifier modal logical contrast abstract buzzword quantitative temporal constraint vague_result tool_method step_connector context_marker self_result singular plural second third adjective").split()
 TEAM = ("团队", "大家")
+#: Rules against a style that make a high score of it a contradiction.
+MIN_AGAINST = 2
 SYNTAX = {"s": "当时|背景", "t": "", "a": "首先|第一步", "r": "[0-9]+|%|提升了|降低了"}
 
 
@@ -106,6 +108,11 @@ def tops() -> Layer:
         share = f"cast({x} as double) / ({x} + {y}) * 100"
         out[f"pref_{axis}"] = f"case when {x} + {y} < 5 then 'unclear' when {share} > 55 then '{a}' when {share} < 45 then '{b}' else 'neutral' end"
         out[f"strength_{axis}"] = f"cast(case when {x} + {y} < 5 then 50 when {share} > 55 then floor({share}) when {share} < 45 then floor(100 - {share}) else 50 end as bigint)"
+        strength = f"(case when {x} + {y} < 5 then 50 when {share} > 55 then floor({share}) when {share} < 45 then floor(100 - {share}) else 50 end)"
+        out[f"conf_{axis}"] = f"case when {x} + {y} < 5 then 'low' when {strength} >= 70 then 'clear' when {strength} >= 60 then 'moderate' when {strength} >= 55 then 'slight' else 'neutral' end"
+    # styles with a high score against which so many rules speak as well
+    against = {d: [c for c, n in rules if n < 0] for d, rules in L.DISC.items()}
+    out["contradictions"] = " + ".join(f"case when disc_{d.lower()} >= 60 and {points([(c, 1) for c in rules])} >= {MIN_AGAINST} then 1 else 0 end" for d, rules in against.items())
     out["star_overall"] = "cast(15 * dim_s + 15 * dim_t + 35 * dim_a + 35 * dim_r as double) / 100"
     out["n_low_dims"] = "case when dim_s < 35 then 1 else 0 end + case when dim_t < 35 then 1 else 0 end + case when dim_a < 35 then 1 else 0 end + case when dim_r < 35 then 1 else 0 end"
     out["dim_mean"] = "cast(dim_s + dim_t + dim_a + dim_r as double) / 4"
@@ -147,12 +154,14 @@ def seconds() -> Layer:
 
 
 def summary() -> Layer:
-    high = " + ".join(f"case when defect_{k} = 'high' then 1 else 0 end" for k in DEFECTS)
+    high = "(" + " + ".join(f"case when defect_{k} = 'high' then 1 else 0 end" for k in DEFECTS) + ")"
+    medium = "(" + " + ".join(f"case when defect_{k} = 'medium' then 1 else 0 end" for k in DEFECTS) + ")"
     odd = " + ".join(f"case when big_{d} > 90 or big_{d} < 12 then 1 else 0 end" for d in "ocean")
     return {
         "n_high": high,
         "star_confidence": f"case when cand_chars >= 200 and dim_s >= 50 and dim_t >= 50 and dim_a >= 60 and dim_r >= 60 and {high} = 0 and star_overall >= 55 then 'high' when cand_chars < 60 or star_overall < 30 or {high} >= 2 then 'low' else 'medium' end",
-        "disc_confidence": "case when sample_quality = 'low' then 'low' when sample_quality = 'high' and richness >= 0.7 then 'high' else 'medium' end",
+        "disc_confidence": "case when sample_quality = 'high' and contradictions = 0 and richness >= 0.7 then 'high' when sample_quality = 'low' or contradictions > 2 then 'low' else 'medium' end",
+        "star_notes": f"case when cand_chars >= 200 and dim_s >= 50 and dim_t >= 50 and dim_a >= 60 and dim_r >= 60 and {high} = 0 and star_overall >= 55 then 'distinct_and_rich' when cand_chars < 60 or star_overall < 30 or {high} >= 2 then concat_ws(',', case when cand_chars < 60 then 'too_short' end, case when star_overall < 30 then 'very_low_overall' end, case when {high} >= 2 then 'grave_defects' end) when {high} = 1 or {medium} > 0 then 'defects_beside_signals' else 'structure_without_substance' end",
         "mbti_confidence": "case when sample_quality = 'low' then 'low' when n_clear >= 3 and sample_quality = 'high' then 'high' when n_neutral >= 2 then 'low' else 'medium' end",
         "big_confidence": f"case when word_count < 60 or n_turns <= 1 then 'low' when {odd} >= 3 then 'low' when word_count >= 300 and n_turns >= 3 then 'high' else 'medium' end",
         "type_confidence": "case when type_max >= 68 and type_max - type_second_score >= 20 then 'high' when word_count < 150 or n_turns <= 1 then 'low' when type_max - type_second_score <= 8 then 'low' else 'medium' end",

@@ -53,7 +53,28 @@ ADJUSTMENTS: list[Rule] = [
     ("disc_c_up", _lit("orderly"), "big_c >= 70 and big_confidence = 'high'"),
     ("disc_d_check", _lit("achiever"), "(type_top = '3' or type_second = '3') and achievement_ratio >= 0.015"),
 ]
-HYPOTHESES: list[Rule] = [("top", "disc_top", "true"), ("second", "disc_second", "true"), ("composite", "'DC'", "concat(disc_top, disc_second) in ('DC', 'CD')")]
+def _score_of(style: str) -> str:
+    return f"case {style} when 'D' then disc_d when 'I' then disc_i when 'S' then disc_s else disc_c end"
+
+
+def _strength(style: str) -> str:
+    score = _score_of(style)
+    return f"concat({style}, ':', case when {score} >= 75 then 'strong' when {score} >= 50 then 'medium' else 'weak' end)"
+
+
+HYPOTHESES: list[Rule] = [("top", _strength("disc_top"), "true"), ("second", _strength("disc_second"), "true"), ("composite", "'DC:medium'", "concat(disc_top, disc_second) in ('DC', 'CD')")]
+#: Rules of several models under one scheme: (type, severity, condition, description). Equal types with equal first 40 characters count once.
+UNION: list[tuple[str, str, str, str]] = [
+    *(("disc_mbti", "'medium'", f"disc_{d.lower()} >= 70 and mbti_type like '%{x}%'", f"style {d} seldom goes with {x}") for d, letters in L.UNLIKELY.items() for x in letters),
+    *(("disc_mbti_pattern", "'high'", f"disc_{d.lower()} >= 70 and mbti_type like '%P%'", f"high {d} beside P") for d in "DC"),
+    *(("trait_risk", "'medium'", f"big_{d} >= {n} and big_{e} <= {m}", f"{d.upper()} is high while {e.upper()} is low, so one of the two may be dressed up for the talk") for d, n, e, m in (("n", 70, "e", 45), ("o", 65, "c", 45), ("e", 65, "a", 45))),
+    *(("trait_risk", "'low'", f"big_{d} >= {n} and big_{e} <= {m}", f"{d.upper()} is high while {e.upper()} is low, so one of the two may be dressed up (weak)") for d, n, e, m in (("n", 60, "e", 50), ("o", 60, "c", 50))),
+    *((code, severity, condition, f"type risk {code}") for code, severity, condition in TYPE_RISKS),
+]
+#: What confirms or challenges a style, by code.
+STYLE_PROBES = {"D": ("hard_call", "listened"), "I": ("won_over", "worked_alone"), "S": ("kept_team", "forced_change"), "C": ("found_error", "fast_guess")}
+#: Labels of defects and of score levels; those without one are shown by their code.
+DEFECT_LABELS = {"fake_star": "staged story", "team_substitution": "team instead of self", "situation_missing": "no situation", "action_vague": "vague action"}
 AXIS_QUESTIONS: list[Rule] = [((a + b), "'high'", f"strength_{(a + b).lower()} < 60") for a, b in L.AXES] + [((a + b), "'medium'", f"strength_{(a + b).lower()} >= 70") for a, b in L.AXES]
 #: Two questions for each defect, by code; one code is shared, so that it is asked once.
 PROBES = {"fake_star": ("ask_replay", "ask_numbers"), "team_substitution": ("ask_own_part", "ask_decision"), "situation_missing": ("ask_scene", "ask_limits"), "result_attribution_error": ("ask_own_part", "ask_credit"), "action_vague": ("ask_steps", "ask_decision"), "result_abstract": ("ask_numbers", "ask_check")}
