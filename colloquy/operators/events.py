@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators import folds
@@ -65,3 +65,17 @@ def ema_scores(events: DataFrame) -> DataFrame:
 
 def appended(events: DataFrame) -> DataFrame:
     return folds.fold(events.where("kind = 'final'"), folds.append()).select("session_id", "event_id", "seg_id", "status")
+
+
+def evictions(events: DataFrame, ttl: str) -> DataFrame:
+    """(session_id, first_ms, evicted_ms, n_events): a session's state goes when nothing came for the ttl; a later event begins anew."""
+    timed = events.withColumn("ts", F.timestamp_millis("ms"))
+    runs = timed.groupBy("session_id", F.session_window("ts", ttl).alias("w")).agg(F.count("*").alias("n_events"))
+    return runs.select("session_id", F.unix_millis("w.start").alias("first_ms"), F.unix_millis("w.end").alias("evicted_ms"), "n_events")
+
+
+def late_events(events: DataFrame, delay_ms: int) -> DataFrame:
+    """(session_id, event_id, watermark, late): events that come, in order of their id, behind their session's latest time less the delay."""
+    seen = Window.partitionBy("session_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    watermark = F.max("ms").over(seen) - delay_ms
+    return events.select("session_id", "event_id", watermark.alias("watermark"), F.coalesce(F.col("ms") < watermark, F.lit(False)).alias("late"))

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators import folds
 from colloquy.operators import turns as T
 from colloquy.plans.layers import all_layers, apply, counts
 
@@ -19,8 +20,8 @@ SUMMED = ("sent", "sent_chars", "cand_chars", "n_turns", "n_segments")
 
 def segment_counts(segments: DataFrame, words: Mapping[str, Sequence[str]]) -> DataFrame:
     """The columns of `counts` for each segment alone: answers count for t, every line for w."""
-    told = (F.col("speaker") == "candidate") & (T.utrim(F.col("text")) != "")
-    rows = segments.select("interview_id", "seg_id", "speaker", F.when(told, T.utrim(F.col("text"))).otherwise("").alias("t"), T.display_line(F.col("speaker"), F.col("text")).alias("w"), F.when(told, T.question_type(F.coalesce(T.asked(), F.lit("")))).alias("kind"))
+    told = (F.col("speaker") == "candidate") & (T.utrim(F.coalesce("text", F.lit(""))) != "")
+    rows = segments.select("interview_id", "seg_id", "speaker", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), F.when(told, T.utrim(F.col("text"))).otherwise("").alias("t"), T.display_line(F.col("speaker"), F.coalesce("text", F.lit(""))).alias("w"), F.when(told, T.question_type(F.coalesce(T.asked(), F.lit("")))).alias("kind"))
     parts = T.sentences(F.col("t"))
     rows = rows.select("*", F.size(parts).cast("long").alias("sent"), F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("sent_chars"), F.length("t").cast("long").alias("cand_chars"), F.col("kind").isNotNull().cast("long").alias("n_turns"), F.lit(1).cast("long").alias("n_segments"))
     layer = dict(counts(words))
@@ -30,22 +31,23 @@ def segment_counts(segments: DataFrame, words: Mapping[str, Sequence[str]]) -> D
 
 
 def rolling(segments: DataFrame, words: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(interview_id, seg_id, all features and scores) at each candidate segment."""
+    """(interview_id, seg_id, speaker, chars, all features and scores) as far as each segment; chars are those of the segment."""
     rows = segment_counts(segments, words)
     sofar = Window.partitionBy("interview_id").orderBy("seg_id").rowsBetween(Window.unboundedPreceding, 0)
     names = [*SUMMED, *counts(words)]
     least = {"text_length": 1, "word_count": 1}
     sums = [F.greatest(F.lit(least.get(c, 0)), F.sum(c).over(sofar)).cast("long").alias(c) for c in names]
-    out = rows.select("interview_id", "seg_id", "speaker", F.size(F.collect_set("kind").over(sofar)).cast("long").alias("n_types"), *sums).where("speaker = 'candidate'").drop("speaker")
+    out = rows.select("interview_id", "seg_id", "speaker", "chars", F.size(F.collect_set("kind").over(sofar)).cast("long").alias("n_types"), *sums)
     return apply(out, all_layers(words)[1:])
 
 
-def live_disc(rolled: DataFrame, least_chars: int = 20) -> DataFrame:
-    """(interview_id, seg_id, status, dominant, scores, deltas): the dominant style is the first by letter of the largest scores."""
-    order = Window.partitionBy("interview_id").orderBy("seg_id")
-    dims = ["c", "d", "i", "s"]
-    most = F.greatest(*(F.col(f"disc_{d}") for d in dims))
-    dominant = F.coalesce(*(F.when(F.col(f"disc_{d}") == most, d.upper()) for d in dims))
-    status = F.when(F.col("cand_chars") < least_chars, "collecting").otherwise("active")
-    deltas = [F.coalesce(F.col(f"disc_{d}") - F.lag(f"disc_{d}").over(order), F.lit(0).cast("long")).alias(f"delta_{d}") for d in dims]
-    return rolled.select("interview_id", "seg_id", status.alias("status"), dominant.alias("dominant"), *(f"disc_{d}" for d in dims), *deltas)
+def refreshed(rolled: DataFrame, segments: int = 2, chars: int = 80) -> DataFrame:
+    """The rows of rolling() at which an analysis is due: enough new segments or candidate characters since the last one."""
+    return folds.fold(rolled, folds.refresh(segments, chars), key="interview_id", order=("seg_id",)).where("fired").drop("fired")
+
+
+def live_disc(rolled: DataFrame, roles: Mapping[str, Sequence[str]], least_chars: int = 20) -> DataFrame:
+    """(interview_id, seg_id, disc_confidence, status, dominant, secondary, live scores, deltas, roles) at each candidate segment: see folds.live."""
+    scores = [f"disc_{d}" for d in "cdis"]
+    rows = rolled.where("speaker = 'candidate'").select("interview_id", "seg_id", "cand_chars", "disc_confidence", *scores)
+    return folds.fold(rows, folds.live(dict(roles), least_chars), key="interview_id", order=("seg_id",)).drop("cand_chars", *scores)

@@ -58,6 +58,21 @@ def merge_segments(lines: DataFrame) -> DataFrame:
     return grouped.groupBy("interview_id", "seg_id", "speaker").agg(texts.alias("text")).select("interview_id", F.col("seg_id").cast("long").alias("seg_id"), "speaker", "text")
 
 
+#: Cues of a question and of an answer in a single line (own lists).
+QUESTION_CUES = ("请问", "能不能", "能否", "可不可以", "怎么", "如何", "为什么", "什么", "有没有", "是否", "哪个", "哪些", "多少", "介绍一下", "说说")
+ANSWER_CUES = ("我", "当时", "因为", "所以", "最后", "负责", "完成", "项目", "结果")
+
+
+def looks_like_question(text: Column) -> Column:
+    """Ends with a question mark or holds a cue; blank text does not."""
+    return (text != "") & (text.rlike("[？?]$") | text.rlike("|".join(QUESTION_CUES)))
+
+
+def looks_like_answer(text: Column, least: int = 18) -> Column:
+    """Long enough, or holds a cue; blank text does not."""
+    return (text != "") & ((F.length(text) >= least) | text.rlike("|".join(ANSWER_CUES)))
+
+
 def question_type(text: Column) -> Column:
     out = F.when(F.coalesce(text, F.lit("")) == "", "unlabelled")
     for kind, words in L.QUESTIONS:

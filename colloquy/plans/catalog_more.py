@@ -33,45 +33,18 @@ _COMPILED = O.union([f"select interview_id, '{k}' as type, ({' + '.join(f'case w
 add("rule_match", rule_match, f"{O.prelude(WORDS)} {_COMPILED}")
 
 _BASE = f"with {O.SEGMENTS}, {O.TURNS}, {O.INTERVIEWS}"
-_JOB_HITS = {j: hits("w", words) for j, words in L.JOBS.items()}
-_MOST = "greatest(" + ", ".join(f"j_{j}" for j in L.JOBS) + ")"
-_JOB = "case when " + _MOST + " = 0 then 'unknown' " + " ".join(f"when j_{j} = {_MOST} then '{j}'" for j in L.JOBS) + " end"
-_CONFIDENCE = f"case when {_MOST} = 0 then 20 else least(90, 35 + 10 * {_MOST}) end"
-_JOB_COLUMNS = ["interview_id", f"{_JOB} as job", f"cast({_CONFIDENCE} as bigint) as confidence_percent"]
-_jobs = lambda s, d: interviews(s, d).selectExpr("interview_id", *(f"cast({h} as bigint) as j_{j}" for j, h in _JOB_HITS.items()))
-_JOBS_SQL = f"{_BASE}, jobs as (select interview_id, {', '.join(f'({ansi(h)})::bigint as j_{j}' for j, h in _JOB_HITS.items())} from base)"
-add("job_inference", lambda s, d: _jobs(s, d).selectExpr(*_JOB_COLUMNS), f"{_JOBS_SQL} select {', '.join(_JOB_COLUMNS)} from jobs")
-_HINT = "case when interview_id % 4 = 0 then 'sales' else '' end"
-_OVERRIDE = ["interview_id", f"case when {_HINT} <> '' then {_HINT} else {_JOB} end as job", f"cast(case when {_HINT} <> '' then 95 else {_CONFIDENCE} end as bigint) as confidence_percent"]
-add("job_hint_override", lambda s, d: _jobs(s, d).selectExpr(*_OVERRIDE), f"{_JOBS_SQL} select {', '.join(_OVERRIDE)} from jobs")
-
-_ASKS = ["interview_id", "seg_id", "case when text like '%？' or text like '%?' or text like '%什么%' or text like '%the that%' or text like '%背景%' then true else false end as question", "case when length(text) >= 18 or text like '%因为%' then true else false end as answer"]
-add("looks_like_question", lambda s, d: zh_turns(s, d).selectExpr(*_ASKS[:3]), f"with {O.SEGMENTS} select {', '.join(_ASKS[:3])} from segments")
-add("looks_like_answer", lambda s, d: zh_turns(s, d).selectExpr(*_ASKS[:2], _ASKS[3]), f"with {O.SEGMENTS} select {', '.join([*_ASKS[:2], _ASKS[3]])} from segments")
-
 # one regular expression for each dimension: its words do not overlap each other
 _FAST = {d: "|".join(sorted(WORDS[f"disc_{d}"], key=len, reverse=True)) for d in "disc"}
 _FAST_MAX = "greatest(f_d, f_i, f_s, f_c)"
 _FAST_OUT = ["interview_id", *(f"cast(case when {_FAST_MAX} < 3 then 0 else least(100, (80 * f_{d}) div {_FAST_MAX} + case when f_{d} = {_FAST_MAX} then 20 else 0 end) end as bigint) as fast_{d}" for d in "disc")]
 _lower = "translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 add("fast_disc", lambda s, d: interviews(s, d).selectExpr("interview_id", *(f"regexp_count({_lower}, '{p}') as f_{k}" for k, p in _FAST.items())).selectExpr(*_FAST_OUT), f"{_BASE}, f as (select interview_id, {', '.join(f'len(regexp_extract_all({_lower}, {quoted(p)})) as f_{k}' for k, p in _FAST.items())} from base) select {', '.join(ansi(c) if c.startswith('cast') else c for c in _FAST_OUT).replace('(80 * f_d) // ' + _FAST_MAX, '(80 * f_d) // greatest(1, ' + _FAST_MAX + ')')} from f")
-_MBTI = {x: "|".join(sorted(WORDS[f"side_{x}"], key=len, reverse=True)) for x in "eintfjps"}
-_MBTI_OUT = ["interview_id", *(f"cast(case when m_{x} >= 2 then least(70 + 5 * m_{x}, 95) else 0 end as bigint) as fast_{x}" for x in "eintfjps")]
-add("fast_mbti", lambda s, d: interviews(s, d).selectExpr("interview_id", *(f"regexp_count({_lower}, '{p}') as m_{k}" for k, p in _MBTI.items())).selectExpr(*_MBTI_OUT), f"{_BASE}, f as (select interview_id, {', '.join(f'len(regexp_extract_all({_lower}, {quoted(p)})) as m_{k}' for k, p in _MBTI.items())} from base) select {', '.join(_MBTI_OUT)} from f")
-_BEHAVE = [(d, "(" + " + ".join(f"case when w like '%{x}%' then 1 else 0 end" for x in WORDS[f"star_{d}"]) + ")") for d in "star"]
-add("star_behaviours", lambda s, d: interviews(s, d).select("interview_id", F.explode(F.array(*(F.struct(F.lit(k.upper()).alias("dim"), F.expr(e).cast("long").alias("words")) for k, e in _BEHAVE))).alias("r")).select("interview_id", "r.*").where("words > 0"), f"{_BASE} {O.union([f'''select interview_id, '{k.upper()}' as dim, {e}::bigint as words from base where {e} > 0''' for k, e in _BEHAVE])}")
 
 _FAMILIES = {"defects": R.STAR_DEFECTS, "findings": R.FINDINGS, "conflicts": R.CONFLICTS, "patterns": R.TRAIT_PATTERNS}
 add("rule_hit_rate", lambda s, d: reports.rule_hit_rates(scored(s, d), _FAMILIES), f"{O.prelude(WORDS)} {O.union([f'''select '{f}' as family, count(*) * {len(rules)} as checks, sum({' + '.join(f'case when {w} then 1 else 0 end' for _, _, w in rules)})::bigint as hits from scored''' for f, rules in _FAMILIES.items()])}")
 _LETTERS = {d: [x for x in letters] for d, letters in L.UNLIKELY.items()}
 add("letter_intersection", lambda s, d: scored(s, d).select("interview_id", "disc_top", F.array_join(F.array_intersect(F.split("mbti_type", ""), F.element_at(F.create_map(*(x for k, v in _LETTERS.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("disc_top"))), "").alias("letters")), f"{O.prelude(WORDS)} select interview_id, disc_top, concat({', '.join(f'''case when contains(case disc_top {' '.join(f"when '{k}' then '{''.join(v)}'" for k, v in _LETTERS.items())} end, mbti_type[{i}]) then mbti_type[{i}] else '' end''' for i in range(1, 5))}) as letters from scored")
 
-_PARTS = {"top": "disc_top", "confidence": "disc_confidence", "mbti": "mbti_type", "overall": "star_overall", "segments": "n_segments", "quality": "sample_quality"}
-add("report_sink", lambda s, d: reports.report(scored(s, d)).selectExpr("interview_id", "report.disc.top as top", "report.disc.confidence as confidence", "report.mbti.type as mbti", "report.star.overall as overall", "report.overview.segments as segments", "report.overview.sample_quality as quality", "array_join(report.findings, ',') as findings"), f"{O.prelude(WORDS)} select interview_id, {', '.join(f'{e} as {n}' for n, e in _PARTS.items())}, array_to_string(list_filter([{', '.join(f'''case when {w} then '{c}' end''' for c, _, w in R.FINDINGS)}], lambda x: x is not null)[1:4], ',') as findings from scored")
-_EVENT = "'{\"dominant\":\"' || disc_top || '\",\"secondary\":\"' || disc_second || '\",\"D\":' || disc_d || ',\"I\":' || disc_i || ',\"S\":' || disc_s || ',\"C\":' || disc_c || ',\"confidence\":\"' || disc_confidence || '\"}'"
-add("score_update_event", lambda s, d: reports.score_update(scored(s, d)), f"{O.prelude(WORDS)} select interview_id, {_EVENT} as event from scored")
-add("inference_requests", lambda s, d: reports.inference_requests(scored(s, d)).select("interview_id", F.get_json_object("request", "$.transcript").alias("transcript"), F.get_json_object("request", "$.style").alias("style"), F.get_json_object("request", "$.task").alias("task")), f"{O.prelude(WORDS)} select interview_id, right(w, 4000) as transcript, disc_top as style, 'review' as task from scored")
-add("inference_merge", lambda s, d: (x := scored(s, d).select("interview_id", "disc_top", "mbti_type"), reports.merge_results(x, x.where("interview_id % 3 = 0").select("interview_id", F.lit("X").alias("disc_top"), F.lit(" ").alias("mbti_type")), "interview_id", ["disc_top", "mbti_type"]))[1], f"{O.prelude(WORDS)} select interview_id, case when interview_id % 3 = 0 then 'X' else disc_top end as disc_top, mbti_type from scored")
 
 add("timed_segments", lambda s, d: J.timed_segments(zh_turns(s, d)), f"with {O.SEGMENTS}, sized as (select *, least(4800, greatest(1200, 120 * length(text)))::bigint as size from segments) select interview_id, seg_id, speaker, (sum(size) over (partition by interview_id order by seg_id) - size)::bigint as start_ms, (sum(size) over (partition by interview_id order by seg_id))::bigint as end_ms from sized")
 
@@ -87,31 +60,6 @@ add("diarised_json", diarised, f"with {O.SEGMENTS}, s as (select interview_id as
 add("provider_events", lambda s, d: J.provider_events(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.to_json(F.struct(F.concat(F.lit("speech."), F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "delta").when(F.col("event_type") == "view", "started").otherwise("completed")).alias("type"), F.col("event_type").alias("delta"), (F.col("event_id") * 0.5).alias("start"))).alias("value"))).select("id", "kind", "text", "start_ms"), "select event_id as id, case event_type when 'error' then 'error' when 'click' then 'delta' when 'view' then 'speech_start' else 'completed' end as kind, event_type as text, (event_id * 500)::bigint as start_ms from events")
 add("case_schema_check", lambda s, d: J.case_violations(s.read.parquet(f"{d}/labels.parquet").selectExpr("*", "cast(doc_id as varchar(20)) as case_id", "case doc_id % 5 when 0 then 'product' when 1 then 'sales' when 2 then 'engineering' when 3 then 'operations' else 'other' end as job_type", "case quality when 1 then 'senior' else 'junior' end as level", "case when toxic = 1 then 'weak' when quality = 1 then 'strong' else 'medium' end as case_quality", "sequence(1, cast(8 + doc_id % 5 as int)) as outline", "split(case when doc_id % 7 = 0 then 'D,I,S' else 'S,C,I,D' end, ',') as ranking")), "select doc_id::varchar as case_id, 'job_type' as rule from labels where doc_id % 5 = 4 union all select doc_id::varchar, 'outline' from labels where 8 + doc_id % 5 < 10 union all select doc_id::varchar, 'ranking' from labels where doc_id % 7 = 0")
 add("library_matrix", lambda s, d: s.read.parquet(f"{d}/labels.parquet").selectExpr("case doc_id % 4 when 0 then 'product' when 1 then 'sales' when 2 then 'engineering' else 'operations' end as job", "quality + 2 * toxic as q").groupBy("job").pivot("q", [0, 1, 2, 3]).count().na.fill(0).withColumnsRenamed({str(i): f"q{i}" for i in range(4)}), "select case doc_id % 4 when 0 then 'product' when 1 then 'sales' when 2 then 'engineering' else 'operations' end as job, count(*) filter (quality + 2 * toxic = 0) as q0, count(*) filter (quality + 2 * toxic = 1) as q1, count(*) filter (quality + 2 * toxic = 2) as q2, count(*) filter (quality + 2 * toxic = 3) as q3 from labels group by 1")
-add("prediction_vs_label", lambda s, d: s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "case when n_chars >= 400 then 1 else 0 end as predicted").join(s.read.parquet(f"{d}/labels.parquet"), "doc_id").selectExpr("doc_id", "predicted", "cast(quality as int) as expected", "predicted = quality as correct"), "select doc_id, case when n_chars >= 400 then 1 else 0 end as predicted, quality as expected, (case when n_chars >= 400 then 1 else 0 end) = quality as correct from documents join labels using (doc_id)")
-_FOLLOW = "coalesce(nullif(case when seg_id % 4 = 0 then 'D' end, ''), case when seg_id % 4 = 1 then 'I' end, case when seg_id % 4 = 2 then 'S' end, 'C')"
-add("followup_normalise", lambda s, d: zh_turns(s, d).where("speaker = 'interviewer'").selectExpr("interview_id", "seg_id", f"{_FOLLOW} as dim", "case when interview_id % 3 = 0 then 'high' else 'medium' end as priority", "trim(text) as question").where("question <> ''"), f"with {O.SEGMENTS} select interview_id, seg_id, {_FOLLOW} as dim, case when interview_id % 3 = 0 then 'high' else 'medium' end as priority, trim(text, ' ') as question from segments where speaker = 'interviewer' and trim(text, ' ') <> ''")
-
-# rolling analysis: counts of each segment, then running sums, then the same layers
-_C = dict(counts(WORDS))
-_C["text_length"], _C["word_count"] = (_C[c].replace("greatest(1, ", "greatest(0, ") for c in ("text_length", "word_count"))
-_NAMES = [*rolling.SUMMED, *_C]
-_SOFAR = "over (partition by interview_id order by seg_id rows between unbounded preceding and current row)"
-_STEPS, _LAST = [], "base1"
-for _i, _layer in enumerate(all_layers(WORDS)[1:]):
-    _STEPS.append(f"roll{_i} as (select *, {', '.join(f'{ansi(e)} as {n}' for n, e in _layer.items())} from {_LAST})")
-    _LAST = f"roll{_i}"
-_ROLL = f"""with {O.SEGMENTS}, {O.TURNS}, told as (
-    select interview_id, seg_id, speaker, case when speaker = 'candidate' then {O._TRIM.format('text')} else '' end as t, case speaker when 'interviewer' then '面试官' when 'candidate' then '候选人' else '发言人' end || '：' || text as w, case when speaker = 'candidate' and {O._TRIM.format('text')} <> '' then {O._KIND} end as kind from asked
-), parted as (select *, list_filter(list_transform(string_split_regex(t, '[。！？!?；;\\n]+'), lambda s: {O._TRIM.format('s')}), lambda s: s <> '') as parts from told
-), counted as (select *, len(parts) as sent, coalesce(list_sum(list_transform(parts, lambda x: length(x))), 0)::bigint as sent_chars, length(t) as cand_chars, (kind is not null)::bigint as n_turns, 1::bigint as n_segments, {', '.join(f'{ansi(e)} as {n}' for n, e in _C.items())} from parted
-), summed as (select interview_id, seg_id, speaker, len(list_distinct(list_filter(list(kind) {_SOFAR}, lambda k: k is not null))) as n_types, {', '.join(f"greatest({1 if c in ('text_length', 'word_count') else 0}, sum({c}) {_SOFAR})::bigint as {c}" for c in _NAMES)} from counted
-), base1 as materialized (select * from summed where speaker = 'candidate'), {', '.join(_STEPS)}"""
-_rolled = lambda s, d: rolling.rolling(zh_turns(s, d), WORDS)
-_ROLL_OUT = ["interview_id", "seg_id", "n_turns", "cand_chars", "disc_d", "disc_i", "disc_s", "disc_c", "big_top", "mbti_type", "star_overall", "sample_quality"]
-add("rolling_analysis", lambda s, d: _rolled(s, d).selectExpr(*_ROLL_OUT), f"{_ROLL} select {', '.join(_ROLL_OUT)} from {_LAST}")
-_DELTAS = ", ".join(f"coalesce(disc_{x} - lag(disc_{x}) over (partition by interview_id order by seg_id), 0) as delta_{x}" for x in "cdis")
-_DOMINANT = "case " + " ".join(f"when disc_{x} = greatest(disc_d, disc_i, disc_s, disc_c) then '{x.upper()}'" for x in "cdis") + " end"
-add("live_disc", lambda s, d: rolling.live_disc(_rolled(s, d)), f"{_ROLL} select interview_id, seg_id, case when cand_chars < 20 then 'collecting' else 'active' end as status, {_DOMINANT} as dominant, disc_c, disc_d, disc_i, disc_s, {_DELTAS} from {_LAST}")
 
 add("normalize_text", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.normalize_text(F.col("html")).alias("text")), "select page_id, regexp_replace(replace(replace(replace(html, chr(65279), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g') as text from pages")
 

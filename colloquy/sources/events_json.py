@@ -55,3 +55,33 @@ def case_violations(cases: DataFrame) -> DataFrame:
     }
     broken = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())))
     return cases.select("case_id", F.explode(broken).alias("rule"))
+
+
+FOLLOWUP = "question string, purpose string, target_dimension string, dimension string, defect_id string, label string, priority string"
+
+
+def followups(raw: DataFrame, priority: str = "medium", purpose: str = "verify") -> DataFrame:
+    """raw with (question, dimension, priority, purpose) in place of `value`, a follow-up as a JSON string or object.
+
+    The dimension is the first of four keys that is not blank; an unknown priority becomes the given one. Blank questions,
+    and values that are neither, are dropped.
+    """
+    o = F.from_json("value", FOLLOWUP)
+    text = F.when(F.ltrim("value").startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), F.col("value"), F.lit("}")), "$.x"))
+    said = lambda *keys: F.coalesce(*(F.nullif(F.trim(o[k]), F.lit("")) for k in keys))
+    level = F.lower(said("priority"))
+    rows = raw.select(
+        *(c for c in raw.columns if c != "value"),
+        F.trim(F.coalesce(text, o["question"], F.lit(""))).alias("question"),
+        F.coalesce(said("target_dimension", "dimension", "defect_id", "label"), F.lit("")).alias("dimension"),
+        F.when(level.isin("high", "medium", "low"), level).otherwise(priority).alias("priority"),
+        F.coalesce(said("purpose"), F.lit(purpose)).alias("purpose"),
+    )
+    return rows.where("question <> ''")
+
+
+def ranking_match(predicted: DataFrame, cases: DataFrame, key: str = "case_id") -> DataFrame:
+    """(key, predicted, expected, top_match, exact, in_place): rankings, as arrays, against those that labelled cases expect."""
+    both = predicted.select(key, F.col("ranking").alias("predicted")).join(cases.select(key, F.col("ranking").alias("expected")), key)
+    same = F.aggregate(F.zip_with("predicted", "expected", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
+    return both.select(key, "predicted", "expected", (F.get("predicted", F.lit(0)) == F.get("expected", F.lit(0))).alias("top_match"), (F.col("predicted") == F.col("expected")).alias("exact"), same.cast("long").alias("in_place"))
