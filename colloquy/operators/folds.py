@@ -145,6 +145,18 @@ def append() -> Fold:
     return Fold(("chars", "ended"), "n long, over boolean", (0, False), "seg_id bigint, status string", step)
 
 
+def partials() -> Fold:
+    """Characters of the candidate's partial text after each event; null without one. The candidate's segment, or a blank, takes it away."""
+
+    def step(s: State, kind: str, speaker: str, chars: int) -> tuple[State, tuple]:
+        if speaker != "candidate":
+            return s, (s[0] or None,)
+        part = chars if kind == "partial" else 0
+        return (part,), (part or None,)
+
+    return Fold(("kind", "speaker", "chars"), "part long", (0,), "partial bigint", step)
+
+
 DISC = "CDIS"  # equal scores are ranked by letter
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators import folds
@@ -18,18 +18,31 @@ from colloquy.plans.layers import all_layers, apply, counts
 SUMMED = ("sent", "sent_chars", "cand_chars", "n_turns", "n_segments")
 
 
-def segment_counts(segments: DataFrame, words: Mapping[str, Sequence[str]]) -> DataFrame:
-    """The columns of `counts` for each segment alone: answers count for t, every line for w."""
-    told = (F.col("speaker") == "candidate") & (T.utrim(F.coalesce("text", F.lit(""))) != "")
-    rows = segments.select("interview_id", "seg_id", "speaker", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), F.when(told, T.utrim(F.col("text"))).otherwise("").alias("t"), T.display_line(F.col("speaker"), F.coalesce("text", F.lit(""))).alias("w"), F.when(told, T.question_type(F.coalesce(T.asked(), F.lit("")))).alias("kind"))
+def own_counts(segments: DataFrame, told: Column, words: Mapping[str, Sequence[str]]) -> DataFrame:
+    """segments with the columns of `counts` for each alone, and chars: answers count for t, every line for w."""
+    said = T.utrim(F.coalesce("text", F.lit("")))
+    rows = segments.withColumns({
+        "chars": F.length(F.coalesce("text", F.lit(""))).cast("long"),
+        "t": F.when(told, said).otherwise(""),
+        "w": T.display_line(F.col("speaker"), F.coalesce("text", F.lit(""))),
+        "n_turns": told.cast("long"),
+        "n_segments": F.lit(1).cast("long"),
+    })
     parts = T.sentences(F.col("t"))
-    rows = rows.select("*", F.size(parts).cast("long").alias("sent"), F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("sent_chars"), F.length("t").cast("long").alias("cand_chars"), F.col("kind").isNotNull().cast("long").alias("n_turns"), F.lit(1).cast("long").alias("n_segments"))
+    rows = rows.withColumns({"sent": F.size(parts).cast("long"), "sent_chars": F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x)).cast("long"), "cand_chars": F.length("t").cast("long")})
     layer = dict(counts(words))
     layer["text_length"] = layer["text_length"].replace("greatest(1, ", "greatest(0, ")
     layer["word_count"] = layer["word_count"].replace("greatest(1, ", "greatest(0, ")
     return apply(rows, [layer])
 
 
+def segment_counts(segments: DataFrame, words: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The counts of each segment, and kind: that of the question which an answer takes."""
+    told = (F.col("speaker") == "candidate") & (T.utrim(F.coalesce("text", F.lit(""))) != "")
+    rows = segments.select("interview_id", "seg_id", "speaker", "text", F.when(told, T.question_type(F.coalesce(T.asked(), F.lit("")))).alias("kind"))
+    return own_counts(rows, told, words)
+
+
 def rolling(segments: DataFrame, words: Mapping[str, Sequence[str]]) -> DataFrame:
     """(interview_id, seg_id, speaker, chars, all features and scores) as far as each segment; chars are those of the segment."""
     rows = segment_counts(segments, words)

@@ -1,61 +1,154 @@
-"""Live sessions as a stream: segments get their number, triggers fire, scores are smoothed, silent sessions end.
+"""Live sessions as streams: the rules of `colloquy.operators.folds` on keyed state.
 
-State is kept for each session: counters and the last score, not the transcript, so a session's state does not grow.
-Order within a session is that of event time among the rows of a micro-batch; rows behind the watermark are dropped by
-the stateful operator and can be taken aside by `late_rows` first.
+A session's state is the few counters that its rule keeps, in the state store; it goes when the session is silent for the
+time to live, by an event-time timer. Order within a session is that of time, then id, among the rows of a micro-batch;
+rows behind the watermark are dropped by the stateful operator and can be taken aside by `late_rows` first. The state
+store has to be RocksDB (see CONF).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-OUT = "session_id long, event_id long, seg_id long, fired boolean, score long, status string"
-STATE = "seg_id long, n long, chars long, score long, has_score boolean"
+from colloquy.operators import folds
+from colloquy.operators.folds import Fold
 
+#: What a session needs for these streams.
+CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+DAY = 86_400_000
 
-def half_even(x: float) -> int:
-    return round(x)
 
+def _ordered(frames: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
+    return pd.concat(list(frames), ignore_index=True).sort_values(list(order), kind="stable")
 
-def session_snapshots(events: DataFrame, delay: str = "1 hour", silence_ms: int = 86_400_000, segments: int = 2, chars: int = 80) -> DataFrame:
-    """One row for each event (session_id, event_id, ts, speaker, chars, event_type); a row of status completed when a session ends.
 
-    A session ends with an event of kind `end`, or after a silence; its state goes then.
+class _Processor(StatefulProcessor):
+    """Steps a rule over the rows of a session; the state is one value."""
+
+    def __init__(self, rule: Fold, order: Sequence[str], kept: Sequence[str], ttl_ms: int, schema: StructType):
+        self.rule, self.order, self.kept, self.ttl_ms, self.schema = rule, order, kept, ttl_ms, schema
+        self.kept_state = StructType.fromDDL(rule.state)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.kept_state)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _ordered(rows, self.order)
+        state = self.state.get() if self.state.exists() else self.rule.start
+        out = []
+        for values in zip(*(batch[c].tolist() for c in self.rule.columns), strict=True):
+            state, said = self.rule.step(tuple(state), *values)
+            out.append(said)
+        self.state.update(tuple(state))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(batch["ms"].max()), timerValues.getCurrentWatermarkInMs()) + self.ttl_ms)
+        made = pd.DataFrame(out, columns=self.rule.names(), index=batch.index).astype(object)
+        yield pd.concat([batch[list(self.kept)], made], axis=1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame(columns=self.schema.fieldNames()).astype(object)
+
+    def close(self) -> None:
+        pass
+
+
+def _run(events: DataFrame, processor: StatefulProcessor, schema: StructType, delay: str) -> DataFrame:
+    timed = events.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", delay)
+    return timed.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventtime")
+
+
+def followed(events: DataFrame, rule: Fold, kept: Sequence[str] = ("session_id", "event_id"), delay: str = "1 hour", ttl_ms: int = DAY, order: Sequence[str] = ("ms", "event_id")) -> DataFrame:
+    """The kept columns of a stream of events, and what the rule says at each; the batch twin is folds.fold.
+
+    events: session_id, event_id, ms and the rule's columns.
+    """
+    schema = StructType([events.schema[c] for c in kept] + StructType.fromDDL(rule.out).fields)
+    return _run(events, _Processor(rule, order, kept, ttl_ms, schema), schema, delay)
+
+
+class _Enrolment(StatefulProcessor):
+    """Enrols two voices; embeddings from before that wait in a list, and get their roles when it is done."""
+
+    def __init__(self, same: float, weight: float, ttl_ms: int, schema: StructType):
+        self.rule, self.ttl_ms, self.schema = folds.enrol(same, weight), ttl_ms, schema
+        self.two, self.one = StructType.fromDDL(self.rule.state), StructType.fromDDL("event_id long, embedding array<double>")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.voices = handle.getValueState("voices", self.two)
+        self.waiting = handle.getListState("waiting", self.one)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _ordered(rows, ("ms", "event_id"))
+        state = tuple(self.voices.get()) if self.voices.exists() else self.rule.start
+        out = []
+        for event_id, embedding in zip(batch["event_id"].tolist(), batch["embedding"].tolist(), strict=True):
+            embedding = [float(x) for x in embedding]
+            state, (phase, *_) = self.rule.step(state, embedding)
+            if phase in ("interviewer", "update"):
+                self.waiting.appendValue((event_id, embedding))
+                continue
+            before = [(i, list(e)) for i, e in self.waiting.get()] if phase == "candidate" and self.waiting.exists() else []
+            if before:
+                self.waiting.clear()
+            for i, e in [*before, (event_id, embedding)]:
+                role = "candidate" if folds.alike(e, list(state[1])) > folds.alike(e, list(state[0])) else "interviewer"
+                out.append((key[0], i, role, i != event_id))
+        self.voices.update(state)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(batch["ms"].max()), timerValues.getCurrentWatermarkInMs()) + self.ttl_ms)
+        yield pd.DataFrame(out, columns=self.schema.fieldNames())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A session that ends without a second voice: all that waits is the interviewer's."""
+        left = [(key[0], i, "interviewer", True) for i, _ in self.waiting.get()] if self.waiting.exists() else []
+        self.waiting.clear()
+        self.voices.clear()
+        yield pd.DataFrame(left, columns=self.schema.fieldNames())
+
+    def close(self) -> None:
+        pass
+
+
+def enrolled_roles(events: DataFrame, same: float = 0.75, weight: float = 0.2, delay: str = "1 hour", ttl_ms: int = DAY) -> DataFrame:
+    """(session_id, event_id, role, corrected) for a stream of embeddings (session_id, event_id, ms, embedding).
+
+    corrected: the embedding came before both voices were known, and gets its role afterwards.
+    """
+    schema = StructType([events.schema["session_id"], events.schema["event_id"], *StructType.fromDDL("role string, corrected boolean").fields])
+    return _run(events, _Enrolment(same, weight, ttl_ms, schema), schema, delay)
+
+
+def running(columns: Sequence[str], least: dict[str, int]) -> Fold:
+    """Sums of a session's counts so far, and the kinds of questions it has answered: what rolling features follow from.
+
+    A row has kind, the kind of question if an interviewer asks one; the candidate's next answer takes it.
     """
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            seg_id = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"session_id": [key[0]], "event_id": [None], "seg_id": [seg_id], "fired": [False], "score": [None], "status": ["completed"]}).astype({"event_id": "Int64", "score": "Int64"})
-            return
-        seg_id, n, c, score, has = state.get if state.exists else (0, 0, 0, 0, False)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out, ended = [], False
-        for r in rows.itertuples():
-            seg_id, n = seg_id + 1, n + 1
-            c += int(r.chars) if r.speaker == "candidate" else 0
-            fired = n >= segments or c >= chars
-            if fired:
-                n = c = 0
-            now = int(r.chars) % 101
-            score, has = (half_even((58 * score + 42 * now) / 100), True) if has else (now, True)
-            ended = r.event_type == "end"
-            out.append((key[0], r.event_id, seg_id, fired, score, "completed" if ended else "active"))
-        if ended:
-            state.remove()
-        else:
-            state.update((seg_id, n, c, score, has))
-            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + silence_ms)
-        yield pd.DataFrame(out, columns=["session_id", "event_id", "seg_id", "fired", "score", "status"])
-
-    timed = events.withWatermark("ts", delay)
-    return timed.groupBy("session_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def step(state: tuple, speaker: str, told: bool, kind: str, *values: int) -> tuple[tuple, tuple]:
+        pending, kinds, *sums = state
+        sums = [a + b for a, b in zip(sums, values, strict=True)]
+        if speaker == "interviewer":
+            pending = kind
+        elif speaker == "candidate":
+            if told and (pending or "unlabelled") not in kinds.split(","):
+                kinds = f"{kinds},{pending or 'unlabelled'}".strip(",")
+            pending = ""
+        out = [max(least.get(c, 0), s) for c, s in zip(columns, sums, strict=True)]
+        return (pending, kinds, *sums), (len(kinds.split(",")) if kinds else 0, *out)
+
+    state = "pending string, kinds string, " + ", ".join(f"{c} long" for c in columns)
+    return Fold(("speaker", "told", "kind", *columns), state, ("", "", *[0] * len(columns)), "n_types bigint, " + ", ".join(f"sofar_{c} bigint" for c in columns), step)
 
 
 def once(events: DataFrame, delay: str = "1 hour") -> DataFrame:
