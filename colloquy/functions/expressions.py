@@ -30,7 +30,7 @@ def clamp(x: str, low: int = 0, high: int = 100) -> str:
 
 def points(rules: Iterable[tuple[str, int]]) -> str:
     """The sum of the points of the rules that hold."""
-    return "(" + " + ".join(f"case when {condition} then {n} else 0 end" for condition, n in rules) + ")"
+    return "(" + (" + ".join(f"case when {condition} then {n} else 0 end" for condition, n in rules) or "0") + ")"
 
 
 def tolerant(condition: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,11 +65,11 @@ def band(score: Column) -> Column:
     return F.when(score <= 24, "low").when(score <= 49, "guarded").when(score <= 74, "clear").otherwise("strong")
 
 
-def probes(scored: DataFrame) -> DataFrame:
-    """(interview_id, defect, severity, question, place): two questions for each defect, graver defects first; each question is asked once."""
+def probes(scored: DataFrame, questions: Mapping[str, Sequence[str]] = PROBES) -> DataFrame:
+    """(interview_id, defect, severity, question, place): the questions of each defect, graver defects first; each question is asked once."""
     order = lambda c: F.when(c == "high", 0).when(c == "medium", 1).otherwise(2)
     one = lambda i, k, j, q: F.struct(order(F.col(f"defect_{k}")).alias("grave"), F.lit(i).alias("ord"), F.lit(j).alias("n"), F.lit(k).alias("defect"), F.col(f"defect_{k}").alias("severity"), F.lit(q).alias("question"))
-    made = F.array_sort(F.filter(F.array(*(one(i, k, j, q) for i, (k, qs) in enumerate(PROBES.items()) for j, q in enumerate(qs))), lambda r: r["severity"].isNotNull()))
+    made = F.array_sort(F.filter(F.array(*(one(i, k, j, q) for i, (k, qs) in enumerate(questions.items()) for j, q in enumerate(qs))), lambda r: r["severity"].isNotNull()))
     placed = F.transform(made, lambda r, i: r.withField("place", (i + 1).cast("long")))
     rows = scored.select("interview_id", placed.alias("all"))
     return rows.select("interview_id", F.explode(first_of_each(F.col("all"), "question")).alias("r")).select("interview_id", "r.defect", "r.severity", "r.question", "r.place")
@@ -79,8 +79,8 @@ def mapping_rows(pairs: Sequence[tuple[str, str, float]]) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"), F.lit(float(w)).alias("w")) for k, v, w in pairs))
 
 
-def disc_to_types(scored: DataFrame) -> DataFrame:
-    pairs = [(d, str(t), w) for d, types in L.DISC_TO_TYPE.items() for t, w in types]
+def disc_to_types(scored: DataFrame, mapping: Mapping[str, Sequence[tuple[int | str, float]]] = L.DISC_TO_TYPE) -> DataFrame:
+    pairs = [(d, str(t), w) for d, types in mapping.items() for t, w in types]
     return scored.select("interview_id", "disc_top", F.explode(F.filter(mapping_rows(pairs), lambda r: r["k"] == F.col("disc_top"))).alias("r")).select("interview_id", "disc_top", F.col("r.v").alias("type"), F.col("r.w").alias("weight"))
 
 

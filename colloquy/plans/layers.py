@@ -9,10 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from colloquy.functions.expressions import clamp, hits, points, ratio, tolerant
 from colloquy.plans import lexicon as L
+from colloquy.plans.tables import Rules
 
 Layer = Mapping[str, str]
 
@@ -67,14 +68,14 @@ def features() -> Layer:
     return out
 
 
-def scores() -> Layer:
-    out = {f"disc_{d.lower()}": f"cast({clamp(clamp('25 + ' + points(rules)) + f' + least(22, 4 * h_disc_{d.lower()})')} as bigint)" for d, rules in L.DISC.items()}
-    out |= {f"big_{d.lower()}": f"cast({clamp(clamp('40 + ' + points(rules)) + f' + least(22, 3 * h_pos_{d.lower()}) - least(10, 4 * h_neg_{d.lower()})')} as bigint)" for d, rules in L.BIGFIVE.items()}
-    for k, rules in L.ENNEAGRAM.items():
-        compiled = [(f"{f} {op} {t}", n) for f, op, t, n in rules]
+def scores(rules: Rules) -> Layer:
+    out = {f"disc_{d.lower()}": f"cast({clamp(clamp('25 + ' + points(rules_)) + f' + least(22, 4 * h_disc_{d.lower()})')} as bigint)" for d, rules_ in rules.disc.items()}
+    out |= {f"big_{d.lower()}": f"cast({clamp(clamp('40 + ' + points(rules_)) + f' + least(22, 3 * h_pos_{d.lower()}) - least(10, 4 * h_neg_{d.lower()})')} as bigint)" for d, rules_ in rules.bigfive.items()}
+    for k, rules_ in rules.enneagram.items():
+        compiled = [(f"{f} {op} {t}", n) for f, op, t, n in rules_]
         out[f"type_{k}"] = f"cast({clamp(clamp('15 + ' + points(compiled)) + f' + least(28, 3 * h_type_{k})')} as bigint)"
         out[f"rules_{k}"] = f"cast({points([(c, 1) for c, _ in compiled])} as bigint)"
-    for side, (strong, soft, against) in L.MBTI.items():
+    for side, (strong, soft, against) in rules.mbti.items():
         total = points([(tolerant(c), n) for group, n in ((strong, 25), (soft, 12), (against, -15)) for c in group])
         out[f"side_{side.lower()}"] = f"cast(greatest(0, {total}) + least(30, 5 * h_side_{side.lower()}) as bigint)"
     bonus = {
@@ -100,7 +101,7 @@ def _second(names: Sequence[str], values: Sequence[str], top: str) -> str:
     return _top(names, left)
 
 
-def tops() -> Layer:
+def tops(rules: Rules) -> Layer:
     disc, big, types = [f"disc_{d}" for d in "disc"], [f"big_{d}" for d in "ocean"], [f"type_{k}" for k in range(1, 10)]
     out = {"disc_top": _top("DISC", disc), "big_top": _top("OCEAN", big), "type_top": _top([str(k) for k in range(1, 10)], types), "disc_max": f"greatest({', '.join(disc)})", "big_max": f"greatest({', '.join(big)})", "type_max": f"greatest({', '.join(types)})"}
     for a, b in L.AXES:
@@ -111,8 +112,8 @@ def tops() -> Layer:
         strength = f"(case when {x} + {y} < 5 then 50 when {share} > 55 then floor({share}) when {share} < 45 then floor(100 - {share}) else 50 end)"
         out[f"conf_{axis}"] = f"case when {x} + {y} < 5 then 'low' when {strength} >= 70 then 'clear' when {strength} >= 60 then 'moderate' when {strength} >= 55 then 'slight' else 'neutral' end"
     # styles with a high score against which so many rules speak as well
-    against = {d: [c for c, n in rules if n < 0] for d, rules in L.DISC.items()}
-    out["contradictions"] = " + ".join(f"case when disc_{d.lower()} >= 60 and {points([(c, 1) for c in rules])} >= {MIN_AGAINST} then 1 else 0 end" for d, rules in against.items())
+    against = {d: [c for c, n in rules_ if n < 0] for d, rules_ in rules.disc.items()}
+    out["contradictions"] = " + ".join(f"case when disc_{d.lower()} >= 60 and {points([(c, 1) for c in cs]) if cs else 0} >= {MIN_AGAINST} then 1 else 0 end" for d, cs in against.items())
     out["star_overall"] = "cast(15 * dim_s + 15 * dim_t + 35 * dim_a + 35 * dim_r as double) / 100"
     out["n_low_dims"] = "case when dim_s < 35 then 1 else 0 end + case when dim_t < 35 then 1 else 0 end + case when dim_a < 35 then 1 else 0 end + case when dim_r < 35 then 1 else 0 end"
     out["dim_mean"] = "cast(dim_s + dim_t + dim_a + dim_r as double) / 4"
@@ -171,8 +172,19 @@ def summary() -> Layer:
     }
 
 
-def all_layers(words: Mapping[str, Sequence[str]] | None = None) -> list[Layer]:
-    return [counts(words or L.WORDS), features(), scores(), tops(), defects(), seconds(), summary()]
+def all_layers(words: Mapping[str, Sequence[str]] | None = None, rules: Rules | None = None) -> list[Layer]:
+    rules = rules or Rules()
+    return [counts(words or L.WORDS), features(), scores(rules), tops(rules), defects(), seconds(), summary()]
+
+
+def analyse(interviews: DataFrame, words: Mapping[str, Sequence[str]] | None = None, rules: Rules | None = None, extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """Interviews with all features and scores, from the caller's word lists, rules and further features.
+
+    extra: columns over an interview's row and its features, Pandas UDFs among them; rules can ask for them by name.
+    """
+    low, high = all_layers(words, rules)[:2], all_layers(words, rules)[2:]
+    rows = apply(interviews, low)
+    return apply(rows.withColumns(dict(extra)) if extra else rows, high)
 
 
 def needed(layers: Sequence[Layer], text: str) -> list[Layer]:
