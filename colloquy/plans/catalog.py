@@ -12,6 +12,7 @@ from colloquy.operators import scoring as S
 from colloquy.operators import turns as T
 from colloquy.plans import lexicon as L
 from colloquy.plans import oracle as O
+from colloquy.plans import oracle_scores as OS
 from colloquy.plans import rows as R
 from colloquy.plans.layers import ON_ANSWERS, RATIOS, all_layers, apply, needed
 from colloquy.plans.views import flat_transcripts, zh_turns
@@ -105,8 +106,6 @@ wide("feature_highlights", *(f"cast(floor({c} * 100) as bigint) as {c}_percent"
 
 # scores
 wide("score_table", "sample_quality", *(c for _, cols in MODELS.values() for c in cols), "mbti_type", "star_overall", "disc_confidence", "mbti_confidence", "big_confidence", "type_confidence", "star_confidence")
-for _model, _conf in (("disc", "disc_confidence"), ("bigfive", "big_confidence"), ("enneagram", "type_confidence")):
-    wide(f"{_model}_scores", *MODELS[_model][1], "sample_quality", _conf)
 wide("mbti_axes", *(f"{p}_{(a + b).lower()}" for a, b in L.AXES for p in ("pref", "strength")), *(f"side_{x}" for x in "eintfjps"), "sample_quality", "mbti_confidence")
 wide("mbti_type", "mbti_type", "sample_quality", "mbti_confidence")
 wide("star_dimensions", *(f"dim_{d}" for d in "star"), "star_confidence")
@@ -126,6 +125,33 @@ _FIRST_GAP = "case " + " ".join(f"when {w} then '{c}'" for c, _, w in R.GAPS) +
 _ANY_MEDIUM = " or ".join(f"(({w}) and ({d}) = 'medium')" for c, d, w in R.FINDINGS)
 wide("decision_outputs", f"coalesce({_FIRST_HIGH}, {_FIRST_GAP}, 'stable') as blocker", f"case when {_FIRST_HIGH} is not null then 'verify_first' when impression_risk = 'high' then 'authenticity' when {_ANY_MEDIUM} or impression_risk = 'medium' then 'medium' else 'none' end as risk", f"case when {_FIRST_HIGH} is not null then 'challenge' when disc_confidence = 'low' then 'collect_more' else 'verify' end as action")
 
+# the scores once more, against words and rules as rows: (prefix of the columns, dimensions)
+STATED = {"disc": "disc", "big": "ocean", "type": "123456789"}
+for _prefix, _dims in STATED.items():
+    _cols = [f"{_prefix}_{d}" for d in _dims]
+    _name = {"disc": "disc", "big": "bigfive", "type": "enneagram"}[_prefix]
+    wide(f"{_name}_scores", *_cols, "sample_quality", f"{_prefix}_confidence")
+    ORACLES[f"{_name}_scores"] = f"{O.prelude(WORDS)}, stated as materialized ({OS.wide_scores(WORDS, {_prefix: _dims})} select * from result) select interview_id, {', '.join('stated.' + c for c in _cols)}, sample_quality, {_prefix}_confidence from scored join stated using (interview_id)"
+_SIDE = "eintfjps"
+
+
+def _axis(a: str, b: str) -> str:
+    """Preference and strength of an axis from its sides."""
+    share = f"side_{a}::double / (side_{a} + side_{b}) * 100"
+    few = f"side_{a} + side_{b} < 5"
+    return f"""case when {few} then 'unclear' when {share} > 55 then '{a.upper()}' when {share} < 45 then '{b.upper()}' else 'neutral' end as pref_{a}{b},
+        (case when {few} then 50 when {share} > 55 then floor({share}) when {share} < 45 then floor(100 - {share}) else 50 end)::bigint as strength_{a}{b}"""
+
+
+ORACLES["mbti_axes"] = f"""{O.prelude(WORDS)}, stated as materialized ({OS.wide_scores(WORDS, {'side': _SIDE})} select * from result)
+select interview_id, {', '.join('stated.side_' + x for x in _SIDE)}, {', '.join(_axis(a, b) for a, b in ('ei', 'ns', 'tf', 'jp'))}, sample_quality, mbti_confidence from (select interview_id, sample_quality, mbti_confidence from scored) join stated using (interview_id)"""
+ORACLES["keyword_counts"] = f"""with {OS.features(WORDS)}
+select interview_id, {', '.join(f"coalesce(max(n) filter (category = '{k}'), 0) as n_{k}" for k in ON_ANSWERS)}, coalesce(max(n) filter (category = 'team'), 0) as n_team, max(asked) as n_asked, max(numbers) as n_numbers
+from counted join sizes using (interview_id) group by interview_id"""
+ORACLES["lexicon_hits"] = f"""with {OS.features(WORDS)}
+select interview_id, {', '.join(f"coalesce(max(n) filter (category = '{k}'), 0) as h_{k}" for k in WORDS if k.startswith(("disc_", "pos_", "neg_", "type_", "side_")))} from held group by interview_id"""
+ORACLES["star_structure"] = f"with {OS.features(WORDS)} select interview_id, max(num) filter (name = 'structure') as structure from feature group by interview_id"
+
 # confidence with its reasons
 wide("disc_confidence", "sample_quality", "contradictions", "disc_confidence")
 wide("star_confidence", "n_high", "star_confidence", "star_notes")

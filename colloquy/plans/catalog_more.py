@@ -10,6 +10,7 @@ from colloquy.operators import reports, rolling
 from colloquy.operators import turns as T
 from colloquy.plans import lexicon as L
 from colloquy.plans import oracle as O
+from colloquy.plans import oracle_scores as OS
 from colloquy.plans import rows as R
 from colloquy.plans.catalog import WORDS, add, flat_transcripts, interviews, scored
 from colloquy.sources import events_json as J
@@ -29,8 +30,8 @@ def rule_match(spark, sf_dir):
     return rows.groupBy("interview_id", "type").agg(F.sum(F.when(held, F.col("points")).otherwise(0)).alias("points"), F.count(F.when(held, 1)).alias("matched"))
 
 
-_COMPILED = O.union([f"select interview_id, '{k}' as type, ({' + '.join(f'case when {f} {op} {t} then {n} else 0 end' for f, op, t, n in rules)})::bigint as points, rules_{k} as matched from scored" for k, rules in L.ENNEAGRAM.items()])
-add("rule_match", rule_match, f"{O.prelude(WORDS)} {_COMPILED}")
+add("rule_match", rule_match, f"with {OS.scores(WORDS)} select interview_id, dim as type, points, matched from points where model = 'type'")
+
 
 _BASE = f"with {O.SEGMENTS}, {O.TURNS}, {O.INTERVIEWS}"
 # one regular expression for each dimension: its words do not overlap each other
