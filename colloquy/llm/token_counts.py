@@ -4,9 +4,11 @@ Each document keeps a segment tree over its pre-tokens: leaves of LEAF pre-token
 sums of their tokens up to the root. An edit re-encodes only the leaves that it touches and those that its context
 reaches: splitting starts again at a leaf that ends well before the edit and goes on until a boundary falls on the end
 of an old leaf, after which the text is split as before. The new pre-tokens are dealt out to the same leaves, and only
-the sums above them change. So the work of an update follows the size of its edits, not of the document.
+the sums above them change; where an edit brings more than twice what its leaves should hold, they become more leaves,
+and the sums are made anew from the leaves. So the work of an update follows the size of its edits, not of the document.
 
-Documents are counted and updated where they are; nothing is shuffled. Null and empty texts have no tokens. Edits are
+Documents are counted and updated where they are; nothing is shuffled. Null and empty texts have no tokens. A very long
+text has a long row of its own. An empty table gives no rows. Ties cannot occur. Edits are
 (start, end, text) in code points of the text before them, sorted, not overlapping; null or no edits leave a document
 as it is, and of equal starts the given order holds. Repeated rows get equal results. Other columns are not read, so
 their names cannot clash.
@@ -125,6 +127,7 @@ def update(text: str, ends: list[int], sums: list[int], edits: list[dict], count
         return new, np.cumsum([sum(map(len, p)) for p in parts]).tolist(), tree(np.array([sum(counter.counts(p)) for p in parts], dtype=np.int64)).tolist(), len(words)
     old, starts = np.array(ends), np.append(0, ends[:-1])
     new_size, sums, again = (old - starts).tolist(), list(sums), 0
+    grown: list[tuple[int, int, list[int], list[int]]] = []
     pieces, done, i = [], 0, 0  # text up to `done` of the old text is in pieces
     while i < len(edits):
         a = min(int(np.searchsorted(old, max(0, edits[i]["start"] - CONTEXT), "left")), len(old) - 1)
@@ -152,13 +155,22 @@ def update(text: str, ends: list[int], sums: list[int], edits: list[dict], count
         n = b - a + 1
         each = -(-len(words) // n)
         counts = counter.counts(words)
-        for k in range(n):
-            own = slice(k * each, (k + 1) * each)
-            new_size[a + k] = sum(map(len, words[own]))
-            put(sums, a + k, sum(counts[own]))
+        if each > 2 * LEAF:  # too much for these leaves: they become more
+            parts = [slice(k, k + LEAF) for k in range(0, len(words), LEAF)]
+            grown.append((a, b, [sum(map(len, words[p])) for p in parts], [sum(counts[p]) for p in parts]))
+        else:
+            for k in range(n):
+                own = slice(k * each, (k + 1) * each)
+                new_size[a + k] = sum(map(len, words[own]))
+                put(sums, a + k, sum(counts[own]))
         pieces += [text[done:lo], whole[:size] if b < len(old) - 1 else whole]
         done = int(old[b])
     pieces.append(text[done:])
+    if grown:
+        leaves = sums[len(sums) // 2 :][: len(old)]
+        for a, b, sizes, counts in reversed(grown):
+            new_size[a : b + 1], leaves[a : b + 1] = sizes, counts
+        sums = tree(np.array(leaves, dtype=np.int64)).tolist()
     return "".join(pieces), np.cumsum(new_size).tolist(), sums, again
 
 
