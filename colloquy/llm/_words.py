@@ -121,6 +121,12 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
+    if k > 3 and len(h) <= STEP_BYTES:
+        # sums over all words so far, weighted by powers of the base: a window is the difference of two of them
+        up, down = _Powers.upto(len(h))
+        sums = np.zeros(len(h) + 1, dtype=U64)
+        np.cumsum(h * up[: len(h)], out=sums[1:])
+        return mix((sums[k:] - sums[:n]) * down[:n])
     out = h[:n].copy()
     for j, m in enumerate(_multipliers(k)[1:], 1):
         out += h[j : j + n] * m

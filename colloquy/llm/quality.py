@@ -4,7 +4,8 @@ Every text is read whole. Words are runs without space and without the bytes 9 t
 rolling hash of the words goes over the text in numpy; the characters of all words inside an n-gram found twice or
 more are its coverage. A text is rejected if the coverage of one length, or that of repeated lines, is above its limit.
 
-Null and empty texts have no words and are rejected by the base rule. Repeated rows get equal results. Ties cannot
+Null and empty texts have no words and are rejected by the base rule. Very long texts are measured whole. An empty table
+gives no rows. Repeated rows get equal results. Ties cannot
 occur. Other columns are not read, so their names cannot clash.
 """
 
