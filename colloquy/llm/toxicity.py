@@ -13,7 +13,8 @@ are scored with the same fixed-size weights, where they are; nothing is shuffled
 
 Null and empty texts have no words; their severity follows from the thresholds alone. Labels that are null, or of
 unknown documents, are left out; of several labels of one document the largest counts. Without any label all severities
-are 0. Repeated rows get equal results. Other columns are not read, so their names cannot clash.
+are 0. Of equally likely grades the lowest counts. Very long texts are scored whole. An empty table gives no rows.
+Repeated rows get equal results. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
