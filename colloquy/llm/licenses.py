@@ -23,7 +23,8 @@ empty table leaves the phrases alone to train on, and the result empty.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -138,22 +139,26 @@ class Model:
     bias: list[float]
     limit: float
     notices: dict[int, dict[bool, list[list[str]]]]
+    #: In how many of the sample's ordinary paragraphs each feature was, for those in any.
+    common: dict[str, int] = field(default_factory=dict)
 
     def needed_words(self) -> list[str]:
         """Words of which a paragraph must have one to be of some family.
 
-        Against unknown, a family's lead is at most its bias and all positive weights of the features there. The
-        smallest weights come first; as soon as they could reach a lead of 0, the features from there on are needed,
-        and with a pair each of its words.
+        Against unknown, a family's lead is at most its bias and all positive weights of the features there, and has to
+        be that of the limit. Features that ordinary paragraphs have come first, then small weights; as soon as they could
+        reach the limit, the features from there on are needed, and with a pair the rarer of its words.
         """
         out: set[str] = set()
+        enough = math.log(self.limit / (1 - self.limit)) - 1e-4
+        usual = lambda t: self.common.get(t, 0)
         for family in range(UNKNOWN):
-            lead = sorted((w[family] - w[UNKNOWN], t) for t, w in self.weights.items() if w[family] > w[UNKNOWN])
+            lead = [(w[family] - w[UNKNOWN], t) for t, w in self.weights.items() if w[family] > w[UNKNOWN]]
             reached = self.bias[family] - self.bias[UNKNOWN]
-            for weight, term in lead:
+            for weight, term in sorted(lead, key=lambda x: (-usual(x[1]), x[0], x[1])):
                 reached += weight
-                if reached >= 0:
-                    out.add(max(term.split("_"), key=len))
+                if reached >= enough:
+                    out.add(min(term.split("_"), key=lambda t: (usual(t), -len(t), t)))
         return sorted(out)
 
 
@@ -191,9 +196,11 @@ def train(docs: DataFrame, sample_docs: int = 500) -> Model:
     missing = UNKNOWN + 1 - len(bias)  # without any ordinary paragraph there is no unknown class
     bias += [min(bias) - 1.0] * missing
     terms = {t: [float(v) for v in weights[:, i]] + [0.0] * missing for i, t in enumerate(vocabulary.vocabulary) if abs(weights[:, i]).max() > 1e-6}
+    asked = sorted({x for t in terms for x in (t, *t.split("_"))})
+    usual = rows.where(F.col("label") == UNKNOWN).select(F.explode(F.array_intersect("terms", F.array(*map(F.lit, asked)))).alias("term")).groupBy("term").count().collect()
     for df in (data, rows, notices):
         df.unpersist()
-    return Model(terms, bias, min(0.95, max(0.5, limit)), kept)
+    return Model(terms, bias, min(0.95, max(0.5, limit)), kept, {r["term"]: r["count"] for r in usual})
 
 
 def classify(docs: DataFrame, model: Model, confirmed_at: float = 0.6) -> DataFrame:
@@ -216,7 +223,7 @@ def classify(docs: DataFrame, model: Model, confirmed_at: float = 0.6) -> DataFr
 
 def save(model: Model, spark: SparkSession, path: str) -> None:
     """The model as one JSON text, so that later runs need not train."""
-    text = json.dumps({"weights": model.weights, "bias": model.bias, "limit": model.limit, "notices": [[k, whole, n] for k, v in model.notices.items() for whole, n in v.items()]})
+    text = json.dumps({"weights": model.weights, "bias": model.bias, "limit": model.limit, "common": model.common, "notices": [[k, whole, n] for k, v in model.notices.items() for whole, n in v.items()]})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
 
@@ -225,7 +232,7 @@ def load(spark: SparkSession, path: str) -> Model:
     notices: dict[int, dict[bool, list[list[str]]]] = {}
     for k, whole, n in got["notices"]:
         notices.setdefault(k, {})[whole] = n
-    return Model(got["weights"], got["bias"], got["limit"], notices)
+    return Model(got["weights"], got["bias"], got["limit"], notices, got["common"])
 
 
 def license_scan(docs: DataFrame, sample_docs: int = 500, model: Model | None = None) -> DataFrame:
