@@ -14,8 +14,11 @@ def quoted(word: str) -> str:
 
 
 def hits(column: str, words: Iterable[str]) -> str:
-    """Non-overlapping occurrences of each word, summed over the words."""
-    parts = [f"(length({column}) - length(replace({column}, {quoted(w)}, ''))) div {len(w)}" for w in words]
+    """Non-overlapping occurrences of each word, summed over the words.
+
+    What a text loses without the word is measured in bytes, which are known without looking at the text.
+    """
+    parts = [f"(octet_length({column}) - octet_length(replace({column}, {quoted(w)}, ''))) div {len(w.encode())}" for w in words]
     return "(" + " + ".join(parts or ["0"]) + ")"
 
 
@@ -44,7 +47,7 @@ def tolerant(condition: str) -> str:
 def ansi(text: str) -> str:
     """The same expression for an engine with // for whole division, round_even and regexp_extract_all."""
     text = re.sub(r"\bdiv\b", "//", text)
-    text = text.replace("bround(", "round_even(")
+    text = text.replace("bround(", "round_even(").replace("octet_length(", "strlen(")
     text = re.sub(r"regexp_count\((\w+), ", r"regexp_count_(\1, ", text)
     text = re.sub(r"regexp_count_\((\w+), ('(?:[^']|'')*')\)", r"len(regexp_extract_all(\1, \2))", text)
     return re.sub(r"(\w+) rlike ('(?:[^']|'')*')", r"regexp_matches(\1, \2)", text)

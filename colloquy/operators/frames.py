@@ -37,7 +37,7 @@ n as (select *, case when quiet = 1 and quiet_before = 1 then 1 else 0 end as cl
 o as (select *, coalesce(sum(closes) over {PAST}, 0) as run from n),
 g as (select *, min(case when on_ then ms end) over (partition by stream_id, run) as first from o),
 h as (select stream_id, run, max(first) as first, max(case when closes = 0 then ms end) as last, max(closes) as closed, sum(case when on_ then 1 else 0 end) as active from g where ms >= first group by stream_id, run)
-select stream_id, row_number() over (partition by stream_id order by run) as seg, first as start_ms, last as end_ms, cast(active as bigint) as active
+select stream_id, cast(row_number() over (partition by stream_id order by run) as bigint) as seg, first as start_ms, last as end_ms, cast(active as bigint) as active
 from h where closed = 1 and last - first >= {least_ms}"""
 
 
