@@ -68,7 +68,9 @@ def words(text: Column, special: tuple[str, ...]) -> Column:
         return plain
     quoted = ["".join(f"\\{c}" if not c.isalnum() else c for c in s) for s in sorted(special, key=len, reverse=True)]
     parts = F.split(text, f"(?<={'|'.join(quoted)})|(?={'|'.join(quoted)})", -1)
-    apart = F.flatten(F.transform(parts, lambda p: F.when(p.isin(*special), F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(WORD), F.lit(0)))))
+    apart = F.flatten(
+        F.transform(parts, lambda p: F.when(p.isin(*special), F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(WORD), F.lit(0)))),
+    )
     return F.when(text.rlike("|".join(quoted)), apart).otherwise(plain)
 
 
@@ -97,7 +99,10 @@ def _blocks(n: int):
 
     def row(target, block, number, docs, sizes, data) -> pa.RecordBatch:
         values = [pa.array([v], pa.int64()) for v in (target, block, number)]
-        return pa.RecordBatch.from_arrays([*values, pa.ListArray.from_arrays([0, len(docs)], docs), pa.array([sizes], pa.binary()), pa.array([data], pa.binary())], names=[f.split()[0] for f in ROWS.split(", ")])
+        return pa.RecordBatch.from_arrays(
+            [*values, pa.ListArray.from_arrays([0, len(docs)], docs), pa.array([sizes], pa.binary()), pa.array([data], pa.binary())],
+            names=[f.split()[0] for f in ROWS.split(", ")],
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -114,15 +119,23 @@ def _blocks(n: int):
                 if len(words) > SLOT:
                     raise ValueError("a text has too many distinct words")
                 part = (W.string_hashes(words) % np.uint64(n)).astype(np.int32)
-                order = pc.sort_indices(pa.table({"part": part, "word": words}), sort_keys=[("part", "ascending"), ("word", "ascending")]).to_numpy()
+                order = pc.sort_indices(
+                    pa.table({"part": part, "word": words}), sort_keys=[("part", "ascending"), ("word", "ascending")],
+                ).to_numpy()
                 words, part = words.take(pa.array(order)), part[order]
                 rank = np.empty(len(order), dtype=np.int64)
                 rank[order] = np.arange(len(order))
-                yield row(block, block, len(order), batch.column(0).slice(at, to - at).cast(pa.int64()), _pack(sizes[at:to]), _pack(rank[coded.indices.to_numpy()]))
+                yield row(
+                    block, block, len(order), batch.column(0).slice(at, to - at).cast(pa.int64()), _pack(sizes[at:to]),
+                    _pack(rank[coded.indices.to_numpy()]),
+                )
                 for a in np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else ():
                     some = words.slice(a, int(np.searchsorted(part, part[a], "right")) - a)
                     data, offsets = W.text_bytes(some)
-                    yield row(-1 - int(part[a]), block, int(a), pa.array([], pa.int64()), _pack(np.diff(offsets)), zstandard.compress(data.tobytes(), 3))
+                    yield row(
+                        -1 - int(part[a]), block, int(a), pa.array([], pa.int64()), _pack(np.diff(offsets)),
+                        zstandard.compress(data.tobytes(), 3),
+                    )
                 at, number = to, number + 1
                 del coded, words
                 release_memory()
@@ -139,8 +152,14 @@ def _encoder(tokenizer_json: str):
             for i in np.flatnonzero(batch.column("target").to_numpy() < 0):
                 sizes = _unpack(batch.column("sizes")[i].as_py()).astype(np.int64)
                 data = zstandard.decompress(batch.column("data")[i].as_py())
-                parts.append(pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(data)]))
-                places.append(batch.column("block")[i].as_py() * SLOT + batch.column("number")[i].as_py() + np.arange(len(sizes), dtype=np.int64))
+                parts.append(
+                    pa.Array.from_buffers(
+                        pa.large_string(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(data)],
+                    ),
+                )
+                places.append(
+                    batch.column("block")[i].as_py() * SLOT + batch.column("number")[i].as_py() + np.arange(len(sizes), dtype=np.int64),
+                )
         if not parts:
             return
         coded = pc.dictionary_encode(pa.concat_arrays(parts))
@@ -156,7 +175,13 @@ def _encoder(tokenizer_json: str):
             edge = ends[at : at + len(distinct) + 1]
             for lo in range(0, len(distinct), 5_000):
                 own = edge[lo : lo + 5_001]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 5_000], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(place[own[0] : own[-1]]))], names=["ids", "places"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[lo : lo + 5_000], pa.list_(pa.int32())),
+                        pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(place[own[0] : own[-1]])),
+                    ],
+                    names=["ids", "places"],
+                )
 
     return run
 
@@ -166,7 +191,9 @@ def piece_table(spark: SparkSession, tokenizer_json: str) -> DataFrame:
     tokenizer = _tokenizer(tokenizer_json)
     special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
     byte = _byte_of_char()
-    rows = [(i, special[i].encode() if i in special else bytes(byte[c] for c in t)) for t, i in tokenizer.get_vocab(with_added_tokens=True).items()]
+    rows = [(
+        i, special[i].encode() if i in special else bytes(byte[c] for c in t),
+    ) for t, i in tokenizer.get_vocab(with_added_tokens=True).items()]
     ids, pieces = zip(*rows, strict=True)
     return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array(pieces, pa.binary())}))
 
@@ -192,7 +219,11 @@ def _sequences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_at = np.concatenate([[0], np.cumsum(full)])[ends] * 4
         kept = np.ascontiguousarray(ids.to_numpy(zero_copy_only=False)[full], dtype="<i4")
         return pa.RecordBatch.from_arrays(
-            [table.column(0).take(pa.array(begin)), pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(id_at.astype(np.int64)), pa.py_buffer(kept)]), pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.ascontiguousarray(byte_at[ends])), data])],
+            [
+                table.column(0).take(pa.array(begin)),
+                pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(id_at.astype(np.int64)), pa.py_buffer(kept)]),
+                pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.ascontiguousarray(byte_at[ends])), data]),
+            ],
             names=["places", "ids", "bytes"],
         )
 
@@ -235,13 +266,23 @@ def _by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(at, np.append(at[1:], len(block)), strict=True):
             who = pa.array(owner[a:b])
             ids, data = table.column(1).take(who).combine_chunks(), table.column(2).take(who).combine_chunks()
-            packed = [_pack(np.diff(place[a:b] % SLOT, prepend=0)), _pack(pc.binary_length(ids).to_numpy() // 4), _pack(np.frombuffer(b"".join(ids.to_pylist()), dtype="<u4")), _pack(pc.binary_length(data).to_numpy()), zstandard.compress(b"".join(data.to_pylist()), 3)]
+            packed = [
+                _pack(np.diff(place[a:b] % SLOT, prepend=0)), _pack(pc.binary_length(ids).to_numpy() // 4),
+                _pack(np.frombuffer(b"".join(ids.to_pylist()), dtype="<u4")), _pack(pc.binary_length(data).to_numpy()),
+                zstandard.compress(b"".join(data.to_pylist()), 3),
+            ]
             rows.append((int(block[a]), packed))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], names=["target", "packed"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], names=["target", "packed"],
+        )
 
     parts, size = [], 0
     for batch in batches:
-        parts.append(batch.set_column(1, "ids", batch.column(1).cast(pa.large_binary())).set_column(2, "bytes", batch.column(2).cast(pa.large_binary())))
+        parts.append(
+            batch.set_column(1, "ids", batch.column(1).cast(pa.large_binary())).set_column(
+                2, "bytes", batch.column(2).cast(pa.large_binary()),
+            ),
+        )
         size += len(batch.column(0).flatten())
         if size >= 1_000_000:
             yield pack(parts)
@@ -287,10 +328,19 @@ def _assemble(blocks: pa.Table, parts: pa.Table) -> pa.Table:
                     spread, per = _spread(part, start, size, values)
                     edge = np.concatenate([[0], np.cumsum(per)])[edges]
                     width = values.dtype.itemsize
-                    cols.append(pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer((edge * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(spread))]).cast(pa.binary()))
+                    cols.append(
+                        pa.Array.from_buffers(
+                            pa.large_binary(), to - at,
+                            [None, pa.py_buffer((edge * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(spread))],
+                        ).cast(
+                            pa.binary(),
+                        ),
+                    )
                 out.append(pa.RecordBatch.from_arrays([*cols[:2], _text(cols[2])], names=["doc_id", "ids", "text"]))
                 at = to
-    return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "text": pa.array([], pa.string())})
+    return pa.Table.from_batches(out) if out else pa.table(
+        {"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "text": pa.array([], pa.string())},
+    )
 
 
 def _text(data: pa.Array) -> pa.Array:
@@ -311,7 +361,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     rows = split.mapInArrow(_blocks(n), ROWS).repartition(n, "target")
     coded = rows.mapInArrow(_encoder(tokenizer), "ids array<int>, places array<long>")
     joined = with_pieces(coded, piece_table(spark, tokenizer), "places")
-    packed = joined.select("places", "pos", "id", "piece").mapInArrow(lambda batches: _by_block(_sequences(batches)), "target long, packed array<binary>")
+    packed = joined.select("places", "pos", "id", "piece").mapInArrow(
+        lambda batches: _by_block(_sequences(batches)), "target long, packed array<binary>",
+    )
     return rows.groupBy("target").cogroup(packed.groupBy("target")).applyInArrow(_assemble, "doc_id long, ids binary, text string")
 
 

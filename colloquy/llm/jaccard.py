@@ -68,8 +68,15 @@ def _sender(n: int, k: int):
         value, _, _ = _block_sets(texts, k)
         bucket, count = np.unique(value >> np.uint64(64 - BUCKET_BITS), return_counts=True)
         at = np.searchsorted(bucket, _cuts(n))
-        rows = [(i, block, _pack(np.diff(bucket[a:b], prepend=np.uint64(0))), _pack(count[a:b])) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], [], []), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "block", "buckets", "counts"])
+        rows = [(
+            i, block, _pack(np.diff(bucket[a:b], prepend=np.uint64(0))), _pack(count[a:b]),
+        ) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+        return pa.table(
+            [pa.array(c, t) for c, t in zip(
+                zip(*rows, strict=True) if rows else ([], [], [], []), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True,
+            )],
+            names=["range", "block", "buckets", "counts"],
+        )
 
     return run
 
@@ -110,7 +117,10 @@ def _keeper(k: int):
         mine = mine[np.lexsort((value[mine], level[mine], own[mine]))]
         ends = np.cumsum(np.where(stays, size, 0))
         tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(value[mine].view(np.int64)))
-        return pa.table([texts.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(set_key), pa.array(size - shared), pa.array(stays), tokens], names=["doc_id", "n_shingles", "set_key", "n_single", "is_entry", "tokens"])
+        return pa.table(
+            [texts.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(set_key), pa.array(size - shared), pa.array(stays), tokens],
+            names=["doc_id", "n_shingles", "set_key", "n_single", "is_entry", "tokens"],
+        )
 
     return run
 
@@ -122,10 +132,16 @@ def document_sets(docs: DataFrame, k: int = 5) -> DataFrame:
     an equal set of the same block has them.
     """
     n = parts_for(docs, RANGE_INPUT)
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * n)).alias("block")).repartition(n, "block")
+    blocks = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * n)).alias("block"),
+    ).repartition(
+        n, "block",
+    )
     messages = blocks.groupBy("block").applyInArrow(_sender(n, k), "range long, block long, buckets binary, counts binary")
     levels = messages.groupBy("range").applyInArrow(_count, "range long, block long, levels binary")
-    return blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(_keeper(k), "doc_id long, n_shingles long, set_key long, n_single long, is_entry boolean, tokens array<long>")
+    return blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(
+        _keeper(k), "doc_id long, n_shingles long, set_key long, n_single long, is_entry boolean, tokens array<long>",
+    )
 
 
 def _needed(a: Column, b: Column) -> Column:
@@ -162,7 +178,9 @@ def components(links: DataFrame, name: str = "component", max_rounds: int = 50)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least_below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least_below, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least_below.select("u", F.col("m").alias("v")))
+        small = large.join(least_below, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            least_below.select("u", F.col("m").alias("v")),
+        )
         edges = spill(small.distinct(), name)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
@@ -180,7 +198,9 @@ def index(entries: DataFrame) -> DataFrame:
     """
     prefix = F.col("n") - F.ceil(PERCENT * F.col("n") / 100 - 1e-9) + 1
     listed = F.slice("tokens", (F.col("n_single") + 1).cast("int"), F.greatest(prefix - F.col("n_single"), F.lit(0)).cast("int"))
-    return entries.select(F.col("set_key").alias("node"), "n", "n_single", F.posexplode(listed).alias("pos", "token")).select("token", "node", "n", "n_single", (F.col("n") - F.col("n_single") - F.col("pos")).alias("rest"))
+    return entries.select(F.col("set_key").alias("node"), "n", "n_single", F.posexplode(listed).alias("pos", "token")).select(
+        "token", "node", "n", "n_single", (F.col("n") - F.col("n_single") - F.col("pos")).alias("rest"),
+    )
 
 
 def with_blocks(entries: DataFrame) -> DataFrame:
@@ -194,32 +214,46 @@ def links(entries: DataFrame) -> DataFrame:
     lists = spill(index(entries), "jaccard-index")
     # the pivot of a list is its most central entry: the one with the smallest share of shingles of its own
     share = F.floor(1000 * F.col("n_single") / F.col("n")).alias("share")
-    pivot = lists.groupBy("token").agg(F.min(F.struct(share, "n", "node")).alias("p"), F.count("*").alias("k")).where("k > 1").select("token", F.col("p.node").alias("b"), F.col("p.n").alias("n_p"))
-    to_pivot = lists.join(pivot, "token").where((F.col("node") != F.col("b")) & _sizes_allow(F.col("n"), F.col("n_p"))).select(F.col("node").alias("a"), "b").distinct()
+    pivot = lists.groupBy("token").agg(F.min(F.struct(share, "n", "node")).alias("p"), F.count("*").alias("k")).where("k > 1").select(
+        "token", F.col("p.node").alias("b"), F.col("p.n").alias("n_p"),
+    )
+    to_pivot = lists.join(pivot, "token").where((F.col("node") != F.col("b")) & _sizes_allow(F.col("n"), F.col("n_p"))).select(
+        F.col("node").alias("a"), "b",
+    ).distinct()
     known = spill(verified(to_pivot, entries), "jaccard-pivots")
     sure = known.where(_is_link(F.col("n_a"), F.col("n_b"), F.col("overlap"))).select("a", "b")
     group = components(sure, "jaccard-groups")
 
     # each entry's nearest pivot, and the overlap with it
-    nearest = known.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("overlap", "b")).alias("x")).select("node", F.col("x.b").alias("near"), F.col("x.overlap").alias("with_near"))
+    nearest = known.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("overlap", "b")).alias("x")).select(
+        "node", F.col("x.b").alias("near"), F.col("x.overlap").alias("with_near"),
+    )
     rich = with_blocks(lists.join(group, "node", "left").join(nearest, "node", "left").withColumn("label", F.coalesce("label", "node")))
     mixed = rich.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     rich = spill(rich.join(mixed, "token", "left_semi"), "jaccard-mixed")
 
     # skip pairs of list blocks by their sizes, positions and components
-    heads = rich.groupBy("token", "band", "part").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("rest").alias("rest"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    heads = rich.groupBy("token", "band", "part").agg(
+        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("rest").alias("rest"), F.min("label").alias("lo"),
+        F.max("label").alias("hi"),
+    )
     x, y = heads.alias("x"), heads.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.abs(F.col("x.band") - F.col("y.band")) <= 1) & (100 * F.col("x.n_hi") >= PERCENT * F.col("y.n_lo")) & (100 * F.col("y.n_hi") >= PERCENT * F.col("x.n_lo"))
     meet &= F.least("x.rest", "y.rest") >= _needed(F.col("x.n_lo"), F.col("y.n_lo"))
     meet &= ~((F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo")))
-    skip = x.join(y, meet).select(F.col("x.token").alias("token"), F.col("x.band").alias("band"), F.col("x.part").alias("part"), F.col("y.band").alias("band_b"), F.col("y.part").alias("part_b"))
+    skip = x.join(y, meet).select(
+        F.col("x.token").alias("token"), F.col("x.band").alias("band"), F.col("x.part").alias("part"), F.col("y.band").alias("band_b"),
+        F.col("y.part").alias("part_b"),
+    )
 
     x, y = rich.join(skip, ["token", "band", "part"]).alias("x"), rich.alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band_b") == F.col("y.band")) & (F.col("x.part_b") == F.col("y.part"))
     n_a, n_b = F.col("x.n"), F.col("y.n")
     open_ = (F.col("x.label") < F.col("y.label")) & _sizes_allow(n_a, n_b) & (F.least("x.rest", "y.rest") >= _needed(n_a, n_b))
     # what two sets share lies in a pivot of both, or in what neither shares with it nor has for itself
-    bound = F.least("x.with_near", "y.with_near") + F.least(n_a - F.col("x.with_near") - F.col("x.n_single"), n_b - F.col("y.with_near") - F.col("y.n_single"))
+    bound = F.least("x.with_near", "y.with_near") + F.least(
+        n_a - F.col("x.with_near") - F.col("x.n_single"), n_b - F.col("y.with_near") - F.col("y.n_single"),
+    )
     open_ &= F.when(F.col("x.near") == F.col("y.near"), bound >= _needed(n_a, n_b)).otherwise(True)
     rest = x.join(y, same & open_).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = verified(rest, entries).where(_is_link(F.col("n_a"), F.col("n_b"), F.col("overlap"))).select("a", "b")
@@ -229,11 +263,18 @@ def links(entries: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text); component_id: the smallest doc_id reachable."""
     sets = spill(document_sets(docs, k), "jaccard-sets")
-    entries = spill(sets.where("is_entry and doc_id is not null").groupBy("set_key").agg(F.max("n_shingles").alias("n"), F.max("n_single").alias("n_single"), F.first("tokens").alias("tokens")), "jaccard-entries")
+    entries = spill(
+        sets.where("is_entry and doc_id is not null").groupBy("set_key").agg(
+            F.max("n_shingles").alias("n"), F.max("n_single").alias("n_single"), F.first("tokens").alias("tokens"),
+        ),
+        "jaccard-entries",
+    )
     found = components(links(entries), "jaccard-components")
     named = sets.where("doc_id is not null and n_shingles > 0").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("own"))
     named = named.join(found, "node", "left").select("node", "own", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("own").alias("component_id"))
     by_set = named.join(least, "label").select(F.col("node").alias("set_key"), "component_id")
-    out = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"))
+    out = sets.select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"),
+    )
     return out.join(by_set, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

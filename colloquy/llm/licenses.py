@@ -54,18 +54,59 @@ TITLES = {
 }
 #: Other short public notices of each family, and wording of its licence.
 NOTICES = {
-    "MIT": ("This project is MIT licensed.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    "Apache-2.0": ("SPDX-License-Identifier: Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    "GPL": ("SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program."),
-    "LGPL": ("SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-3.0-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "You should have received a copy of the GNU Lesser General Public License along with this library"),
-    "AGPL": ("SPDX-License-Identifier: AGPL-3.0-only", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU Affero General Public License along with this program"),
-    "BSD": ("SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    "MPL-2.0": ("SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "MIT": (
+        "This project is MIT licensed.", "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "Apache-2.0": (
+        "SPDX-License-Identifier: Apache-2.0",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ),
+    "GPL": (
+        "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program.",
+    ),
+    "LGPL": (
+        "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "You should have received a copy of the GNU Lesser General Public License along with this library",
+    ),
+    "AGPL": (
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program",
+    ),
+    "BSD": (
+        "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "MPL-2.0": (
+        "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
     "CC-BY": ("SPDX-License-Identifier: CC-BY-4.0", "To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/"),
-    "CC-BY-SA": ("SPDX-License-Identifier: CC-BY-SA-4.0", "To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/"),
-    "CC-BY-NC": ("SPDX-License-Identifier: CC-BY-NC-4.0", "To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/"),
-    "public-domain": ("This work is dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: Unlicense", "SPDX-License-Identifier: CC0-1.0", "This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
-    "all-rights-reserved": ("All rights reserved.", "Copyright the authors. All rights reserved.", "Copyright 2020 by the publisher, all rights reserved worldwide.", "No part may be reproduced without written permission of the publisher.", "No part of this publication may be reproduced, stored or transmitted without the prior written permission of the publisher."),
+    "CC-BY-SA": (
+        "SPDX-License-Identifier: CC-BY-SA-4.0", "To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/",
+    ),
+    "CC-BY-NC": (
+        "SPDX-License-Identifier: CC-BY-NC-4.0", "To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/",
+    ),
+    "public-domain": (
+        "This work is dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: Unlicense",
+        "SPDX-License-Identifier: CC0-1.0", "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    ),
+    "all-rights-reserved": (
+        "All rights reserved.", "Copyright the authors. All rights reserved.",
+        "Copyright 2020 by the publisher, all rights reserved worldwide.",
+        "No part may be reproduced without written permission of the publisher.",
+        "No part of this publication may be reproduced, stored or transmitted without the prior written permission of the publisher.",
+    ),
 }
 FAMILIES = tuple(NOTICES)
 #: Words of a window of a longer text.
@@ -75,12 +116,16 @@ UNKNOWN = len(FAMILIES)
 
 def words(text: Column) -> Column:
     """Words of a paragraph in order; dots and dashes at their ends do not count."""
-    plain = F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9.-]+|[.-]+(?=[^a-z0-9.-]|$)", " ")
+    plain = F.regexp_replace(
+        F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9.-]+|[.-]+(?=[^a-z0-9.-]|$)", " ",
+    )
     return F.filter(F.split(F.trim(plain), " +"), lambda w: w != "")
 
 
 def features(tokens: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(2), F.greatest(F.size(tokens), F.lit(2))), lambda i: F.concat_ws("_", F.get(tokens, i - 2), F.get(tokens, i - 1)))
+    pairs = F.transform(
+        F.sequence(F.lit(2), F.greatest(F.size(tokens), F.lit(2))), lambda i: F.concat_ws("_", F.get(tokens, i - 2), F.get(tokens, i - 1)),
+    )
     return F.array_distinct(F.concat(tokens, F.when(F.size(tokens) >= 2, pairs).otherwise(F.array().cast("array<string>"))))
 
 
@@ -90,7 +135,11 @@ def once(value: Column, name: str) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line")).where("trim(line) <> ''")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"),
+    ).where(
+        "trim(line) <> ''",
+    )
 
 
 def templates() -> list[tuple[int, str, bool]]:
@@ -110,8 +159,8 @@ def templates() -> list[tuple[int, str, bool]]:
 
 def _notices(spark: SparkSession) -> DataFrame:
     """(family, text, whole, tokens) of the templates, of fixed size."""
-    rows = spark.createDataFrame(templates(), "family int, text string, whole boolean")
-    return rows.select("*", words(F.col("text")).alias("tokens"))
+    rows = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(t).alias("text"), F.lit(w).alias("whole")) for f, t, w in templates()))
+    return spark.range(1).select(F.inline(rows)).select("*", words(F.col("text")).alias("tokens"))
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -171,20 +220,43 @@ def train(docs: DataFrame, sample_docs: int = 500) -> Model:
         kept.setdefault(r["family"], {}).setdefault(r["whole"], []).append(list(r["tokens"]))
     lacking = F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.filter("tokens", lambda w, k: k != i - 1))
     short = notices.where("not whole and size(tokens) > 1")
-    variants = short.select("family", F.explode(F.concat(F.array("tokens"), F.when(F.size("tokens") <= WINDOW, lacking).otherwise(F.array(F.col("tokens"))))).alias("tokens")).where("size(tokens) > 1")
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    variants = short.select(
+        "family",
+        F.explode(F.concat(F.array("tokens"), F.when(F.size("tokens") <= WINDOW, lacking).otherwise(F.array(F.col("tokens"))))).alias(
+            "tokens",
+        ),
+    ).where(
+        "size(tokens) > 1",
+    )
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(
+        F.xxhash64("doc_id"), "doc_id",
+    ).limit(
+        sample_docs,
+    )
     plain = paragraphs(docs.join(F.broadcast(ids), "doc_id")).select(F.lit(UNKNOWN).alias("family"), words(F.col("line")).alias("tokens"))
     # paragraphs that speak of licences are no examples of ordinary ones
     names = F.array(*map(F.lit, ("license", "licensed", "licence", "copyright", "spdx-license-identifier", "reserved")))
     plain = plain.where(~F.arrays_overlap("tokens", names))
-    rows = variants.unionByName(plain).select(F.col("family").cast("double").alias("label"), F.array_join("tokens", " ").alias("key"), features(F.col("tokens")).alias("terms")).dropDuplicates(["label", "key"])
+    rows = variants.unionByName(plain).select(
+        F.col("family").cast("double").alias("label"), F.array_join("tokens", " ").alias("key"), features(F.col("tokens")).alias("terms"),
+    ).dropDuplicates(
+        ["label", "key"],
+    )
     rows = rows.withColumn("held", F.pmod(F.xxhash64("key"), F.when(F.col("label") < UNKNOWN, 10).otherwise(3)) == 0).coalesce(2).persist()
-    vocabulary = CountVectorizer(inputCol="terms", outputCol="x", binary=True, vocabSize=4096, minDF=2).fit(rows.where(F.col("label") < UNKNOWN))
+    vocabulary = CountVectorizer(inputCol="terms", outputCol="x", binary=True, vocabSize=4096, minDF=2).fit(
+        rows.where(F.col("label") < UNKNOWN),
+    )
     data = vocabulary.transform(rows).persist()
     size = data.where("not held").groupBy((F.col("label") < UNKNOWN).alias("is")).count().collect()
     count = {r["is"]: r["count"] for r in size}
-    data = data.withColumn("weight", F.when(F.col("label") < UNKNOWN, 1.0).otherwise(max(1.0, count.get(True, 1) / max(1, count.get(False, 1)))))
-    fitted = LogisticRegression(featuresCol="x", weightCol="weight", maxIter=40, regParam=0.0005, elasticNetParam=1.0, family="multinomial").fit(data.where("not held"))
+    data = data.withColumn(
+        "weight", F.when(F.col("label") < UNKNOWN, 1.0).otherwise(max(1.0, count.get(True, 1) / max(1, count.get(False, 1)))),
+    )
+    fitted = LogisticRegression(
+        featuresCol="x", weightCol="weight", maxIter=40, regParam=0.0005, elasticNetParam=1.0, family="multinomial",
+    ).fit(
+        data.where("not held"),
+    )
     probability = F.get(vector_to_array("probability"), F.col("label").cast("int"))
     family = F.array_max(F.slice(vector_to_array("probability"), 1, UNKNOWN))
     held = fitted.transform(data.where("held"))
@@ -197,7 +269,11 @@ def train(docs: DataFrame, sample_docs: int = 500) -> Model:
     bias += [min(bias) - 1.0] * missing
     terms = {t: [float(v) for v in weights[:, i]] + [0.0] * missing for i, t in enumerate(vocabulary.vocabulary) if abs(weights[:, i]).max() > 1e-6}
     asked = sorted({x for t in terms for x in (t, *t.split("_"))})
-    usual = rows.where(F.col("label") == UNKNOWN).select(F.explode(F.array_intersect("terms", F.array(*map(F.lit, asked)))).alias("term")).groupBy("term").count().collect()
+    usual = rows.where(F.col("label") == UNKNOWN).select(
+        F.explode(F.array_intersect("terms", F.array(*map(F.lit, asked)))).alias("term"),
+    ).groupBy(
+        "term",
+    ).count().collect()
     for df in (data, rows, notices):
         df.unpersist()
     return Model(terms, bias, min(0.95, max(0.5, limit)), kept, {r["term"]: r["count"] for r in usual})
@@ -214,16 +290,30 @@ def classify(docs: DataFrame, model: Model, confirmed_at: float = 0.6) -> DataFr
     score = F.aggregate(hits, F.array(*map(F.lit, model.bias)), lambda a, t: F.zip_with(a, F.element_at(table, t), lambda x, y: x + y))
     found = found.select("*", once(score, "score"))
     best = F.array_max(F.slice("score", 1, UNKNOWN))
-    found = found.select("doc_id", "paragraph", "tokens", once(F.struct((F.array_position("score", best) - 1).cast("int").alias("number"), F.round(1 / F.aggregate("score", F.lit(0.0), lambda a, s: a + F.exp(s - best)), 6).alias("p")), "top"))
+    found = found.select(
+        "doc_id", "paragraph", "tokens",
+        once(
+            F.struct(
+                (F.array_position("score", best) - 1).cast("int").alias("number"),
+                F.round(1 / F.aggregate("score", F.lit(0.0), lambda a, s: a + F.exp(s - best)), 6).alias("p"),
+            ),
+            "top",
+        ),
+    )
     found = found.where(F.col("top.p") >= model.limit)
     near = F.coalesce(*(F.when(F.col("top.number") == f, similarity(F.col("tokens"), n)) for f, n in model.notices.items()))
     found = found.select("doc_id", "paragraph", "top", once(F.round(near, 6), "similarity"))
-    return found.select("doc_id", "paragraph", F.get(F.array(*map(F.lit, FAMILIES)), F.col("top.number")).alias("family"), F.col("top.p").alias("probability"), "similarity", (F.col("similarity") >= confirmed_at).alias("confirmed"))
+    return found.select(
+        "doc_id", "paragraph", F.get(F.array(*map(F.lit, FAMILIES)), F.col("top.number")).alias("family"),
+        F.col("top.p").alias("probability"), "similarity", (F.col("similarity") >= confirmed_at).alias("confirmed"),
+    )
 
 
 def save(model: Model, spark: SparkSession, path: str) -> None:
     """The model as one JSON text, so that later runs need not train."""
-    text = json.dumps({"weights": model.weights, "bias": model.bias, "limit": model.limit, "common": model.common, "notices": [[k, whole, n] for k, v in model.notices.items() for whole, n in v.items()]})
+    text = json.dumps(
+        {"weights": model.weights, "bias": model.bias, "limit": model.limit, "common": model.common, "notices": [[k, whole, n] for k, v in model.notices.items() for whole, n in v.items()]},
+    )
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
 
