@@ -26,13 +26,30 @@ def report(scored: DataFrame, turns: DataFrame) -> DataFrame:
     turn = F.struct("turn_id", "question", "question_type", "answer_summary", "answer_length")
     told = turns.groupBy("interview_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     rows = scored.withColumns({"findings": rule_list(FINDINGS, 4), "gaps": rule_list(GAPS, 5)}).join(told, "interview_id", "left")
-    trace = F.array(*(F.struct(F.lit(name).alias("stage"), F.lit("completed").alias("status"), F.expr(f"cast({e} as bigint)").alias("n")) for name, e in STAGES.items()))
+    trace = F.array(
+        *(F.struct(
+            F.lit(name).alias("stage"), F.lit("completed").alias("status"), F.expr(f"cast({e} as bigint)").alias("n"),
+        ) for name, e in STAGES.items()),
+    )
     return rows.select(
         "interview_id",
         F.struct(
             part(segments="n_segments", turns="n_turns", candidate_chars="cand_chars", sample_quality="sample_quality").alias("overview"),
-            F.struct(F.coalesce("turns", F.array().cast("array<struct<turn_id:bigint,question:string,question_type:string,answer_summary:string,answer_length:bigint>>")).alias("turns")).alias("interview_map"),
-            part(action="action_ratio", hedge="hedge_ratio", structure="structure", richness="richness", stability="stability").alias("features"),
+            F.struct(
+                F.coalesce(
+                    "turns",
+                    F.array().cast(
+                        "array<struct<turn_id:bigint,question:string,question_type:string,answer_summary:string,answer_length:bigint>>",
+                    ),
+                ).alias(
+                    "turns",
+                ),
+            ).alias(
+                "interview_map",
+            ),
+            part(action="action_ratio", hedge="hedge_ratio", structure="structure", richness="richness", stability="stability").alias(
+                "features",
+            ),
             part(D="disc_d", I="disc_i", S="disc_s", C="disc_c", top="disc_top", confidence="disc_confidence").alias("disc"),
             part(O="big_o", C="big_c", E="big_e", A="big_a", N="big_n", confidence="big_confidence").alias("bigfive"),
             part(type="mbti_type", confidence="mbti_confidence").alias("mbti"),
@@ -55,7 +72,10 @@ def write_reports(reports: DataFrame, path: str) -> None:
 def score_update(live: DataFrame) -> DataFrame:
     """(interview_id, seg_id, event): the compact JSON event of a score change, from rows of live_disc and `partial`."""
     four = lambda prefix: F.struct(*(F.col(f"{prefix}_{d}").alias(d.upper()) for d in "disc"))
-    event = F.struct(F.lit("disc.update").alias("type"), "dominant", "secondary", four("live").alias("scores"), four("delta").alias("deltas"), F.col("disc_confidence").alias("confidence"), F.col("partial").alias("is_partial"))
+    event = F.struct(
+        F.lit("disc.update").alias("type"), "dominant", "secondary", four("live").alias("scores"), four("delta").alias("deltas"),
+        F.col("disc_confidence").alias("confidence"), F.col("partial").alias("is_partial"),
+    )
     return live.select("interview_id", "seg_id", F.to_json(event).alias("event"))
 
 
@@ -63,7 +83,10 @@ def snapshots(interviews: DataFrame, live: DataFrame) -> DataFrame:
     """(interview_id, n_segments, transcript, analysed_to, status, dominant, secondary, roles): a session's view, with its last live scores."""
     last = live.groupBy("interview_id").agg(F.max(F.struct("seg_id", "status", "dominant", "secondary", "roles")).alias("x"))
     rows = interviews.select("interview_id", "n_segments", F.col("w").alias("transcript")).join(last, "interview_id", "left")
-    return rows.select("interview_id", "n_segments", "transcript", F.col("x.seg_id").alias("analysed_to"), F.coalesce("x.status", F.lit("waiting")).alias("status"), "x.dominant", "x.secondary", "x.roles")
+    return rows.select(
+        "interview_id", "n_segments", "transcript", F.col("x.seg_id").alias("analysed_to"),
+        F.coalesce("x.status", F.lit("waiting")).alias("status"), "x.dominant", "x.secondary", "x.roles",
+    )
 
 
 SYSTEM = "Read the transcript and the local results; ask what the evidence leaves open. Answer in JSON."
@@ -74,17 +97,39 @@ def inference_requests(scored: DataFrame, tail: int = 4000, most: int = 4) -> Da
 
     The transcript's end, the ranking, the first gaps and questions, open axes, and the defects of high severity.
     """
-    dims = F.array(*(F.struct((-F.col(f"disc_{d}")).alias("neg"), F.lit(i).alias("ord"), F.lit(d.upper()).alias("dim")) for i, d in enumerate("disc")))
+    dims = F.array(
+        *(F.struct((-F.col(f"disc_{d}")).alias("neg"), F.lit(i).alias("ord"), F.lit(d.upper()).alias("dim")) for i, d in enumerate("disc")),
+    )
     ranking = F.array_join(F.transform(F.array_sort(dims), lambda x: x["dim"]), " / ")
-    axes = F.array_compact(F.array(*(F.when(F.col(f"pref_{a}").isin("neutral", "unclear"), F.lit(a.upper())) for a in ("ei", "ns", "tf", "jp"))))
+    axes = F.array_compact(
+        F.array(*(F.when(F.col(f"pref_{a}").isin("neutral", "unclear"), F.lit(a.upper())) for a in ("ei", "ns", "tf", "jp"))),
+    )
     grave = F.array_compact(F.array(*(F.when(F.expr(d) == "high", F.lit(c)) for c, d, _ in STAR_DEFECTS)))
-    asked = F.slice(F.array_distinct(F.flatten(F.array(*(F.when(F.expr(w), F.array(*map(F.lit, PROBES[c]))).otherwise(F.array().cast("array<string>")) for c, _, w in STAR_DEFECTS)))), 1, most)
+    asked = F.slice(
+        F.array_distinct(
+            F.flatten(
+                F.array(
+                    *(F.when(F.expr(w), F.array(*map(F.lit, PROBES[c]))).otherwise(
+                        F.array().cast("array<string>"),
+                    ) for c, _, w in STAR_DEFECTS),
+                ),
+            ),
+        ),
+        1, most,
+    )
     user = F.struct(
-        F.right("w", F.lit(tail)).alias("transcript"), ranking.alias("ranking"), F.struct(*(F.col(f"disc_{d}").alias(d.upper()) for d in "disc")).alias("scores"),
+        F.right("w", F.lit(tail)).alias("transcript"), ranking.alias("ranking"), F.struct(
+            *(F.col(f"disc_{d}").alias(d.upper()) for d in "disc"),
+        ).alias(
+            "scores",
+        ),
         rule_list(GAPS, most).alias("gaps"), F.col("impression_risk").alias("risk"), F.col("mbti_type").alias("mbti"), axes.alias("open_axes"), grave.alias("defects"), asked.alias("questions"),
     )
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return scored.select("interview_id", F.to_json(F.struct(F.array(message("system", F.lit(SYSTEM)), message("user", F.to_json(user))).alias("messages"))).alias("request"))
+    return scored.select(
+        "interview_id",
+        F.to_json(F.struct(F.array(message("system", F.lit(SYSTEM)), message("user", F.to_json(user))).alias("messages"))).alias("request"),
+    )
 
 
 def merge_results(local: DataFrame, remote: DataFrame, key: str, columns: Sequence[str], lists: Mapping[str, int] | None = None) -> DataFrame:
@@ -95,13 +140,21 @@ def merge_results(local: DataFrame, remote: DataFrame, key: str, columns: Sequen
     lists = dict(lists or {})
     far = remote.select(key, *(F.col(c).alias(f"__remote_{c}") for c in [*columns, *lists]))
     merged = {c: F.coalesce(F.when(F.trim(F.col(f"__remote_{c}").cast("string")) != "", F.col(f"__remote_{c}")), F.col(c)) for c in columns}
-    merged |= {c: F.slice(F.when(F.size(f"__remote_{c}") > 0, F.col(f"__remote_{c}")).otherwise(F.col(c)), 1, most) for c, most in lists.items()}
+    merged |= {c: F.slice(
+        F.when(F.size(f"__remote_{c}") > 0, F.col(f"__remote_{c}")).otherwise(F.col(c)), 1, most,
+    ) for c, most in lists.items()}
     return local.join(far, key, "left").withColumns(merged).select(local.columns)
 
 
 def rule_hit_rates(scored: DataFrame, families: dict[str, Sequence[Rule]]) -> DataFrame:
     """(family, checks, hits): how many rules of each family were tried and held, over all interviews."""
-    sums = [(f, len(rules), F.sum(sum((F.when(F.expr(w), 1).otherwise(0) for _, _, w in rules), F.lit(0)))) for f, rules in families.items()]
+    sums = [(
+        f, len(rules), F.sum(sum((F.when(F.expr(w), 1).otherwise(0) for _, _, w in rules), F.lit(0))),
+    ) for f, rules in families.items()]
     row = scored.agg(F.count("*").alias("n"), *(s.alias(f) for f, _, s in sums))
-    made = F.array(*(F.struct(F.lit(f).alias("family"), (F.col("n") * k).alias("checks"), F.coalesce(F.col(f), F.lit(0)).cast("long").alias("hits")) for f, k, _ in sums))
+    made = F.array(
+        *(F.struct(
+            F.lit(f).alias("family"), (F.col("n") * k).alias("checks"), F.coalesce(F.col(f), F.lit(0)).cast("long").alias("hits"),
+        ) for f, k, _ in sums),
+    )
     return row.select(F.explode(made).alias("r")).select("r.*")

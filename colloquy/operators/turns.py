@@ -39,10 +39,19 @@ def role_of_label(label: Column) -> Column:
 
 def speaker_lines(transcripts: DataFrame) -> DataFrame:
     """(interview_id, line, role, text): lines with their label's role, null without a label; blank lines are left out."""
-    lines = transcripts.select("interview_id", F.posexplode(F.split(turn_breaks(normalize_text(F.col("text"))), "\n")).alias("line", "raw")).withColumn("raw", utrim(F.col("raw"))).where("raw <> ''")
+    lines = transcripts.select(
+        "interview_id", F.posexplode(F.split(turn_breaks(normalize_text(F.col("text"))), "\n")).alias("line", "raw"),
+    ).withColumn(
+        "raw", utrim(F.col("raw")),
+    ).where(
+        "raw <> ''",
+    )
     pattern = r"(?Us)^([^:：]{1,20})[:：]\s*(.+)$"
     role = role_of_label(F.regexp_extract("raw", pattern, 1))
-    return lines.select("interview_id", "line", role.alias("role"), F.when(role.isNotNull(), F.regexp_extract("raw", pattern, 2)).otherwise(F.col("raw")).alias("text"))
+    return lines.select(
+        "interview_id", "line", role.alias("role"),
+        F.when(role.isNotNull(), F.regexp_extract("raw", pattern, 2)).otherwise(F.col("raw")).alias("text"),
+    )
 
 
 def merge_segments(lines: DataFrame) -> DataFrame:
@@ -55,7 +64,9 @@ def merge_segments(lines: DataFrame) -> DataFrame:
     marked = lines.withColumn("speaker", who).withColumn("new", (~F.lag("speaker").over(order).eqNullSafe(F.col("speaker"))).cast("int"))
     grouped = marked.withColumn("seg_id", F.sum("new").over(order))
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    return grouped.groupBy("interview_id", "seg_id", "speaker").agg(texts.alias("text")).select("interview_id", F.col("seg_id").cast("long").alias("seg_id"), "speaker", "text")
+    return grouped.groupBy("interview_id", "seg_id", "speaker").agg(texts.alias("text")).select(
+        "interview_id", F.col("seg_id").cast("long").alias("seg_id"), "speaker", "text",
+    )
 
 
 #: Cues of a question and of an answer in a single line (own lists).
@@ -76,7 +87,9 @@ def looks_like_answer(text: Column, least: int = 18) -> Column:
 def question_type(text: Column) -> Column:
     out = F.when(F.coalesce(text, F.lit("")) == "", "unlabelled")
     for kind, words in L.QUESTIONS:
-        out = out.when(F.greatest(*(F.contains(text, F.lit(w)) for w in words)) if len(words) > 1 else F.contains(text, F.lit(words[0])), kind)
+        out = out.when(
+            F.greatest(*(F.contains(text, F.lit(w)) for w in words)) if len(words) > 1 else F.contains(text, F.lit(words[0])), kind,
+        )
     return out.otherwise("general")
 
 
@@ -99,7 +112,9 @@ def qa_pairs(segments: DataFrame) -> DataFrame:
     A question is used once. Ids are given before blank answers are dropped, so there can be gaps.
     """
     order = Window.partitionBy("interview_id").orderBy("seg_id")
-    told = segments.withColumn("question", utrim(F.coalesce(asked(), F.lit("")))).where("speaker = 'candidate'").withColumn("turn_id", F.row_number().over(order).cast("long"))
+    told = segments.withColumn("question", utrim(F.coalesce(asked(), F.lit("")))).where("speaker = 'candidate'").withColumn(
+        "turn_id", F.row_number().over(order).cast("long"),
+    )
     told = told.withColumn("answer", utrim(F.coalesce("text", F.lit("")))).where("answer <> ''")
     return told.select(
         "interview_id", "turn_id", "question", question_type(F.col("question")).alias("question_type"),
@@ -119,7 +134,9 @@ def sentences(text: Column) -> Column:
 def interviews(segments: DataFrame) -> DataFrame:
     """One row for each interview: t, w, sent, sent_chars, n_segments, n_turns, n_types, cand_chars. Interviews without an answer stay."""
     said = utrim(F.coalesce("text", F.lit("")))
-    rows = segments.withColumns({"kind": question_type(F.coalesce(asked(), F.lit(""))), "is_turn": (F.col("speaker") == "candidate") & (said != ""), "said": said})
+    rows = segments.withColumns(
+        {"kind": question_type(F.coalesce(asked(), F.lit(""))), "is_turn": (F.col("speaker") == "candidate") & (said != ""), "said": said},
+    )
     # the segments of an interview are gathered once and put in order; both texts are read from them
     part = F.struct("seg_id", "is_turn", "said", display_line(F.col("speaker"), F.coalesce("text", F.lit(""))).alias("line"))
     out = rows.groupBy("interview_id").agg(
@@ -133,4 +150,6 @@ def interviews(segments: DataFrame) -> DataFrame:
     whole = F.transform("parts", lambda p: p["line"])
     out = out.withColumns({"t": F.array_join(answers, "\n"), "w": F.array_join(whole, "\n")}).drop("parts")
     pieces = sentences(F.col("t"))
-    return out.withColumn("sent", F.size(pieces).cast("long")).withColumn("sent_chars", F.aggregate(pieces, F.lit(0), lambda a, s: a + F.length(s)).cast("long"))
+    return out.withColumn("sent", F.size(pieces).cast("long")).withColumn(
+        "sent_chars", F.aggregate(pieces, F.lit(0), lambda a, s: a + F.length(s)).cast("long"),
+    )

@@ -52,12 +52,17 @@ def ruled(name: str, rules: Sequence[R.Rule], code: str = "code", detail: str =
     sql = f"{O.prelude(WORDS)}, found as ({O.union(parts)}) select * from found"
     if most is not None:
         sql += f" qualify row_number() over (partition by interview_id order by ord) <= {most}"
-    add(name, lambda spark, d: S.rows_where(scored(spark, d, str(rules)), rules, most).withColumnsRenamed({"code": code, "detail": detail}), sql)
+    add(
+        name, lambda spark, d: S.rows_where(scored(spark, d, str(rules)), rules, most).withColumnsRenamed({"code": code, "detail": detail}),
+        sql,
+    )
 
 
 def scores_sql(model: str) -> str:
     dims, columns = MODELS[model]
-    return O.union([f"select interview_id, '{model}' as model, '{d}' as dim, {i}::bigint as dim_ord, {c} as score from scored" for i, (d, c) in enumerate(zip(dims, columns, strict=True))])
+    return O.union(
+        [f"select interview_id, '{model}' as model, '{d}' as dim, {i}::bigint as dim_ord, {c} as score from scored" for i, (d, c) in enumerate(zip(dims, columns, strict=True))],
+    )
 
 
 RANKED = "row_number() over (partition by interview_id order by score desc, dim_ord)"
@@ -75,10 +80,24 @@ def ranked(model: str) -> Callable[[SparkSession, str], DataFrame]:
 add("conversation_scan", conversation_segments, """
     select conv_id as interview_id, turn as seg_id, case role when 'user' then 'interviewer' when 'assistant' then 'candidate' else 'unknown' end as speaker, text
     from conversations""")
-add("qa_pairing", lambda s, d: T.qa_pairs(zh_turns(s, d)).select("interview_id", "turn_id", "question", "answer"), f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, question, answer from turns")
-add("question_type", lambda s, d: T.qa_pairs(zh_turns(s, d)).select("interview_id", "turn_id", "question_type"), f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, question_type from turns")
-add("answer_summary", lambda s, d: T.qa_pairs(zh_turns(s, d)).select("interview_id", "turn_id", "answer_summary", "answer_length"), f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, case when length(flat) > 80 then left(flat, 80) || '...' else flat end as answer_summary, length(answer) as answer_length from turns")
-add("normalize_turns", lambda s, d: T.qa_pairs(zh_turns(s, d)), f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, question, question_type, answer, case when length(flat) > 80 then left(flat, 80) || '...' else flat end as answer_summary, length(answer) as answer_length from turns")
+add(
+    "qa_pairing", lambda s, d: T.qa_pairs(zh_turns(s, d)).select("interview_id", "turn_id", "question", "answer"),
+    f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, question, answer from turns",
+)
+add(
+    "question_type", lambda s, d: T.qa_pairs(zh_turns(s, d)).select("interview_id", "turn_id", "question_type"),
+    f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, question_type from turns",
+)
+add(
+    "answer_summary", lambda s, d: T.qa_pairs(zh_turns(s, d)).select("interview_id", "turn_id", "answer_summary", "answer_length"),
+    f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, case when length(flat) > 80 then left(flat, 80) || '...' else flat end "
+    f"as answer_summary, length(answer) as answer_length from turns",
+)
+add(
+    "normalize_turns", lambda s, d: T.qa_pairs(zh_turns(s, d)),
+    f"with {O.SEGMENTS}, {O.TURNS} select interview_id, turn_id, question, question_type, answer, case when length(flat) > 80 then "
+    f"left(flat, 80) || '...' else flat end as answer_summary, length(answer) as answer_length from turns",
+)
 
 
 FLAT_SQL = f"""with {O.SEGMENTS}, said as (
@@ -86,11 +105,34 @@ FLAT_SQL = f"""with {O.SEGMENTS}, said as (
     from segments where speaker <> 'unknown'
 ) select interview_id, seg_id, speaker, text from said"""
 add("segments", lambda s, d: T.merge_segments(T.speaker_lines(flat_transcripts(s, d))), FLAT_SQL)
-add("speaker_lines", lambda s, d: T.speaker_lines(flat_transcripts(s, d)).select("interview_id", F.col("line").cast("long").alias("line"), "role", "text"), FLAT_SQL.replace("select interview_id, seg_id, speaker, text from said", "select interview_id, seg_id - 1 as line, speaker as role, text from said"))
-add("display_transcript", lambda s, d: interviews(s, d).select("interview_id", F.col("w").alias("transcript")), f"with {O.SEGMENTS}, {O.TURNS}, {O.INTERVIEWS} select interview_id, w as transcript from base")
-add("candidate_text", lambda s, d: interviews(s, d).select("interview_id", F.col("t").alias("answers")), f"with {O.SEGMENTS}, {O.TURNS}, {O.INTERVIEWS} select interview_id, t as answers from base")
-add("segment_counts", lambda s, d: interviews(s, d).select("interview_id", "n_segments", "n_turns", "cand_chars"), f"with {O.SEGMENTS}, {O.TURNS}, {O.INTERVIEWS} select interview_id, n_segments, n_turns, cand_chars from base")
-add("sentences", lambda s, d: interviews(s, d).select("interview_id", F.posexplode(T.sentences(F.col("t"))).alias("at", "sentence")).withColumn("at", F.col("at").cast("long")), f"with {O.SEGMENTS}, {O.TURNS}, {O.INTERVIEWS} select interview_id, unnest(parts) as sentence, generate_subscripts(parts, 1) - 1 as at from (select interview_id, list_filter(list_transform(string_split_regex(t, '[。！？!?；;\\n]+'), lambda s: {O._TRIM.format('s')}), lambda s: s <> '') as parts from base)")
+add(
+    "speaker_lines",
+    lambda s, d: T.speaker_lines(flat_transcripts(s, d)).select("interview_id", F.col("line").cast("long").alias("line"), "role", "text"),
+    FLAT_SQL.replace(
+        "select interview_id, seg_id, speaker, text from said", "select interview_id, seg_id - 1 as line, speaker as role, text from said",
+    ),
+)
+add(
+    "display_transcript", lambda s, d: interviews(s, d).select("interview_id", F.col("w").alias("transcript")),
+    f"with {O.SEGMENTS}, {O.TURNS}, {O.INTERVIEWS} select interview_id, w as transcript from base",
+)
+add(
+    "candidate_text", lambda s, d: interviews(s, d).select("interview_id", F.col("t").alias("answers")),
+    f"with {O.SEGMENTS}, {O.TURNS}, {O.INTERVIEWS} select interview_id, t as answers from base",
+)
+add(
+    "segment_counts", lambda s, d: interviews(s, d).select("interview_id", "n_segments", "n_turns", "cand_chars"),
+    f"with {O.SEGMENTS}, {O.TURNS}, {O.INTERVIEWS} select interview_id, n_segments, n_turns, cand_chars from base",
+)
+add(
+    "sentences",
+    lambda s, d: interviews(s, d).select("interview_id", F.posexplode(T.sentences(F.col("t"))).alias("at", "sentence")).withColumn(
+        "at", F.col("at").cast("long"),
+    ),
+    f"with {O.SEGMENTS}, {O.TURNS}, {O.INTERVIEWS} select interview_id, unnest(parts) as sentence, generate_subscripts(parts, 1) - 1 as "
+    f"at from (select interview_id, list_filter(list_transform(string_split_regex(t, '[。！？!?；;\\n]+'), lambda s: "
+    f"{O._TRIM.format('s')}), lambda s: s <> '') as parts from base)",
+)
 
 # features
 wide("text_stats", "text_length", "word_count", "sent", "avg_sentence")
@@ -101,12 +143,27 @@ wide("star_structure", "structure")
 wide("topic_stability", "n_types", "n_turns", "stability")
 wide("story_richness", "n_detail", "n_numbers", "richness")
 wide("self_team_balance", "n_singular", "team_count", "self_team_ratio", "orientation", "focus", "balance", "abstraction")
-wide("star_subscores", *(f"cast(sub_{d} as double) / 10000 as star_{d}_score" for d in "star"), *(f"n_star_{d} as strong_{d}" for d in "star"), *(f"n_weak_{d} as weak_{d}" for d in "star"))
-wide("feature_highlights", *(f"cast(floor({c} * 100) as bigint) as {c}_percent" for c in ("action_ratio", "emotional_ratio", "social_ratio", "logical_ratio", "hedge_ratio", "structure", "stability", "richness", "buzzword_ratio", "detail_ratio")))
+wide(
+    "star_subscores", *(f"cast(sub_{d} as double) / 10000 as star_{d}_score" for d in "star"),
+    *(f"n_star_{d} as strong_{d}" for d in "star"), *(f"n_weak_{d} as weak_{d}" for d in "star"),
+)
+wide(
+    "feature_highlights",
+    *(f"cast(floor({c} * 100) as bigint) as {c}_percent" for c in (
+        "action_ratio", "emotional_ratio", "social_ratio", "logical_ratio", "hedge_ratio", "structure", "stability", "richness",
+        "buzzword_ratio", "detail_ratio",
+    )),
+)
 
 # scores
-wide("score_table", "sample_quality", *(c for _, cols in MODELS.values() for c in cols), "mbti_type", "star_overall", "disc_confidence", "mbti_confidence", "big_confidence", "type_confidence", "star_confidence")
-wide("mbti_axes", *(f"{p}_{(a + b).lower()}" for a, b in L.AXES for p in ("pref", "strength")), *(f"side_{x}" for x in "eintfjps"), "sample_quality", "mbti_confidence")
+wide(
+    "score_table", "sample_quality", *(c for _, cols in MODELS.values() for c in cols), "mbti_type", "star_overall", "disc_confidence",
+    "mbti_confidence", "big_confidence", "type_confidence", "star_confidence",
+)
+wide(
+    "mbti_axes", *(f"{p}_{(a + b).lower()}" for a, b in L.AXES for p in ("pref", "strength")), *(f"side_{x}" for x in "eintfjps"),
+    "sample_quality", "mbti_confidence",
+)
 wide("mbti_type", "mbti_type", "sample_quality", "mbti_confidence")
 wide("star_dimensions", *(f"dim_{d}" for d in "star"), "star_confidence")
 wide("star_overall", "star_overall", "star_confidence")
@@ -118,12 +175,20 @@ wide("enneagram_confidence", "type_max", "type_second_score", "type_confidence")
 wide("n_artifact", "big_n", "big_e", "n_artifact")
 wide("enneagram_wing", "type_top", "type_second", "wing")
 wide("primary_style_label", "disc_top", "big_top", "style_label")
-wide("integrated_profile", "disc_top", "disc_second", "big_top", "type_top", "type_second", "mbti_type", "style_label", "wing", "sample_quality", "disc_confidence", "big_confidence", "type_confidence", "mbti_confidence")
+wide(
+    "integrated_profile", "disc_top", "disc_second", "big_top", "type_top", "type_second", "mbti_type", "style_label", "wing",
+    "sample_quality", "disc_confidence", "big_confidence", "type_confidence", "mbti_confidence",
+)
 _REASONS = {"short_sample": "cand_chars < 300", "few_turns": "n_turns < 3", "no_clear_style": "disc_max < 60", "open_axes": "n_open >= 2", "high_conflict": "(disc_d >= 70 or disc_c >= 70) and mbti_type like '%P%'", "star_defect": "n_high > 0", "impression": "impression_risk = 'high'"}
 _FIRST_HIGH = "case " + " ".join(f"when ({w}) and ({d}) = 'high' then '{c}'" for c, d, w in R.FINDINGS) + " end"
 _FIRST_GAP = "case " + " ".join(f"when {w} then '{c}'" for c, _, w in R.GAPS) + " end"
 _ANY_MEDIUM = " or ".join(f"(({w}) and ({d}) = 'medium')" for c, d, w in R.FINDINGS)
-wide("decision_outputs", f"coalesce({_FIRST_HIGH}, {_FIRST_GAP}, 'stable') as blocker", f"case when {_FIRST_HIGH} is not null then 'verify_first' when impression_risk = 'high' then 'authenticity' when {_ANY_MEDIUM} or impression_risk = 'medium' then 'medium' else 'none' end as risk", f"case when {_FIRST_HIGH} is not null then 'challenge' when disc_confidence = 'low' then 'collect_more' else 'verify' end as action")
+wide(
+    "decision_outputs", f"coalesce({_FIRST_HIGH}, {_FIRST_GAP}, 'stable') as blocker",
+    f"case when {_FIRST_HIGH} is not null then 'verify_first' when impression_risk = 'high' then 'authenticity' when {_ANY_MEDIUM} or "
+    f"impression_risk = 'medium' then 'medium' else 'none' end as risk",
+    f"case when {_FIRST_HIGH} is not null then 'challenge' when disc_confidence = 'low' then 'collect_more' else 'verify' end as action",
+)
 
 # the scores once more, against words and rules as rows: (prefix of the columns, dimensions)
 STATED = {"disc": "disc", "big": "ocean", "type": "123456789"}
@@ -191,7 +256,13 @@ ruled("axis_questions", R.AXIS_QUESTIONS, "axis", "priority", most=4)
 for _model in MODELS:
     add(f"{_model}_ranking", ranked(_model), ranked_sql(_model))
 add("score_ranking", ranked("disc"), ranked_sql("disc"))
-add("score_band", lambda s, d: ranked("bigfive")(s, d).select("interview_id", "dim", "score", S.band(F.col("score")).alias("band")), ranked_sql("bigfive", "interview_id, dim, score, case when score <= 24 then 'low' when score <= 49 then 'guarded' when score <= 74 then 'clear' else 'strong' end as band"))
+add(
+    "score_band", lambda s, d: ranked("bigfive")(s, d).select("interview_id", "dim", "score", S.band(F.col("score")).alias("band")),
+    ranked_sql(
+        "bigfive",
+        "interview_id, dim, score, case when score <= 24 then 'low' when score <= 49 then 'guarded' when score <= 74 then 'clear' else 'strong' end as band",
+    ),
+)
 _TOP = "max(score) over (partition by interview_id)"
 _RULES_AT = "case dim " + " ".join(f"when '{k}' then rules_{k}" for k in range(1, 10)) + " end"
 _HITS_AT = "case dim " + " ".join(f"when '{k}' then h_type_{k}" for k in range(1, 10)) + " end"
@@ -199,8 +270,13 @@ _HITS_AT = "case dim " + " ".join(f"when '{k}' then h_type_{k}" for k in range(1
 _TOP = "max(score) over (partition by interview_id)"
 add(
     "secondary_traits",
-    lambda s, d: S.ranked(scored(s, d, " ".join(MODELS["bigfive"][1]) + " big_max"), "bigfive", *MODELS["bigfive"], ["big_max"]).where("rank in (2, 3) and 10 * score >= 7 * big_max").select("interview_id", "dim", "score", "rank"),
-    f"{O.prelude(WORDS)}, long as ({scores_sql('bigfive')}), ranked as (select *, {RANKED} as rank, {_TOP} as top from long) select interview_id, dim, score, rank from ranked where rank in (2, 3) and 10 * score >= 7 * top",
+    lambda s, d: S.ranked(scored(s, d, " ".join(MODELS["bigfive"][1]) + " big_max"), "bigfive", *MODELS["bigfive"], ["big_max"]).where(
+        "rank in (2, 3) and 10 * score >= 7 * big_max",
+    ).select(
+        "interview_id", "dim", "score", "rank",
+    ),
+    f"{O.prelude(WORDS)}, long as ({scores_sql('bigfive')}), ranked as (select *, {RANKED} as rank, {_TOP} as top from long) select "
+    f"interview_id, dim, score, rank from ranked where rank in (2, 3) and 10 * score >= 7 * top",
 )
 _LEVEL = "case when score >= 65 then 'high' when score >= 50 then 'medium' else 'low' end"
 _AT = lambda prefix: "case dim " + " ".join(f"when '{k}' then {prefix}_{k}" for k in TYPES) + " end"
@@ -217,9 +293,15 @@ def type_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TYPES_SQL = f"{O.prelude(WORDS)}, long as ({scores_sql('enneagram')}), ranked as (select *, {RANKED} as rank from long), with_ as (select r.*, {_AT('h_type')} as hits, {_AT('rules')} as rules from ranked r join scored using (interview_id))"
 _TWO = ["interview_id", "dim as type", "score", "rank", f"{_LEVEL} as level", f"{_SIGNS} as evidence"]
-add("top_two_types", lambda s, d: type_rows(s, d).where("rank <= 2").selectExpr(*_TWO), f"{_TYPES_SQL} select {', '.join(_TWO)} from with_ where rank <= 2")
+add(
+    "top_two_types", lambda s, d: type_rows(s, d).where("rank <= 2").selectExpr(*_TWO),
+    f"{_TYPES_SQL} select {', '.join(_TWO)} from with_ where rank <= 2",
+)
 _FOUR = ["interview_id", "dim as type", "rank", "score", f"{_LEVEL} as band", "hits", "rules"]
-add("enneagram_evidence", lambda s, d: type_rows(s, d).where("rank <= 4").selectExpr(*_FOUR), f"{_TYPES_SQL} select {', '.join(_FOUR)} from with_ where rank <= 4")
+add(
+    "enneagram_evidence", lambda s, d: type_rows(s, d).where("rank <= 4").selectExpr(*_FOUR),
+    f"{_TYPES_SQL} select {', '.join(_FOUR)} from with_ where rank <= 4",
+)
 _PROBE_VALUES = ", ".join(f"('{d}', '{c}', '{x}')" for d, (c, x) in R.STYLE_PROBES.items())
 
 
@@ -227,10 +309,18 @@ def probe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each style with the question of its place: confirm the first two, challenge the last two. The table of probes has four rows."""
     table = spark.sql(f"select * from values {_PROBE_VALUES} as p(dim, confirm, challenge)")
     rows = ranked("disc")(spark, sf_dir).join(F.broadcast(table), "dim")
-    return rows.selectExpr("interview_id", "dim", "rank", "case when rank <= 2 then 'confirm' else 'challenge' end as probe", "case when rank <= 2 then confirm else challenge end as question")
+    return rows.selectExpr(
+        "interview_id", "dim", "rank", "case when rank <= 2 then 'confirm' else 'challenge' end as probe",
+        "case when rank <= 2 then confirm else challenge end as question",
+    )
 
 
-add("probe_plan", probe_plan, f"{O.prelude(WORDS)}, long as ({scores_sql('disc')}), ranked as (select *, {RANKED} as rank from long) select interview_id, r.dim, rank, case when rank <= 2 then 'confirm' else 'challenge' end as probe, case when rank <= 2 then confirm else challenge end as question from ranked r join (values {_PROBE_VALUES}) p(dim, confirm, challenge) on p.dim = r.dim")
+add(
+    "probe_plan", probe_plan,
+    f"{O.prelude(WORDS)}, long as ({scores_sql('disc')}), ranked as (select *, {RANKED} as rank from long) select interview_id, r.dim, "
+    f"rank, case when rank <= 2 then 'confirm' else 'challenge' end as probe, case when rank <= 2 then confirm else challenge end as "
+    f"question from ranked r join (values {_PROBE_VALUES}) p(dim, confirm, challenge) on p.dim = r.dim",
+)
 _SHARE = "case when total = 0 then cast(0 as double) else cast((20000 * score + total) div (2 * total) as double) / 10000 end"
 _OFFSET = "case when total = 0 then cast(0 as double) else cast((20000 * before + total) div (2 * total) as double) / 10000 end"
 
@@ -238,32 +328,89 @@ _OFFSET = "case when total = 0 then cast(0 as double) else cast((20000 * before
 def score_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each style's share of the sum of the four, and where it begins if they are put one after the other."""
     row = scored(spark, sf_dir, " ".join(MODELS["disc"][1]))
-    rows = S.ranked(row, "disc", *MODELS["disc"], ["disc_d + disc_i + disc_s + disc_c as total", "array(0, disc_d, disc_d + disc_i, disc_d + disc_i + disc_s) as sums"])
-    return rows.selectExpr("interview_id", "dim", f"{_SHARE} as share", "sums[cast(dim_ord as int)] as before", "total").selectExpr("interview_id", "dim", "share", f"{_OFFSET} as offset")
+    rows = S.ranked(
+        row, "disc", *MODELS["disc"],
+        ["disc_d + disc_i + disc_s + disc_c as total", "array(0, disc_d, disc_d + disc_i, disc_d + disc_i + disc_s) as sums"],
+    )
+    return rows.selectExpr("interview_id", "dim", f"{_SHARE} as share", "sums[cast(dim_ord as int)] as before", "total").selectExpr(
+        "interview_id", "dim", "share", f"{_OFFSET} as offset",
+    )
 
 
-add("score_share", score_share, f"{O.prelude(WORDS)}, long as ({scores_sql('disc')}), sums as (select *, sum(score) over (partition by interview_id)::bigint as total, (sum(score) over (partition by interview_id order by dim_ord) - score)::bigint as before from long) select interview_id, dim, {ansi(_SHARE)} as share, {ansi(_OFFSET)} as offset from sums")
-_UNION_SQL = O.union([f"select interview_id, {i}::bigint as ord, {quoted(k)} as type, {sev} as severity, {quoted(text)} as description from scored where {ansi(w)}" for i, (k, sev, w, text) in enumerate(R.UNION)])
+add(
+    "score_share", score_share,
+    f"{O.prelude(WORDS)}, long as ({scores_sql('disc')}), sums as (select *, sum(score) over (partition by interview_id)::bigint as "
+    f"total, (sum(score) over (partition by interview_id order by dim_ord) - score)::bigint as before from long) select interview_id, "
+    f"dim, {ansi(_SHARE)} as share, {ansi(_OFFSET)} as offset from sums",
+)
+_UNION_SQL = O.union(
+    [f"select interview_id, {i}::bigint as ord, {quoted(k)} as type, {sev} as severity, {quoted(text)} as description from scored where "
+    f"{ansi(w)}" for i, (k, sev, w, text) in enumerate(R.UNION)],
+)
 add(
     "conflict_union",
     lambda s, d: S.conflict_union(scored(s, d, str(R.UNION)), R.UNION),
-    f"{O.prelude(WORDS)}, found as ({_UNION_SQL}), once as (select * from found qualify row_number() over (partition by interview_id, type, left(description, 40) order by ord) = 1) select * from once qualify row_number() over (partition by interview_id order by ord) <= 8",
+    f"{O.prelude(WORDS)}, found as ({_UNION_SQL}), once as (select * from found qualify row_number() over (partition by interview_id, "
+    f"type, left(description, 40) order by ord) = 1) select * from once qualify row_number() over (partition by interview_id order by "
+    f"ord) <= 8",
 )
 
 # mappings and probes
-_PROBE_ROWS = O.union([f"select interview_id, defect_{k} as severity, {i} as ord, '{k}' as defect, {j} as n, '{q}' as question from scored where defect_{k} is not null" for i, (k, qs) in enumerate(R.PROBES.items()) for j, q in enumerate(qs)])
-add("probe_lookup", lambda s, d: S.probes(scored(s, d, " ".join(f"defect_{k}" for k in R.PROBES))), f"{O.prelude(WORDS)}, asked2 as ({_PROBE_ROWS}), placed as (select *, row_number() over (partition by interview_id order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, ord, n) as place from asked2) select interview_id, defect, severity, question, place from placed qualify row_number() over (partition by interview_id, question order by place) = 1")
-add("severity_order", lambda s, d: S.rows_where(scored(s, d, str(R.STAR_DEFECTS)), R.STAR_DEFECTS).selectExpr("interview_id", "code as defect", "detail as severity", "row_number() over (partition by interview_id order by case detail when 'high' then 0 when 'medium' then 1 else 2 end, ord) as place").withColumn("place", F.col("place").cast("long")), f"{O.prelude(WORDS)}, found as ({O.union([f'select interview_id, {quoted(c)} as defect, {d} as severity, {i} as ord from scored where {w}' for i, (c, d, w) in enumerate(R.STAR_DEFECTS)])}) select interview_id, defect, severity, row_number() over (partition by interview_id order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, ord) as place from found")
+_PROBE_ROWS = O.union(
+    [f"select interview_id, defect_{k} as severity, {i} as ord, '{k}' as defect, {j} as n, '{q}' as question from scored where "
+    f"defect_{k} is not null" for i, (k, qs) in enumerate(R.PROBES.items()) for j, q in enumerate(qs)],
+)
+add(
+    "probe_lookup", lambda s, d: S.probes(scored(s, d, " ".join(f"defect_{k}" for k in R.PROBES))),
+    f"{O.prelude(WORDS)}, asked2 as ({_PROBE_ROWS}), placed as (select *, row_number() over (partition by interview_id order by case "
+    f"severity when 'high' then 0 when 'medium' then 1 else 2 end, ord, n) as place from asked2) select interview_id, defect, severity, "
+    f"question, place from placed qualify row_number() over (partition by interview_id, question order by place) = 1",
+)
+add(
+    "severity_order",
+    lambda s, d: S.rows_where(scored(s, d, str(R.STAR_DEFECTS)), R.STAR_DEFECTS).selectExpr(
+        "interview_id", "code as defect", "detail as severity",
+        "row_number() over (partition by interview_id order by case detail when 'high' then 0 when 'medium' then 1 else 2 end, ord) as place",
+    ).withColumn(
+        "place", F.col("place").cast("long"),
+    ),
+    f"{O.prelude(WORDS)}, found as "
+    f"({O.union([f'select interview_id, {quoted(c)} as defect, {d} as severity, {i} as ord from scored where {w}' for i, (c, d, w) in enumerate(R.STAR_DEFECTS)])}) "
+    f"select interview_id, defect, severity, row_number() over (partition by interview_id order by case severity when 'high' then 0 "
+    f"when 'medium' then 1 else 2 end, ord) as place from found",
+)
 _DISC_TYPES = ", ".join(f"('{d}', '{t}', {w}::double)" for d, types in L.DISC_TO_TYPE.items() for t, w in types)
-add("disc_to_enneagram", lambda s, d: S.disc_to_types(scored(s, d, "disc_top")), f"{O.prelude(WORDS)} select interview_id, disc_top, v.type, v.weight from scored join (values {_DISC_TYPES}) v(disc, type, weight) on v.disc = disc_top")
+add(
+    "disc_to_enneagram", lambda s, d: S.disc_to_types(scored(s, d, "disc_top")),
+    f"{O.prelude(WORDS)} select interview_id, disc_top, v.type, v.weight from scored join (values {_DISC_TYPES}) v(disc, type, weight) on v.disc = disc_top",
+)
 _DISC_BIG = ", ".join(f"('{d}', '{b}', {w}::double)" for d, dims in L.DISC_TO_BIGFIVE.items() for b, w in dims.items() if abs(w) >= 0.3)
-add("dim_adjustments", lambda s, d: S.dim_adjustments(scored(s, d, "disc_top")), f"{O.prelude(WORDS)} select interview_id, disc_top, v.dim, v.adjustment from scored join (values {_DISC_BIG}) v(disc, dim, adjustment) on v.disc = disc_top")
-_BIG_TYPES = O.union([f"select interview_id, {i} as ord, '{c}' as type, {d} as weight from scored where {w}" for i, (c, d, w) in enumerate(S.BIGFIVE_TYPES)])
-add("bigfive_to_enneagram", lambda s, d: S.bigfive_to_types(scored(s, d, str(S.BIGFIVE_TYPES))), f"{O.prelude(WORDS)}, found as ({_BIG_TYPES}) select interview_id, type, weight, row_number() over (partition by interview_id order by weight desc, ord) as rank from found qualify rank <= 3")
+add(
+    "dim_adjustments", lambda s, d: S.dim_adjustments(scored(s, d, "disc_top")),
+    f"{O.prelude(WORDS)} select interview_id, disc_top, v.dim, v.adjustment from scored join (values {_DISC_BIG}) v(disc, dim, "
+    f"adjustment) on v.disc = disc_top",
+)
+_BIG_TYPES = O.union(
+    [f"select interview_id, {i} as ord, '{c}' as type, {d} as weight from scored where {w}" for i, (c, d, w) in enumerate(S.BIGFIVE_TYPES)],
+)
+add(
+    "bigfive_to_enneagram", lambda s, d: S.bigfive_to_types(scored(s, d, str(S.BIGFIVE_TYPES))),
+    f"{O.prelude(WORDS)}, found as ({_BIG_TYPES}) select interview_id, type, weight, row_number() over (partition by interview_id order "
+    f"by weight desc, ord) as rank from found qualify rank <= 3",
+)
 _ROLES = "case {} " + " ".join(f"when '{k}' then ['" + "','".join(v) + "']" for k, v in R.STYLE_ROLES.items()) + " end"
-add("role_recommendation", lambda s, d: S.style_roles(scored(s, d, "disc_top disc_second")), f"{O.prelude(WORDS)}, both_ as (select interview_id, {_ROLES.format('disc_top')} || {_ROLES.format('disc_second')} as r from scored) select interview_id, array_to_string((list_filter(r, lambda x, i: list_position(r, x) = i))[1:4], ',') as roles from both_")
+add(
+    "role_recommendation", lambda s, d: S.style_roles(scored(s, d, "disc_top disc_second")),
+    f"{O.prelude(WORDS)}, both_ as (select interview_id, {_ROLES.format('disc_top')} || {_ROLES.format('disc_second')} as r from "
+    f"scored) select interview_id, array_to_string((list_filter(r, lambda x, i: list_position(r, x) = i))[1:4], ',') as roles from both_",
+)
 _MOTIVE = ", ".join(f"('{k}', '{m}', '{f}', '{w}')" for k, (m, f, w) in R.MOTIVES.items())
-add("motivation_lookup", lambda s, d: S.motives(scored(s, d, "type_top type_max")), f"{O.prelude(WORDS)} select interview_id, type_top, v.motive, v.fear, v.desire, case when type_max >= 70 then 'marked' when type_max >= 50 then 'present' else 'faint' end as level from scored join (values {_MOTIVE}) v(k, motive, fear, desire) on v.k = type_top")
+add(
+    "motivation_lookup", lambda s, d: S.motives(scored(s, d, "type_top type_max")),
+    f"{O.prelude(WORDS)} select interview_id, type_top, v.motive, v.fear, v.desire, case when type_max >= 70 then 'marked' when "
+    f"type_max >= 50 then 'present' else 'faint' end as level from scored join (values {_MOTIVE}) v(k, motive, fear, desire) on v.k = "
+    f"type_top",
+)
 
 _PARTS = f"""big as ({_BIG_TYPES}), long as ({scores_sql('enneagram')}), parts as (
     select interview_id, type, weight as p, 'bigfive' as source from big
@@ -285,19 +432,34 @@ def listed(rules: Sequence[R.Rule], most: int) -> str:
 def masking_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = scored(spark, sf_dir, "disc_confidence sample_quality impression_risk " + str((R.FINDINGS, R.HIRE_RISKS, R.GAPS)))
     lists = ((R.FINDINGS, 4, "findings"), (R.HIRE_RISKS, 4, "risks"), (R.GAPS, 5, "gaps"))
-    return row.select("interview_id", "disc_confidence", "sample_quality", "impression_risk", *(F.array_join(S.codes(rules, most), ",").alias(name) for rules, most, name in lists))
+    return row.select(
+        "interview_id", "disc_confidence", "sample_quality", "impression_risk",
+        *(F.array_join(S.codes(rules, most), ",").alias(name) for rules, most, name in lists),
+    )
 
 
-add("masking_view", masking_view, f"{O.prelude(WORDS)} select interview_id, disc_confidence, sample_quality, impression_risk, {listed(R.FINDINGS, 4)} as findings, {listed(R.HIRE_RISKS, 4)} as risks, {listed(R.GAPS, 5)} as gaps from scored")
+add(
+    "masking_view", masking_view,
+    f"{O.prelude(WORDS)} select interview_id, disc_confidence, sample_quality, impression_risk, {listed(R.FINDINGS, 4)} as findings, "
+    f"{listed(R.HIRE_RISKS, 4)} as risks, {listed(R.GAPS, 5)} as gaps from scored",
+)
 _LABELS = ", ".join(f"('{k}', '{v}')" for k, v in R.DEFECT_LABELS.items())
 
 
 def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defects with their labels, and the code where there is none. The table of labels has a fixed size."""
     table = spark.sql(f"select * from values {_LABELS} as l(defect, label)")
-    rows = S.rows_where(scored(spark, sf_dir, str(R.STAR_DEFECTS)), R.STAR_DEFECTS).selectExpr("interview_id", "code as defect", "detail as severity")
-    return rows.join(F.broadcast(table), "defect", "left").selectExpr("interview_id", "defect", "severity", "coalesce(label, defect) as label")
+    rows = S.rows_where(scored(spark, sf_dir, str(R.STAR_DEFECTS)), R.STAR_DEFECTS).selectExpr(
+        "interview_id", "code as defect", "detail as severity",
+    )
+    return rows.join(F.broadcast(table), "defect", "left").selectExpr(
+        "interview_id", "defect", "severity", "coalesce(label, defect) as label",
+    )
 
 
 _FOUND = O.union([f"select interview_id, {quoted(c)} as defect, {d} as severity from scored where {w}" for c, d, w in R.STAR_DEFECTS])
-add("label_lookup", label_lookup, f"{O.prelude(WORDS)}, found as ({_FOUND}) select interview_id, f.defect, severity, coalesce(label, f.defect) as label from found f left join (values {_LABELS}) l(defect, label) on l.defect = f.defect")
+add(
+    "label_lookup", label_lookup,
+    f"{O.prelude(WORDS)}, found as ({_FOUND}) select interview_id, f.defect, severity, coalesce(label, f.defect) as label from found f "
+    f"left join (values {_LABELS}) l(defect, label) on l.defect = f.defect",
+)

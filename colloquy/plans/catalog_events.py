@@ -80,7 +80,10 @@ both("session_counts", """
 #: Distances between a session's events are hours; as frames they are some hundred milliseconds.
 FRAME = 60_000
 _FRAMES = f"with frames as (select session_id as stream_id, event_id as frame_id, ms div {FRAME} as ms, energy, prob, (event_id % 7) / 7 as pitch from ev ), "
-for _name, _sql in (("activity_segments", frames.activity_sql()), ("activity_segments_hysteresis", frames.hysteresis_sql()), ("change_points", frames.change_sql(("energy", "prob", "pitch")))):
+for _name, _sql in (
+    ("activity_segments", frames.activity_sql()), ("activity_segments_hysteresis", frames.hysteresis_sql()),
+    ("change_points", frames.change_sql(("energy", "prob", "pitch"))),
+):
     both(_name, _FRAMES + _sql.strip().removeprefix("with "))
 
 
@@ -103,7 +106,10 @@ _F = f"(case when w.fired then 0 else w.n end + 1 >= 2 or case when w.fired then
 add(
     "refresh_trigger",
     lambda s, d: E.refresh_triggers(E.session_events(s, d)),
-    walk(f"1 as n, {_C} as c, {_C} >= 80 as fired", f"case when w.fired then 0 else w.n end + 1, case when w.fired then 0 else w.c end + {_C}, {_F}", "fired", _FINAL),
+    walk(
+        f"1 as n, {_C} as c, {_C} >= 80 as fired",
+        f"case when w.fired then 0 else w.n end + 1, case when w.fired then 0 else w.c end + {_C}, {_F}", "fired", _FINAL,
+    ),
 )
 # n, told and part as they are after the row; last_ as they were at the last fire
 _N = "{w}n + (e.kind = 'final')::bigint"
@@ -129,7 +135,10 @@ _EMIT = "(w.sig <> e.event_type or e.ms - w.at >= 10000)"
 add(
     "call_throttle",
     lambda s, d: E.call_throttle(E.scaled(E.session_events(s, d), SCALE)),
-    walk("e.event_type as sig, e.ms as at, true as emitted", f"case when {_EMIT} then e.event_type else w.sig end, case when {_EMIT} then e.ms else w.at end, {_EMIT}", "emitted", _QUICK),
+    walk(
+        "e.event_type as sig, e.ms as at, true as emitted",
+        f"case when {_EMIT} then e.event_type else w.sig end, case when {_EMIT} then e.ms else w.at end, {_EMIT}", "emitted", _QUICK,
+    ),
 )
 _REQUEST = "e.event_type || ':' || (e.chars // 10)::varchar"
 _OUTCOME = f"case when list_contains(w.keys, {_REQUEST}) then 'cached' when e.ms - w.at < 8000 then 'throttled' else 'run' end"
@@ -190,26 +199,40 @@ add("embedding_stats", lambda s, d: V.embedding_stats(vectors(s, d)), f"""
     from (select vec_id, {_D} as v from embeddings)""")
 add(
     "enrol_profiles",
-    lambda s, d: V.enrol(samples(s, d)).selectExpr("speaker_id", "n", "quality", "status", "round(embedding[0], 6) as first", "cast(size(embedding) as bigint) as dim"),
-    f"with {_PROFILE} select speaker_id, n, round(quality, 6) as quality, case when n >= 2 then 'enrolled' else 'too_few' end as status, round(embedding[1], 6) as first, len(embedding) as dim from profiles",
+    lambda s, d: V.enrol(samples(s, d)).selectExpr(
+        "speaker_id", "n", "quality", "status", "round(embedding[0], 6) as first", "cast(size(embedding) as bigint) as dim",
+    ),
+    f"with {_PROFILE} select speaker_id, n, round(quality, 6) as quality, case when n >= 2 then 'enrolled' else 'too_few' end as "
+    f"status, round(embedding[1], 6) as first, len(embedding) as dim from profiles",
 )
 #: Labels 0 to 4 stand for voices of interviewers, the others for candidates.
 add(
     "enrolment_status",
-    lambda s, d: samples(s, d).groupBy(F.when(F.col("speaker_id") < 5, "interviewer").otherwise("candidate").alias("role"), "speaker_id").count().selectExpr("role", "speaker_id", "count as n", "greatest(0, 2 - count) as needed", "count >= 2 as can_complete"),
-    "select case when label < 5 then 'interviewer' else 'candidate' end as role, label as speaker_id, count(*) as n, greatest(0, 2 - count(*)) as needed, count(*) >= 2 as can_complete from embeddings group by all",
+    lambda s, d: samples(s, d).groupBy(
+        F.when(F.col("speaker_id") < 5, "interviewer").otherwise("candidate").alias("role"), "speaker_id",
+    ).count().selectExpr(
+        "role", "speaker_id", "count as n", "greatest(0, 2 - count) as needed", "count >= 2 as can_complete",
+    ),
+    "select case when label < 5 then 'interviewer' else 'candidate' end as role, label as speaker_id, count(*) as n, greatest(0, 2 - "
+    "count(*)) as needed, count(*) >= 2 as can_complete from embeddings group by all",
 )
 add("speaker_match", lambda s, d: V.match(vectors(s, d), V.enrol(samples(s, d))), f"""with {_PROFILE}, v as (select vec_id, {_D} as e from embeddings),
     met as (select vec_id, speaker_id, round({_cos('e', 'embedding')}, 6) as similarity from v, profiles)
     select vec_id, speaker_id, similarity from met qualify row_number() over (partition by vec_id order by similarity desc, speaker_id) = 1""")
 add(
     "cosine01",
-    lambda s, d: vectors(s, d).join(V.enrol(samples(s, d)).selectExpr("speaker_id as label", "embedding as p"), "label").select("vec_id", F.round(V.cosine01(F.col("embedding"), F.col("p")), 6).alias("similarity")),
-    f"with {_PROFILE} select vec_id, round({_cos(_D.replace('embedding', 'v.embedding'), 'p.embedding')}, 6) as similarity from embeddings v join profiles p on p.speaker_id = v.label",
+    lambda s, d: vectors(s, d).join(V.enrol(samples(s, d)).selectExpr("speaker_id as label", "embedding as p"), "label").select(
+        "vec_id", F.round(V.cosine01(F.col("embedding"), F.col("p")), 6).alias("similarity"),
+    ),
+    f"with {_PROFILE} select vec_id, round({_cos(_D.replace('embedding', 'v.embedding'), 'p.embedding')}, 6) as similarity from "
+    f"embeddings v join profiles p on p.speaker_id = v.label",
 )
 add(
     "frame_energy",
-    lambda s, d: vectors(s, d).select("vec_id", F.round(V.frame_energy(F.col("embedding")), 6).alias("energy"), F.round(V.frame_energy(F.expr("transform(embedding, x -> cast(x * 1000 as smallint))"), True), 12).alias("energy_16")),
+    lambda s, d: vectors(s, d).select(
+        "vec_id", F.round(V.frame_energy(F.col("embedding")), 6).alias("energy"),
+        F.round(V.frame_energy(F.expr("transform(embedding, x -> cast(x * 1000 as smallint))"), True), 12).alias("energy_16"),
+    ),
     f"""select vec_id, round(list_sum(list_transform({_D}, lambda x: x * x)) / len(embedding), 6) as energy,
         round(list_sum(list_transform(embedding, lambda x: trunc(x * 1000)::double * trunc(x * 1000)::double)) / (len(embedding) * 1073741824.0), 12) as energy_16 from embeddings""",
 )
@@ -235,7 +258,9 @@ _ENROL = walk(
 )
 add(
     "auto_enrolment",
-    lambda s, d: V.enrolment_steps(sessions(s, d)).selectExpr("session_id", "vec_id", "phase", "round(similarity, 6) as similarity", "round(interviewer[0], 6) as first"),
+    lambda s, d: V.enrolment_steps(sessions(s, d)).selectExpr(
+        "session_id", "vec_id", "phase", "round(similarity, 6) as similarity", "round(interviewer[0], 6) as first",
+    ),
     f"select session_id, event_id as vec_id, phase, round(similarity, 6) as similarity, round(a[1], 6) as first from ({_ENROL})",
 )
 add(
@@ -247,6 +272,8 @@ add(
 )
 add(
     "profile_update",
-    lambda s, d: V.updated_profiles(sessions(s, d)).selectExpr("session_id", "vec_id", "round(profile[0], 6) as first", "cast(size(profile) as bigint) as dim"),
+    lambda s, d: V.updated_profiles(sessions(s, d)).selectExpr(
+        "session_id", "vec_id", "round(profile[0], 6) as first", "cast(size(profile) as bigint) as dim",
+    ),
     f"select session_id, event_id as vec_id, round(p[1], 6) as first, len(p) as dim from ({walk('e.e_ as p', _mix('w.p', 'e.e_'), 'p', _V, by=_BY_VEC)})",
 )

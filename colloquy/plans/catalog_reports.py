@@ -32,14 +32,23 @@ _JOBS_SQL = f"{BASE}, jobs as (select {', '.join(map(ansi, _COUNTED))} from base
 
 
 def job_rows(spark, sf_dir):
-    words = {j: F.array_join(F.slice(F.filter(F.array(*map(F.lit, x)), lambda k: F.contains(F.col("w"), k)), 1, 4), ",") for j, x in L.JOBS.items()}
+    words = {j: F.array_join(
+        F.slice(F.filter(F.array(*map(F.lit, x)), lambda k: F.contains(F.col("w"), k)), 1, 4), ",",
+    ) for j, x in L.JOBS.items()}
     rows = interviews(spark, sf_dir).selectExpr(*_COUNTED).withColumn("job", F.expr(_JOB))
     return rows.withColumn("evidence", F.coalesce(*(F.when(F.col("job") == j, e) for j, e in words.items()), F.lit("")))
 
 
 _EVIDENCE = f"case {_JOB} " + " ".join(f"when '{j}' then array_to_string(list_filter({list(x)}, lambda k: contains(w, k))[1:4], ',')" for j, x in L.JOBS.items()) + " else '' end"
-add("job_inference", lambda s, d: job_rows(s, d).selectExpr("interview_id", "job", f"cast({_SURE} as bigint) as confidence_percent", "evidence"), f"{_JOBS_SQL} select interview_id, {_JOB} as job, ({_SURE})::bigint as confidence_percent, {_EVIDENCE} as evidence from jobs")
-_OVERRIDE = ["interview_id", f"case when {_HINT} <> '' then {_HINT} else {_JOB} end as job", f"cast(case when {_HINT} <> '' then 95 else {_SURE} end as bigint) as confidence_percent"]
+add(
+    "job_inference",
+    lambda s, d: job_rows(s, d).selectExpr("interview_id", "job", f"cast({_SURE} as bigint) as confidence_percent", "evidence"),
+    f"{_JOBS_SQL} select interview_id, {_JOB} as job, ({_SURE})::bigint as confidence_percent, {_EVIDENCE} as evidence from jobs",
+)
+_OVERRIDE = [
+    "interview_id", f"case when {_HINT} <> '' then {_HINT} else {_JOB} end as job",
+    f"cast(case when {_HINT} <> '' then 95 else {_SURE} end as bigint) as confidence_percent",
+]
 add("job_hint_override", lambda s, d: job_rows(s, d).selectExpr(*_OVERRIDE), f"{_JOBS_SQL} select {', '.join(_OVERRIDE)} from jobs")
 
 # cues of questions and answers in a single line
@@ -53,17 +62,34 @@ def short_texts(spark, sf_dir):
     return spark.sql(_SHORT.format(t="text", s="{rows}"), rows=zh_turns(spark, sf_dir))
 
 
-add("looks_like_question", lambda s, d: short_texts(s, d).select("interview_id", "seg_id", "part", T.looks_like_question(F.col("text")).alias("question")), f"with {O.SEGMENTS}, t as ({_SHORT.format(t='text', s='segments')}) select interview_id, seg_id, part, {_CUES} as question from t")
-add("looks_like_answer", lambda s, d: short_texts(s, d).select("interview_id", "seg_id", "part", T.looks_like_answer(F.col("text")).alias("answer")), f"with {O.SEGMENTS}, t as ({_SHORT.format(t='text', s='segments')}) select interview_id, seg_id, part, {_TOLD} as answer from t")
+add(
+    "looks_like_question",
+    lambda s, d: short_texts(s, d).select("interview_id", "seg_id", "part", T.looks_like_question(F.col("text")).alias("question")),
+    f"with {O.SEGMENTS}, t as ({_SHORT.format(t='text', s='segments')}) select interview_id, seg_id, part, {_CUES} as question from t",
+)
+add(
+    "looks_like_answer",
+    lambda s, d: short_texts(s, d).select("interview_id", "seg_id", "part", T.looks_like_answer(F.col("text")).alias("answer")),
+    f"with {O.SEGMENTS}, t as ({_SHORT.format(t='text', s='segments')}) select interview_id, seg_id, part, {_TOLD} as answer from t",
+)
 
 # fast scores from one expression for each side, and the words of each dimension that are there
 _low = "translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SIDES = {x: "|".join(sorted(WORDS[f"side_{x}"], key=len, reverse=True)) for x in "eintfjps"}
-_FAST = ["interview_id", *(f"cast(case when m_{x} >= 2 then least(70 + 5 * m_{x}, 95) end as bigint) as fast_{x}" for x in _SIDES), *(f"case when m_{x} >= 3 then 'moderate' when m_{x} >= 2 then 'slight' end as level_{x}" for x in _SIDES)]
+_FAST = [
+    "interview_id", *(f"cast(case when m_{x} >= 2 then least(70 + 5 * m_{x}, 95) end as bigint) as fast_{x}" for x in _SIDES),
+    *(f"case when m_{x} >= 3 then 'moderate' when m_{x} >= 2 then 'slight' end as level_{x}" for x in _SIDES),
+]
 add(
     "fast_mbti",
-    lambda s, d: interviews(s, d).selectExpr("interview_id", *(f"regexp_count({_low}, '{p}') as m_{k}" for k, p in _SIDES.items())).selectExpr(*_FAST),
-    f"{BASE}, f as (select interview_id, {', '.join(f'len(regexp_extract_all({_low}, {quoted(p)})) as m_{k}' for k, p in _SIDES.items())} from base) select {', '.join(_FAST)} from f",
+    lambda s, d: interviews(s, d).selectExpr(
+        "interview_id", *(f"regexp_count({_low}, '{p}') as m_{k}" for k, p in _SIDES.items()),
+    ).selectExpr(
+        *_FAST,
+    ),
+    f"{BASE}, f as (select interview_id, "
+    f"{', '.join(f'len(regexp_extract_all({_low}, {quoted(p)})) as m_{k}' for k, p in _SIDES.items())} from base) select "
+    f"{', '.join(_FAST)} from f",
 )
 
 
@@ -71,21 +97,39 @@ def star_behaviours(spark, sf_dir):
     """The strong words of each dimension that a transcript holds, more of them first."""
     low = F.lower("w")
     found = lambda d: F.filter(F.array(*map(F.lit, WORDS[f"star_{d}"])), lambda k: F.contains(low, F.lower(k)))
-    made = F.array(*(F.struct((-F.size(found(d))).cast("long").alias("neg"), F.lit(i).alias("ord"), F.lit(d.upper()).alias("dim"), F.array_join(found(d), ",").alias("words")) for i, d in enumerate("star")))
-    rows = interviews(spark, sf_dir).select("interview_id", F.posexplode(F.array_sort(F.filter(made, lambda x: x["neg"] < 0))).alias("at", "r"))
+    made = F.array(
+        *(F.struct(
+            (-F.size(found(d))).cast("long").alias("neg"), F.lit(i).alias("ord"), F.lit(d.upper()).alias("dim"),
+            F.array_join(found(d), ",").alias("words"),
+        ) for i, d in enumerate("star")),
+    )
+    rows = interviews(spark, sf_dir).select(
+        "interview_id", F.posexplode(F.array_sort(F.filter(made, lambda x: x["neg"] < 0))).alias("at", "r"),
+    )
     return rows.select("interview_id", "r.dim", (-F.col("r.neg")).alias("n"), "r.words", (F.col("at") + 1).cast("long").alias("place"))
 
 
-_KEPT = O.union([f"select interview_id, {i} as ord, '{d.upper()}' as dim, list_filter({list(WORDS[f'star_{d}'])}, lambda k: contains(lower(w), lower(k))) as k from base" for i, d in enumerate("star")])
-add("star_behaviours", star_behaviours, f"{BASE}, k as ({_KEPT}) select interview_id, dim, len(k) as n, array_to_string(k, ',') as words, row_number() over (partition by interview_id order by len(k) desc, ord) as place from k where len(k) > 0")
+_KEPT = O.union(
+    [f"select interview_id, {i} as ord, '{d.upper()}' as dim, list_filter({list(WORDS[f'star_{d}'])}, lambda k: contains(lower(w), "
+    f"lower(k))) as k from base" for i, d in enumerate("star")],
+)
+add(
+    "star_behaviours", star_behaviours,
+    f"{BASE}, k as ({_KEPT}) select interview_id, dim, len(k) as n, array_to_string(k, ',') as words, row_number() over (partition by "
+    f"interview_id order by len(k) desc, ord) as place from k where len(k) > 0",
+)
 
 # reports, requests and what comes back
 _DIGEST = {
     "top": ("report.disc.top", "disc_top"), "confidence": ("report.disc.confidence", "disc_confidence"), "mbti": ("report.mbti.type", "mbti_type"), "overall": ("report.star.overall", "star_overall"),
     "segments": ("report.overview.segments", "n_segments"), "quality": ("report.overview.sample_quality", "sample_quality"), "style": ("report.mapping.style", "style_label"), "richness": ("report.features.richness", "richness"),
-    "turns": ("cast(size(report.interview_map.turns) as bigint)", "n_turns"), "kinds": ("array_join(transform(report.interview_map.turns, x -> x.question_type), ',')", "kinds"),
+    "turns": (
+        "cast(size(report.interview_map.turns) as bigint)", "n_turns",
+    ), "kinds": ("array_join(transform(report.interview_map.turns, x -> x.question_type), ',')", "kinds"),
     "findings": ("array_join(report.findings, ',')", listed(R.FINDINGS, 4)), "gaps": ("array_join(report.gaps, ',')", listed(R.GAPS, 5)),
-    "stages": ("array_join(transform(report.stages, x -> x.stage), ',')", quoted(",".join(reports.STAGES))), "parsed": ("report.stages[0].n", "n_turns"),
+    "stages": (
+        "array_join(transform(report.stages, x -> x.stage), ',')", quoted(",".join(reports.STAGES)),
+    ), "parsed": ("report.stages[0].n", "n_turns"),
 }
 
 
@@ -96,7 +140,12 @@ def report_sink(spark, sf_dir):
     return spark.read.parquet(path).selectExpr("interview_id", *(f"{e} as {n}" for n, (e, _) in _DIGEST.items()))
 
 
-add("report_sink", report_sink, f"{O.prelude(WORDS)}, kinds as (select interview_id, string_agg(question_type, ',' order by turn_id) as kinds from turns group by 1) select scored.interview_id, {', '.join(f'{e} as {n}' for n, (_, e) in _DIGEST.items() if n != 'kinds')}, coalesce(kinds, '') as kinds from scored left join kinds using (interview_id)")
+add(
+    "report_sink", report_sink,
+    f"{O.prelude(WORDS)}, kinds as (select interview_id, string_agg(question_type, ',' order by turn_id) as kinds from turns group by "
+    f"1) select scored.interview_id, {', '.join(f'{e} as {n}' for n, (_, e) in _DIGEST.items() if n != 'kinds')}, coalesce(kinds, '') "
+    f"as kinds from scored left join kinds using (interview_id)",
+)
 _IN = "get_json_object(get_json_object(request, '$.messages[1].content'), '$.{}') as {}"
 _LISTS = ("gaps", "open_axes", "defects", "questions")
 _GRAVE = ", ".join(f"case when {d} = 'high' then '{c}' end" for c, d, _ in R.STAR_DEFECTS)
@@ -108,7 +157,10 @@ _NONNULL = "list_filter([{}], lambda x: x is not null)"
 _DISTINCT = f"(list_filter({_ASKED}, lambda x, i: list_position({_ASKED}, x) = i))[1:4]"
 add(
     "inference_requests",
-    lambda s, d: reports.inference_requests(scored(s, d)).selectExpr("interview_id", "get_json_object(request, '$.messages[0].role') as role", *(_IN.format(k, k) for k in ("transcript", "ranking", "mbti", "risk", *_LISTS))),
+    lambda s, d: reports.inference_requests(scored(s, d)).selectExpr(
+        "interview_id", "get_json_object(request, '$.messages[0].role') as role",
+        *(_IN.format(k, k) for k in ("transcript", "ranking", "mbti", "risk", *_LISTS)),
+    ),
     f"""{O.prelude(WORDS)} select interview_id, 'system' as role, right(w, 4000) as transcript, {_RANK4} as ranking, mbti_type as mbti, impression_risk as risk,
         {_JSON.format(f"string_split(nullif({listed(R.GAPS, 4)}, ''), ',')")} as gaps,
         {_JSON.format(_NONNULL.format(_OPEN))} as open_axes, {_JSON.format(_NONNULL.format(_GRAVE))} as defects, {_JSON.format(_DISTINCT)} as questions from scored""".replace("case when len(string_split(nullif(", "case when coalesce(len(string_split(nullif(", 1).replace(", ''), ',')) = 0 then", ", ''), ',')), 0) = 0 then", 1),
@@ -117,12 +169,24 @@ add(
 
 def inference_merge(spark, sf_dir):
     """Every third interview has a result with a style, a blank type, and six lists of turns; every sixth an empty list."""
-    row = scored(spark, sf_dir, "disc_top mbti_type n_turns").selectExpr("interview_id", "disc_top", "mbti_type", "transform(sequence(1, 7), x -> concat('local', x)) as strengths")
-    far = row.where("interview_id % 3 = 0").selectExpr("interview_id", "'X' as disc_top", "' ' as mbti_type", "case when interview_id % 6 = 0 then array() else transform(sequence(1, 6), x -> concat('far', x)) end as strengths")
-    return reports.merge_results(row, far, "interview_id", ["disc_top", "mbti_type"], {"strengths": 4}).withColumn("strengths", F.array_join("strengths", ","))
+    row = scored(spark, sf_dir, "disc_top mbti_type n_turns").selectExpr(
+        "interview_id", "disc_top", "mbti_type", "transform(sequence(1, 7), x -> concat('local', x)) as strengths",
+    )
+    far = row.where("interview_id % 3 = 0").selectExpr(
+        "interview_id", "'X' as disc_top", "' ' as mbti_type",
+        "case when interview_id % 6 = 0 then array() else transform(sequence(1, 6), x -> concat('far', x)) end as strengths",
+    )
+    return reports.merge_results(row, far, "interview_id", ["disc_top", "mbti_type"], {"strengths": 4}).withColumn(
+        "strengths", F.array_join("strengths", ","),
+    )
 
 
-add("inference_merge", inference_merge, f"{O.prelude(WORDS)} select interview_id, case when interview_id % 3 = 0 then 'X' else disc_top end as disc_top, mbti_type, case when interview_id % 3 = 0 and interview_id % 6 <> 0 then 'far1,far2,far3,far4' else 'local1,local2,local3,local4' end as strengths from scored")
+add(
+    "inference_merge", inference_merge,
+    f"{O.prelude(WORDS)} select interview_id, case when interview_id % 3 = 0 then 'X' else disc_top end as disc_top, mbti_type, case "
+    f"when interview_id % 3 = 0 and interview_id % 6 <> 0 then 'far1,far2,far3,far4' else 'local1,local2,local3,local4' end as "
+    f"strengths from scored",
+)
 
 # rolling analysis: counts of each segment, then running sums, then the same layers
 _COUNTS = dict(counts(WORDS))
@@ -154,7 +218,10 @@ def rolled(spark, sf_dir):
     return rolling.rolling(zh_turns(spark, sf_dir), WORDS)
 
 
-_ROLL_OUT = ["interview_id", "seg_id", "n_turns", "cand_chars", "disc_d", "disc_i", "disc_s", "disc_c", "big_top", "mbti_type", "star_overall", "sample_quality"]
+_ROLL_OUT = [
+    "interview_id", "seg_id", "n_turns", "cand_chars", "disc_d", "disc_i", "disc_s", "disc_c", "big_top", "mbti_type", "star_overall",
+    "sample_quality",
+]
 _C = "case when e.speaker = 'candidate' then e.chars else 0 end"
 _NEW = f"(case when w.fired then 0 else w.n end + 1 >= 2 or case when w.fired then 0 else w.c end + {_C} >= 80)"
 _DUE = walk(
@@ -197,7 +264,10 @@ def live(spark, sf_dir):
 
 add("live_disc", live, f"{_LIVE} select * from live")
 _EVENT = f"""'{{"type":"disc.update","dominant":"' || dominant || '","secondary":"' || secondary || '","scores":{{' || {" || ',' || ".join(f"'{chr(34)}{x.upper()}{chr(34)}:' || live_{x}" for x in "disc")} || '}},"deltas":{{' || {" || ',' || ".join(f"'{chr(34)}{x.upper()}{chr(34)}:' || delta_{x}" for x in "disc")} || '}},"confidence":"' || disc_confidence || '","is_partial":' || case when seg_id % 5 = 0 then 'true' else 'false' end || '}}'"""
-add("score_update_event", lambda s, d: reports.score_update(live(s, d).withColumn("partial", F.col("seg_id") % 5 == 0)), f"{_LIVE} select interview_id, seg_id, {_EVENT} as event from live")
+add(
+    "score_update_event", lambda s, d: reports.score_update(live(s, d).withColumn("partial", F.col("seg_id") % 5 == 0)),
+    f"{_LIVE} select interview_id, seg_id, {_EVENT} as event from live",
+)
 add(
     "session_snapshot",
     lambda s, d: reports.snapshots(interviews(s, d), live(s, d)),
@@ -221,8 +291,16 @@ def transcript_folder(spark, sf_dir):
     return path
 
 
-add("transcript_scan", lambda s, d: tables.transcript_folders(s, transcript_folder(s, d)).selectExpr("cast(interview_id as bigint) as interview_id", "text"), f"with {O.SEGMENTS}, {_FLAT} select * from flat")
-_MANIFEST = ["cast(interview_id as string) as id", "concat('case ', interview_id) as title", "case interview_id % 3 when 0 then 'sales' when 1 then 'product' else '' end as job_hint", "concat(interview_id, '.txt') as filename", "'' as description"]
+add(
+    "transcript_scan",
+    lambda s, d: tables.transcript_folders(s, transcript_folder(s, d)).selectExpr("cast(interview_id as bigint) as interview_id", "text"),
+    f"with {O.SEGMENTS}, {_FLAT} select * from flat",
+)
+_MANIFEST = [
+    "cast(interview_id as string) as id", "concat('case ', interview_id) as title",
+    "case interview_id % 3 when 0 then 'sales' when 1 then 'product' else '' end as job_hint", "concat(interview_id, '.txt') as filename",
+    "'' as description",
+]
 
 
 def manifest_scan(spark, sf_dir):
@@ -230,15 +308,31 @@ def manifest_scan(spark, sf_dir):
     path = scratch(spark, "manifest")
     rows = flat_transcripts(spark, sf_dir)
     rows.where("interview_id % 2 = 0").selectExpr(*_MANIFEST).write.json(path)
-    return tables.with_job_hints(rows.withColumn("interview_id", F.col("interview_id").cast("string")), tables.manifests(spark, path)).select("interview_id", "job_hint", "title")
+    return tables.with_job_hints(
+        rows.withColumn("interview_id", F.col("interview_id").cast("string")), tables.manifests(spark, path),
+    ).select(
+        "interview_id", "job_hint", "title",
+    )
 
 
-add("manifest_scan", manifest_scan, f"with {O.SEGMENTS}, {_FLAT} select interview_id::varchar as interview_id, case when interview_id % 2 = 0 then case interview_id % 3 when 0 then 'sales' when 1 then 'product' else '' end end as job_hint, case when interview_id % 2 = 0 then 'case ' || interview_id end as title from flat")
+add(
+    "manifest_scan", manifest_scan,
+    f"with {O.SEGMENTS}, {_FLAT} select interview_id::varchar as interview_id, case when interview_id % 2 = 0 then case interview_id % "
+    f"3 when 0 then 'sales' when 1 then 'product' else '' end end as job_hint, case when interview_id % 2 = 0 then 'case ' || "
+    f"interview_id end as title from flat",
+)
 _WORD_VALUES = ", ".join(f"('{k}', '{w}')" for k in ("action", "hedge", "detail", "plural") for w in WORDS[k])
 add(
     "rule_tables",
-    lambda s, d: s.sql(f"select t.category, t.word, count(i.interview_id) as interviews, sum(case when i.interview_id is null then 0 else (length(i.w) - length(replace(i.w, t.word, ''))) div length(t.word) end) as hits from (select /*+ broadcast(v) */ * from values {_WORD_VALUES} as v(category, word)) t left join {{rows}} i on contains(i.w, t.word) group by t.category, t.word", rows=interviews(s, d)),
-    f"{BASE} select t.category, t.word, count(i.interview_id) as interviews, sum(coalesce((length(i.w) - length(replace(i.w, t.word, ''))) // length(t.word), 0))::bigint as hits from (values {_WORD_VALUES}) t(category, word) left join base i on contains(i.w, t.word) group by all",
+    lambda s, d: s.sql(
+        f"select t.category, t.word, count(i.interview_id) as interviews, sum(case when i.interview_id is null then 0 else (length(i.w) "
+        f"- length(replace(i.w, t.word, ''))) div length(t.word) end) as hits from (select /*+ broadcast(v) */ * from values "
+        f"{_WORD_VALUES} as v(category, word)) t left join {{rows}} i on contains(i.w, t.word) group by t.category, t.word",
+        rows=interviews(s, d),
+    ),
+    f"{BASE} select t.category, t.word, count(i.interview_id) as interviews, sum(coalesce((length(i.w) - length(replace(i.w, t.word, "
+    f"''))) // length(t.word), 0))::bigint as hits from (values {_WORD_VALUES}) t(category, word) left join base i on contains(i.w, "
+    f"t.word) group by all",
 )
 _RAW_EVENT = "to_json(named_struct('session_id', cast(user_id as string), 'text', case when event_id % 6 = 0 then '  ' else concat(event_type, ' ', event_id) end, 'speaker_id', case when event_id % 2 = 0 then event_type end, 'start_ms', case when event_id % 3 = 0 then event_id end)) as value"
 
@@ -250,7 +344,12 @@ def segment_stream(spark, sf_dir):
     return good.selectExpr(*out, "true as accepted").unionByName(bad.selectExpr(*out, "false as accepted"))
 
 
-add("segment_stream", segment_stream, "select event_id, user_id::varchar as session_id, case when event_id % 2 = 0 then event_type else 'speaker_a' end as speaker_id, case when event_id % 6 = 0 then '  ' else event_type || ' ' || event_id end as text, case when event_id % 3 = 0 then event_id else 0 end as start_ms, true as final, 0.0::double as interviewer_sim, event_id % 6 <> 0 as accepted from events")
+add(
+    "segment_stream", segment_stream,
+    "select event_id, user_id::varchar as session_id, case when event_id % 2 = 0 then event_type else 'speaker_a' end as speaker_id, "
+    "case when event_id % 6 = 0 then '  ' else event_type || ' ' || event_id end as text, case when event_id % 3 = 0 then event_id "
+    "else 0 end as start_ms, true as final, 0.0::double as interviewer_sim, event_id % 6 <> 0 as accepted from events",
+)
 
 # what becomes of silent sessions and of late events, in order of arrival
 DAY = 86_400_000

@@ -38,7 +38,9 @@ def counts(words: Mapping[str, Sequence[str]]) -> Layer:
     out["n_team"] = f"cast({hits('t', TEAM)} as bigint)"
     out["n_asked"] = f"cast({hits('t', ('？', '?'))} as bigint)"
     out["n_numbers"] = "cast(regexp_count(t, '[0-9]+[%个天周月年人]') as bigint)"
-    out |= {f"h_{k}": f"cast({hits('w', v)} as bigint)" for k, v in words.items() if k.startswith(("disc_", "pos_", "neg_", "type_", "side_", "star_", "counter_"))}
+    out |= {f"h_{k}": f"cast({hits('w', v)} as bigint)" for k, v in words.items() if k.startswith(
+        ("disc_", "pos_", "neg_", "type_", "side_", "star_", "counter_"),
+    )}
     out |= {f"syn_{d}": f"cast(case when t rlike '{p}' then 1 else 0 end as bigint)" for d, p in SYNTAX.items() if p}
     out["text_length"] = f"cast(greatest(1, length({bare('t')})) as bigint)"
     out["word_count"] = "cast(greatest(1, length(replace(w, chr(10), ''))) as bigint)"
@@ -58,8 +60,10 @@ def features() -> Layer:
         "balance": "case when n_action - n_reflection > 1 then 'action' when n_action - n_reflection < -1 then 'reflection' else 'balanced' end",
         "abstraction": "case when n_abstract > n_detail then 'abstract' else 'grounded' end",
         "richness": "least(cast(1 as double), cast(5 + n_detail + n_numbers as double) / 25)",
-        "stability": "(case when n_turns <= 1 then cast(6 as double) / 10 else least(cast(1 as double), (45 + cast(40 * n_types as double) / n_turns) / 100) end)",
-        "structure": "cast((case when n_star_s > 0 then 25 else 0 end + case when n_star_t > 0 then 25 else 0 end + case when n_star_a > 0 then 25 else 0 end + case when n_star_r > 0 then 25 else 0 end) as double) / 100",
+        "stability": "(case when n_turns <= 1 then cast(6 as double) / 10 else least(cast(1 as double), (45 + cast(40 * n_types as double) / "
+        "n_turns) / 100) end)",
+        "structure": "cast((case when n_star_s > 0 then 25 else 0 end + case when n_star_t > 0 then 25 else 0 end + case when n_star_a > 0 then 25 "
+        "else 0 end + case when n_star_r > 0 then 25 else 0 end) as double) / 100",
     }
     for d in "star":
         syntax = f"case when syn_{d} > 0 then 1000 else 0 end" if SYNTAX[d] else "0"
@@ -82,7 +86,8 @@ def scores(rules: Rules) -> Layer:
         "s": "case when n_temporal > 0 then 5 else 0 end + case when n_constraint > 0 then 5 else 0 end",
         "t": "case when self_team_ratio >= 0.8 then 8 when orientation = 'self' then 4 else 0 end",
         "a": "case when step_connector_ratio > 0.005 then 5 else 0 end + case when tool_method_ratio > 0 then 5 else 0 end",
-        "r": "case when quantitative_ratio > 0 then 8 else 0 end + case when self_result_ratio > 0 then 4 else 0 end - case when vague_result_ratio > quantitative_ratio then 10 else 0 end",
+        "r": "case when quantitative_ratio > 0 then 8 else 0 end + case when self_result_ratio > 0 then 4 else 0 end - case when "
+        "vague_result_ratio > quantitative_ratio then 10 else 0 end",
     }
     for d in "star":
         tenths = f"sub_{d} div 10 + 10 * (least(20, 4 * h_star_{d}) + {bonus[d]} - least(15, 5 * h_counter_{d}))"
@@ -125,13 +130,30 @@ def _defect(*cases: tuple[str, str]) -> str:
 
 
 DEFECTS = {
-    "fake_star": _defect(("high", "n_low_dims >= 2 and n_quantitative = 0 and word_count > 100 and dim_mean < 45"), ("medium", "n_low_dims >= 2 or dim_mean < 50")),
-    "team_substitution": _defect(("high", "team_count >= 5 and n_singular <= 2"), ("medium", "team_count >= 3 and self_team_ratio < 0.5"), ("low", "orientation = 'team' and self_team_ratio < 0.7")),
-    "situation_missing": _defect(("high", "n_temporal = 0 and word_count < 80"), ("medium", "n_temporal = 0 and n_context_marker = 0"), ("low", "n_temporal > 0 and n_constraint = 0 and dim_s < 50")),
-    "action_vague": _defect(("high", "n_star_a = 0 and n_step_connector = 0 and n_tool_method = 0"), ("medium", "n_star_a = 0"), ("low", "n_step_connector = 0 and dim_a < 50")),
-    "result_abstract": _defect(("high", "n_quantitative = 0 and n_vague_result > 0 and word_count > 80"), ("medium", "n_star_r = 0 and n_vague_result > 0")),
+    "fake_star": _defect(
+        ("high", "n_low_dims >= 2 and n_quantitative = 0 and word_count > 100 and dim_mean < 45"),
+        ("medium", "n_low_dims >= 2 or dim_mean < 50"),
+    ),
+    "team_substitution": _defect(
+        ("high", "team_count >= 5 and n_singular <= 2"), ("medium", "team_count >= 3 and self_team_ratio < 0.5"),
+        ("low", "orientation = 'team' and self_team_ratio < 0.7"),
+    ),
+    "situation_missing": _defect(
+        ("high", "n_temporal = 0 and word_count < 80"), ("medium", "n_temporal = 0 and n_context_marker = 0"),
+        ("low", "n_temporal > 0 and n_constraint = 0 and dim_s < 50"),
+    ),
+    "action_vague": _defect(
+        ("high", "n_star_a = 0 and n_step_connector = 0 and n_tool_method = 0"), ("medium", "n_star_a = 0"),
+        ("low", "n_step_connector = 0 and dim_a < 50"),
+    ),
+    "result_abstract": _defect(
+        ("high", "n_quantitative = 0 and n_vague_result > 0 and word_count > 80"), ("medium", "n_star_r = 0 and n_vague_result > 0"),
+    ),
 }
-DEFECTS["result_attribution_error"] = _defect(("medium", "self_result_ratio > 0.5 and team_result_ratio > 0.5"), ("high", "self_result_ratio > 0.4 and dim_r < 40"), ("medium", "team_result_ratio > 0.6 and dim_r < 40"))
+DEFECTS["result_attribution_error"] = _defect(
+    ("medium", "self_result_ratio > 0.5 and team_result_ratio > 0.5"), ("high", "self_result_ratio > 0.4 and dim_r < 40"),
+    ("medium", "team_result_ratio > 0.6 and dim_r < 40"),
+)
 
 
 def defects() -> Layer:
@@ -160,15 +182,24 @@ def summary() -> Layer:
     odd = " + ".join(f"case when big_{d} > 90 or big_{d} < 12 then 1 else 0 end" for d in "ocean")
     return {
         "n_high": high,
-        "star_confidence": f"case when cand_chars >= 200 and dim_s >= 50 and dim_t >= 50 and dim_a >= 60 and dim_r >= 60 and {high} = 0 and star_overall >= 55 then 'high' when cand_chars < 60 or star_overall < 30 or {high} >= 2 then 'low' else 'medium' end",
-        "disc_confidence": "case when sample_quality = 'high' and contradictions = 0 and richness >= 0.7 then 'high' when sample_quality = 'low' or contradictions > 2 then 'low' else 'medium' end",
-        "star_notes": f"case when cand_chars >= 200 and dim_s >= 50 and dim_t >= 50 and dim_a >= 60 and dim_r >= 60 and {high} = 0 and star_overall >= 55 then 'distinct_and_rich' when cand_chars < 60 or star_overall < 30 or {high} >= 2 then concat_ws(',', case when cand_chars < 60 then 'too_short' end, case when star_overall < 30 then 'very_low_overall' end, case when {high} >= 2 then 'grave_defects' end) when {high} = 1 or {medium} > 0 then 'defects_beside_signals' else 'structure_without_substance' end",
-        "mbti_confidence": "case when sample_quality = 'low' then 'low' when n_clear >= 3 and sample_quality = 'high' then 'high' when n_neutral >= 2 then 'low' else 'medium' end",
-        "big_confidence": f"case when word_count < 60 or n_turns <= 1 then 'low' when {odd} >= 3 then 'low' when word_count >= 300 and n_turns >= 3 then 'high' else 'medium' end",
-        "type_confidence": "case when type_max >= 68 and type_max - type_second_score >= 20 then 'high' when word_count < 150 or n_turns <= 1 then 'low' when type_max - type_second_score <= 8 then 'low' else 'medium' end",
+        "star_confidence": f"case when cand_chars >= 200 and dim_s >= 50 and dim_t >= 50 and dim_a >= 60 and dim_r >= 60 and {high} = 0 and star_overall "
+        f">= 55 then 'high' when cand_chars < 60 or star_overall < 30 or {high} >= 2 then 'low' else 'medium' end",
+        "disc_confidence": "case when sample_quality = 'high' and contradictions = 0 and richness >= 0.7 then 'high' when sample_quality = 'low' or "
+        "contradictions > 2 then 'low' else 'medium' end",
+        "star_notes": f"case when cand_chars >= 200 and dim_s >= 50 and dim_t >= 50 and dim_a >= 60 and dim_r >= 60 and {high} = 0 and star_overall "
+        f">= 55 then 'distinct_and_rich' when cand_chars < 60 or star_overall < 30 or {high} >= 2 then concat_ws(',', case when "
+        f"cand_chars < 60 then 'too_short' end, case when star_overall < 30 then 'very_low_overall' end, case when {high} >= 2 then "
+        f"'grave_defects' end) when {high} = 1 or {medium} > 0 then 'defects_beside_signals' else 'structure_without_substance' end",
+        "mbti_confidence": "case when sample_quality = 'low' then 'low' when n_clear >= 3 and sample_quality = 'high' then 'high' when n_neutral >= 2 "
+        "then 'low' else 'medium' end",
+        "big_confidence": f"case when word_count < 60 or n_turns <= 1 then 'low' when {odd} >= 3 then 'low' when word_count >= 300 and n_turns >= 3 then "
+        f"'high' else 'medium' end",
+        "type_confidence": "case when type_max >= 68 and type_max - type_second_score >= 20 then 'high' when word_count < 150 or n_turns <= 1 then 'low' "
+        "when type_max - type_second_score <= 8 then 'low' else 'medium' end",
         "n_artifact": "case when big_n >= 65 and big_e >= 70 then true when big_n >= 60 and n_turns >= 2 then false when big_n >= 60 then true else false end",
         "wing": "case when (cast(type_second as int) - cast(type_top as int) + 9) % 9 in (1, 8) then concat(type_top, 'w', type_second) else 'uncertain' end",
-        "style_label": "case when concat(disc_top, big_top) in ('DC', 'DE', 'IA', 'IE', 'SA', 'CC', 'CO', 'DN') then concat('pair_', disc_top, '_', big_top) else concat('mixed_', disc_top, '_', big_top) end",
+        "style_label": "case when concat(disc_top, big_top) in ('DC', 'DE', 'IA', 'IE', 'SA', 'CC', 'CO', 'DN') then concat('pair_', disc_top, '_', "
+        "big_top) else concat('mixed_', disc_top, '_', big_top) end",
     }
 
 

@@ -14,7 +14,9 @@ def _lit(text: str) -> str:
 
 STAR_DEFECTS: list[Rule] = [(k, f"defect_{k}", f"defect_{k} is not null") for k in DEFECTS]
 SIGNAL = {"fake_star": ("authenticity", "high"), "team_substitution": ("ownership", "medium"), "situation_missing": ("context", "low"), "result_attribution_error": ("attribution", "medium"), "action_vague": ("execution", "medium"), "result_abstract": ("outcome", "medium")}
-RISK_SIGNALS: list[Rule] = [(v[0], _lit(v[1]), f"defect_{k} is not null") for k, v in SIGNAL.items()] + [("impression", _lit("high"), "buzzword_ratio >= 0.015 and richness < 0.45")]
+RISK_SIGNALS: list[Rule] = [(v[0], _lit(v[1]), f"defect_{k} is not null") for k, v in SIGNAL.items()] + [
+    ("impression", _lit("high"), "buzzword_ratio >= 0.015 and richness < 0.45"),
+]
 DISC_SIGNALS: list[Rule] = [
     ("complete_star", _lit("confirm_high_c"), "dim_s + dim_t + dim_a + dim_r >= 280 and dim_r >= 65"),
     ("action_without_situation", _lit("check_d"), "dim_a >= 70 and dim_s < 40"),
@@ -32,8 +34,13 @@ FINDINGS: list[Rule] = [
     ("no_result", _lit("high"), "dim_r < 40"),
 ]
 HIRE_RISKS: list[Rule] = [(c, _lit("risk"), cond) for c, _, cond in FINDINGS if c not in ("incomplete_chain", "no_situation")]
-GAPS: list[Rule] = [(c, _lit("gap"), cond) for c, _, cond in FINDINGS[:4]] + [("thin_detail_for_c", _lit("gap"), "disc_c >= 70 and detail_ratio < 0.012"), ("star_unsure", _lit("gap"), "star_confidence = 'low'")] + [(c, _lit("gap"), cond) for c, _, cond in DISC_SIGNALS] + [(c, _lit("gap"), cond) for c, _, cond in FINDINGS[6:]]
-TRAIT_PATTERNS: list[Rule] = [(code, _lit("pattern"), " and ".join(f"big_{p.split()[0].lower()} {p.split(' ', 1)[1]}" if p.split()[0] in "OCEAN" else p for p in cond.split(" and "))) for code, cond in L.PATTERNS]
+GAPS: list[Rule] = [(c, _lit("gap"), cond) for c, _, cond in FINDINGS[:4]] + [
+    ("thin_detail_for_c", _lit("gap"), "disc_c >= 70 and detail_ratio < 0.012"), ("star_unsure", _lit("gap"), "star_confidence = 'low'"),
+] + [(c, _lit("gap"), cond) for c, _, cond in DISC_SIGNALS] + [(c, _lit("gap"), cond) for c, _, cond in FINDINGS[6:]]
+TRAIT_PATTERNS: list[Rule] = [(
+    code, _lit("pattern"),
+    " and ".join(f"big_{p.split()[0].lower()} {p.split(' ', 1)[1]}" if p.split()[0] in "OCEAN" else p for p in cond.split(" and ")),
+) for code, cond in L.PATTERNS]
 TYPE_RISKS: list[Rule] = [
     ("polished_achiever", _lit("high"), "type_3 >= 72 and structure >= 0.75 and richness < 0.50"),
     ("anxious_loyalist", _lit("medium"), "type_6 >= 65 and hedge_ratio >= 0.010"),
@@ -43,10 +50,24 @@ INTERACTIONS: list[Rule] = [
     ("no_scene_no_action", _lit("pair"), "defect_situation_missing is not null and defect_action_vague is not null"),
     ("borrowed_story", _lit("pair"), "defect_fake_star is not null and defect_result_attribution_error is not null"),
     ("team_cover", _lit("pair"), "defect_team_substitution is not null and defect_result_abstract is not null"),
-    ("empty_frame", _lit("triple"), "defect_fake_star is not null and defect_situation_missing is not null and defect_result_abstract is not null"),
+    (
+        "empty_frame", _lit("triple"),
+        "defect_fake_star is not null and defect_situation_missing is not null and defect_result_abstract is not null",
+    ),
 ]
-CONFLICTS: list[Rule] = [(f"{d}_unlikely_{x}", _lit("medium"), f"disc_{d.lower()} >= 70 and mbti_type like '%{x}%'") for d, letters in L.UNLIKELY.items() for x in letters] + [(f"high_{d}_with_P", _lit("high"), f"disc_{d.lower()} >= 70 and mbti_type like '%P%'") for d in "DC"]
-GRAPH_CONFLICTS: list[Rule] = [(f"{d}_unlikely_{x}", _lit("medium"), f"disc_{d.lower()} >= 50 and mbti_type like '%{x}%'") for d, letters in L.UNLIKELY.items() for x in letters] + [(f"high_{d}_with_P", _lit("high"), f"disc_{d.lower()} >= 75 and mbti_type like '%P%'") for d in "DC"] + [(f"{a}_plus_{b}", _lit("combination"), f"disc_{a.lower()} >= 65 and disc_{b.lower()} >= 65 and concat(disc_top, disc_second) in ('{a}{b}', '{b}{a}')") for a, b in ("DI", "IS")]
+CONFLICTS: list[Rule] = [(
+    f"{d}_unlikely_{x}", _lit("medium"), f"disc_{d.lower()} >= 70 and mbti_type like '%{x}%'",
+) for d, letters in L.UNLIKELY.items() for x in letters] + [(
+    f"high_{d}_with_P", _lit("high"), f"disc_{d.lower()} >= 70 and mbti_type like '%P%'",
+) for d in "DC"]
+GRAPH_CONFLICTS: list[Rule] = [(
+    f"{d}_unlikely_{x}", _lit("medium"), f"disc_{d.lower()} >= 50 and mbti_type like '%{x}%'",
+) for d, letters in L.UNLIKELY.items() for x in letters] + [(
+    f"high_{d}_with_P", _lit("high"), f"disc_{d.lower()} >= 75 and mbti_type like '%P%'",
+) for d in "DC"] + [(
+    f"{a}_plus_{b}", _lit("combination"),
+    f"disc_{a.lower()} >= 65 and disc_{b.lower()} >= 65 and concat(disc_top, disc_second) in ('{a}{b}', '{b}{a}')",
+) for a, b in ("DI", "IS")]
 ADJUSTMENTS: list[Rule] = [
     ("star_down", _lit("tense_and_quiet"), "big_n >= 70 and big_e <= 45"),
     ("star_up", _lit("tense_and_orderly"), "big_n >= 65 and big_c >= 65"),
@@ -62,13 +83,24 @@ def _strength(style: str) -> str:
     return f"concat({style}, ':', case when {score} >= 75 then 'strong' when {score} >= 50 then 'medium' else 'weak' end)"
 
 
-HYPOTHESES: list[Rule] = [("top", _strength("disc_top"), "true"), ("second", _strength("disc_second"), "true"), ("composite", "'DC:medium'", "concat(disc_top, disc_second) in ('DC', 'CD')")]
+HYPOTHESES: list[Rule] = [
+    ("top", _strength("disc_top"), "true"), ("second", _strength("disc_second"), "true"),
+    ("composite", "'DC:medium'", "concat(disc_top, disc_second) in ('DC', 'CD')"),
+]
 #: Rules of several models under one scheme: (type, severity, condition, description). Equal types with equal first 40 characters count once.
 UNION: list[tuple[str, str, str, str]] = [
-    *(("disc_mbti", "'medium'", f"disc_{d.lower()} >= 70 and mbti_type like '%{x}%'", f"style {d} seldom goes with {x}") for d, letters in L.UNLIKELY.items() for x in letters),
+    *((
+        "disc_mbti", "'medium'", f"disc_{d.lower()} >= 70 and mbti_type like '%{x}%'", f"style {d} seldom goes with {x}",
+    ) for d, letters in L.UNLIKELY.items() for x in letters),
     *(("disc_mbti_pattern", "'high'", f"disc_{d.lower()} >= 70 and mbti_type like '%P%'", f"high {d} beside P") for d in "DC"),
-    *(("trait_risk", "'medium'", f"big_{d} >= {n} and big_{e} <= {m}", f"{d.upper()} is high while {e.upper()} is low, so one of the two may be dressed up for the talk") for d, n, e, m in (("n", 70, "e", 45), ("o", 65, "c", 45), ("e", 65, "a", 45))),
-    *(("trait_risk", "'low'", f"big_{d} >= {n} and big_{e} <= {m}", f"{d.upper()} is high while {e.upper()} is low, so one of the two may be dressed up (weak)") for d, n, e, m in (("n", 60, "e", 50), ("o", 60, "c", 50))),
+    *((
+        "trait_risk", "'medium'", f"big_{d} >= {n} and big_{e} <= {m}",
+        f"{d.upper()} is high while {e.upper()} is low, so one of the two may be dressed up for the talk",
+    ) for d, n, e, m in (("n", 70, "e", 45), ("o", 65, "c", 45), ("e", 65, "a", 45))),
+    *((
+        "trait_risk", "'low'", f"big_{d} >= {n} and big_{e} <= {m}",
+        f"{d.upper()} is high while {e.upper()} is low, so one of the two may be dressed up (weak)",
+    ) for d, n, e, m in (("n", 60, "e", 50), ("o", 60, "c", 50))),
     *((code, severity, condition, f"type risk {code}") for code, severity, condition in TYPE_RISKS),
 ]
 #: What confirms or challenges a style, by code.

@@ -17,12 +17,31 @@ def diarised_segments(raw: DataFrame) -> DataFrame:
     """
     rows = raw.select("id", F.from_json("value", DIARISED).alias("j"))
     length = F.length("j.text")
-    alone = F.array(F.struct(F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("string").alias("speaker_label"), F.lit(None).cast("string").alias("speaker_id"), F.col("j.text").alias("text"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.lit(0.0).alias("start_ms"), F.greatest(F.lit(1000), 120 * length).cast("double").alias("end_ms")))
+    alone = F.array(
+        F.struct(
+            F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("string").alias("speaker_label"),
+            F.lit(None).cast("string").alias("speaker_id"), F.col("j.text").alias("text"), F.lit(None).cast("double").alias("start"),
+            F.lit(None).cast("double").alias("end"), F.lit(0.0).alias("start_ms"),
+            F.greatest(F.lit(1000), 120 * length).cast("double").alias("end_ms"),
+        ),
+    )
     filled = lambda c: F.when(F.size(c) > 0, F.col(c))
-    rows = rows.select("id", F.posexplode(F.coalesce(filled("j.segments"), filled("j.speaker_segments"), F.when(length > 0, alone))).alias("at", "s"))
-    rows = rows.select("id", "at", F.coalesce("s.speaker", "s.speaker_label", "s.speaker_id", F.lit("speaker_a")).alias("name"), F.trim("s.text").alias("text"), F.round(F.coalesce("s.start_ms", F.col("s.start") * 1000, F.lit(0.0))).cast("long").alias("start_ms"), F.round(F.coalesce("s.end_ms", F.col("s.end") * 1000, F.lit(0.0))).cast("long").alias("end_ms")).where("text <> ''")
+    rows = rows.select(
+        "id", F.posexplode(F.coalesce(filled("j.segments"), filled("j.speaker_segments"), F.when(length > 0, alone))).alias("at", "s"),
+    )
+    rows = rows.select(
+        "id", "at", F.coalesce("s.speaker", "s.speaker_label", "s.speaker_id", F.lit("speaker_a")).alias("name"),
+        F.trim("s.text").alias("text"),
+        F.round(F.coalesce("s.start_ms", F.col("s.start") * 1000, F.lit(0.0))).cast("long").alias("start_ms"),
+        F.round(F.coalesce("s.end_ms", F.col("s.end") * 1000, F.lit(0.0))).cast("long").alias("end_ms"),
+    ).where(
+        "text <> ''",
+    )
     first = F.first("name").over(Window.partitionBy("id").orderBy("at"))
-    return rows.select("id", F.col("at").cast("long").alias("at"), F.when(F.col("name") == first, "speaker_a").otherwise("speaker_b").alias("speaker"), "text", "start_ms", "end_ms")
+    return rows.select(
+        "id", F.col("at").cast("long").alias("at"), F.when(F.col("name") == first, "speaker_a").otherwise("speaker_b").alias("speaker"),
+        "text", "start_ms", "end_ms",
+    )
 
 
 PROVIDER = "type string, text string, delta string, transcript string, item struct<text: string>, start_ms bigint, end_ms bigint, start double, end double"
@@ -32,15 +51,32 @@ def provider_events(raw: DataFrame) -> DataFrame:
     """(id, kind, text, start_ms, end_ms) from (id, value): typed events of a speech provider; unknown types are `other`."""
     e = raw.select("id", F.from_json("value", PROVIDER).alias("e")).select("id", "e.*")
     low = F.lower(F.coalesce("type", F.lit("")))
-    kind = F.when(low.contains("error"), "error").when(low.contains("delta"), "delta").when(low.contains("completed"), "completed").when(low.contains("started"), "speech_start").when(low.contains("stopped"), "speech_stop").otherwise("other")
-    return e.select("id", kind.alias("kind"), F.coalesce(F.nullif("text", F.lit("")), F.nullif("delta", F.lit("")), F.nullif("transcript", F.lit("")), F.col("item.text")).alias("text"), F.coalesce("start_ms", F.round(F.col("start") * 1000).cast("long")).alias("start_ms"), F.coalesce("end_ms", F.round(F.col("end") * 1000).cast("long")).alias("end_ms"))
+    kind = F.when(low.contains("error"), "error").when(low.contains("delta"), "delta").when(low.contains("completed"), "completed").when(
+        low.contains("started"), "speech_start",
+    ).when(
+        low.contains("stopped"), "speech_stop",
+    ).otherwise(
+        "other",
+    )
+    return e.select(
+        "id", kind.alias("kind"),
+        F.coalesce(F.nullif("text", F.lit("")), F.nullif("delta", F.lit("")), F.nullif("transcript", F.lit("")), F.col("item.text")).alias(
+            "text",
+        ),
+        F.coalesce("start_ms", F.round(F.col("start") * 1000).cast("long")).alias("start_ms"),
+        F.coalesce("end_ms", F.round(F.col("end") * 1000).cast("long")).alias("end_ms"),
+    )
 
 
 def timed_segments(segments: DataFrame) -> DataFrame:
     """(interview_id, seg_id, speaker, start_ms, end_ms): 120 ms for each character, from 1200 to 4800; each begins where the last ended."""
     size = F.least(F.lit(4800), F.greatest(F.lit(1200), 120 * F.length("text"))).cast("long")
-    before = F.sum("size").over(Window.partitionBy("interview_id").orderBy("seg_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    return segments.withColumn("size", size).withColumn("start_ms", before).select("interview_id", "seg_id", "speaker", "start_ms", (F.col("start_ms") + F.col("size")).alias("end_ms"))
+    before = F.sum("size").over(
+        Window.partitionBy("interview_id").orderBy("seg_id").rowsBetween(Window.unboundedPreceding, 0),
+    ) - F.col("size")
+    return segments.withColumn("size", size).withColumn("start_ms", before).select(
+        "interview_id", "seg_id", "speaker", "start_ms", (F.col("start_ms") + F.col("size")).alias("end_ms"),
+    )
 
 
 def case_violations(cases: DataFrame) -> DataFrame:
@@ -83,5 +119,10 @@ def followups(raw: DataFrame, priority: str = "medium", purpose: str = "verify")
 def ranking_match(predicted: DataFrame, cases: DataFrame, key: str = "case_id") -> DataFrame:
     """(key, predicted, expected, top_match, exact, in_place): rankings, as arrays, against those that labelled cases expect."""
     both = predicted.select(key, F.col("ranking").alias("predicted")).join(cases.select(key, F.col("ranking").alias("expected")), key)
-    same = F.aggregate(F.zip_with("predicted", "expected", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
-    return both.select(key, "predicted", "expected", (F.get("predicted", F.lit(0)) == F.get("expected", F.lit(0))).alias("top_match"), (F.col("predicted") == F.col("expected")).alias("exact"), same.cast("long").alias("in_place"))
+    same = F.aggregate(
+        F.zip_with("predicted", "expected", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)),
+    )
+    return both.select(
+        key, "predicted", "expected", (F.get("predicted", F.lit(0)) == F.get("expected", F.lit(0))).alias("top_match"),
+        (F.col("predicted") == F.col("expected")).alias("exact"), same.cast("long").alias("in_place"),
+    )
