@@ -1,5 +1,9 @@
 """A corpus pipeline: quality rules, line dedup, near duplicates, benchmark decontamination, BPE encoding.
 
+Null and empty texts are rejected by the quality rules, so later stages meet them only where line dedup empties a text: such
+a text is linked with nothing, holds no item and has no tokens. Rows that repeat an id are judged one by one. An empty
+table goes through all stages. Further columns stay as they are until the last stage; names that begin with __ are taken.
+
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
 columns of documents. Between stages the rows are written as a table in the shared folder, so a lost executor costs no
 more than its own stage.
