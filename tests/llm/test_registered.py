@@ -32,17 +32,18 @@ def results(spark, sf_dir):
     return get
 
 
-def test_all_ten_and_the_pipeline_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline") == list(range(1, 11)) and "pipeline" in NAMES
+def test_all_operators_and_the_pipeline_are_there():
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline") == list(range(1, 14)) and "pipeline" in NAMES
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_rows(results, texts, name):
     rows = results(name)
-    whole = ("op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10")
+    whole = ("op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12")
     if name.split("_")[0] in whole:
         assert sorted(r.doc_id for r in rows) == sorted(texts)
-    assert rows and all(r.doc_id in texts for r in rows)
+    if not name.startswith("op13"):
+        assert rows and all(r.doc_id in texts for r in rows)
 
 
 @pytest.mark.parametrize("name", ["op6_sharding", "op9_ngram_jaccard_join"])
