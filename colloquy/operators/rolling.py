@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import folds
 from colloquy.operators import turns as T
-from colloquy.plans.layers import all_layers, apply, counts
+from colloquy.plans.layers import all_layers, apply, counted, counts
 
 SUMMED = ("sent", "sent_chars", "cand_chars", "n_turns", "n_segments")
 
@@ -30,10 +30,8 @@ def own_counts(segments: DataFrame, told: Column, words: Mapping[str, Sequence[s
     })
     parts = T.sentences(F.col("t"))
     rows = rows.withColumns({"sent": F.size(parts).cast("long"), "sent_chars": F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x)).cast("long"), "cand_chars": F.length("t").cast("long")})
-    layer = dict(counts(words))
-    layer["text_length"] = layer["text_length"].replace("greatest(1, ", "greatest(0, ")
-    layer["word_count"] = layer["word_count"].replace("greatest(1, ", "greatest(0, ")
-    return apply(rows, [layer])
+    # sizes of parts add up; the least size of 1 is that of the whole
+    return counted(rows, words, least=0)
 
 
 def segment_counts(segments: DataFrame, words: Mapping[str, Sequence[str]]) -> DataFrame:

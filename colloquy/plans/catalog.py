@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from colloquy.functions.expressions import ansi, quoted
 from colloquy.operators import scoring as S
 from colloquy.operators import turns as T
+from colloquy.plans import layers
 from colloquy.plans import lexicon as L
 from colloquy.plans import oracle as O
 from colloquy.plans import oracle_scores as OS
 from colloquy.plans import rows as R
-from colloquy.plans.layers import ON_ANSWERS, RATIOS, all_layers, apply, needed
+from colloquy.plans.layers import ON_ANSWERS, RATIOS
 from colloquy.plans.views import flat_transcripts, zh_turns
 from colloquy.sources.tables import conversation_segments
 
@@ -31,8 +32,7 @@ def interviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str, text: str | None = None) -> DataFrame:
     """Interviews with all features and scores, or with those alone that the text's names lead to."""
-    layers = all_layers(WORDS)
-    return apply(interviews(spark, sf_dir), layers if text is None else needed(layers, text))
+    return layers.scored(interviews(spark, sf_dir), WORDS, text)
 
 
 def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:

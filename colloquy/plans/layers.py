@@ -7,11 +7,12 @@ sent_chars (sentences of t and their characters), n_segments, n_turns, n_types (
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 
 from colloquy.functions.expressions import clamp, hits, points, ratio, tolerant
+from colloquy.operators.words import with_counts
 from colloquy.plans import lexicon as L
 from colloquy.plans.tables import Rules
 
@@ -32,18 +33,20 @@ def bare(column: str) -> str:
     return column
 
 
-def counts(words: Mapping[str, Sequence[str]]) -> Layer:
-    """Hits in the answers (n_) and in the whole transcript (h_)."""
-    out = {f"n_{k}": f"cast({hits('t', words[k])} as bigint)" for k in ON_ANSWERS}
-    out["n_team"] = f"cast({hits('t', TEAM)} as bigint)"
-    out["n_asked"] = f"cast({hits('t', ('？', '?'))} as bigint)"
+def word_columns(words: Mapping[str, Sequence[str]]) -> dict[str, dict[str, Sequence[str]]]:
+    """The words of each column of hits: in the answers t (n_), and in the whole transcript w (h_)."""
+    on_answers = {f"n_{k}": words[k] for k in ON_ANSWERS} | {"n_team": TEAM, "n_asked": ("？", "?")}
+    on_whole = {f"h_{k}": v for k, v in words.items() if k.startswith(("disc_", "pos_", "neg_", "type_", "side_", "star_", "counter_"))}
+    return {"t": on_answers, "w": on_whole}
+
+
+def counts(words: Mapping[str, Sequence[str]], least: int = 1) -> Layer:
+    """Hits in the answers and in the whole transcript, and sizes of both, which are `least` at least."""
+    out = {n: f"cast({hits(text, own)} as bigint)" for text, columns in word_columns(words).items() for n, own in columns.items()}
     out["n_numbers"] = "cast(regexp_count(t, '[0-9]+[%个天周月年人]') as bigint)"
-    out |= {f"h_{k}": f"cast({hits('w', v)} as bigint)" for k, v in words.items() if k.startswith(
-        ("disc_", "pos_", "neg_", "type_", "side_", "star_", "counter_"),
-    )}
     out |= {f"syn_{d}": f"cast(case when t rlike '{p}' then 1 else 0 end as bigint)" for d, p in SYNTAX.items() if p}
-    out["text_length"] = f"cast(greatest(1, length({bare('t')})) as bigint)"
-    out["word_count"] = "cast(greatest(1, length(replace(w, chr(10), ''))) as bigint)"
+    out["text_length"] = f"cast(greatest({least}, length({bare('t')})) as bigint)"
+    out["word_count"] = f"cast(greatest({least}, length(replace(w, chr(10), ''))) as bigint)"
     return out
 
 
@@ -156,9 +159,9 @@ DEFECTS["result_attribution_error"] = _defect(
 )
 
 
-def defects() -> Layer:
+def defects(cases: Mapping[str, str]) -> Layer:
     disc, types = [f"disc_{d}" for d in "disc"], [f"type_{k}" for k in range(1, 10)]
-    out = {f"defect_{k}": v for k, v in DEFECTS.items()}
+    out = {f"defect_{k}": v for k, v in cases.items()}
     out["disc_second"] = _second("DISC", disc, "disc_top")
     out["type_second"] = _second([str(k) for k in range(1, 10)], types, "type_top")
     out["mbti_type"] = "concat(" + ", ".join(f"case when pref_{(a + b).lower()} in ('neutral', 'unclear') then 'X' else pref_{(a + b).lower()} end" for a, b in L.AXES) + ")"
@@ -176,9 +179,9 @@ def seconds() -> Layer:
     return {"type_second_score": "case type_second " + " ".join(f"when '{k}' then type_{k}" for k in range(1, 10)) + " end"}
 
 
-def summary() -> Layer:
-    high = "(" + " + ".join(f"case when defect_{k} = 'high' then 1 else 0 end" for k in DEFECTS) + ")"
-    medium = "(" + " + ".join(f"case when defect_{k} = 'medium' then 1 else 0 end" for k in DEFECTS) + ")"
+def summary(cases: Mapping[str, str]) -> Layer:
+    count = lambda level: "(" + (" + ".join(f"case when defect_{k} = '{level}' then 1 else 0 end" for k in cases) or "0") + ")"
+    high, medium = count("high"), count("medium")
     odd = " + ".join(f"case when big_{d} > 90 or big_{d} < 12 then 1 else 0 end" for d in "ocean")
     return {
         "n_high": high,
@@ -205,7 +208,8 @@ def summary() -> Layer:
 
 def all_layers(words: Mapping[str, Sequence[str]] | None = None, rules: Rules | None = None) -> list[Layer]:
     rules = rules or Rules()
-    return [counts(words or L.WORDS), features(), scores(rules), tops(rules), defects(), seconds(), summary()]
+    cases = DEFECTS if rules.defects is None else {k: _defect(*cs) for k, cs in rules.defects.items()}
+    return [counts(words or L.WORDS), features(), scores(rules), tops(rules), defects(cases), seconds(), summary(cases)]
 
 
 def analyse(interviews: DataFrame, words: Mapping[str, Sequence[str]] | None = None, rules: Rules | None = None, extra: Mapping[str, Column] | None = None) -> DataFrame:
@@ -213,11 +217,27 @@ def analyse(interviews: DataFrame, words: Mapping[str, Sequence[str]] | None = N
 
     extra: columns over an interview's row and its features, Pandas UDFs among them; rules can ask for them by name.
     """
-    low, high = all_layers(words, rules)[:2], all_layers(words, rules)[2:]
-    rows = apply(interviews, low)
+    _, low, *high = all_layers(words, rules)
+    rows = apply(counted(interviews, words or L.WORDS), [low])
     return apply(rows.withColumns(dict(extra)) if extra else rows, high)
 
 
+def counted(interviews: DataFrame, words: Mapping[str, Sequence[str]], names: Collection[str] | None = None, least: int = 1) -> DataFrame:
+    """Interviews with the columns of `counts`, or those named: all words in one pass over each text, the rest as SQL."""
+    wanted = {text: {n: own for n, own in columns.items() if names is None or n in names} for text, columns in word_columns(words).items()}
+    hit = {n for columns in wanted.values() for n in columns}
+    rest = {n: e for n, e in counts({k: () for k in words}, least).items() if n not in hit and (names is None or n in names)}
+    return apply(with_counts(interviews, wanted), [rest] if rest else [])
+
+
+def scored(interviews: DataFrame, words: Mapping[str, Sequence[str]], text: str | None = None) -> DataFrame:
+    """Interviews with all features and scores, or with those alone that the names in the text lead to."""
+    first, *rest = all_layers(words)
+    layers = [first, *rest] if text is None else needed([first, *rest], text)
+    here = layers[0] if layers and set(layers[0]) <= set(first) else {}
+    return apply(counted(interviews, words, set(here)), layers[1:] if here else layers)
+
+
 def needed(layers: Sequence[Layer], text: str) -> list[Layer]:
     """The layers with the columns alone that the names in the text lead to."""
     names = set(re.findall(r"[A-Za-z_]\w*", text))

@@ -7,8 +7,8 @@ A table with more rows than `MOST_ROWS` is refused.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Collection, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -17,23 +17,66 @@ from colloquy.plans import lexicon as L
 MOST_ROWS = 100_000
 _NUMERIC = re.compile(r"\s*([A-Za-z_]\w*)\s*(>=|<=|==|=|>|<)\s*(-?\d+(?:\.\d+)?)\s*")
 _LABEL = re.compile(r"\s*([A-Za-z_]\w*)\s*(?:==|=)\s*'?([A-Za-z_]+)'?\s*")
+_HAS = re.compile(r"\s*([A-Za-z_]\w*)\s+has\s+([A-Za-z_]+)\s*", re.IGNORECASE)
+_PRESENT = re.compile(r"\s*([A-Za-z_]\w*)\s+is\s+present\s*", re.IGNORECASE)
+#: What holds for every interview, as a rule and as a feature.
+ALWAYS = "always"
 
 
-def parse_rule(text: str, features: Sequence[str] | None = None) -> str:
-    """A rule string, "feature op value" parts joined with `and`, as an SQL condition.
+@dataclass(frozen=True)
+class Condition:
+    """feature op value: a number (>=, <=, >, <, =), a label (=), letters of a label (has), or any value (present)."""
+
+    feature: str
+    op: str
+    value: str = ""
+
+    @property
+    def number(self) -> float | None:
+        return float(self.value) if re.fullmatch(r"-?\d+(\.\d+)?", self.value) else None
+
+    @property
+    def label(self) -> str | None:
+        return self.value if self.value and self.number is None else None
+
+    def sql(self) -> str:
+        if self.feature == ALWAYS:
+            return "true"
+        if self.op == "present":
+            return f"{self.feature} is not null"
+        if self.op == "has":
+            return f"{self.feature} like '%{self.value}%'"
+        return f"{self.feature} {self.op} {self.value}" if self.number is not None else f"{self.feature} = '{self.value}'"
+
+
+def parse_conditions(text: str, features: Collection[str] | None = None) -> list[Condition]:
+    """The conditions of a rule string, which are joined with `and`.
 
-    The value is a number or a label; == counts as =. Anything else, and a feature that is not among the given ones, is an error.
+    == counts as =. Anything else, and a feature that is not among the given ones, is an error. `always` is a rule that holds.
     """
-    parts = []
+    if text.strip().lower() == ALWAYS:
+        return [Condition(ALWAYS, "present")]
+    out = []
     for part in re.split(r"\s+and\s+", text.strip(), flags=re.IGNORECASE):
-        number, label = _NUMERIC.fullmatch(part), _LABEL.fullmatch(part)
-        if not number and not label:
+        if m := _NUMERIC.fullmatch(part):
+            found = Condition(m[1], "=" if m[2] == "==" else m[2], m[3])
+        elif m := _LABEL.fullmatch(part):
+            found = Condition(m[1], "=", m[2])
+        elif m := _HAS.fullmatch(part):
+            found = Condition(m[1], "has", m[2])
+        elif m := _PRESENT.fullmatch(part):
+            found = Condition(m[1], "present")
+        else:
             raise ValueError(f"not a rule: {part!r}")
-        name = (number or label)[1]
-        if features is not None and name not in features:
-            raise ValueError(f"unknown feature {name!r} in {text!r}")
-        parts.append(f"{name} {'=' if number[2] == '==' else number[2]} {number[3]}" if number else f"{name} = '{label[2]}'")
-    return " and ".join(parts)
+        if features is not None and found.feature not in features:
+            raise ValueError(f"unknown feature {found.feature!r} in {text!r}")
+        out.append(found)
+    return out
+
+
+def parse_rule(text: str, features: Collection[str] | None = None) -> str:
+    """A rule string as an SQL condition."""
+    return " and ".join(c.sql() for c in parse_conditions(text, features))
 
 
 def _rows(table: DataFrame, *columns: str) -> list[tuple]:
@@ -51,6 +94,40 @@ class Rules:
     bigfive: Mapping[str, Sequence[tuple[str, int]]] = field(default_factory=lambda: L.BIGFIVE)
     enneagram: Mapping[int, Sequence[tuple[str, str, float, int]]] = field(default_factory=lambda: L.ENNEAGRAM)
     mbti: Mapping[str, tuple[Sequence[str], Sequence[str], Sequence[str]]] = field(default_factory=lambda: L.MBTI)
+    #: The cases (severity, condition) of each defect, the first that holds first; None for the library's.
+    defects: Mapping[str, Sequence[tuple[str, str]]] | None = None
+
+
+@dataclass(frozen=True)
+class Detection:
+    """A rule of a scheme (defect, finding, gap, conflict, ...): its code and detail, and the conditions that all have to hold."""
+
+    scheme: str
+    place: int
+    code: str
+    detail: str
+    conditions: tuple[Condition, ...]
+
+
+def detections_of(table: DataFrame, features: Collection[str] | None = None) -> dict[str, list[Detection]]:
+    """Detections from (scheme, place, code, detail, rule), in order of place; rule is a string as of parse_conditions."""
+    out: dict[str, list[Detection]] = {}
+    for scheme, place, code, detail, rule in sorted(_rows(table, "scheme", "place", "code", "detail", "rule")):
+        out.setdefault(scheme, []).append(Detection(scheme, int(place), code, detail, tuple(parse_conditions(rule, features))))
+    return out
+
+
+def compiled(detections: Sequence[Detection]) -> list[tuple[str, str, str]]:
+    """(code, SQL of the detail, SQL of the condition), for operators.scoring.rows_where."""
+    return [(r.code, "'" + r.detail.replace("'", "''") + "'", " and ".join(c.sql() for c in r.conditions)) for r in detections]
+
+
+def with_defects(rules: Rules, defects: Sequence[Detection]) -> Rules:
+    """rules whose scores, confidences and further detections follow from the caller's defects."""
+    cases: dict[str, list[tuple[str, str]]] = {}
+    for r in defects:
+        cases.setdefault(r.code, []).append((r.detail, " and ".join(c.sql() for c in r.conditions)))
+    return replace(rules, defects=cases)
 
 
 def words_of(table: DataFrame) -> dict[str, tuple[str, ...]]:
@@ -61,6 +138,14 @@ def words_of(table: DataFrame) -> dict[str, tuple[str, ...]]:
     return L.WORDS | {k: tuple(dict.fromkeys(v)) for k, v in out.items()}
 
 
+def categories_of(table: DataFrame) -> dict[str, tuple[str, ...]]:
+    """All word lists of a table (category, word), whatever their names: for operators.words.category_hits."""
+    out: dict[str, list[str]] = {}
+    for category, word in sorted(r for r in _rows(table, "category", "word") if r[0] and r[1]):
+        out.setdefault(category, []).append(word)
+    return {k: tuple(dict.fromkeys(v)) for k, v in out.items()}
+
+
 def rules_of(table: DataFrame, features: Sequence[str] | None = None) -> Rules:
     """Rules from (model, dim, rule, points); schemes that the table lacks keep the library's rules.
 
