@@ -53,18 +53,45 @@ def call_throttle(events: DataFrame, wait_ms: int = 10_000) -> DataFrame:
     return folds.fold(events.withColumn("signature", F.col("event_type")), folds.throttle(wait_ms)).select("session_id", "event_id", "emitted")
 
 
-def single_flight(events: DataFrame, wait_ms: int = 8000) -> DataFrame:
+def single_flight(events: DataFrame, wait_ms: int = 8000, ttl_ms: int | None = None) -> DataFrame:
     """The kind of event and its characters, in tens, stand for the request."""
     request = F.concat_ws(":", "event_type", F.floor(F.col("chars") / 10).cast("string"))
-    return folds.fold(events.withColumn("request", request), folds.single_flight(wait_ms)).select("session_id", "event_id", "outcome")
+    return folds.fold(events.withColumn("request", request), folds.single_flight(wait_ms, ttl_ms)).select("session_id", "event_id", "outcome")
 
 
 def ema_scores(events: DataFrame) -> DataFrame:
     return folds.fold(events.withColumn("value", F.col("chars") % 101), folds.ema()).select("session_id", "event_id", "score")
 
 
-def appended(events: DataFrame) -> DataFrame:
-    return folds.fold(events.where("kind = 'final'"), folds.append()).select("session_id", "event_id", "seg_id", "status")
+def appended(events: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """(session_id, event_id, seg_id, status) of the segments: ok ones are numbered, others are unknown, not_active or blank.
+
+    registry: (session_id) of the sessions that were opened; without it all are known. What a session's segment becomes
+    follows from those before it by windows; the stream's twin is folds.append.
+    """
+    order = Window.partitionBy("session_id").orderBy("ms", "event_id")
+    before, sofar = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.where("kind = 'final'")
+    if registry is None:
+        rows = rows.withColumn("known", F.lit(True))
+    else:
+        rows = rows.join(registry.select("session_id").distinct().withColumn("known", F.lit(True)), "session_id", "left")
+    over = F.coalesce(F.max("ended").over(before), F.lit(False))
+    status = F.when(F.col("known").isNull(), "unknown").when(over, "not_active").when(F.coalesce("chars", F.lit(0)) == 0, "blank").otherwise("ok")
+    rows = rows.withColumn("status", status)
+    number = F.when(F.col("status") == "ok", F.count(F.when(F.col("status") == "ok", 1)).over(sofar))
+    return rows.select("session_id", "event_id", number.alias("seg_id"), "status")
+
+
+def registrations(registry: DataFrame, events: DataFrame) -> DataFrame:
+    """Sessions of a registry (session_id, ms) as events of kind open, in the columns of events: for a stream of both."""
+    own = {"session_id": F.col("session_id"), "ms": F.col("ms"), "kind": F.lit("open"), "event_id": F.lit(-1), "chars": F.lit(0), "ended": F.lit(False)}
+    return registry.select(*(own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields))
+
+
+def speaker_partials(events: DataFrame) -> DataFrame:
+    """(session_id, event_id, partial, n_open) at each event (kind, speaker, text): see folds.speaker_partials."""
+    return folds.fold(events, folds.speaker_partials()).select("session_id", "event_id", "partial", "n_open")
 
 
 def evictions(events: DataFrame, ttl: str) -> DataFrame:

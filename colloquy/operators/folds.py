@@ -7,7 +7,7 @@ in `colloquy.streaming` run the same steps on keyed state.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, MutableMapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -20,13 +20,18 @@ State = tuple
 
 @dataclass(frozen=True)
 class Fold:
-    """step(state, *values of the columns) gives (new state, values of out). state: the DDL of what is kept."""
+    """step(state, *values of the columns) gives (new state, values of out). state: the DDL of what is kept.
+
+    entries: the types of key and value of a table that the rule keeps beside it, of which each event reads and writes a
+    few entries; step gets it after the state, as a mapping with get, pop, items and assignment.
+    """
 
     columns: tuple[str, ...]
     state: str
     start: State
     out: str
     step: Callable[..., tuple[State, tuple]]
+    entries: tuple[str, str] | None = None
 
     def names(self) -> list[str]:
         return [c.split()[0] for c in self.out.split(", ")]
@@ -44,12 +49,13 @@ def fold(rows: DataFrame, rule: Fold, key: str = "session_id", order: Sequence[s
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Any = run  # no key is equal to it
         state = rule.start
+        table: dict = {}
         for batch in batches:
             out = []
             for k, *values in zip(*(batch.column(c).to_pylist() for c in (key, *rule.columns)), strict=True):
                 if k != now:
-                    now, state = k, rule.start
-                state, said = rule.step(state, *values)
+                    now, state, table = k, rule.start, {}
+                state, said = rule.step(state, *([table] if rule.entries else []), *values)
                 out.append(said)
             made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.fieldNames())
@@ -101,21 +107,43 @@ def throttle(wait_ms: int = 10_000) -> Fold:
     return Fold(("ms", "signature"), "sig string, at long", (None, None), "emitted boolean", step)
 
 
-def single_flight(wait_ms: int = 8000) -> Fold:
+def both(one: Fold, other: Fold) -> Fold:
+    """Two rules over the same events, with the columns of both; neither may keep entries."""
+    k, n = len(one.start), len(one.columns)
+
+    def step(s: State, *values: Any) -> tuple[State, tuple]:
+        a, x = one.step(s[:k], *values[:n])
+        b, y = other.step(s[k:], *values[n:])
+        return (*a, *b), (*x, *y)
+
+    return Fold(one.columns + other.columns, f"{one.state}, {other.state}", (*one.start, *other.start), f"{one.out}, {other.out}", step)
+
+
+def single_flight(wait_ms: int = 8000, ttl_ms: int | None = None) -> Fold:
     """What becomes of a request: cached if its key ran before, throttled if the last run is too near, else run.
 
-    The keys that ran are the state; a session has few.
+    ttl_ms: how long a key counts as having run; older ones are forgotten. The keys are entries of a table: an event looks
+    at its own alone, and all are looked through only once for as many runs as there are keys.
     """
 
-    def step(s: State, ms: int, request: str) -> tuple[State, tuple]:
-        keys, at = s
-        if request in keys.split("\n"):
+    def step(s: State, ran: MutableMapping[str, int], ms: int, request: str) -> tuple[State, tuple]:
+        at, runs, kept = s
+        before = ran.get(request)
+        if before is not None and (ttl_ms is None or ms - before <= ttl_ms):
             return s, ("cached",)
         if at is not None and ms - at < wait_ms:
             return s, ("throttled",)
-        return (f"{keys}\n{request}" if keys else request, ms), ("run",)
+        ran[request] = ms
+        runs += 1
+        if ttl_ms is not None and runs > max(kept, 16):
+            entries = list(ran.items())
+            old = [k for k, v in entries if ms - v > ttl_ms]
+            for k in old:
+                ran.pop(k)
+            runs, kept = 0, len(entries) - len(old)
+        return (ms, runs, kept), ("run",)
 
-    return Fold(("ms", "request"), "keys string, at long", ("", None), "outcome string", step)
+    return Fold(("ms", "request"), "at long, runs long, kept long", (None, 0, 0), "outcome string", step, ("string", "long"))
 
 
 def smoothed(before: int | None, now: int) -> int:
@@ -131,18 +159,25 @@ def ema() -> Fold:
     return Fold(("value",), "score long", (None,), "score bigint", step)
 
 
-def append() -> Fold:
-    """Numbers the segments of an active session. Blank ones, and all after the end, are rejected with the reason."""
+def append(registered: bool = False) -> Fold:
+    """Numbers the segments of an active session. Others are rejected with the reason: unknown, not_active or blank.
 
-    def step(s: State, chars: int, ended: bool) -> tuple[State, tuple]:
-        n, over = s
+    registered: a session is known only after an event of kind open, which is its registration.
+    """
+
+    def step(s: State, kind: str, chars: int, ended: bool) -> tuple[State, tuple]:
+        n, known, over = s
+        if kind == "open":
+            return (n, True, over), (None, "open")
+        if not known:
+            return s, (None, "unknown")
         if over:
             return s, (None, "not_active")
         if not chars:
-            return (n, ended), (None, "blank")
-        return (n + 1, ended), (n + 1, "ok")
+            return (n, known, ended), (None, "blank")
+        return (n + 1, known, ended), (n + 1, "ok")
 
-    return Fold(("chars", "ended"), "n long, over boolean", (0, False), "seg_id bigint, status string", step)
+    return Fold(("kind", "chars", "ended"), "n long, known boolean, over boolean", (0, not registered, False), "seg_id bigint, status string", step)
 
 
 def partials() -> Fold:
@@ -157,6 +192,79 @@ def partials() -> Fold:
     return Fold(("kind", "speaker", "chars"), "part long", (0,), "partial bigint", step)
 
 
+def speaker_partials() -> Fold:
+    """The partial text of an event's speaker after it, and how many speakers have one.
+
+    A partial text takes the place of the speaker's last one; a blank one, or a segment of the speaker, takes it away.
+    """
+
+    def step(s: State, parts: MutableMapping[str, str], kind: str, speaker: str, text: str | None) -> tuple[State, tuple]:
+        (n,) = s
+        had = parts.get(speaker) is not None
+        if kind == "partial" and (text or "").strip():
+            parts[speaker] = text
+            return (n + (not had),), (text, n + (not had))
+        if had:
+            parts.pop(speaker)
+        return (n - had,), (None, n - had)
+
+    return Fold(("kind", "speaker", "text"), "n long", (0,), "partial string, n_open bigint", step, ("string", "string"))
+
+
+def change(jump: float = 0.2, louder: float = 0.5) -> Fold:
+    """Is a frame a point of change? The features of the two frames before it are the state; the rule is frames.change_sql's."""
+
+    def step(s: State, now: list[float]) -> tuple[State, tuple]:
+        one, two = s
+        changed = False
+        if one is not None:
+            near = max(abs(a - b) for a, b in zip(now, one, strict=True))
+            if two is None:
+                changed = near > round(1.5 * jump, 9)
+            else:
+                loud = abs(1 - now[0] / one[0]) if one[0] > 0 else 0
+                far = sum(abs(a - b) for a, b in zip(now, two, strict=True)) / len(now)
+                changed = (near > jump or loud > louder) and far > round(0.7 * jump, 9)
+        return (list(now), one), (changed,)
+
+    return Fold(("features",), "one array<double>, two array<double>", (None, None), "changed boolean", step)
+
+
+def hysteresis(silence_ms: int = 300, least_ms: int = 250, prob: float = 0.5) -> Fold:
+    """The segment that a frame closes, else nulls: after silence_ms without activity one more inactive frame closes it.
+
+    The counter of inactive frames is the state, with the open segment; the rule is frames.hysteresis_sql's.
+    """
+
+    def step(s: State, ms: int, p: float) -> tuple[State, tuple]:
+        n, was, waited, first, last, active = s
+        on = p > prob
+        was = ms if on else was
+        quiet = not on and was is not None and ms - was >= silence_ms
+        if quiet and waited:
+            told = first is not None and last - first >= least_ms
+            out = (n + 1, first, last, active) if told else (None,) * 4
+            return (n + told, was, quiet, None, None, 0), out
+        first = ms if on and first is None else first
+        if first is not None:
+            last, active = ms, active + on
+        return (n, was, quiet, first, last, active), (None,) * 4
+
+    state = "n long, was long, waited boolean, first long, last long, active long"
+    return Fold(("ms", "prob"), state, (0, None, False, None, None, 0), "seg bigint, start_ms bigint, end_ms bigint, active bigint", step)
+
+
+def until_end() -> Fold:
+    """Where a session is: active, completed at its end event, not_active after it."""
+
+    def step(s: State, ended: bool) -> tuple[State, tuple]:
+        if s[0]:
+            return s, ("not_active",)
+        return (bool(ended),), ("completed" if ended else "active",)
+
+    return Fold(("ended",), "over boolean", (False,), "status string", step)
+
+
 DISC = "CDIS"  # equal scores are ranked by letter
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import folds
 from colloquy.operators import turns as T
-from colloquy.plans.layers import all_layers, apply, counted, counts
+from colloquy.plans.layers import all_layers, apply, counted, counts, scored
 
 SUMMED = ("sent", "sent_chars", "cand_chars", "n_turns", "n_segments")
 
@@ -62,3 +62,14 @@ def live_disc(rolled: DataFrame, roles: Mapping[str, Sequence[str]], least_chars
     scores = [f"disc_{d}" for d in "cdis"]
     rows = rolled.where("speaker = 'candidate'").select("interview_id", "seg_id", "cand_chars", "disc_confidence", *scores)
     return folds.fold(rows, folds.live(dict(roles), least_chars), key="interview_id", order=("seg_id",)).drop("cand_chars", *scores)
+
+
+def until_end(segments: DataFrame) -> DataFrame:
+    """The segments (interview_id, seg_id, ..., ended) of sessions that have ended, as far as their first end event."""
+    ends = F.min(F.when(F.col("ended"), F.col("seg_id"))).over(Window.partitionBy("interview_id"))
+    return segments.withColumn("__ends", ends).where("seg_id <= __ends").drop("__ends", "ended")
+
+
+def final_reports(segments: DataFrame, words: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(interview_id, all features and scores) of each session that has ended; what comes after its end is left out."""
+    return scored(T.interviews(until_end(segments)), words)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState
 from pyspark.sql.types import StructType
 
 from colloquy.operators import folds
@@ -28,50 +29,98 @@ def _ordered(frames: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFra
     return pd.concat(list(frames), ignore_index=True).sort_values(list(order), kind="stable")
 
 
+class _Entries:
+    """A rule's table of entries in the state store: an event reads and writes its own alone."""
+
+    def __init__(self, state: MapState):
+        self.state = state
+
+    def get(self, key):
+        return self.state.getValue((key,))[0] if self.state.containsKey((key,)) else None
+
+    def __setitem__(self, key, value) -> None:
+        self.state.updateValue((key,), (value,))
+
+    def pop(self, key) -> None:
+        self.state.removeKey((key,))
+
+    def items(self):
+        return ((k[0], v[0]) for k, v in self.state.iterator())
+
+
+class _Timer:
+    """The one timer of a session, whose time is kept beside it; a later one takes its place."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle, self.at = handle, handle.getValueState("timer", StructType().add("at", "long"))
+
+    def set(self, at: int) -> None:
+        if self.at.exists():
+            self.handle.deleteTimer(self.at.get()[0])
+        self.handle.registerTimer(at)
+        self.at.update((at,))
+
+    def clear(self) -> None:
+        self.at.clear()
+
+
 class _Processor(StatefulProcessor):
-    """Steps a rule over the rows of a session; the state is one value."""
+    """Steps a rule over the rows of a session."""
 
     def __init__(self, rule: Fold, order: Sequence[str], kept: Sequence[str], ttl_ms: int, schema: StructType):
         self.rule, self.order, self.kept, self.ttl_ms, self.schema = rule, order, kept, ttl_ms, schema
         self.kept_state = StructType.fromDDL(rule.state)
+        self.kept_entries = [StructType().add(name, kind) for name, kind in zip(("key", "value"), rule.entries or (), strict=False)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.state = handle.getValueState("state", self.kept_state)
+        self.timer = _Timer(handle)
+        if self.rule.entries:
+            self.entries = handle.getMapState("entries", *self.kept_entries)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, self.order)
         state = self.state.get() if self.state.exists() else self.rule.start
+        table = [_Entries(self.entries)] if self.rule.entries else []
         out = []
         for values in zip(*(batch[c].tolist() for c in self.rule.columns), strict=True):
-            state, said = self.rule.step(tuple(state), *values)
+            state, said = self.rule.step(tuple(state), *table, *values)
             out.append(said)
         self.state.update(tuple(state))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(int(batch["ms"].max()), timerValues.getCurrentWatermarkInMs()) + self.ttl_ms)
+        self.timer.set(max(int(batch["ms"].max()), timerValues.getCurrentWatermarkInMs()) + self.ttl_ms)
         made = pd.DataFrame(out, columns=self.rule.names(), index=batch.index).astype(object)
         yield pd.concat([batch[list(self.kept)], made], axis=1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
+        self.timer.clear()
+        if self.rule.entries:
+            self.entries.clear()
         yield pd.DataFrame(columns=self.schema.fieldNames()).astype(object)
 
     def close(self) -> None:
         pass
 
 
+def timed(events: DataFrame, delay: str) -> DataFrame:
+    """Events with their time as ts, and a watermark on it, if they have none yet."""
+    return events if "ts" in events.columns else events.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", delay)
+
+
 def _run(events: DataFrame, processor: StatefulProcessor, schema: StructType, delay: str) -> DataFrame:
-    timed = events.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", delay)
-    return timed.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventtime")
+    passed_on = "ts" if "ts" in schema.fieldNames() else ""
+    return timed(events, delay).groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventtime", eventTimeColumnName=passed_on,
+    )
 
 
 def followed(events: DataFrame, rule: Fold, kept: Sequence[str] = ("session_id", "event_id"), delay: str = "1 hour", ttl_ms: int = DAY, order: Sequence[str] = ("ms", "event_id")) -> DataFrame:
     """The kept columns of a stream of events, and what the rule says at each; the batch twin is folds.fold.
 
-    events: session_id, event_id, ms and the rule's columns.
+    events: session_id, event_id, ms and the rule's columns. With ts among the kept columns the watermark goes on with
+    them, so that the result can be followed by a further rule.
     """
-    schema = StructType([events.schema[c] for c in kept] + StructType.fromDDL(rule.out).fields)
+    schema = StructType([(timed(events, delay).schema)[c] for c in kept] + StructType.fromDDL(rule.out).fields)
     return _run(events, _Processor(rule, order, kept, ttl_ms, schema), schema, delay)
 
 
@@ -83,7 +132,7 @@ class _Enrolment(StatefulProcessor):
         self.two, self.one = StructType.fromDDL(self.rule.state), StructType.fromDDL("event_id long, embedding array<double>")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.timer = _Timer(handle)
         self.voices = handle.getValueState("voices", self.two)
         self.waiting = handle.getListState("waiting", self.one)
 
@@ -104,9 +153,7 @@ class _Enrolment(StatefulProcessor):
                 role = "candidate" if folds.alike(e, list(state[1])) > folds.alike(e, list(state[0])) else "interviewer"
                 out.append((key[0], i, role, i != event_id))
         self.voices.update(state)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(int(batch["ms"].max()), timerValues.getCurrentWatermarkInMs()) + self.ttl_ms)
+        self.timer.set(max(int(batch["ms"].max()), timerValues.getCurrentWatermarkInMs()) + self.ttl_ms)
         yield pd.DataFrame(out, columns=self.schema.fieldNames())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -114,6 +161,7 @@ class _Enrolment(StatefulProcessor):
         left = [(key[0], i, "interviewer", True) for i, _ in self.waiting.get()] if self.waiting.exists() else []
         self.waiting.clear()
         self.voices.clear()
+        self.timer.clear()
         yield pd.DataFrame(left, columns=self.schema.fieldNames())
 
     def close(self) -> None:

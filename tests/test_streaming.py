@@ -51,6 +51,10 @@ RULES = {
     "ema": (folds.ema(), "true", {"value": "chars % 101"}),
     "append": (folds.append(), "kind = 'final'", {}),
     "partials": (folds.partials(), "true", {}),
+    "registered": (folds.append(registered=True), "kind = 'final'", {"kind": "case when event_id % 9 = 0 and session_id % 3 > 0 then 'open' else 'final' end"}),
+    "single_ttl": (folds.single_flight(1000, 20_000), "true", {"request": "concat(event_type, '\n', chars div 50)"}),
+    "speakers": (folds.speaker_partials(), "true", {"kind": "case when event_id % 3 > 0 then 'partial' else 'final' end", "speaker": "event_type", "text": "case when chars % 5 = 0 then ' ' when chars % 7 > 0 then concat('t', chars) end"}),
+    "both": (folds.both(folds.refresh(), folds.until_end()), "true", {}),
 }
 
 
