@@ -41,6 +41,13 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """The prefix, with as many underscores before it as it takes for no column of df to begin with it."""
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def partitions(spark: SparkSession) -> int:
     """How many ways this session deals out a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -12,14 +12,15 @@ of runs of `noise` words or more that stand earlier can go; the tests hold this
 passed over; those inside a deleted run go with it.
 
 What is shuffled is positions, hashes and counts. The number of extended matches follows the number of lines, no pairs of
-positions are made, and a hash that is common meets its one first position in a join that Spark can split. So no group
-of equal lines has to fit a task; one document's line hashes do.
+positions are made, and a hash that is common meets its one first position in a join that Spark can split. A fingerprint
+carries the hashes of the lines in its reach, never those of the whole text, so work follows a text's length. Lines are
+told apart by 128 bits (MD5) and matches by two hashes of these, of 64 bits each, so a line and another one that share
+a 64-bit hash are different lines.
 
 Null texts stay null, empty texts stay empty. A text of which all is repeated becomes empty. Very long texts are split
-into lines by Spark; the hashes of a text's lines are one row where the text has a fingerprint in common. Rows with equal
-doc_id and text are one document (by a hash of 128 bits) and get the same text. Texts with equal doc_id are ordered by
-that hash; a null doc_id comes first. Ties in a window go to the last line. An empty table stays empty. All columns of
-docs are kept, whatever their names; only names that begin with __line_ are taken.
+into lines by Spark. Rows with equal doc_id and text are one document (by a hash of 128 bits) and get the same text. Texts
+with equal doc_id are ordered by that hash; a null doc_id comes first. Ties in a window go to the last line. An empty
+table stays empty. All columns of docs are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from colloquy.llm._shared import spill
+from colloquy.llm._shared import free_prefix, spill
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,13 +40,17 @@ def _key() -> Column:
 
 
 def line_table(docs: DataFrame, noise: int, guarantee: int) -> DataFrame:
-    """(key, doc_id, at, pos, h, mark, lo, mid, hi) for each line with a word: at counts these lines, pos all lines.
+    """(key, doc_id, at, mark, lo, mid, hi, from, near) for each line whose shingle was selected as a fingerprint.
 
-    mark: hash of the shingle from here on if it was selected as a fingerprint, else null. The shingle ends at line mid;
-    from lo to hi are the lines that it has to be extended to.
+    at counts the lines with a word. mark is the hash of the shingle from this line on, which ends at line mid; from lo
+    to hi are the lines that it has to be extended to. near has (pos, h) of the lines from the line numbered `from` to hi:
+    their place among all lines, and 128 bits of hash. They lie within some `guarantee` words, so a fingerprint carries
+    no more of a long text than of a short one.
     """
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = split.select("key", "doc_id", "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).alias("n")).where("n > 0")
+    # the key is made below the split, once for a text and not once for each of its lines
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), "text")
+    split = keyed.select("doc_id", "key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = split.select("key", "doc_id", "pos", F.unhex(F.md5(F.col("line").cast("binary"))).alias("h"), F.regexp_count("line", F.lit(WORD)).alias("n")).where("n > 0")
     lines = lines.repartition("key").groupBy("key", "pos").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("n").alias("n"))
     order = Window.partitionBy("key").orderBy("pos")
     lines = lines.withColumn("at", F.row_number().over(order)).withColumn("c", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
@@ -64,49 +69,64 @@ def line_table(docs: DataFrame, noise: int, guarantee: int) -> DataFrame:
     lines = lines.withColumn("best", best)
     # a line is selected if a window that begins at or before it selects it
     chosen = F.collect_set(-F.col("best.at")).over(ahead.rangeBetween(-reach, 0))
-    numbers = [F.col(c).cast("int").alias(c) for c in ("lo", "mid", "hi")]
-    return lines.select("key", "doc_id", "at", "pos", "h", F.when(F.array_contains(chosen, F.col("at")), F.col("s")).alias("mark"), *numbers)
+    one = F.struct(F.col("pos").cast("int").alias("pos"), "h")
+    before = F.collect_list(one).over(ahead.rangeBetween(-reach, -1))
+    onward = F.collect_list(one).over(ahead.rangeBetween(0, guarantee - 1))
+    lines = lines.withColumns({"before": before, "next": F.lead(onward).over(ahead), "chosen": F.array_contains(chosen, F.col("at"))})
+    numbers = [F.col(c).cast("int").alias(c) for c in ("at", "lo", "mid", "hi")]
+    near = F.concat("before", F.array(one), F.coalesce("next", F.array().cast("array<struct<pos:int,h:binary>>")))
+    return lines.where("chosen and s is not null").select("key", "doc_id", F.col("s").alias("mark"), *numbers, (F.col("at") - F.size("before")).cast("int").alias("from"), near.alias("near"))
 
 
 def repeated_runs(docs: DataFrame, noise: int = 25, guarantee: int = 50) -> DataFrame:
-    """(key, runs): for each document with repeated runs, the line numbers (first, last) of the later ones, sorted."""
-    lines = spill(line_table(docs, noise, guarantee), "lines")
-    marks = lines.where("mark is not null")
+    """(key, runs): for each document with repeated runs, the line numbers (first, last) of the later ones, apart from each other and in order."""
+    marks = spill(line_table(docs, noise, guarantee), "line-marks")
     shared = marks.groupBy("mark").count().where("count > 1").select("mark")
-    found = spill(marks.join(shared, "mark", "left_semi").select("key", "doc_id", "at", "lo", "mid", "hi"), "line-marks")
-    whole = lines.join(found.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "pos", "h"))).alias("all"))
+    found = marks.join(shared, "mark", "left_semi")
     # the shingle, and what it becomes when lines before or after it join
     after = F.transform(F.sequence("mid", "hi"), lambda e: F.struct(F.col("at").alias("a"), e.alias("b")))
     before = F.when(F.col("lo") < F.col("at"), F.transform(F.sequence(F.col("lo"), F.col("at") - 1), lambda a: F.struct(a.alias("a"), F.col("mid").alias("b"))))
     spans = F.concat(after, F.coalesce(before, F.array().cast("array<struct<a:int,b:int>>")))
-    met = found.join(whole, "key").select("key", "doc_id", F.col("all.h").alias("h"), F.col("all.pos").alias("pos"), F.explode(spans).alias("x"))
-    size = F.col("x.b") - F.col("x.a") + 1
-    at = lambda i: F.get("pos", F.col(i) - 1)
-    place = F.struct("doc_id", "key", F.col("x.a").alias("a")).alias("place")
-    matches = spill(met.select(F.xxhash64(F.slice("h", F.col("x.a"), size), size).alias("match"), place, at("x.a").alias("first"), at("x.b").alias("last")), "line-matches")
-    first = matches.groupBy("match").agg(F.min("place").alias("earliest"), F.count("*").alias("k")).where("k > 1").select("match", "earliest")
-    later = matches.join(first, "match").where("place > earliest")
-    return later.groupBy(F.col("place.key").alias("key")).agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
 
+    def match(x: Column) -> Column:
+        lines = F.slice("near", x["a"] - F.col("from") + 1, x["b"] - x["a"] + 1)
+        hashes = lines["h"]
+        pos = lambda i: F.get("near", i - F.col("from"))["pos"]
+        # two hashes with different seeds of the lines' own 128 bits
+        return F.struct(F.xxhash64(hashes).alias("m1"), F.xxhash64(F.lit(1), hashes).alias("m2"), x["a"].alias("a"), pos(x["a"]).alias("first"), pos(x["b"]).alias("last"))
+
+    met = found.select("key", "doc_id", F.explode(F.transform(spans, match)).alias("x"))
+    place = F.struct("doc_id", "key", "x.a").alias("place")
+    matches = spill(met.select("x.m1", "x.m2", place, "x.first", "x.last"), "line-matches")
+    first = matches.groupBy("m1", "m2").agg(F.min("place").alias("earliest"), F.count("*").alias("k")).where("k > 1").select("m1", "m2", "earliest")
+    later = matches.join(first, ["m1", "m2"]).where("place > earliest").select("place.key", "first", "last").distinct()
+    # runs that touch or overlap become one
+    order = Window.partitionBy("key").orderBy("first", "last")
+    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = later.withColumn("new", F.coalesce(F.col("first") > reached + 1, F.lit(True)).cast("int"))
+    runs = parted.withColumn("run", F.sum("new").over(order)).groupBy("key", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
-def _kept(lines: Column, runs: Column) -> Column:
-    """The parts of the lines between the runs, which are sorted by their first line and may overlap."""
-    start = F.struct(F.array().cast("array<array<string>>").alias("parts"), F.lit(0).alias("next"))
-
-    def step(a: Column, r: Column) -> Column:
-        part = F.when(r["first"] > a["next"], F.concat(a["parts"], F.array(F.slice(lines, a["next"] + 1, r["first"] - a["next"])))).otherwise(a["parts"])
-        return F.struct(part.alias("parts"), F.greatest(a["next"], r["last"] + 1).alias("next"))
 
-    return F.aggregate(runs, start, step, lambda a: F.flatten(F.concat(a["parts"], F.array(F.slice(lines, a["next"] + 1, F.size(lines))))))
+def _kept(lines: Column, runs: Column) -> Column:
+    """The parts of the lines between the runs, which are apart and in order."""
+    n = F.size(runs)
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(runs, i - 1)["last"] + 1)
+    end = lambda i: F.when(i == n, F.size(lines)).otherwise(F.get(runs, i)["first"])
+    return F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(lines, begin(i) + 1, end(i) - begin(i))))
 
 
 def dedup_lines(docs: DataFrame, noise: int = 25, guarantee: int = 50) -> DataFrame:
-    """docs with later repeated runs deleted from text; adds __line_total and __line_removed."""
-    runs = repeated_runs(docs.select("doc_id", "text"), noise, guarantee).select(F.col("key").alias("__line_key"), F.col("runs").alias("__line_runs"))
+    """docs with later repeated runs deleted from text; two columns follow: all lines of a text, and the removed ones.
+
+    They are named __line_total and __line_removed, with more underscores before them if docs has such names.
+    """
+    own = free_prefix(docs, "__line_")
+    key, found, kept, total, removed = (own + x for x in ("key", "runs", "kept", "total", "removed"))
+    runs = repeated_runs(docs.select("doc_id", "text"), noise, guarantee).select(F.col("key").alias(key), F.col("runs").alias(found))
     lines = F.split("text", "\n", -1)
-    out = docs.withColumn("__line_key", _key()).join(runs, "__line_key", "left")
-    out = out.withColumn("__line_kept", F.when(F.col("__line_runs").isNotNull(), _kept(lines, F.col("__line_runs"))))
-    total = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    out = out.withColumn("__line_total", total).withColumn("__line_removed", F.when(F.col("__line_kept").isNotNull(), F.col("__line_total") - F.size("__line_kept")).otherwise(0))
-    new = F.when(F.col("__line_kept").isNotNull(), F.array_join("__line_kept", "\n")).otherwise(F.col("text"))
-    return out.withColumn("text", new).select(*(F.col(f"`{c}`") for c in docs.columns), "__line_total", "__line_removed")
+    out = docs.withColumn(key, _key()).join(runs, key, "left").withColumn(kept, F.when(F.col(found).isNotNull(), _kept(lines, F.col(found))))
+    count = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    out = out.withColumn(total, count).withColumn(removed, F.when(F.col(kept).isNotNull(), F.col(total) - F.size(kept)).otherwise(0))
+    new = F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return out.withColumn("text", new).select(*(F.col(f"`{c}`") for c in docs.columns), total, removed)

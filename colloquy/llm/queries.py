@@ -19,7 +19,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", F.col("__line_total").cast("long").alias("n_lines"), F.col("__line_removed").cast("long").alias("n_removed"), "text")
+    total, removed = out.columns[-2:]
+    return out.select("doc_id", F.col(total).cast("long").alias("n_lines"), F.col(removed).cast("long").alias("n_removed"), "text")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

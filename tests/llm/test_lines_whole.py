@@ -1,7 +1,10 @@
 """Line dedup against brute force: what must go, and what may."""
 
+import time
+
 import corpus
 import numpy as np
+from pyspark.sql import functions as F
 
 from colloquy.llm import lines
 
@@ -77,3 +80,43 @@ def test_random_shared_runs(spark):
 def test_a_line_repeated_in_one_text(spark):
     rows = [(1, "\n".join(["ten words are in this line of a short list"] * 30)), (2, "\n".join(["ten words are in this line of a short list"] * 8))]
     check(spark, rows)
+
+
+def test_texts_that_share_64_bits_of_hash_are_different(spark, monkeypatch):
+    rows = [(d, "\n".join(corpus.prose(700 + 40 * d + i, 13) for i in range(20))) for d in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real = F.xxhash64
+    # every shingle and every extended match has the same first hash
+    monkeypatch.setattr(lines.F, "xxhash64", lambda *cols: real(*cols) * 0 if len(cols) == 1 else real(*cols))
+    assert lines.repeated_runs(docs).count() == 0
+    assert lines.repeated_runs(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10))).count() == 4
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = corpus.table(spark).withColumns({"__line_key": F.lit("mine"), "__line_total": F.lit(-1), "key": F.lit(2), "runs": F.lit(3), "___line_kept": F.lit(4)})
+    out = lines.dedup_lines(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns and len(set(out.columns)) == len(docs.columns) + 2
+    got = out.collect()
+    assert len(got) == docs.count() and all((r["__line_key"], r["__line_total"], r["key"], r["runs"], r["___line_kept"]) == ("mine", -1, 2, 3, 4) for r in got)
+    assert lines.dedup_lines(corpus.empty(spark)).count() == 0
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    def seconds(n):
+        text = "\n".join(f"line {i} of a long log file with ten words {i % 7} each" for i in range(n))
+        docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        got = {r.doc_id: r[-1] for r in lines.dedup_lines(docs).collect()}
+        assert got == {1: 0, 2: n}
+        return time.perf_counter() - began
+
+    seconds(1000)
+    few, many = seconds(12_000), seconds(24_000)
+    assert many < 2.5 * few + 2
+
+
+def test_a_text_of_many_megabytes(spark):
+    text = "\n".join(f"{i} here is a line of some ten words or so" for i in range(200_000))
+    docs = spark.createDataFrame([(1, text), (2, "a line of its own\n" + text)], "doc_id long, text string")
+    got = {r.doc_id: (r[-1], len(r.text)) for r in lines.dedup_lines(docs).collect()}
+    assert len(text) > 8_000_000 and got == {1: (0, len(text)), 2: (200_000, 17)}
