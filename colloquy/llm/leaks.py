@@ -7,21 +7,22 @@ cut in blocks; two hashes within the radius agree in some block up to a few bits
 an item's gives all windows within the radius. Any window that is found makes its item a candidate, at the place less the
 window's offset.
 
-A short item, or one that is changed in each of its windows, can be beyond the radius all the same. Therefore each item
-also gives its rarest shingles, as many as weigh more than a fifth of it. A window that has none of them is less than 0.8
-alike, so all windows that hold one are candidates, and nothing that is alike is missed.
-
 A candidate is kept if one of its windows of L words has a weighted 5-word-shingle similarity of 0.8 or more with the
 item: the sum of the smaller counts over the sum of the larger, each shingle weighted by its characters. Windows are
 slid over the text word by word. They also reach over its ends and are cut there, so a text that ends within an item, or
 begins within one, holds it if what is there is enough; n_words is what the window has.
 
+An item that is 0.8 alike has few changed words, and its windows cover it, so in some window few of the word pairs differ;
+README.md has the recall against brute force.
+
 The items are the stated query set. Their table is small next to the corpus; it goes to the tasks in blocks of bounded
-size, and more blocks mean more passes, each over all documents. The documents are not shuffled.
+bytes, and more blocks mean more passes, each over all documents. The documents are not shuffled.
 
 Words are runs without space and without the bytes 9 to 13, A to Z folded. Null and empty texts, and items without
-words, match nothing; an item of fewer than five words is one shingle. Long items are verified whole. Repeated rows and
-items with equal ids each give their own rows. Of equally similar places the first is reported. Other columns are not read, so their names cannot clash.
+words, match nothing; an item of fewer than five words is one shingle. Very long texts and items are read whole, a text
+larger than a part by itself. Repeated rows and items with equal ids each give their own rows. Of equally similar places
+the first is reported. Without documents, or without items, there are no rows. Other columns are not read, so their names
+cannot clash.
 """
 
 from __future__ import annotations
@@ -166,16 +167,6 @@ class Item:
         self.total = sum(self.weights.values())
         self.counts = Counter(_grams(words))
 
-    def seeds(self, frequency: Counter) -> list[tuple[bytes, ...]]:
-        """The rarest shingles, as many as weigh more than a fifth: a text without all of these is less than 0.8 alike."""
-        out, weight = [], 0
-        for g in sorted(self.weights, key=lambda g: (frequency[g], -self.weights[g], g)):
-            out.append(g)
-            weight += self.weights[g]
-            if 5 * weight > self.total:
-                break
-        return out
-
     def best(self, words: list[bytes], ranges: list[tuple[int, int]]) -> tuple[float, int, int]:
         """(similarity, first word, words) of the most similar window that begins in the ranges; of equal ones the first.
 
@@ -229,7 +220,7 @@ def _merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Items:
-    """One block of the query set, with an index for each window size in use and one of the shingles that no leak can miss."""
+    """One block of the query set, with an index for each window size in use."""
 
     def __init__(self, rows: list[tuple[int, str | None]], radius: int):
         self.rows = [Item(i, w) for i, t in rows if (w := split_words(t))]
@@ -246,16 +237,6 @@ class Items:
                 hashes[[i for i, _ in at]] = every[[offset for _, offset in at]]
             self.index[size] = (np.array(places, dtype=np.int64), HammingBlocks(hashes, radius))
         self.length = np.array([len(item.words) for item in self.rows])
-        frequency = Counter(g for item in self.rows for g in item.weights)
-        seeds: dict[int, list[tuple[int, int]]] = {}
-        for number, item in enumerate(self.rows):
-            for g in item.seeds(frequency):
-                seeds.setdefault(len(g), []).append((int(W.windows(_hashes(g), len(g))[0]), number))
-        self.seeds = {}
-        for k, pairs in seeds.items():
-            value, who = np.array([v for v, _ in pairs], dtype=np.uint64), np.array([i for _, i in pairs])
-            order = np.argsort(value, kind="stable")
-            self.seeds[k] = (value[order], who[order])
 
     def _places(self, h: np.ndarray, bounds: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text number, item number, first start, last start) of windows that can be alike."""
@@ -268,18 +249,6 @@ class Items:
             # words that were put in or left out before the window move it
             slack = np.maximum(4, self.length[which] // 8)
             yield from zip(owner[at].tolist(), which.tolist(), (start - slack).tolist(), (start + slack).tolist(), strict=True)
-        for k, (value, who) in self.seeds.items():
-            shingles = W.windows(h, k)
-            left = np.searchsorted(value, shingles)
-            at = np.flatnonzero(value[np.minimum(left, len(value) - 1)] == shingles)
-            at = at[at + k <= bounds[1:][owner[at]]]
-            left = left[at]
-            n = np.searchsorted(value, shingles[at], side="right") - left
-            ends = np.cumsum(n)
-            which = who[np.repeat(left - (ends - n), n) + np.arange(int(n.sum()))]
-            at = np.repeat(at, n)
-            place = at - bounds[owner[at]]
-            yield from zip(owner[at].tolist(), which.tolist(), (place + k - self.length[which]).tolist(), place.tolist(), strict=True)
 
     def find(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(text number, item id, similarity, first word, words) of each item in each text, at its best place."""
@@ -300,29 +269,39 @@ class Items:
                 split = {text: words}
 
 
-#: The index that this Python worker built last: a worker runs many tasks, and builds it once for each block of items.
+#: The last indexes that this Python worker built: a worker runs many tasks, and builds each block's index once.
 _LAST: dict[str, Items] = {}
+MOST_KEPT = 3
 
 
 def index_of(key: str, rows: list[tuple[int, str | None]], radius: int) -> Items:
-    if key not in _LAST:
-        _LAST.clear()
-        _LAST[key] = Items(rows, radius)
-    return _LAST[key]
+    found = _LAST.pop(key, None) or Items(rows, radius)
+    _LAST[key] = found
+    while len(_LAST) > MOST_KEPT:
+        _LAST.pop(next(iter(_LAST)))
+    return found
 
 
-def _blocks(items: DataFrame, block_items: int) -> Iterator[list[tuple[int, str | None]]]:
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
+    """Items in blocks of about so many bytes of text; a longer item is a block of its own."""
     rows: list[tuple[int, str | None]] = []
+    size = 0
     for row in items.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        rows.append((row[0], row[1]))
-        if len(rows) == block_items:
+        own = len((row[1] or "").encode()) + 64
+        if rows and size + own > block_bytes:
             yield rows
-            rows = []
+            rows, size = [], 0
+        rows.append((row[0], row[1]))
+        size += own
     if rows:
         yield rows
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, radius: int = 11, block_items: int = 20_000) -> DataFrame:
+#: Bytes of items in a block; its index takes some thirty times as much in a worker.
+BLOCK_BYTES = 4 << 20
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, radius: int = 11, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): each item (item_id, text) in each row of docs (doc_id, text) that holds it."""
     bounded_batches(docs.sparkSession)
     out = None
@@ -341,7 +320,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, radius: int = 11, block_items:
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
-    for rows in _blocks(items, block_items):
+    for rows in _blocks(items, block_bytes):
         out = searched(rows) if out is None else out.unionByName(searched(rows))
     return searched([]) if out is None else out
 
@@ -356,7 +335,7 @@ def _parts(batch: pa.RecordBatch, size: int, text: int = 1) -> Iterator[pa.Recor
         at = to
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, radius: int = 11, block_items: int = 20_000) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, radius: int = 11, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows that hold an item. Each row is judged by its own text, whatever other rows have its id."""
     bounded_batches(docs.sparkSession)
     text = docs.columns.index("text")
@@ -374,6 +353,6 @@ def without_leaks(docs: DataFrame, items: DataFrame, radius: int = 11, block_ite
 
         return rows.mapInArrow(run, docs.schema)
 
-    for block in _blocks(items, block_items):
+    for block in _blocks(items, block_bytes):
         docs = kept(docs, block)
     return docs

@@ -49,7 +49,7 @@ def test_leaks_cut_by_an_end_of_the_text_are_found(length, missing, end):
 
 @pytest.mark.parametrize("length", [20, 60, 300, 600, 1000])
 @pytest.mark.parametrize("place", ["head", "tail", "spread", "inserted"])
-def test_hashes_alone_find_nine_of_ten(length, place):
+def test_leaks_are_found_wherever_they_differ(length, place):
     """The windows of an item cover it whole, so most edits leave one of them within the radius."""
     rng = np.random.default_rng(length)
     items, texts, want = [], [], set()
@@ -66,7 +66,25 @@ def test_hashes_alone_find_nine_of_ten(length, place):
             want.add(i)
         items.append((i, " ".join(v)))
         texts.append(" ".join([*_words(rng, length), *w, *_words(rng, length)]))
-    index = leaks.Items(items, 11)
-    assert {i for i, *_ in index.find(pa.array(texts))} >= want
-    index.seeds = {}
-    assert len({i for i, *_ in index.find(pa.array(texts))} & want) >= 0.9 * len(want)
+    found = {i for i, *_ in leaks.Items(items, 11).find(pa.array(texts))}
+    assert found <= want | found and len(found & want) >= 0.98 * len(want)
+
+
+def test_blocks_give_what_one_block_gives(spark):
+    rng = np.random.default_rng(7)
+    items = [(i, " ".join(_words(rng, int(rng.integers(1, 90))))) for i in range(40)] + [(40, None), (41, ""), (None, items_text := " ".join(_words(rng, 30)))]
+    docs = [(i, " ".join([*_words(rng, 20), t or "", *_words(rng, 20)])) for i, t in items] + [(90, None), (91, ""), (92, items_text)]
+    items_df, docs_df = (spark.createDataFrame(x, f"{k} long, text string").repartition(2) for x, k in ((items, "item_id"), (docs, "doc_id")))
+    want = sorted(map(str, leaks.find_leaks(docs_df, items_df).collect()))
+    assert len(list(leaks._blocks(items_df, 2000))) > 3 and len(want) >= 42
+    assert sorted(map(str, leaks.find_leaks(docs_df, items_df, block_bytes=2000).collect())) == want
+    assert leaks.find_leaks(docs_df.where("false"), items_df).count() == 0 == leaks.find_leaks(docs_df, items_df.where("false")).count()
+
+
+def test_a_text_of_many_megabytes():
+    rng = np.random.default_rng(8)
+    item = _words(rng, 80)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 1_500_000).tolist()]
+    text = " ".join([*words[:900_000], *item, *words[900_000:]])
+    assert len(text) > 8_000_000
+    assert list(leaks.Items([(5, " ".join(item))], 11).find(pa.array(["short", text]))) == [(1, 5, 1.0, 900_000, 80)]

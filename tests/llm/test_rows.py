@@ -17,8 +17,8 @@ def test_leaks_go_by_row(spark):
     rows = [(None, LEAK), (None, CLEAN), (1, LEAK), (1, CLEAN), (1, LEAK), (2, CLEAN), (2, CLEAN), (3, None), (None, None)]
     items = [(1, corpus.ITEM), (2, corpus.prose(92, 30))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (20_000, 1):
-        got = leaks.without_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), block_items=block)
+    for block in (1 << 20, 1):
+        got = leaks.without_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
         assert got.schema == docs.schema
         assert Counter(map(tuple, got.collect())) == Counter(r for r in rows if r[1] != LEAK)
 
