@@ -47,7 +47,7 @@ def tolerant(condition: str) -> str:
 def ansi(text: str) -> str:
     """The same expression for an engine with // for whole division, round_even and regexp_extract_all."""
     text = re.sub(r"\bdiv\b", "//", text)
-    text = text.replace("bround(", "round_even(").replace("octet_length(", "strlen(")
+    text = text.replace("bround(", "round_even(").replace("octet_length(", "strlen(").replace(" struct(", " row(").replace("(struct(", "(row(")
     text = re.sub(r"regexp_count\((\w+), ", r"regexp_count_(\1, ", text)
     text = re.sub(r"regexp_count_\((\w+), ('(?:[^']|'')*')\)", r"len(regexp_extract_all(\1, \2))", text)
     return re.sub(r"(\w+) rlike ('(?:[^']|'')*')", r"regexp_matches(\1, \2)", text)

@@ -79,13 +79,21 @@ def score_update(live: DataFrame) -> DataFrame:
     return live.select("interview_id", "seg_id", F.to_json(event).alias("event"))
 
 
-def snapshots(interviews: DataFrame, live: DataFrame) -> DataFrame:
-    """(interview_id, n_segments, transcript, analysed_to, status, dominant, secondary, roles): a session's view, with its last live scores."""
-    last = live.groupBy("interview_id").agg(F.max(F.struct("seg_id", "status", "dominant", "secondary", "roles")).alias("x"))
-    rows = interviews.select("interview_id", "n_segments", F.col("w").alias("transcript")).join(last, "interview_id", "left")
+def snapshots(interviews: DataFrame, live: DataFrame, rolled: DataFrame, segments: DataFrame) -> DataFrame:
+    """A session's view: its segments and transcript, the last live scores with deltas and roles, the last rolling analysis.
+
+    live and rolled: rows of operators.rolling.live_disc and refreshed; segments: (interview_id, segments).
+    """
+    scores = [f"{p}_{d}" for d in "cdis" for p in ("live", "delta")]
+    analysed = ("mbti_type", "big_top", "star_overall", "sample_quality")
+    last = live.groupBy("interview_id").agg(F.max(F.struct("seg_id", "status", "dominant", "secondary", "roles", *scores)).alias("x"))
+    result = rolled.groupBy("interview_id").agg(F.max(F.struct("seg_id", *analysed)).alias("r"))
+    rows = interviews.select("interview_id", "n_segments", F.col("w").alias("transcript")).join(segments, "interview_id")
+    rows = rows.join(last, "interview_id", "left").join(result, "interview_id", "left")
     return rows.select(
-        "interview_id", "n_segments", "transcript", F.col("x.seg_id").alias("analysed_to"),
-        F.coalesce("x.status", F.lit("waiting")).alias("status"), "x.dominant", "x.secondary", "x.roles",
+        "interview_id", "n_segments", "segments", "transcript", F.col("x.seg_id").alias("analysed_to"),
+        F.coalesce("x.status", F.lit("waiting")).alias("status"), "x.dominant", "x.secondary", "x.roles", *(f"x.{c}" for c in scores),
+        F.col("r.seg_id").alias("rolled_to"), *(f"r.{c}" for c in analysed),
     )
 
 

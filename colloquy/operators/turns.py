@@ -153,3 +153,10 @@ def interviews(segments: DataFrame) -> DataFrame:
     return out.withColumn("sent", F.size(pieces).cast("long")).withColumn(
         "sent_chars", F.aggregate(pieces, F.lit(0), lambda a, s: a + F.length(s)).cast("long"),
     )
+
+
+def speakers_of(segments: DataFrame) -> DataFrame:
+    """(interview_id, segments): each segment's number, speaker and characters, in order."""
+    one = F.concat_ws(":", F.col("seg_id").cast("string"), "speaker", F.length(F.coalesce("text", F.lit(""))).cast("string"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("seg_id", one.alias("one")))), lambda x: x["one"])
+    return segments.groupBy("interview_id").agg(F.array_join(listed, ",").alias("segments"))

@@ -41,19 +41,19 @@ both("partial_upsert", """
     with last as (select *, row_number() over (partition by session_id, speaker order by ms desc, event_id desc) as back from ev )
     select session_id, speaker, event_id, chars from last where back = 1 and kind = 'partial' and chars > 0""")
 both("session_finalize", f"""
-    with o as (select *, min(case when ended then ms * 1000000 + event_id end) over (partition by session_id) as closed from ev ),
-    inside as (select * from o where closed is null or ms * 1000000 + event_id <= closed)
+    with o as (select *, min(case when ended then struct(ms, event_id) end) over (partition by session_id) as closed from ev ),
+    inside as (select * from o where closed is null or struct(ms, event_id) <= closed)
     select session_id, count(*) as n_events, cast(sum(case when speaker = 'candidate' and kind = 'final' then chars else 0 end) as bigint) as chars,
            case when max(closed) is null then 'active' else 'completed' end as status,
            cast(max(case when ended then chars % 101 end) as bigint) as final_score
     from inside group by session_id""")
 both("speaker_first_seen", """
-    with f as (select session_id, speaker, min(ms * 1000000 + event_id) as seen from ev group by session_id, speaker),
+    with f as (select session_id, speaker, min(struct(ms, event_id)) as seen from ev group by session_id, speaker),
     g as (select *, min(seen) over (partition by session_id) as lead from f)
     select session_id, speaker, case when seen = lead then 'speaker_a' else 'speaker_b' end as label from g""")
 #: Voices of a session: the speakers by first appearance are its interviewer and candidate, but for sessions with an odd id.
 both("role_lookup", """
-    with f as (select session_id, event_type, min(ms * 1000000 + event_id) as seen from ev group by session_id, event_type),
+    with f as (select session_id, event_type, min(struct(ms, event_id)) as seen from ev group by session_id, event_type),
     g as (select *, row_number() over (partition by session_id order by seen) as place from f),
     voices as (select session_id, event_type, case when (place + session_id) % 2 = 1 then 'interviewer' else 'candidate' end as voice from g where place <= 2),
     said as (select session_id, event_id, event_type, case when event_id % 3 = 0 then speaker end as recognized from ev )
@@ -142,6 +142,7 @@ add(
 )
 _REQUEST = "e.event_type || ':' || (e.chars // 10)::varchar"
 _OUTCOME = f"case when list_contains(w.keys, {_REQUEST}) then 'cached' when e.ms - w.at < 8000 then 'throttled' else 'run' end"
+_WITHIN = f"case when e.ms - w.keys[{_REQUEST}] <= 120000 then 'cached' when e.ms - w.at < 8000 then 'throttled' else 'run' end"
 add(
     "single_flight_cache",
     lambda s, d: E.single_flight(E.scaled(E.session_events(s, d), SCALE)),
@@ -156,11 +157,43 @@ add(
     lambda s, d: E.ema_scores(E.session_events(s, d)),
     walk("e.chars % 101 as score", "round_even((58 * w.score + 42 * (e.chars % 101))::double / 100, 0)::bigint", "score"),
 )
-add("session_append", lambda s, d: E.appended(E.session_events(s, d)), f"""with {EV},
-    o as (select *, min(case when ended then ms * 1000000 + event_id end) over (partition by session_id) as closed from ev where kind = 'final'),
-    s as (select *, case when ms * 1000000 + event_id > closed then 'not_active' when chars = 0 then 'blank' else 'ok' end as status from o)
+#: Sessions are those of customers that owe nothing; others were never opened.
+_REGISTRY = "select c_custkey as session_id from customer where c_acctbal >= 0"
+
+
+def session_append(spark, sf_dir):
+    registry = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal >= 0").selectExpr("c_custkey as session_id")
+    return E.appended(E.session_events(spark, sf_dir), registry)
+
+
+add("session_append", session_append, f"""with {EV},
+    o as (select *, min(case when ended then row(ms, event_id) end) over (partition by session_id) as closed, session_id in ({_REGISTRY}) as known from ev where kind = 'final'),
+    s as (select *, case when not known then 'unknown' when row(ms, event_id) > closed then 'not_active' when chars = 0 then 'blank' else 'ok' end as status from o)
     select session_id, event_id, case when status = 'ok' then sum(case when status = 'ok' then 1 else 0 end) over ({BY})::bigint end as seg_id, status from s""")
 
+# partial texts of all speakers: an event of an even id is a partial text of its kind of event as a speaker
+_PARTIALS = ["session_id", "event_id", "ms", "case when event_id % 2 = 0 then 'partial' else 'final' end as kind", "event_type as speaker",
+             "case when chars % 4 = 0 then ' ' else concat(event_type, '-', chars) end as text"]
+_KINDS = ("click", "view", "purchase", "signup", "error")
+add(
+    "speaker_partials",
+    lambda s, d: E.speaker_partials(E.session_events(s, d).selectExpr(*_PARTIALS)),
+    f"""with {EV}, p as (select {', '.join(_PARTIALS)} from ev), f as (select *, case when kind = 'partial' and trim(text) <> '' then text end as now from p)
+    select session_id, event_id, now as partial,
+           ({' + '.join(f"coalesce(last_value(case when speaker = '{k}' then (now is not null)::bigint end ignore nulls) over {SOFAR}, 0)" for k in _KINDS)})::bigint as n_open
+    from f""",
+)
+# keys of requests that are forgotten after two minutes of the events' quick time
+add(
+    "single_flight_ttl",
+    lambda s, d: E.single_flight(E.scaled(E.session_events(s, d), SCALE), ttl_ms=120_000),
+    walk(
+        f"map([{_REQUEST}], [e.ms]) as keys, e.ms as at, 'run' as outcome",
+        f"case when {_WITHIN} = 'run' then map_concat(w.keys, map([{_REQUEST}], [e.ms])) else w.keys end, case when {_WITHIN} = 'run' then e.ms else w.at end, {_WITHIN}",
+        "outcome", _QUICK,
+    ),
+)
+
 
 def vectors(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")

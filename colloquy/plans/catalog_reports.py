@@ -268,12 +268,32 @@ add(
     "score_update_event", lambda s, d: reports.score_update(live(s, d).withColumn("partial", F.col("seg_id") % 5 == 0)),
     f"{_LIVE} select interview_id, seg_id, {_EVENT} as event from live",
 )
+# sessions of some conversations end before their last segment: each that has ended gets its report, of what came until then
+_ENDED = "interview_id % 4 > 0 and seg_id = 1 + interview_id % 3"
+_REPORT = ["interview_id", "n_segments", "n_turns", "cand_chars", "disc_top", "disc_d", "big_top", "type_top", "mbti_type", "star_overall", "n_high", "sample_quality", "disc_confidence", "star_confidence"]
+_UNTIL = f"""{O.SEGMENTS.replace("segments as", "all_segments as", 1)}, segments as (
+    select * exclude (ends) from (select *, min(case when {_ENDED} then seg_id end) over (partition by interview_id) as ends from all_segments) where seg_id <= ends
+)"""
+add(
+    "session_report",
+    lambda s, d: rolling.final_reports(zh_turns(s, d).withColumn("ended", F.expr(_ENDED)), WORDS).selectExpr(*_REPORT),
+    O.select(", ".join(_REPORT), words=WORDS).replace(O.SEGMENTS, _UNTIL, 1),
+)
 add(
     "session_snapshot",
-    lambda s, d: reports.snapshots(interviews(s, d), live(s, d)),
+    lambda s, d: reports.snapshots(interviews(s, d), live(s, d), rolling.refreshed(rolled(s, d)), T.speakers_of(zh_turns(s, d))),
     f"""{_LIVE}, {O.INTERVIEWS.replace('told as (', 'told_ as (', 1).replace('left join told ', 'left join told_ ').replace('from whole left join told using', 'from whole left join told_ using')},
-    last as (select * from live qualify row_number() over (partition by interview_id order by seg_id desc) = 1)
-    select b.interview_id, b.n_segments, b.w as transcript, l.seg_id as analysed_to, coalesce(l.status, 'waiting') as status, l.dominant, l.secondary, l.roles from base b left join last l using (interview_id)""",
+    last as (select * from live qualify row_number() over (partition by interview_id order by seg_id desc) = 1),
+    due_rows as (select *, row_number() over (partition by interview_id order by seg_id) as rn from told),
+    due_walk as (
+        select interview_id, seg_id, rn, 1 as n, {_C} as c, {_C} >= 80 as fired from due_rows e where rn = 1
+        union all
+        select e.interview_id, e.seg_id, e.rn, case when w.fired then 0 else w.n end + 1, case when w.fired then 0 else w.c end + {_C}, {_NEW} from due_walk w join due_rows e on e.interview_id = w.interview_id and e.rn = w.rn + 1
+    ), due as (select interview_id, max(seg_id) as seg_id from due_walk where fired group by interview_id), result as (select r.* from {_LAST} r join due using (interview_id, seg_id)),
+    said as (select interview_id, string_agg(seg_id || ':' || speaker || ':' || length(text), ',' order by seg_id) as segments from segments group by interview_id)
+    select b.interview_id, b.n_segments, said.segments, b.w as transcript, l.seg_id as analysed_to, coalesce(l.status, 'waiting') as status, l.dominant, l.secondary, l.roles,
+           {', '.join(f'l.live_{x}, l.delta_{x}' for x in 'cdis')}, r.seg_id as rolled_to, r.mbti_type, r.big_top, r.star_overall, r.sample_quality
+    from base b left join last l using (interview_id) left join result r on r.interview_id = b.interview_id join said on said.interview_id = b.interview_id""",
 )
 
 # files and streams of events as sources: written by Spark from the tables, then read back
@@ -334,21 +354,29 @@ add(
     f"''))) // length(t.word), 0))::bigint as hits from (values {_WORD_VALUES}) t(category, word) left join base i on contains(i.w, "
     f"t.word) group by all",
 )
-_RAW_EVENT = "to_json(named_struct('session_id', cast(user_id as string), 'text', case when event_id % 6 = 0 then '  ' else concat(event_type, ' ', event_id) end, 'speaker_id', case when event_id % 2 = 0 then event_type end, 'start_ms', case when event_id % 3 = 0 then event_id end)) as value"
+_RAW_EVENT = (
+    "case when event_id % 10 = 1 then concat('{\"session_id\": \"', user_id) when event_id % 70 = 9 then null else to_json(named_struct('session_id', case when event_id % 15 <> 7 then cast(user_id as string) end, "
+    "'text', case when event_id % 6 = 0 then '  ' else concat(event_type, ' ', event_id) end, 'speaker_id', case when event_id % 2 = 0 then event_type end, 'start_ms', case when event_id % 3 = 0 then event_id end)) end as value"
+)
 
 
 def segment_stream(spark, sf_dir):
-    """Events as JSON, filled with defaults; blank ones are told apart."""
+    """Events as JSON, some of them cut, without a session or blank: accepted ones filled with defaults, others with their reason."""
     good, bad = tables.segment_events(spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", _RAW_EVENT))
-    out = ["event_id", "session_id", "speaker_id", "text", "cast(start_ms as bigint) as start_ms", "final", "interviewer_sim"]
-    return good.selectExpr(*out, "true as accepted").unionByName(bad.selectExpr(*out, "false as accepted"))
+    good = good.selectExpr("event_id", "session_id", "speaker_id", "text", "cast(start_ms as bigint) as start_ms", "final", "interviewer_sim", "cast(null as string) as value", "cast(null as string) as reason")
+    return good.unionByName(bad.selectExpr("event_id", "value", "reason"), allowMissingColumns=True)
 
 
+_JSON = """'{' || case when event_id % 15 <> 7 then '"session_id":"' || user_id || '",' else '' end || '"text":"' || case when event_id % 6 = 0 then '  ' else event_type || ' ' || event_id end || '"'
+    || case when event_id % 2 = 0 then ',"speaker_id":"' || event_type || '"' else '' end || case when event_id % 3 = 0 then ',"start_ms":' || event_id else '' end || '}'"""
 add(
     "segment_stream", segment_stream,
-    "select event_id, user_id::varchar as session_id, case when event_id % 2 = 0 then event_type else 'speaker_a' end as speaker_id, "
-    "case when event_id % 6 = 0 then '  ' else event_type || ' ' || event_id end as text, case when event_id % 3 = 0 then event_id "
-    "else 0 end as start_ms, true as final, 0.0::double as interviewer_sim, event_id % 6 <> 0 as accepted from events",
+    f"""with e as (select *, case when event_id % 10 = 1 or event_id % 70 = 9 then 'malformed' when event_id % 15 = 7 then 'no_session' when event_id % 6 = 0 then 'blank' end as reason from events)
+    select event_id, case when reason is null then user_id::varchar end as session_id, case when reason is null then case when event_id % 2 = 0 then event_type else 'speaker_a' end end as speaker_id,
+           case when reason is null then event_type || ' ' || event_id end as text, case when reason is null then case when event_id % 3 = 0 then event_id else 0 end end as start_ms,
+           case when reason is null then true end as final, case when reason is null then 0.0::double end as interviewer_sim, reason,
+           case when reason is not null and event_id % 70 <> 9 then case when event_id % 10 = 1 then '{{"session_id": "' || user_id else {_JSON} end when reason is not null and event_id % 10 = 1 then '{{"session_id": "' || user_id end as value
+    from e""",
 )
 
 # what becomes of silent sessions and of late events, in order of arrival

@@ -10,6 +10,7 @@ import re
 from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from colloquy.plans import lexicon as L
@@ -169,6 +170,18 @@ def rules_of(table: DataFrame, features: Sequence[str] | None = None) -> Rules:
     return Rules(**{model: none[model] | rules for model, rules in found.items()})
 
 
+def bands_of(table: DataFrame) -> dict[str, tuple[np.ndarray, tuple[str, ...]]]:
+    """Bands from (scheme, upto, band): each reaches up to its end, itself included; an end that is null is open. Two equal ends are an error."""
+    out: dict[str, list[tuple[float, str]]] = {}
+    for scheme, upto, band in _rows(table, "scheme", "upto", "band"):
+        out.setdefault(scheme, []).append((float("inf") if upto is None else float(upto), band))
+    for scheme, cuts in out.items():
+        cuts.sort()
+        if len({c for c, _ in cuts}) < len(cuts):
+            raise ValueError(f"two bands of {scheme!r} have the same end")
+    return {k: (np.array([c for c, _ in v]), tuple(b for _, b in v)) for k, v in out.items()}
+
+
 def probes_of(table: DataFrame) -> dict[str, tuple[str, ...]]:
     """Questions from (defect, place, question), in order of place."""
     out: dict[str, list[str]] = {}

@@ -45,10 +45,23 @@ def with_job_hints(transcripts: DataFrame, manifest: DataFrame) -> DataFrame:
 SEGMENT_EVENT = "session_id string, speaker_id string, text string, start_ms int, end_ms int, final boolean, recognized_role string, speaker_confidence double, interviewer_sim double, candidate_sim double"
 
 
+#: Why an event is rejected, the first reason first.
+REASONS = ("malformed", "no_session", "blank")
+
+
 def segment_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) segments from a column `value` of JSON, batch or stream; blank texts are rejected."""
-    rows = raw.select(F.from_json("value", SEGMENT_EVENT).alias("e"), *[c for c in raw.columns if c != "value"]).select("e.*", *[c for c in raw.columns if c != "value"])
+    """(accepted, rejected) segments from a column `value` of JSON, batch or stream; other columns are kept.
+
+    Rejected rows keep their text as it came, with the reason: JSON that cannot be read (malformed), no session, blank text.
+    """
+    others = [c for c in raw.columns if c != "value"]
+    read = F.from_json("value", f"{SEGMENT_EVENT}, _unread string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+    rows = raw.select(read.alias("e"), "value", *others).select("e.*", "value", *others)
+    reason = (
+        F.when(F.col("value").isNull() | F.col("_unread").isNotNull(), "malformed")
+        .when(F.trim(F.coalesce("session_id", F.lit(""))) == "", "no_session").when(F.trim(F.coalesce("text", F.lit(""))) == "", "blank")
+    )
+    rows = rows.withColumn("reason", reason)
     fill = {"speaker_id": "speaker_a", "start_ms": 0, "end_ms": 0, "final": True, "interviewer_sim": 0.0, "candidate_sim": 0.0}
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fill.items()})
-    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
-    return rows.where(~blank), rows.where(blank)
+    good = rows.where("reason is null").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fill.items()})
+    return good.drop("_unread", "reason", "value"), rows.where("reason is not null").select(*others, "value", "reason")

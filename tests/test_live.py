@@ -166,3 +166,66 @@ def test_hysteresis_on_a_stream(spark, tmp_path, parts):
     events = rows.selectExpr("stream_id as session_id", "frame_id as event_id", "ms", "prob")
     got = run(S.followed(streamed(spark, events, str(tmp_path / "in"), ["ms", "event_id"], parts), folds.hysteresis(), ("session_id",), **LONG), f"hyst_{parts}")
     assert {tuple(r) for r in got.where("seg is not null").collect()} == want and len(want) > 5
+
+
+def test_a_table_of_the_latest_rows(spark, tmp_path):
+    rnd = random.Random(2)
+    hook, want = sinks.keep_latest(str(tmp_path / "t"), "k", ["at"], buckets=8), {}
+    for number in range(6):
+        rows = [(f"k{rnd.randrange(30)}", rnd.randrange(1000), number) for _ in range(25)] if number != 3 else []
+        batch = spark.createDataFrame(rows, "k string, at long, v int")
+        hook(batch, number)
+        if number % 2:
+            hook(batch, number)  # comes again
+        for k, at, v in sorted(rows):
+            if k not in want or at >= want[k][0]:
+                want[k] = (at, v)
+    got = sinks.latest_of(spark, str(tmp_path / "t")).collect()
+    assert len(got) == len(want) and {r.k: r.at for r in got} == {k: at for k, (at, _) in want.items()}
+    files = list((tmp_path / "t" / "rows").glob("bucket=*/*.parquet"))
+    assert len(files) == len({f.parent for f in files}) <= 8  # history is not kept
+
+
+def test_a_batch_that_failed_between_its_steps(spark, tmp_path):
+    path = str(tmp_path / "t")
+    hook = sinks.keep_latest(path, "k", ["at"], buckets=2)
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, at long")
+    hook(rows(("a", 1), ("b", 1), ("c", 1)), 0)
+    hook(rows(("a", 2)), 1)
+    for f in (tmp_path / "t" / "rows").glob("bucket=*"):  # as if the second step had deleted, and not yet moved
+        if f.name in {d.name for d in (tmp_path / "t" / "rows").glob("bucket=*")} and spark.read.parquet(str(f)).where("k = 'a'").count():
+            f.rename(tmp_path / f"lost-{f.name}")
+    hook(rows(("a", 2)), 1)
+    assert {(r.k, r.at) for r in sinks.latest_of(spark, path).collect()} == {("a", 2), ("b", 1), ("c", 1)}
+
+
+def test_latest_rows_of_an_aggregate_in_update_mode(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3, 1000 + i, i) for i in range(30)], "event_id long, session_id long, ms long, value long")
+    sums = streamed(spark, rows, str(tmp_path / "in"), ["ms"], 5).groupBy("session_id").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    sinks.hooked(sums, sinks.keep_latest(str(tmp_path / "out"), "session_id", ["n"], 4), str(tmp_path / "ckpt"), mode="update").awaitTermination()
+    assert {(r.session_id, r.n, r.v) for r in sinks.latest_of(spark, str(tmp_path / "out")).collect()} == {(k, 10, sum(range(k, 30, 3))) for k in range(3)}
+
+
+def test_rejected_events_keep_their_text_and_reason_over_a_restart(spark, tmp_path):
+    good = [f'{{"session_id": "s{i}", "text": "hello {i}"}}' for i in range(6)]
+    bad = {'{"session_id": "s1", "te': "malformed", "not json": "malformed", '{"text": "x"}': "no_session", '{"session_id": " ", "text": ""}': "no_session", '{"session_id": "s1", "text": "  "}': "blank", '{"session_id": "s1"}': "blank"}
+    lines = [*good, *bad]
+    (tmp_path / "in").mkdir()
+    for i in range(4):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(lines[i * 3 : i * 3 + 3]) + "\n")
+    out, ckpt, seen = str(tmp_path / "out"), str(tmp_path / "ckpt"), []
+
+    def failing(rows, number):
+        seen.append(number)
+        sinks.segments_and_rejects(out)(rows, number)
+        if number == 2:
+            raise RuntimeError("lost")
+
+    stream = lambda: sinks.raw_events(spark, str(tmp_path / "in"), 1)
+    with pytest.raises(Exception, match="lost"):
+        sinks.hooked(stream(), failing, ckpt).awaitTermination()
+    sinks.hooked(stream(), sinks.segments_and_rejects(out), ckpt).awaitTermination()
+    assert max(seen) == 2
+    accepted = spark.read.parquet(f"{out}/accepted").collect()
+    assert sorted(r.text for r in accepted) == [f"hello {i}" for i in range(6)] and {r.speaker_id for r in accepted} == {"speaker_a"}
+    assert sorted((r.value, r.reason) for r in spark.read.parquet(f"{out}/rejected").collect()) == sorted(bad.items())

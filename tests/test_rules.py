@@ -67,7 +67,7 @@ def test_single_flight(spark):
 
 
 def test_append(spark):
-    df = spark.createDataFrame([(1, 1, 1, 5, False), (2, 1, 2, 0, False), (3, 1, 3, 5, True), (4, 1, 4, 5, False), (5, 2, 1, 1, False)], "event_id long, session_id long, ms long, chars long, ended boolean")
+    df = spark.createDataFrame([(1, 1, 1, 5, False), (2, 1, 2, 0, False), (3, 1, 3, 5, True), (4, 1, 4, 5, False), (5, 2, 1, 1, False)], "event_id long, session_id long, ms long, chars long, ended boolean").withColumn("kind", F.lit("final"))
     got = {(r.event_id, r.seg_id, r.status) for r in folds.fold(df, folds.append()).collect()}
     assert got == {(1, 1, "ok"), (2, None, "blank"), (3, 2, "ok"), (4, None, "not_active"), (5, 1, "ok")}
 

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions.expressions import hits
+from colloquy.operators import bands as B
 from colloquy.operators import division, scoring, turns
 from colloquy.operators import words as W
 from colloquy.plans import detections as D
+from colloquy.plans import dimensions
 from colloquy.plans import lexicon as L
 from colloquy.plans import tables
 from colloquy.plans.layers import all_layers, analyse, apply, counted, counts
@@ -167,3 +169,39 @@ def test_the_plan_does_not_grow_with_the_rules(spark):
 
 def test_all_layers_keep_their_names():
     assert [len(x) for x in all_layers()] == [len(x) for x in all_layers(L.WORDS, tables.Rules())]
+
+
+# bands and dimension tables
+
+
+def test_bands_by_binary_search(spark):
+    rnd = random.Random(6)
+    cuts = sorted(rnd.sample(range(100_000), 10_000))
+    table = [("many", float(c), f"b{c}") for c in cuts] + [("few", 10.0, "low"), ("few", None, "high")]
+    bands = tables.bands_of(spark.createDataFrame(table, "scheme string, upto double, band string"))
+    scores = [("many", x) for x in (*rnd.sample(range(100_000), 300), *cuts[:50], cuts[-1] + 1, -1)] + [("few", 10), ("few", 11), ("few", None), ("none", 3), (None, 3)]
+    rows = spark.createDataFrame(scores, "scheme string, score long")
+    want = []
+    for s, x in scores:
+        own = [] if x is None else [(c or float("inf"), b) for t, c, b in table if t == s and (c is None or c >= x)]
+        want.append((s, x, min(own)[1] if own else None))
+    assert sorted(map(tuple, B.banded(rows, bands).collect()), key=str) == sorted(want, key=str)
+    assert B.banded(rows.where("false"), bands).count() == 0
+
+
+def test_bands_with_equal_ends_are_refused(spark):
+    with pytest.raises(ValueError):
+        tables.bands_of(spark.createDataFrame([("s", 1.0, "a"), ("s", 1.0, "b")], "scheme string, upto double, band string"))
+
+
+def test_tables_that_a_user_edits(spark, interviews, tmp_path):
+    path = str(tmp_path / "d")
+    dimensions.save(dimensions.own_tables(spark), path)
+    found = dimensions.load(spark, path)
+    assert {k: v.count() for k, v in found.items()} == {k: v.count() for k, v in dimensions.own_tables(spark).items()}
+    found["probes"] = spark.createDataFrame([("situation_missing", 0, "where?")], found["probes"].schema)
+    found["bands"] = spark.createDataFrame([("bigfive", None, "any")], found["bands"].schema)
+    scored = analyse(interviews)
+    got = {(r.kind, r.scheme, r.code): r.interviews for r in dimensions.used(interviews, scored, found).collect()}
+    assert got["bands", "bigfive", "any"] == interviews.count() and [k for k in got if k[0] == "probes"] == [("probes", "situation_missing", "where?")]
+    assert {k for k, *_ in got} == {"lexicon", "rules", "bands", "probes", "mappings"}
