@@ -80,7 +80,7 @@ def test_license_scan_finds_held_out_notices_and_nothing_else(spark, docs):
 
 
 def test_license_needed_words_bound_every_prediction():
-    model = licenses.Model({"mit": [2.0] + [0.0] * 12, "the": [0.5] + [0.0] * 12, "the_mit": [1.0] + [0.0] * 12}, [-3.0] + [-50.0] * 11 + [0.0], 0.5, {})
+    model = licenses.Model({"mit": [2.0] + [0.0] * 12, "the": [0.5] + [0.0] * 12, "the_mit": [1.0] + [0.0] * 12}, [-3.0] + [-50.0] * 11 + [0.0], 0.5)
     need = set(model.needed_words())
     for terms in (["mit", "the", "the_mit"], ["mit", "the_mit"]):
         assert -3 + sum(model.weights[t][0] for t in terms) >= 0 and need & {w for t in terms for w in t.split("_")}
