@@ -16,9 +16,10 @@ Pivots make one link for each member of a group of copies, so copies are never e
 between different components is lost. A document's component is found by spreading the smallest key over the links.
 
 Null and empty texts have no shingles and are linked with nothing. Very long texts are sets like any other. An empty table
-gives no rows. Rows without a doc_id get no component. Sets are told apart by 64 bits of hash. Equal texts
-are linked (similarity 1). Rows that repeat a doc_id each stand for themselves. A tie for the smallest id cannot matter.
-Other columns are not read, so their names cannot clash.
+gives no rows. Rows without a doc_id get no component. Sets are told apart by 128 bits of hash and numbered after that.
+Equal texts are linked (similarity 1). Rows that repeat a doc_id each stand for themselves. Rows that repeat id and text
+very often go through the work once, with their number. A tie for the smallest id cannot matter. Other columns are not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import _words as W
-from colloquy.llm._shared import parts_for, release_memory, spill
+from colloquy.llm._shared import partitions, parts_for, release_memory, spill
 
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
@@ -38,6 +39,10 @@ PERCENT = 80
 BUCKET_BITS = 40
 #: Bytes of input for each range of buckets, and four times that of a block: a range, or a block's texts, lie in one worker.
 RANGE_INPUT = 128 << 20
+#: Blocks deal rows by id and text, so equal rows meet in one; those that repeat more often are one row with a number.
+REPEATS = 1_000
+#: Rows that one row with a number gives back in one step.
+REPEAT_STEP = 100_000
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -106,41 +111,41 @@ def _keeper(k: int):
         low, high = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
         np.add.at(low, own, W.mix(value))
         np.add.at(high, own, W.mix(value ^ np.uint64(0x5851F42D4C957F2D)))
-        set_key = W.mix(low ^ W.mix(high + size.astype(np.uint64))).view(np.int64)
+        set_key, set_check = W.mix(low + size.astype(np.uint64)).view(np.int64), W.mix(high).view(np.int64)
         stays = (size > 0) & (100 * shared >= PERCENT * size)
         # rows without an id are no entries, so they must not stand for an equal set that has one
         stays &= np.asarray(texts.column("doc_id").is_valid())
         able = np.flatnonzero(stays)
         stays[:] = False
-        stays[able[np.unique(set_key[able], return_index=True)[1]]] = True
+        stays[able[np.unique(np.column_stack([set_key[able], set_check[able]]), axis=0, return_index=True)[1]]] = True
         mine = np.flatnonzero(stays[own])
         mine = mine[np.lexsort((value[mine], level[mine], own[mine]))]
         ends = np.cumsum(np.where(stays, size, 0))
         tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(value[mine].view(np.int64)))
         return pa.table(
-            [texts.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(set_key), pa.array(size - shared), pa.array(stays), tokens],
-            names=["doc_id", "n_shingles", "set_key", "n_single", "is_entry", "tokens"],
+            [
+                texts.column("doc_id").cast(pa.int64()), texts.column("copies"), pa.array(size), pa.array(set_key), pa.array(set_check),
+                pa.array(size - shared), pa.array(stays), tokens,
+            ],
+            names=["doc_id", "copies", "n_shingles", "set_key", "set_check", "n_single", "is_entry", "tokens"],
         )
 
     return run
 
 
 def document_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, set_key, n_single, is_entry, tokens) for each row of docs (doc_id, text).
+    """(doc_id, copies, n_shingles, set_key, set_check, n_single, is_entry, tokens) for each row of docs (doc_id, text, copies).
 
-    Equal sets have equal set_key. tokens: the set, rarest first; empty where no other document can be linked, or where
-    an equal set of the same block has them.
+    Equal sets have equal set_key and set_check. tokens: the set, rarest first; empty where no other document can be
+    linked, or where an equal set of the same block has them.
     """
     n = parts_for(docs, RANGE_INPUT)
-    blocks = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * n)).alias("block"),
-    ).repartition(
-        n, "block",
-    )
+    blocks = docs.select("doc_id", "text", "copies", F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * n)).alias("block")).repartition(n, "block")
     messages = blocks.groupBy("block").applyInArrow(_sender(n, k), "range long, block long, buckets binary, counts binary")
     levels = messages.groupBy("range").applyInArrow(_count, "range long, block long, levels binary")
     return blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(
-        _keeper(k), "doc_id long, n_shingles long, set_key long, n_single long, is_entry boolean, tokens array<long>",
+        _keeper(k),
+        "doc_id long, copies long, n_shingles long, set_key long, set_check long, n_single long, is_entry boolean, tokens array<long>",
     )
 
 
@@ -155,8 +160,8 @@ def _sizes_allow(a: Column, b: Column) -> Column:
 
 def verified(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     """pairs (a, b) with the size of both sets and their overlap."""
-    left = entries.select(F.col("set_key").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    right = entries.select(F.col("set_key").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
+    left = entries.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
+    right = entries.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     both = pairs.join(left, "a").join(right, "b")
     return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).cast("long").alias("overlap"))
 
@@ -198,7 +203,7 @@ def index(entries: DataFrame) -> DataFrame:
     """
     prefix = F.col("n") - F.ceil(PERCENT * F.col("n") / 100 - 1e-9) + 1
     listed = F.slice("tokens", (F.col("n_single") + 1).cast("int"), F.greatest(prefix - F.col("n_single"), F.lit(0)).cast("int"))
-    return entries.select(F.col("set_key").alias("node"), "n", "n_single", F.posexplode(listed).alias("pos", "token")).select(
+    return entries.select("node", "n", "n_single", F.posexplode(listed).alias("pos", "token")).select(
         "token", "node", "n", "n_single", (F.col("n") - F.col("n_single") - F.col("pos")).alias("rest"),
     )
 
@@ -210,7 +215,7 @@ def with_blocks(entries: DataFrame) -> DataFrame:
 
 
 def links(entries: DataFrame) -> DataFrame:
-    """Links (a, b) among entries (set_key, n, n_single, tokens) that connect all that is linked, directly or in steps."""
+    """Links (a, b) among entries (node, n, n_single, tokens) that connect all that is linked, directly or in steps."""
     lists = spill(index(entries), "jaccard-index")
     # the pivot of a list is its most central entry: the one with the smallest share of shingles of its own
     share = F.floor(1000 * F.col("n_single") / F.col("n")).alias("share")
@@ -260,21 +265,50 @@ def links(entries: DataFrame) -> DataFrame:
     return sure.unionByName(more)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text); component_id: the smallest doc_id reachable."""
-    sets = spill(document_sets(docs, k), "jaccard-sets")
-    entries = spill(
-        sets.where("is_entry and doc_id is not null").groupBy("set_key").agg(
-            F.max("n_shingles").alias("n"), F.max("n_single").alias("n_single"), F.first("tokens").alias("tokens"),
-        ),
-        "jaccard-entries",
+def _counted(docs: DataFrame, repeats: int | None) -> tuple[DataFrame, bool]:
+    """(docs (doc_id, text) with copies, are there any): 1 for each row, but rows that repeat more often than repeats are one row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    single = rows.withColumn("copies", F.lit(1).cast("long"))
+    if repeats is None:
+        return single, False
+    row = F.xxhash64("doc_id", "text")
+    often = spill(rows.groupBy(row.alias("row")).agg(F.count("*").alias("n")).where(F.col("n") > repeats).select("row"), "jaccard-repeats")
+    if often.isEmpty():
+        return single, False
+    keyed = single.withColumn("row", row)
+    many = keyed.join(often, "row", "left_semi").groupBy("doc_id", "text").agg(F.sum("copies").alias("copies"))
+    return keyed.join(often, "row", "left_anti").drop("row").unionByName(many), True
+
+
+def _given_back(rows: DataFrame, step: int = REPEAT_STEP) -> DataFrame:
+    """Each row as often as copies says; long repetitions are dealt out in steps."""
+    last = F.floor((F.col("copies") - 1) / F.lit(step))
+    steps = rows.where("copies > 1").withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    steps = steps.repartition(partitions(rows.sparkSession))
+    left = F.least(F.lit(step).cast("long"), F.col("copies") - F.col("step") * F.lit(step))
+    each = steps.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), left)))
+    return rows.where("copies = 1").drop("copies").unionByName(each.drop("copies", "step", "copy"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, repeats: int | None = REPEATS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text); component_id: the smallest doc_id reachable.
+
+    repeats: from how many rows of equal id and text on they go through the work as one; None where ids are unique.
+    """
+    rows, repeated = _counted(docs, repeats)
+    sets = spill(document_sets(rows, k), "jaccard-sets")
+    named = sets.where("doc_id is not null and n_shingles > 0").groupBy("set_key", "set_check").agg(
+        F.min("doc_id").alias("own"), F.max("n_shingles").alias("n"), F.max("n_single").alias("n_single"), F.max("is_entry").alias("is_entry"),
+        F.first(F.when(F.col("is_entry"), F.col("tokens")), ignorenulls=True).alias("tokens"),
     )
-    found = components(links(entries), "jaccard-components")
-    named = sets.where("doc_id is not null and n_shingles > 0").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("own"))
-    named = named.join(found, "node", "left").select("node", "own", F.coalesce("label", "node").alias("label"))
+    # numbers are given once and written, so each different set is a node of its own
+    named = spill(named.withColumn("node", F.monotonically_increasing_id()), "jaccard-entries")
+    found = components(links(named.where("is_entry").select("node", "n", "n_single", "tokens")), "jaccard-components")
+    named = named.select("set_key", "set_check", "node", "own").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("own").alias("component_id"))
-    by_set = named.join(least, "label").select(F.col("node").alias("set_key"), "component_id")
-    out = sets.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"),
-    )
-    return out.join(by_set, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_set = named.join(least, "label").select("set_key", "set_check", "component_id")
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    out = sets.select("doc_id", "copies", "n_shingles", *(F.when(linked, F.col(c)).alias(c) for c in ("set_key", "set_check")))
+    out = out.join(by_set, ["set_key", "set_check"], "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "copies")
+    return _given_back(spill(out, "jaccard-counted")) if repeated else out.drop("copies")

@@ -10,7 +10,7 @@ bit. It is kept whole if it is a single row, however large, and else its equal r
 written table, and then on from the partitions before) and fill one page after the other. shard_bytes is what the rows of
 a shard or page really have. Null texts have no bytes, null ids hash as empty; such rows have a shard as any other. An empty
 table has no shards. Very long texts are only measured and hashed. Ties cannot occur. All columns are kept but those that are
-named shard, depth or shard_bytes, which the result's own replace; names that begin with __shard_ are taken.
+named shard, depth or shard_bytes, which the result's own replace; other names cannot clash.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from colloquy.llm._shared import bounded_batches, spill
+from colloquy.llm._shared import bounded_batches, free_prefix, spill
 
 #: Columns of the result; columns of docs with these names give way to them.
 ADDED = ("shard", "depth", "shard_bytes")
@@ -108,7 +108,13 @@ def _looked_up(h: Column, leaves: DataFrame) -> Column:
 
 def shard(docs: DataFrame, limit: int, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """docs with shard (hash prefix in bits, and a page where one hash is above the limit), depth and shard_bytes."""
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED))
+    names = [c for c in docs.columns if c not in ADDED]
+    taken = [c for c in names if c.startswith("__shard_")]
+    if taken:
+        aside = {c: f"{free_prefix(docs, 'kept_')}{i}" for i, c in enumerate(taken)}
+        moved = docs.select(*(F.col(f"`{c}`").alias(aside.get(c, c)) for c in names))
+        return shard(moved, limit, most_entries).select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in names), *ADDED)
+    docs = docs.select(*(F.col(f"`{c}`") for c in names))
     own = docs.withColumns({"__shard_h": row_hash(), "__shard_size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
     leaves = spill(directory(own.select(F.col("__shard_h").alias("h"), F.col("__shard_size").alias("bytes")), limit), "shards")
     if leaves.count() <= most_entries:

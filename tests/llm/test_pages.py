@@ -30,3 +30,13 @@ def test_both_ways_to_look_up_give_the_same(spark):
     assert broadcast == joined and sum(joined.values()) == len(rows) and len({s for _, _, s, _, _ in joined}) > 20
     assert sharding.shard(docs, 10**9, 0).select("shard").distinct().count() == 1
     assert sharding.shard(docs, 1000).columns == ["doc_id", "text", "shard", "depth", "shard_bytes"]
+
+
+def test_names_of_the_operator_stay_the_users(spark):
+    rows = [(i, "t%d " % i * (i % 40), f"mine{i}", i) for i in range(60)] + [(7, "x" * 900, "same", 1)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __shard_h string, __shard_leaf long").repartition(3)
+    got = sharding.shard(docs, 1000)
+    assert got.columns == [*docs.columns, "shard", "depth", "shard_bytes"] and got.dtypes[:4] == docs.dtypes
+    assert Counter(tuple(r)[:4] for r in got.collect()) == Counter(rows)
+    plain = sharding.shard(docs.select("doc_id", "text"), 1000).collect()
+    assert Counter((r.doc_id, r.shard.split("-")[0], r.shard_bytes) for r in got.collect()) == Counter((r.doc_id, r.shard.split("-")[0], r.shard_bytes) for r in plain)

@@ -25,7 +25,8 @@ def test_leaks_go_by_row(spark):
 
 def test_one_row_of_each_group_stays(spark, tmp_path):
     rows = [(5, COPY), (5, COPY), (7, NEAR), (7, CLEAN), (None, NEAR), (None, LEAK), (None, LEAK), (8, None), (8, None), (None, None), (9, ""), (4, COPY)]
-    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, other long").repartition(3)
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, __row long").repartition(3)
     got = P.near_duplicates(spark, docs, str(tmp_path))
-    assert got.columns == docs.columns
+    assert got.dtypes == docs.dtypes
+    assert all(rows[r["__row"]] == (r.doc_id, r.text) for r in got.collect())
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(4, COPY), (7, CLEAN), (None, LEAK), (8, None), (8, None), (None, None), (9, "")])
