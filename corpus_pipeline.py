@@ -2,11 +2,11 @@
 
 Null and empty texts are rejected by the quality rules, so later stages meet them only where line dedup empties a text: such
 a text is linked with nothing, holds no item and has no tokens. Rows that repeat an id are judged one by one. An empty
-table goes through all stages. Further columns stay as they are until the last stage; names that begin with __ are taken.
+table goes through all stages. Further columns stay as they are until the last stage, whatever their names.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
 columns of documents. Between stages the rows are written as a table in the shared folder, so a lost executor costs no
-more than its own stage.
+more than its own stage. Very long texts go through every stage whole.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import bpe, jaccard, leaks, lines, quality
-from colloquy.llm._shared import documents, spill
+from colloquy.llm._shared import documents, free_prefix, spill
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +30,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows one stays: that with the smallest id, rows without an id last, then by a hash of all columns."""
-    rows = spill(docs.withColumn("__row", F.monotonically_increasing_id()), "near-duplicates-rows")
-    found = jaccard.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "__row")
-    linked = rows.select("__row", order.alias("__order")).join(found.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
-    stays = linked.groupBy("component_id").agg(F.min("__order").alias("__least")).select(F.col("__least.__row").alias("__row"))
-    return rows.join(stays, "__row", "left_semi").select(docs.columns)
+    row = free_prefix(docs, "__row")
+    rows = spill(docs.withColumn(row, F.monotonically_increasing_id()), "near-duplicates-rows")
+    found = jaccard.jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), repeats=None)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*columns).alias("hash"), F.col(row).alias("row"))
+    linked = rows.select(row, order.alias("order")).join(found.select(F.col("doc_id").alias(row), "component_id"), row)
+    stays = linked.groupBy("component_id").agg(F.min("order").alias("least")).select(F.col("least.row").alias(row))
+    return rows.join(stays, row, "left_semi").select(*columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
