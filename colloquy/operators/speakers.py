@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,34 +53,91 @@ def enrol(samples: DataFrame, least: int = 2) -> DataFrame:
     return lists.select("speaker_id", "n", F.when(ready, unit(F.col("mean"))).alias("embedding"), F.round(norm(F.col("mean")), 6).alias("quality"), F.when(ready, "enrolled").otherwise("too_few").alias("status"))
 
 
-#: Bytes of profiles that are sent to every task; more of them are packed and joined.
+#: Bytes of profiles that are sent to every task at once; more of them are sent one pack after the other.
 MOST_BROADCAST = 64 << 20
+#: Similarities that a task holds at once.
+PRODUCTS = 4_000_000
+
+#: Profiles of one width: ids, ascending, and a matrix with a row for each.
+Pack = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _pack(profiles: DataFrame) -> Pack:
+    table = profiles.select("speaker_id", "profile").toArrow().combine_chunks().sort_by("speaker_id")
+    ids, width = table.column("speaker_id").to_numpy(), pc.list_value_length(table.column("profile")).to_numpy()
+    lists = table.column("profile").to_pylist()
+    out = {}
+    for w in np.unique(width[width > 0]):
+        rows = np.flatnonzero(width == w)
+        out[int(w)] = ids[rows], np.array([lists[r] for r in rows], dtype=np.float64)
+    return out
+
+
+def _nearest(x: np.ndarray, ids: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity, id) of the nearest profile of each row of x, as matrix products of bounded size; -1 where there is none."""
+    size = np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-8)
+    near, who = np.empty(len(x)), np.empty(len(x), dtype=np.int64)
+    step = max(1, PRODUCTS // len(ids))
+    for at in range(0, len(x), step):
+        part = slice(at, at + step)
+        score = np.nan_to_num((x[part] / size[part, None] @ m.T + 1) / 2, nan=-1)
+        best = np.argmax(np.round(score, 6), axis=1)  # the first of equals, which has the smallest id
+        near[part], who[part] = score[np.arange(len(best)), best], ids[best]
+    return near, who
+
+
+def _searcher(sent: Broadcast, fields: list[str]):
+    """Batches of (vec_id, embedding, speaker_id, similarity) to the same with the pack's profile where it is nearer."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("embedding")
+            width = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+            similarity = pc.fill_null(batch.column("similarity"), -1.0).to_numpy(zero_copy_only=False).copy()
+            speaker = pc.fill_null(batch.column("speaker_id").cast(pa.int64()), 0).to_numpy(zero_copy_only=False).copy()
+            for w, (ids, m) in sent.value.items():
+                rows = np.flatnonzero(width == w)
+                if not len(rows):
+                    continue
+                flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+                near, who = _nearest(flat.astype(np.float64).reshape(-1, w), ids, m)
+                now, new = np.round(similarity[rows], 6), np.round(near, 6)
+                better = (new > now) | ((new == now) & (new >= 0) & (who < speaker[rows]))
+                similarity[rows[better]], speaker[rows[better]] = near[better], who[better]
+            none = similarity < 0
+            made = [pa.array(speaker, mask=none).cast(batch.column("speaker_id").type), pa.array(similarity, mask=none)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), vectors, *made], names=fields)
+
+    return run
 
 
 def match(vectors: DataFrame, profiles: DataFrame, most_bytes: int = MOST_BROADCAST) -> DataFrame:
-    """(vec_id, speaker_id, similarity): the nearest profile; of equals the one with the smallest id.
+    """(vec_id, speaker_id, similarity): the nearest profile; of equals, to six digits, the one with the smallest id.
 
-    Profiles are the stated query set, held against all vectors. They are computed once, into a table; if that is small
-    by its count and width, they go to the tasks as one row, else in packs of a thousand that each vector meets once.
-    Lengths are taken out of all vectors first, so that a comparison is one product.
+    Profiles are the stated query set, held against all vectors. They are computed once, into a table, and go to the
+    tasks as a matrix, in packs below most_bytes by their count and width; vectors stay where they are and keep the
+    nearest profile so far. Between two packs they are written, so that only one pack is held. Vectors without numbers,
+    or of a width that no profile has, get nulls; without profiles there are no rows.
     """
     spark = vectors.sparkSession
     path = scratch(spark, "profiles")
     profiles.where("embedding is not null").select("speaker_id", unit(F.col("embedding")).alias("profile")).write.parquet(path)
     known = spark.read.parquet(path)
     count, width = known.agg(F.count("*"), F.coalesce(F.max(F.size("profile")), F.lit(0))).first()
-    own = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    score = lambda p: F.struct(F.round((dot(F.col("v"), p["profile"]) + 1) / 2, 6).alias("similarity"), (-p["speaker_id"]).alias("neg"))
-    small = 8 * count * width <= most_bytes
-    n = 1 if small else -(-count // 1000)
-    packed = known.groupBy(F.pmod(F.xxhash64("speaker_id"), F.lit(n)).cast("int").alias("pack")).agg(F.collect_list(F.struct("speaker_id", "profile")).alias("profiles"))
-    if small:
-        met = own.withColumn("pack", F.lit(0)).join(F.broadcast(packed), "pack")
-        found = met.select("vec_id", F.array_max(F.transform("profiles", score)).alias("m"))
-    else:
-        met = own.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(packed, "pack")
-        found = met.select("vec_id", F.array_max(F.transform("profiles", score)).alias("m")).groupBy("vec_id").agg(F.max("m").alias("m"))
-    return found.select("vec_id", (-F.col("m.neg")).alias("speaker_id"), F.col("m.similarity").alias("similarity"))
+    own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    found = own.withColumns({"speaker_id": F.lit(None).cast(known.schema["speaker_id"].dataType), "similarity": F.lit(None).cast("double")})
+    if not count:
+        return found.where(F.lit(False)).select("vec_id", "speaker_id", "similarity")
+    n = max(1, -(-8 * count * width // most_bytes))
+    for pack in range(n):
+        if pack:
+            path = scratch(spark, "nearest")
+            found.write.parquet(path)
+            sent.unpersist()
+            found = spark.read.schema(found.schema).parquet(path)
+        sent = spark.sparkContext.broadcast(_pack(known.where(F.pmod(F.xxhash64("speaker_id"), F.lit(n)) == pack)))
+        found = found.mapInArrow(_searcher(sent, found.columns), found.schema)
+    return found.select("vec_id", "speaker_id", F.round("similarity", 6).alias("similarity"))
 
 
 def update_profile(old: Column, samples: Column, weight: float = 0.2) -> Column:

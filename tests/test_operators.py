@@ -1,5 +1,8 @@
 """Unit rows: thresholds from both sides, ties, empty inputs, odd labels."""
 
+import math
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -130,6 +133,30 @@ def test_speakers(spark):
     assert [round(x, 4) for x in new] == [0.9701, 0.2425]
 
 
+def test_the_nearest_profile_is_the_same_for_any_number_of_packs(spark):
+    rng = np.random.default_rng(3)
+    known = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(40)]
+    known += [(40, known[7][1]), (41, [2 * x for x in known[7][1]]), (42, None), (43, [1.0, 2.0])]
+    asked = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(50)] + [(50, known[7][1]), (51, [0.0] * 6), (52, None), (53, []), (54, [1.0, 2.0, 3.0]), (55, [2.0, 4.0])]
+    profiles = spark.createDataFrame(known, "speaker_id int, embedding array<double>")
+    vectors = spark.createDataFrame(asked, "vec_id long, embedding array<double>").repartition(3)
+    want = {}
+    for i, v in asked:
+        near = []
+        for j, p in known:
+            if v and p and len(p) == len(v):
+                size = max(math.hypot(*v), 1e-8) * max(math.hypot(*p), 1e-8)
+                near.append((-round((sum(x * y for x, y in zip(v, p, strict=True)) / size + 1) / 2, 6), j))
+        least = min(near, default=(None, None))
+        want[i] = (least[1], None if least[0] is None else -least[0])
+    assert want[50] == (7, 1.0) and want[55] == (43, 1.0) and want[51] == (0, 0.5) and want[52] == want[53] == want[54] == (None, None)
+    for most in (1 << 20, 700):
+        got = speakers.match(vectors, profiles, most)
+        assert got.dtypes == [("vec_id", "bigint"), ("speaker_id", "int"), ("similarity", "double")]
+        assert {r.vec_id: (r.speaker_id, r.similarity) for r in got.collect()} == want
+    assert speakers.match(vectors, profiles.where("false")).collect() == []
+
+
 def test_merged_results_keep_local_values(spark):
     local = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, x string")
     remote = spark.createDataFrame([(1, "z"), (2, " ")], "id long, x string")
