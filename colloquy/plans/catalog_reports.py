@@ -303,17 +303,21 @@ _FLAT = f"""said as (
 ), flat as (select interview_id, case when interview_id % 2 = 0 then string_agg(line, chr(10) order by seg_id) else string_agg(line, '' order by seg_id) end as text from said group by interview_id)"""
 
 
-def transcript_folder(spark, sf_dir):
-    """A folder with a text file for each interview, each with a byte order mark."""
+def transcript_scan(spark, sf_dir):
+    """A text file for each interview, each with a byte order mark, written and read back."""
     path = scratch(spark, "transcripts")
-    rows = flat_transcripts(spark, sf_dir).select("interview_id", F.concat(F.lit("﻿"), "text").alias("value"))
-    rows.repartition("interview_id").write.partitionBy("interview_id").text(path)
-    return path
+    rows = flat_transcripts(spark, sf_dir).withColumn("interview_id", F.coalesce(F.col("interview_id").cast("string"), F.lit("null")))
+    try:
+        back = tables.transcript_files(spark, tables.write_transcripts(rows, path))
+    except tables.NotReached:  # a folder for each interview, by Spark's own writer
+        named = rows.select("interview_id", F.concat(F.lit("\uFEFF"), "text").alias("value"))
+        named.repartition("interview_id").write.partitionBy("interview_id").text(f"{path}/by-interview")
+        back = tables.transcript_folders(spark, f"{path}/by-interview")
+    return back.selectExpr("try_cast(interview_id as bigint) as interview_id", "text")
 
 
 add(
-    "transcript_scan",
-    lambda s, d: tables.transcript_folders(s, transcript_folder(s, d)).selectExpr("cast(interview_id as bigint) as interview_id", "text"),
+    "transcript_scan", transcript_scan,
     f"with {O.SEGMENTS}, {_FLAT} select * from flat",
 )
 _MANIFEST = [

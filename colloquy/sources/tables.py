@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,10 @@ def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("interview_id"), F.col("turn").alias("seg_id"), role_to_speaker(F.col("role")).alias("speaker"), "text")
 
 
-def transcript_files(spark: SparkSession, folder: str) -> DataFrame:
+def transcript_files(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """(interview_id, text): one interview for each file, named by it without its ending; a byte order mark is dropped."""
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[A-Za-z0-9]+$", "")
+    file = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # Spark gives the name as URIs have it, but "+" as it is
+    name = F.regexp_replace(file, r"\.[A-Za-z0-9]+$", "")
     files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(name.alias("interview_id"), "value")
     return files.select("interview_id", F.regexp_replace("value", "^\uFEFF", "").alias("text"))
 
@@ -29,6 +33,46 @@ def transcript_folders(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select("interview_id", F.regexp_replace("value", "^\uFEFF|\n$", "").alias("text"))
 
 
+class NotReached(ValueError):
+    """Arrow does not see the folder that Spark writes to."""
+
+
+def write_transcripts(transcripts: DataFrame, folder: str) -> list[str]:
+    """Writes each (interview_id, text) to a file <interview_id>.txt with a byte order mark; gives the folders that now hold them.
+
+    Tasks write the files themselves, through Arrow: Spark's writer would make, list and move a folder for each interview,
+    and Hadoop's local files start a process for each mode that they set. Each attempt of a task has a folder of its own, and
+    only attempts that came to their end are named here, so what a lost one left is not read. A null text is an empty one.
+    """
+    # Spark makes the folder: a path without a scheme, say, may be a local one to Arrow and one of HDFS to Spark
+    transcripts.sparkSession.range(0).selectExpr("cast(id as string)").write.text(f"{folder}/_made")
+    try:
+        store, path = FileSystem.from_uri(folder)
+        seen = store.get_file_info(f"{path}/_made").type == FileType.Directory
+    except (OSError, ValueError, NotImplementedError) as e:
+        raise NotReached(folder) from e
+    if not seen:
+        raise NotReached(folder)
+
+    def run(batches):
+        own = f"{folder}/{TaskContext.get().taskAttemptId()}"
+        store, path = FileSystem.from_uri(own)
+        names = set()
+        for batch in batches:
+            store.create_dir(path)
+            for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not name or "/" in name or name[0] in "._" or name in names:
+                    raise ValueError(f"no file of one interview alone can have the name {name!r}")
+                names.add(name)
+                with store.open_output_stream(f"{path}/{name}.txt", compression=None) as file:
+                    file.write(b"\xef\xbb\xbf" + (text or b""))
+        if names:
+            yield pa.RecordBatch.from_pydict({"folder": [own]})
+
+    rows = transcripts.select(F.col("interview_id").cast("string"), F.col("text").cast("binary"))
+    return [r.folder for r in rows.mapInArrow(run, "folder string").collect()] or [folder]
+
+
 MANIFEST = "id string, title string, job_hint string, filename string, description string"
 
 
